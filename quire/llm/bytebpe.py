@@ -6,7 +6,7 @@ by find-first-set. Positions whose pair has changed meanwhile are stale and skip
 merge costs a few operations however long the pre-token is, so one of millions of bytes needs no
 quadratic scan. Equal ranks merge from the left, as the public encoders do.
 
-Pre-tokens repeat: a worker encodes each distinct one once and keeps its ids, up to ``KEPT`` of them.
+Pre-tokens repeat: a worker encodes each distinct one once and keeps its ids, within a bound.
 Null texts count as empty.
 """
 
@@ -15,7 +15,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from heapq import heapify, heappop, heappush
+from array import array
+from heapq import heappop, heappush
 from pathlib import Path
 
 import numpy as np
@@ -24,14 +25,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_slice, texts
+from .common import Memo, by_slice, texts
 
 LATIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
 #: The usual split pattern for texts of the characters above, in the terms of ``re``.
 LATIN_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+|\s+(?!\S)|\s+")
 USUAL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CUT = re.compile(r"(?<=\S) (?=\S)")
-CHUNK, KEPT, WORD = 1 << 19, 700_000, 256
+CHUNK, WORD = 1 << 19, 256
 
 _coders: dict[tuple, ByteBpe] = {}
 
@@ -77,7 +78,7 @@ class ByteBpe:
         self.bytes = [self.ranks[bytes([b])] for b in range(256)]
         self.pattern, self.usual = regex.compile(pattern), pattern == USUAL
         self.queue = RankQueue(len(self.symbols))  # empty between uses
-        self.kept: dict[str, bytes] = {}
+        self.kept = Memo(lambda piece: array("I", self.merge(piece.encode())).tobytes())
 
     def merge(self, data: bytes) -> list[int]:
         """The ids of one pre-token."""
@@ -113,27 +114,12 @@ class ByteBpe:
                     queue.push(left, h)
         return [x for x in ids if x >= 0]
 
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self.kept) + len(pieces) > KEPT:
-            self.kept.clear()
-        for piece in pieces:
-            self.kept[piece] = np.asarray(self.merge(piece.encode()), "<u4").tobytes()
-
     def _pieces(self, text: str) -> list[str]:
         return LATIN_SPLIT.findall(text) if self.usual and LATIN.fullmatch(text) else self.pattern.findall(text)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        out = []
-        for chunk in self.chunks(text):
-            pieces = self._pieces(chunk)
-            try:
-                out.append(b"".join(map(self.kept.__getitem__, pieces)))
-            except KeyError:
-                todo = set(pieces).difference(self.kept)
-                self._learn(set(pieces) if len(self.kept) + len(todo) > KEPT else todo)
-                out.append(b"".join(map(self.kept.__getitem__, pieces)))
-        return b"".join(out)
+        return b"".join(self.kept.joined(self._pieces(chunk)) for chunk in self.chunks(text))
 
     def chunks(self, text: str):
         """Parts of a long text; a single space between two other characters always starts a pre-token of the usual pattern."""

@@ -69,3 +69,23 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 def words(text: str | None) -> list[bytes]:
     """The words ``[^\\x20\\x09-\\x0D]+`` in UTF-8: ``bytes.split`` parts at just these six characters."""
     return text.encode().split() if text else []
+
+
+class Memo(dict):
+    """Results of ``make`` by piece of text. Holds two generations of ``kept`` at most: what was not asked for in a generation goes."""
+
+    def __init__(self, make: Callable[[str], bytes], kept: int = 400_000):
+        self.make, self.kept, self.old = make, kept, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        value = self.old.pop(piece, None)
+        if value is None:
+            value = self.make(piece)
+        self[piece] = value
+        return value
+
+    def joined(self, pieces: Iterable[str]) -> bytes:
+        if len(self) > self.kept:
+            self.old = dict(self)
+            self.clear()
+        return b"".join(map(self.__getitem__, pieces))

@@ -2,8 +2,9 @@
 
 The library encodes about 0.8 MB of text a second and core. Its pre-tokenizer makes the pieces of a
 text independent of each other, so every distinct piece goes through the library once and is kept;
-texts become look-ups. Texts outside plain Latin letters are parted at white space only, which the
-tokenizer drops, and each part goes through the library whole.
+texts become look-ups. In texts of plain Latin letters the pieces are known and go to the library's
+model; other texts are parted at white space only, which the tokenizer drops, and each part goes
+through the whole tokenizer.
 """
 
 from __future__ import annotations
@@ -11,17 +12,19 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 
-import numpy as np
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
+
+from .common import Memo
 
 #: The split pattern of the tokenizer file's pre-tokenizer, and the same for lower-case Latin-1 text.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 LATIN_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 LATIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
 PARTS = re.compile(r"[^ \t\n\r]+")
-#: Characters of a text that are looked up at a time, and pieces kept by a worker.
-CHUNK, KEPT = 1 << 19, 700_000
+#: Characters of a text that are looked up at a time.
+CHUNK = 1 << 19
 
 _encoders: dict[bytes, WordEncoder] = {}
 
@@ -44,35 +47,25 @@ class WordEncoder:
         if kinds != ["NFC", "Replace", "Lowercase"] or splits[:1] != [SPLIT]:
             raise ValueError("the tokenizer file is of another kind: its pieces may depend on each other")
         self.special = [x["content"] for x in known["added_tokens"]]
-        self.kept: dict[str, bytes] = {}
-
-    def _pieces(self, text: str) -> list[str]:
-        if LATIN.fullmatch(text) and not any(x in text for x in self.special):
-            return LATIN_SPLIT.findall(text.lower())
-        return PARTS.findall(text)
-
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self.kept) + len(pieces) > KEPT:
-            self.kept.clear()
-        todo = list(pieces)
-        for at in range(0, len(todo), 4096):
-            some = todo[at : at + 4096]
-            for piece, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.kept[piece] = np.asarray(e.ids, "<u4").tobytes()
+        spelled = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: "".join(x for x, _ in spelled.pre_tokenize_str(chr(c))) for c in (*range(33, 127), *range(0xC0, 0x100))}
+        self.pieces, self.parts = Memo(self._piece), Memo(self._part)
+
+    def _piece(self, piece: str) -> bytes:
+        """Of a lower-case Latin pre-token."""
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(piece.translate(self.letters))]).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        return array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         out = []
         for chunk in chunks(text):
-            pieces = self._pieces(chunk)
-            try:
-                out.append(b"".join(map(self.kept.__getitem__, pieces)))
-            except KeyError:
-                todo = set(pieces).difference(self.kept)
-                if len(self.kept) + len(todo) > KEPT:
-                    todo = set(pieces)
-                self._learn(todo)
-                out.append(b"".join(map(self.kept.__getitem__, pieces)))
+            if LATIN.fullmatch(chunk) and not any(x in chunk for x in self.special):
+                out.append(self.pieces.joined(LATIN_SPLIT.findall(chunk.lower())))
+            else:
+                out.append(self.parts.joined(PARTS.findall(chunk)))
         return out[0] if len(out) == 1 else b"".join(out)
 
 
