@@ -2,12 +2,12 @@
 
 ``windows`` finds the runs of windows that can repeat; runs that occur twice are settled there. What is
 left, different runs of one anchor, is dealt by anchor to tasks. A task takes them in batches, cuts
-each batch into shards and sorts the suffixes of every shard for itself, which gives its transform. The
-transforms are merged by interleave refinement: the interleave starts shard after shard; a round puts
-each place behind the symbol before it, stably, so that after h rounds suffixes are ordered by their
-first h bytes. Borders between blocks of equal prefixes come with each round, and a block of two or
-more that has no border after ``length`` rounds is an interval of a repeated string. No suffix of the
-merged text is sorted again.
+each batch into shards and sorts the suffixes of every shard for itself, which gives its transform; a
+symbol is 25 bytes, so that 200 bytes are 8 symbols. The transforms are merged by interleave
+refinement: the interleave starts shard after shard; a round puts each place behind the symbol before
+it, stably, so that after h rounds suffixes are ordered by their first h symbols. Borders between
+blocks of equal prefixes come with each round, and a block of two or more without a border after the
+last round is an interval of a repeated string. No suffix of the merged text is sorted again.
 
 An anchor with more than ``LARGE`` different runs is not given to one task: the hashes of its windows
 are counted by Spark instead, pre-aggregated. Matches never cross documents; null and empty texts
@@ -27,7 +27,7 @@ from .common import by_slice, texts, written
 from .windows import Rolling, covered, distinct_runs, find_runs, keyed, live_runs, mix, spans, with_texts
 
 LENGTH, BASE = 200, 32
-LARGE, BATCH, SHARD = 20_000, 1 << 19, 1 << 17
+LARGE, BATCH, SHARD = 20_000, 1 << 20, 1 << 18
 _table = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -35,72 +35,90 @@ def byte_tokens(text: str) -> np.ndarray:
     return _table[np.frombuffer(text.encode(), np.uint8)]
 
 
-def shard_transform(strings: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Suffixes of some strings in the order of their first ``length`` bytes: string, offset, and the byte before (+1; 0 at a string's start).
+def step_of(length: int) -> int:
+    """Bytes to a symbol: the largest divisor of the length up to 25."""
+    return max(k for k in range(1, 26) if length % k == 0)
 
-    Each string ends in a mark of its own, smaller than any byte; marks are ordered by string."""
+
+def stable_order(symbols: np.ndarray) -> np.ndarray:
+    """A stable sort, as one or two radix passes."""
+    order = np.argsort((symbols & 0xFFFF).astype(np.uint16), kind="stable")
+    if len(symbols) and int(symbols.max()) > 0xFFFF:
+        order = order[np.argsort((symbols[order] >> 16).astype(np.uint16), kind="stable")]
+    return order
+
+
+def named(strings: list[bytes], step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The strings behind each other, each with an end mark: string and offset of each place, and the name (from 1) of the ``step`` bytes at it; 0 where fewer are left."""
     sizes = np.array([len(s) + 1 for s in strings])
     starts = np.cumsum(sizes) - sizes
-    text = np.zeros(sizes.sum(), np.int64)
-    for s, a in zip(strings, starts):
-        text[a : a + len(s)] = np.frombuffer(s, np.uint8)
-    marks = starts + sizes - 1
-    rank = text + len(strings)
-    rank[marks] = np.arange(len(strings))
-    h = 1
+    data = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)
+    string = np.repeat(np.arange(len(strings)), sizes)
+    offset = np.arange(len(data)) - starts[string]
+    name = np.zeros(len(data), np.int64)
+    full = np.flatnonzero(offset + step < sizes[string])
+    name[full] = np.unique(Rolling(_table[data]).fixed(step)[full], return_inverse=True)[1] + 1
+    return string, offset, name
+
+
+def shard_transform(string: np.ndarray, offset: np.ndarray, name: np.ndarray, length: int, step: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Places of a shard in the order of the first ``length`` bytes that follow them, the symbol before each (0: fewer than ``step`` bytes), and the number of short suffixes.
+
+    Suffixes shorter than a symbol are in no repeated string: they come first, each different from all."""
+    short = np.flatnonzero(name == 0)
+    rank = name + len(short)
+    rank[short] = np.arange(len(short))
+    h = step
     while h < length:
-        ahead = np.full(len(rank), -1, np.int64)
+        ahead = np.zeros(len(rank), np.int64)
         ahead[:-h] = rank[h:]
-        pair = rank * (ahead.max() + 2) + ahead + 1  # past a mark the order is settled, whatever follows
-        rank = np.unique(pair, return_inverse=True)[1]
+        ahead[rank < len(short)] = 0  # settled, whatever follows
+        rank = np.unique(rank * (ahead.max(initial=0) + 1) + ahead, return_inverse=True)[1]
         h *= 2
     order = np.argsort(rank, kind="stable")
-    before = np.where(np.isin(order, starts), 0, text[order - 1] + 1)
-    string = np.searchsorted(starts, order, side="right") - 1
-    return string, order - starts[string], before.astype(np.int16)
+    before = np.zeros(len(name), np.int64)
+    before[step:] = name[:-step]
+    before[offset < step] = 0
+    return order, before[order], len(short)
 
 
-def merge_transforms(shards: list[np.ndarray], strings: list[int], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The interleave (shard of each place) of the merged transform and, for each place, whether its first ``length`` bytes differ from those of the place before.
+def merge_transforms(shards: list[np.ndarray], short: list[int], rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """The interleave (shard of each place) of the merged transform and, for each place, whether its first ``rounds`` symbols differ from those of the place before.
 
-    ``shards``: each shard's bytes before its sorted suffixes (0: a string's start). ``strings``: how many each holds; their end marks come first."""
-    marks = np.concatenate([np.full(n, k, np.int16) for k, n in enumerate(strings)])
+    ``shards``: the symbol before each of a shard's sorted suffixes (0: none). ``short``: how many of each shard's first places are short suffixes."""
+    first = np.concatenate([np.full(n, k, np.int16) for k, n in enumerate(short)])
     interleave = np.concatenate([np.full(len(s), k, np.int16) for k, s in enumerate(shards)])
-    n, m = len(interleave), len(marks)
+    n, m = len(interleave), len(first)
     border = np.zeros(n, bool)
     border[0] = True
-    for _ in range(length):
-        symbol = np.empty(n, np.int16)
+    for _ in range(rounds):
+        symbol = np.empty(n, np.int64)
         for k, s in enumerate(shards):
             symbol[interleave == k] = s
         block = np.cumsum(border)
-        order = np.argsort(symbol, kind="stable")[m:]  # starts of strings have nothing before them: the end marks take their place
+        order = stable_order(symbol)[m:]  # places with no symbol before them give way to the short suffixes
         last, own = symbol[order], block[order]
         border = np.concatenate([np.ones(m, bool), np.ones(1, bool)[: n - m], (last[1:] != last[:-1]) | (own[1:] != own[:-1])])
-        interleave = np.concatenate([marks, interleave[order]])
+        interleave = np.concatenate([first, interleave[order]])
     return interleave, border
 
 
 def repeated_starts(strings: list[bytes], length: int = LENGTH, shard: int = SHARD) -> list[np.ndarray]:
     """For each string the offsets at which a string of ``length`` bytes starts that also starts elsewhere among them."""
-    groups, size = [[]], 0
-    for k, s in enumerate(strings):
-        if size and size + len(s) > shard:
-            groups.append([])
-            size = 0
-        groups[-1].append(k)
-        size += len(s) + 1
-    parts = [shard_transform([strings[k] for k in g], length) for g in groups]
-    interleave, border = merge_transforms([p[2] for p in parts], [len(g) for g in groups], length)
+    step = step_of(length)
+    string, offset, name = named(strings, step)
+    sizes = np.array([len(s) + 1 for s in strings])
+    ends = np.cumsum(sizes)
+    cuts = [0, *(int(x) for x in np.unique(ends[np.searchsorted(ends, np.arange(shard, ends[-1] + shard, shard)).clip(max=len(ends) - 1)]))]
+    parts = [shard_transform(string[a:b], offset[a:b], name[a:b], length, step) for a, b in zip(cuts, cuts[1:])]
+    interleave, border = merge_transforms([p[1] for p in parts], [p[2] for p in parts], length // step)
     alone = border & np.append(border[1:], True)
-    found: list[list[np.ndarray]] = [[] for _ in strings]
-    for j, (g, (string, offset, _)) in enumerate(zip(groups, parts)):
-        again = ~alone[interleave == j]
-        string, offset = string[again], offset[again]
-        by = np.argsort(string, kind="stable")
-        for k, own in zip(*_grouped(string[by], offset[by])):
-            found[g[k]].append(own)
-    return [np.sort(np.concatenate(f)) if f else np.zeros(0, np.int64) for f in found]
+    places = np.concatenate([order[~alone[interleave == j]] + a for j, ((order, _, _), a) in enumerate(zip(parts, cuts))])
+    places.sort()
+    found = [np.zeros(0, np.int64)] * len(strings)
+    for k, own in zip(*_grouped(string[places], offset[places])):
+        found[k] = own
+    return found
 
 
 def _grouped(keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
