@@ -78,5 +78,21 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+OP9_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents
+), w AS (
+  SELECT r, i, array_to_string(ws[i:i + 34], ' ') AS s FROM (SELECT r, ws, unnest(range(1, len(ws) - 33)) AS i FROM d)
+), again AS (
+  SELECT s FROM w GROUP BY s HAVING count(*) > 1
+), gone AS (
+  SELECT r, list_distinct(flatten(list(range(i, i + 35)))) AS g FROM w SEMI JOIN again USING (s) GROUP BY r
+), kept AS (
+  SELECT doc_id, ws, CASE WHEN g IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(g, i)) END AS k FROM d LEFT JOIN gone USING (r)
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - len(k) AS BIGINT) AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_top_k": OP3_SQL}
+    return {"op3_exact_top_k": OP3_SQL, "op9_word_repeats": OP9_SQL}

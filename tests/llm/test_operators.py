@@ -357,6 +357,12 @@ def test_word_repeats(spark, sf, given_texts):
     same(queries.op9_word_repeats(spark, sf), list(expect_words(given_texts)))
 
 
+def test_word_repeats_equal_their_sql(spark, sf):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    same(queries.op9_word_repeats(spark, sf), con.sql(queries.OP9_SQL).fetchall())
+
+
 @pytest.mark.parametrize("large", [20_000, 2])
 def test_byte_repeats_odd_texts(spark, docs, large):
     same(bytedup.without_repeats(docs, large=large), list(expect_bytes([(r[0], r[1]) for r in rows()])))
