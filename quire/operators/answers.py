@@ -13,7 +13,7 @@ def parsed(answers: DataFrame) -> DataFrame:
     """``answers`` (case_id, call, answer): a row for each page with a known type and a confidence from 0 to 1; code fences are cut off."""
     body = F.regexp_replace(F.trim("answer"), r"^```[a-z]*\s*|\s*```$", "")
     rows = answers.select("case_id", "call", F.posexplode(F.from_json(body, ANSWER)["pages"]).alias("pos", "p")).select("case_id", "call", "pos", "p.*")
-    return rows.where(F.col("page_number").isNotNull() & F.col("document_type").isin("cartao_ponto", "holerite", "outro") & F.col("confidence").between(0, 1))
+    return rows.where(F.col("page_number").isNotNull() & F.col("document_type").isin("CARTAO_PONTO", "HOLERITE", "IRRELEVANTE") & F.col("confidence").between(0, 1))
 
 
 def classified(asked: DataFrame, answers: DataFrame) -> DataFrame:

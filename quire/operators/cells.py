@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -23,15 +23,24 @@ def schedule(cells: DataFrame, config: Config) -> DataFrame:
     return rows.select("case_id", "weekday", middle("ins").alias("in_min"), middle("outs").alias("out_min"))
 
 
+def with_usual(cells: DataFrame, times: DataFrame) -> DataFrame:
+    """Adds ``usual``, the observed minute of the cell's weekday and slot; null without a schedule."""
+    rows = cells.withColumn("weekday", F.weekday("day")).join(times, ["case_id", "weekday"], "left")
+    return rows.withColumn("usual", F.when(F.col("slot") == 0, F.col("in_min")).otherwise(F.col("out_min")))
+
+
+def plausible(reading: str, config: Config, require_schedule: bool) -> Column:
+    """Whether a reading is near the usual minute; without a schedule, whether none is required. False for a null reading."""
+    near = F.abs(minutes(F.col(reading)) - F.col("usual")) <= config.tolerance
+    return F.col(reading).isNotNull() & F.coalesce(near, F.lit(not require_schedule))
+
+
 def resolved(cells: DataFrame, times: DataFrame, config: Config) -> DataFrame:
     """Adds ``value`` and ``source``. The consensus counts near the schedule, or where there is none; a model
     that reads something else then sends the cell to review, and fills a cell without consensus only near a known schedule."""
-    rows = consensus(cells).withColumn("weekday", F.weekday("day")).join(times, ["case_id", "weekday"], "left")
-    usual = F.when(F.col("slot") == 0, F.col("in_min")).otherwise(F.col("out_min"))
-    near = lambda c: F.abs(minutes(F.col(c)) - usual) <= config.tolerance
-    local = F.col("agreed").isNotNull() & F.coalesce(near("agreed"), F.lit(True))
-    rows = rows.withColumn("local", local).withColumn("vetoed", local & (F.col("model_read") != F.col("agreed")))
-    model = ~F.col("local") & F.coalesce(near("model_read"), F.lit(False))
+    rows = with_usual(consensus(cells), times).withColumn("local", plausible("agreed", config, False))
+    rows = rows.withColumn("vetoed", F.col("local") & (F.col("model_read") != F.col("agreed")))
+    model = ~F.col("local") & plausible("model_read", config, True)
     return rows.withColumns({
         "source": F.when(F.col("local") & ~F.coalesce("vetoed", F.lit(False)), "local").when(model, "model"),
         "value": F.when(F.col("local") & ~F.coalesce("vetoed", F.lit(False)), F.col("agreed")).when(model, F.col("model_read")),

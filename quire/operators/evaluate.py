@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.text import cents
 from .records import TIMES
 
+#: Fixed value: the type of a page that ground truth doesn't list.
+IRRELEVANT = "IRRELEVANTE"
+
 
 def ratio(a: Column, b: Column) -> Column:
     return F.round(F.try_divide(a.cast("double"), b.cast("double")), 4)
@@ -24,6 +27,23 @@ def page_scores(truth: DataFrame, sent: DataFrame) -> DataFrame:
     return counts.withColumns({"recall": ratio(F.col("hit"), F.col("relevant")), "precision": ratio(F.col("hit"), F.col("sent"))})
 
 
+def class_scores(truth: DataFrame, classified: DataFrame) -> DataFrame:
+    """``truth`` (case_id, page_number, document_type) of the relevant pages, others being irrelevant, against classified pages: accuracy, and relevant pages not recognised."""
+    both = truth.withColumnRenamed("document_type", "want").join(classified.select("case_id", "page_number", F.col("document_type").alias("got")), ["case_id", "page_number"], "full")
+    right = F.coalesce(F.col("got") == F.coalesce("want", F.lit(IRRELEVANT)), F.lit(False))
+    counts = both.groupBy("case_id").agg(F.count("got").alias("classified"), F.count_if(right).alias("correct"), F.count_if(F.col("want").isNotNull() & ~right).alias("relevant_missed"))
+    return counts.withColumn("accuracy", ratio(F.col("correct"), F.col("classified")))
+
+
+def model_scores(calls: DataFrame, group: list[str]) -> DataFrame:
+    """``calls`` (latency, null if the call failed; tokens_in, tokens_out, ok, total) by model: whole tokens an answer, mean and greatest latency, per cent of fields right."""
+    answered, latency = F.greatest(F.count("latency"), F.lit(1)), F.col("latency").cast("decimal(18,2)")
+    return calls.groupBy(*group).agg(
+        F.count("*").alias("calls"), F.count_if(F.col("latency").isNull()).alias("failures"), ratio(F.sum(latency), answered).alias("mean_latency"), F.max("latency").alias("most_latency"),
+        *(F.floor(F.coalesce(F.sum(F.when(F.col("latency").isNotNull(), F.col(c))), F.lit(0)) / answered).cast("bigint").alias(f"{c}_each") for c in ("tokens_in", "tokens_out")),
+        F.round(F.try_divide(100.0 * F.sum("ok"), F.sum("total")), 2).alias("percent"))
+
+
 def day_scores(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     """``truth`` (case_id, date, times) against validated rows; of several predictions for a day the first counts."""
     first = predicted.where("date IS NOT NULL").withColumn("nth", F.row_number().over(Window.partitionBy("case_id", "date").orderBy("row_no"))).where("nth = 1")

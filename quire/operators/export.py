@@ -11,6 +11,12 @@ from ..functions.text import amount_br, cents, label_key, month_br, slug
 from .records import TIMES
 
 UNSAFE = '[;"\r\n]'
+#: Words of the notes, by counter.
+NOTES = {
+    "days": "Dias exportados", "incomplete": "Turnos incompletos, deixados de fora", "unconfirmed": "Registros com data a confirmar, deixados de fora", "unread": "Horários a conferir, deixados vazios",
+    "omitted": "Dias sem turno completo, deixados de fora", "dropped": "Turnos além do limite do dia, deixados de fora", "skipped": "Registros com data inválida, deixados de fora",
+}
+NOTHING = "Nada foi extraído"
 
 
 def shifts(cards: DataFrame) -> DataFrame:
@@ -34,6 +40,13 @@ def workdays(cards: DataFrame, config: Config) -> DataFrame:
     return found.select("case_id", "date", F.size("all_shifts").alias("n_shifts"), F.greatest(F.size("all_shifts") - config.most_shifts, F.lit(0)).alias("dropped"), ((F.size("all_shifts") == 0) & (F.col("half") > 0)).alias("omitted"), F.concat_ws(";", F.date_format(F.to_date("date"), "dd/MM/yyyy"), F.array_join(padded, ";")).alias("line"))
 
 
+def day_columns(cards: DataFrame, config: Config) -> DataFrame:
+    """Workdays that are exported, with their shifts in columns start_1, end_1 to the last of ``most_shifts``; null where a day has fewer."""
+    days = workdays(cards, config).where("NOT omitted").select("case_id", "date", F.split("line", ";").alias("cells"))
+    at = lambda k: F.nullif(F.element_at("cells", k), F.lit(""))
+    return days.select("case_id", "date", *(at(2 * k + e).alias(f"{name}_{k}") for k in range(1, config.most_shifts + 1) for e, name in ((0, "start"), (1, "end"))))
+
+
 def histories(slips: DataFrame, config: Config) -> DataFrame:
     """A row for each case, label and month: the sum of its amounts and how many rows were merged; base salaries as a label of their own unless an item has its slug."""
     dated = slips.where(~F.array_contains("ambiguous", "competence"))
@@ -72,6 +85,17 @@ def summary(cards: DataFrame, config: Config) -> DataFrame:
     return flags.join(half, "case_id", "left").join(days, "case_id", "left").select("case_id", *(v.alias(k) for k, v in zero.items()))
 
 
+def notes(counters: DataFrame, lines: DataFrame) -> DataFrame:
+    """The text that goes with a case's files: a line for each counter of ``summary`` above zero and for each history file; it starts with a byte-order mark and ends its lines with CR LF."""
+    months = lines.groupBy("case_id", "file_name").agg(F.count("*").alias("n"))
+    file = F.concat(F.lit("- "), "file_name", F.lit(": "), F.col("n").cast("string"))
+    files = months.groupBy("case_id").agg(F.array_sort(F.collect_list(file)).alias("files"))
+    said = [F.when(F.col(c) > 0, F.concat(F.lit(f"{words}: "), F.col(c).cast("string"))) for c, words in NOTES.items()]
+    text = F.concat(F.array_compact(F.array(*said)), F.coalesce("files", F.array().cast("array<string>")))
+    body = F.when(F.size(text) == 0, F.array(F.lit(NOTHING))).otherwise(text)
+    return counters.join(files, "case_id", "full").select("case_id", F.concat(F.lit("\ufeff"), F.array_join(body, "\r\n"), F.lit("\r\n")).alias("text"))
+
+
 def open_cases(rows: DataFrame, conflicts: DataFrame) -> DataFrame:
     """Cases that may be exported: those without a conflict."""
     return rows.select("case_id").distinct().join(conflicts.select("case_id").distinct(), "case_id", "left_anti")

@@ -67,6 +67,11 @@ def toc_semi_join(spark, sf):
     return triage.toc_hits(src.toc(spark, sf), TEST_WORDS).select("case_id", *long("page_number"))
 
 
+@query(f"WITH {S.SIGNALS} SELECT case_id, CAST(page_number AS BIGINT) AS page_number FROM signals WHERE is_primary")
+def primary_pages(spark, sf):
+    return _signals(spark, sf).where("primary").select("case_id", *long("page_number"))
+
+
 @query(f"WITH {S.NEIGHBORS} SELECT case_id, CAST(page_number AS BIGINT) AS page_number, score FROM near WHERE neighbor")
 def neighbor_pages(spark, sf):
     return triage.with_neighbors(_signals(spark, sf), TEST_WORDS).where("neighbor").select("case_id", *long("page_number"), "score")
@@ -275,6 +280,13 @@ def _resolved(spark, sf):
     return cells.resolved(marks, cells.schedule(marks, DEFAULT), DEFAULT)
 
 
+@query(f"WITH {S.RESOLVED} SELECT cell_id, first_read IS NOT NULL AND coalesce(abs({S.minutes('first_read')} - usual) <= 75, true) AS plausible, model_read IS NOT NULL AND coalesce(abs({S.minutes('model_read')} - usual) <= 75, false) AS model_plausible FROM agreed")
+def plausible_marks(spark, sf):
+    marks = src.marks(spark, sf)
+    rows = cells.with_usual(marks, cells.schedule(marks, DEFAULT))
+    return rows.select("cell_id", cells.plausible("first_read", DEFAULT, False).alias("plausible"), cells.plausible("model_read", DEFAULT, True).alias("model_plausible"))
+
+
 @query(f"WITH {S.RESOLVED} SELECT cell_id, agreed, local FROM near_usual")
 def consensus_cells(spark, sf):
     return _resolved(spark, sf).select("cell_id", "agreed", "local")
@@ -358,6 +370,14 @@ def workday_shifts(spark, sf):
     return export.workdays(_kept_cards(spark, sf), DEFAULT).select("case_id", "date", *long("n_shifts", "dropped"), "omitted")
 
 
+_SHIFT_COLUMNS = ", ".join(f"s[{k}][1] AS start_{k}, s[{k}][2] AS end_{k}" for k in range(1, 7))
+
+
+@query(f"WITH {S.SHIFTS} SELECT case_id, date, {_SHIFT_COLUMNS} FROM daily WHERE len(s) > 0 OR half = 0")
+def workday_pivot(spark, sf):
+    return export.day_columns(_kept_cards(spark, sf), DEFAULT)
+
+
 @query(f"WITH {S.SHIFTS} SELECT case_id, line FROM workdays WHERE NOT omitted")
 def export_csv_lines(spark, sf):
     return export.workdays(_kept_cards(spark, sf), DEFAULT).where("NOT omitted").select("case_id", "line")
@@ -384,6 +404,17 @@ def history_files(spark, sf):
     return export.history_lines(export.histories(_slips(spark, sf).where("kept"), DEFAULT))
 
 
+_NOTES = ", ".join(f"CASE WHEN {c} > 0 THEN '{words}: ' || {c} END" for c, words in export.NOTES.items())
+
+
+@query(f"""WITH c AS ({SQL['export_summary']}), l AS ({SQL['history_files']}), m AS (SELECT case_id, '- ' || file_name || ': ' || count(*) AS line FROM l GROUP BY case_id, file_name),
+f AS (SELECT case_id, list(line ORDER BY line) AS files FROM m GROUP BY 1),
+t AS (SELECT coalesce(c.case_id, f.case_id) AS case_id, list_concat(list_filter([{_NOTES}], lambda x: x IS NOT NULL), coalesce(files, [])) AS said FROM c FULL JOIN f ON c.case_id = f.case_id)
+SELECT case_id, chr(65279) || CASE WHEN len(said) = 0 THEN '{export.NOTHING}' ELSE array_to_string(said, chr(13) || chr(10)) END || chr(13) || chr(10) AS text FROM t""")
+def export_readme(spark, sf):
+    return export.notes(export_summary(spark, sf), history_files(spark, sf))
+
+
 @query(f"WITH {S.REC_CARDS}, d AS (SELECT case_id || '/' || day_key AS case_id, kept AND disputed AS open FROM rec) SELECT case_id FROM d GROUP BY case_id HAVING NOT bool_or(open)")
 def export_gate(spark, sf):
     """Each day of a user as a case of its own."""
@@ -438,13 +469,13 @@ def _asked(spark, sf):
 def _answers(asked):
     """JSON of each call: a wrong type, a confidence out of range, missing pages, repeated and invented ones."""
     n, p = F.col("size"), F.col("page_number")
-    kind = F.when(n % 5 == 0, "carta").when(n % 2 == 0, "holerite").otherwise("cartao_ponto")
+    kind = F.when(n % 5 == 0, "carta").when(n % 2 == 0, "HOLERITE").otherwise("CARTAO_PONTO")
     page = F.struct(F.when(n % 13 == 0, p + 90).otherwise(p).alias("page_number"), kind.alias("document_type"), F.when(n % 7 == 0, 2.0).otherwise((n % 100) / 100.0).alias("confidence"))
     rows = asked.where(n % 11 != 0).groupBy("case_id", "call").agg(F.array_sort(F.collect_list(F.struct("page_number", page.alias("p")))).alias("all"))
     return rows.select("case_id", "call", F.concat(F.lit("```json\n"), F.to_json(F.struct(F.transform("all", lambda x: x["p"]).alias("pages"))), F.lit("\n```")).alias("answer"))
 
 
-_ASKED = "asked AS (SELECT conv_id AS case_id, turn + 1 AS page_number, length(text) AS n FROM conversations), good AS (SELECT case_id, page_number, CASE WHEN n % 2 = 0 THEN 'holerite' ELSE 'cartao_ponto' END AS document_type, n % 100 / 100.0::DOUBLE AS confidence FROM asked WHERE n % 11 <> 0 AND n % 5 <> 0 AND n % 7 <> 0 AND n % 13 <> 0)"
+_ASKED = "asked AS (SELECT conv_id AS case_id, turn + 1 AS page_number, length(text) AS n FROM conversations), good AS (SELECT case_id, page_number, CASE WHEN n % 2 = 0 THEN 'HOLERITE' ELSE 'CARTAO_PONTO' END AS document_type, n % 100 / 100.0::DOUBLE AS confidence FROM asked WHERE n % 11 <> 0 AND n % 5 <> 0 AND n % 7 <> 0 AND n % 13 <> 0)"
 
 
 @query(f"WITH {_ASKED} SELECT * FROM good")
@@ -473,6 +504,17 @@ def eval_triage(spark, sf):
     return evaluate.page_scores(truth, triage.triage(pages, src.toc(spark, sf), SMALL))
 
 
+@query(f"""WITH {_ASKED}, t AS (SELECT case_id, page_number, CASE WHEN n % 3 = 0 THEN 'CARTAO_PONTO' ELSE 'HOLERITE' END AS want FROM asked WHERE n % 3 <> 2),
+b AS (SELECT coalesce(t.case_id, g.case_id) AS case_id, want, document_type AS got, coalesce(document_type = coalesce(want, 'IRRELEVANTE'), false) AS ok FROM t FULL JOIN good g ON t.case_id = g.case_id AND t.page_number = g.page_number),
+c AS (SELECT case_id, count(got) AS classified, count(*) FILTER (ok) AS correct, count(*) FILTER (want IS NOT NULL AND NOT ok) AS relevant_missed FROM b GROUP BY 1)
+SELECT *, {_RATIO.format(a='correct', b='classified')} AS accuracy FROM c""")
+def eval_classification(spark, sf):
+    asked = _asked(spark, sf)
+    kind = F.when(F.col("size") % 3 == 0, "CARTAO_PONTO").otherwise("HOLERITE")
+    truth = asked.where("size % 3 <> 2").select("case_id", "page_number", kind.alias("document_type"))
+    return evaluate.class_scores(truth, answers.classified(asked, _answers(asked)))
+
+
 @query(f"""WITH {S.VALID}, f AS (SELECT *, row_number() OVER (PARTITION BY case_id, date ORDER BY row_no) AS nth FROM valid WHERE date IS NOT NULL AND source_page <> 2), p AS (SELECT * FROM f WHERE nth = 1), t AS (SELECT * EXCLUDE nth FROM (SELECT *, row_number() OVER (PARTITION BY case_id, date ORDER BY row_no) AS nth FROM valid WHERE date IS NOT NULL AND source_page <= 3) WHERE nth = 1),
 j AS (SELECT t.case_id, p.case_id IS NOT NULL AS found, coalesce(list_contains(p.ambiguous, 'date'), false) AS pending, unnest([{', '.join(f"{{'w': t.{x}, 'g': p.{x}}}" for x in S.TIMES)}]) AS u FROM t LEFT JOIN p ON t.case_id = p.case_id AND t.date = p.date),
 c AS (SELECT case_id, count(*) AS fields, count(*) FILTER (u.w IS NOT DISTINCT FROM u.g) AS correct, count(*) FILTER (u.w IS NULL AND u.g IS NOT NULL) AS invented, count(*) FILTER (u.w IS NOT NULL) AS marks, count(*) FILTER (u.w IS NOT NULL AND u.g IS NULL) AS empty, count(*) FILTER (u.w <> u.g AND NOT pending) AS wrong, count(*) FILTER (u.w <> u.g AND pending) AS date_pending, count(*) FILTER (found) // 4 AS found_days FROM j GROUP BY 1),
@@ -503,6 +545,18 @@ def eval_payslips_greedy(spark, sf):
     return evaluate.greedy_matches(rows.where("source_page <= 5"), rows.where("source_page >= 3"))
 
 
+@query("""WITH c AS (SELECT event_type AS model, user_id % 2 AS thinking, CASE WHEN event_id % 17 <> 0 THEN value END AS latency, event_id % 900 + 100 AS tokens_in, event_id % 70 AS tokens_out, event_id % 7 AS ok, 6 + event_id % 2 AS total FROM events),
+m AS (SELECT model, thinking, count(*) AS calls, count(*) FILTER (latency IS NULL) AS failures, greatest(count(latency), 1) AS answered, CAST(sum(CAST(latency AS DECIMAL(18,2))) AS DOUBLE) AS all_latency, max(latency) AS most_latency,
+  coalesce(sum(tokens_in) FILTER (latency IS NOT NULL), 0) AS i, coalesce(sum(tokens_out) FILTER (latency IS NOT NULL), 0) AS o, sum(ok)::DOUBLE AS ok, sum(total)::DOUBLE AS total FROM c GROUP BY 1, 2)
+SELECT model, thinking, calls, failures, round(all_latency / answered, 4) AS mean_latency, most_latency, CAST(i // answered AS BIGINT) AS tokens_in_each, CAST(o // answered AS BIGINT) AS tokens_out_each, round(100.0::DOUBLE * ok / total, 2) AS percent FROM m""")
+def model_compare(spark, sf):
+    """An event is a call: its type is the model, its value the latency."""
+    k = F.col("event_id")
+    calls = src.table(spark, sf, "events").select(
+        F.col("event_type").alias("model"), (F.col("user_id") % 2).alias("thinking"), F.when(k % 17 != 0, F.col("value")).alias("latency"), (k % 900 + 100).alias("tokens_in"), (k % 70).alias("tokens_out"), (k % 7).alias("ok"), (6 + k % 2).alias("total"))
+    return evaluate.model_scores(calls, ["model", "thinking"])
+
+
 @query(f"WITH {S.RESOLVED}, s AS (SELECT case_id, CAST(case_id % 3 AS BIGINT) AS layout, CAST(case_id % 2 AS BIGINT) AS scan, count(*) AS fields, count(*) FILTER (value = first_read) AS correct FROM resolved GROUP BY 1, 2, 3), g AS (SELECT layout, scan, count(*) AS cases, CAST(sum(correct) AS BIGINT) AS correct, CAST(sum(fields) AS BIGINT) AS fields FROM s GROUP BY GROUPING SETS ((layout, scan), ())) SELECT *, {_RATIO.format(a='correct', b='fields')} AS accuracy FROM g")
 def eval_summary_grouping_sets(spark, sf):
     scores = _resolved(spark, sf).groupBy("case_id", (F.col("case_id") % 3).alias("layout"), (F.col("case_id") % 2).alias("scan")).agg(F.count("*").alias("fields"), F.count_if(F.col("value") == F.col("first_read")).alias("correct"))

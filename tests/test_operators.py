@@ -141,3 +141,34 @@ def test_session_stream(spark, tmp_path):
     stream.run_once(stream.session_stream(source, 900), f"{tmp_path}/out", f"{tmp_path}/checkpoint")
     got = spark.read.parquet(f"{tmp_path}/out").where("session_key <> 'end'")
     assert sorted((r["session_key"], r["n"]) for r in got.collect()) == sorted((r["session_key"], r["n"]) for r in intake.sessions(events, 900).collect())
+
+
+def test_class_scores(spark):
+    truth = spark.createDataFrame([(1, 2, "HOLERITE"), (1, 3, "CARTAO_PONTO"), (1, 4, "HOLERITE"), (2, 1, "HOLERITE")], "case_id int, page_number int, document_type string")
+    found = spark.createDataFrame([(1, 1, "IRRELEVANTE"), (1, 2, "HOLERITE"), (1, 3, "HOLERITE"), (1, 5, "HOLERITE"), (3, 1, "IRRELEVANTE")], "case_id int, page_number int, document_type string")
+    got = {r["case_id"]: tuple(r)[1:] for r in evaluate.class_scores(truth, found).collect()}
+    assert got == {1: (4, 2, 2, 0.5), 2: (0, 0, 1, None), 3: (1, 1, 0, 1.0)}
+
+
+def test_model_scores(spark):
+    calls = spark.createDataFrame([("a", 1.0, 10, 3, 1, 2), ("a", 2.5, 15, 4, 2, 2), ("a", None, 99, 9, 0, 2), ("b", None, None, None, 0, 0)], "model string, latency double, tokens_in long, tokens_out long, ok long, total long")
+    got = {r["model"]: tuple(r)[1:] for r in evaluate.model_scores(calls, ["model"]).collect()}
+    assert got == {"a": (3, 1, 1.75, 2.5, 12, 3, 50.0), "b": (1, 1, None, None, 0, 0, None)}
+
+
+def test_plausible(spark):
+    rows = spark.createDataFrame([(1, "08:00", 480), (2, "09:15", 480), (3, "09:16", 480), (4, "09:16", None), (5, None, None)], "id int, reading string, usual int")
+    got = rows.orderBy("id").select(cells.plausible("reading", Config(), False).alias("a"), cells.plausible("reading", Config(), True).alias("b")).collect()
+    assert [tuple(r) for r in got] == [(True, True), (True, True), (False, False), (True, False), (False, False)]
+
+
+def test_notes(spark):
+    zero = {"days": 0, "incomplete": 0, "unconfirmed": 0, "unread": 0, "omitted": 0, "dropped": 0, "skipped": 0}
+    counters = spark.createDataFrame([{"case_id": 1, **zero, "days": 2, "dropped": 1}, {"case_id": 2, **zero}], "case_id int, " + ", ".join(f"{c} long" for c in zero))
+    lines = spark.createDataFrame([(1, "b.csv", "x"), (1, "a.csv", "x"), (1, "a.csv", "y"), (3, "c.csv", "z")], "case_id int, file_name string, line string")
+    got = {r["case_id"]: r["text"] for r in export.notes(counters, lines).collect()}
+    assert got == {
+        1: "﻿Dias exportados: 2\r\nTurnos além do limite do dia, deixados de fora: 1\r\n- a.csv: 2\r\n- b.csv: 1\r\n",
+        2: f"﻿{export.NOTHING}\r\n",
+        3: "﻿- c.csv: 1\r\n",
+    }
