@@ -69,19 +69,24 @@ def item_scores(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     return counts.withColumns({"recall": ratio(F.col("matched"), F.col("expected")), "precision": ratio(F.col("matched"), F.col("predicted"))})
 
 
-def greedy_matches(truth: DataFrame, predicted: DataFrame, tolerance: float = 0.01) -> DataFrame:
-    """Rows of truth with the prediction each takes: in row order the first unused one of its month within ``tolerance``. Months of a case are matched in a task of their own."""
-    def match(want: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        free, out = list(got.sort_values("row_no")[["row_no", "amount"]].itertuples(index=False, name=None)), []
-        for case, month, row, amount in want.sort_values("row_no")[["case_id", "competence", "row_no", "amount"]].itertuples(index=False, name=None):
+def greedy_matches(truth: DataFrame, predicted: DataFrame, tolerance: float = 0.01, runs_per_task: int = 256) -> DataFrame:
+    """Rows of truth with the prediction each takes: in row order the first unused one of its month within ``tolerance``; null amounts match nothing.
+
+    Amounts of a month that lie further apart than ``tolerance`` cannot compete, so a large month is cut at such gaps, ``runs_per_task`` runs a group."""
+    def match(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("row_no")
+        free, out = list(rows.loc[~rows["given"], ["row_no", "amount"]].itertuples(index=False, name=None)), []
+        for case, month, row, amount in rows.loc[rows["given"], ["case_id", "competence", "row_no", "amount"]].itertuples(index=False, name=None):
             k = next((k for k, (_, a) in enumerate(free) if abs(a - amount) <= tolerance), None)
             if k is not None:
                 out.append((case, month, row, free.pop(k)[0]))
         return pd.DataFrame(out, columns=["case_id", "competence", "row_no", "taken"])
 
-    keys, columns = ["case_id", "competence"], ["case_id", "competence", "row_no", "amount"]
-    kind = dict(truth.dtypes)["case_id"]
-    return truth.select(columns).groupBy(*keys).cogroup(predicted.select(columns).groupBy(*keys)).applyInPandas(match, f"case_id {kind}, competence string, row_no bigint, taken bigint")
+    columns, by_amount = ["case_id", "competence", "row_no", "amount"], Window.partitionBy("case_id", "competence").orderBy("amount")
+    rows = truth.select(*columns, F.lit(True).alias("given")).union(predicted.select(*columns, F.lit(False).alias("given"))).where("amount IS NOT NULL")
+    gap = F.coalesce(F.col("amount") - F.lag("amount").over(by_amount) > tolerance, F.lit(False))
+    rows = rows.withColumn("gap", gap).withColumn("part", F.floor(F.sum(F.col("gap").cast("int")).over(by_amount) / runs_per_task)).drop("gap")
+    return rows.groupBy("case_id", "competence", "part").applyInPandas(match, f"case_id {dict(truth.dtypes)['case_id']}, competence string, row_no bigint, taken bigint")
 
 
 def totals(scores: DataFrame, group: list[str]) -> DataFrame:

@@ -124,6 +124,14 @@ def test_greedy_matching(spark):
     assert sorted((r["row_no"], r["taken"]) for r in got) == [(0, 0), (1, 1)] or sorted((r["row_no"], r["taken"]) for r in got) == [(0, 0)]
 
 
+def test_greedy_matching_in_parts(spark):
+    r = random.Random(3)
+    make = lambda: spark.createDataFrame([(k % 2, "2024-03", k, None if k == 5 else r.randrange(60) / 200) for k in range(60)], "case_id int, competence string, row_no long, amount double")
+    truth, predicted = make(), make()
+    found = [sorted(map(tuple, evaluate.greedy_matches(truth, predicted, 0.004, runs).collect())) for runs in (1, 4, 1_000)]
+    assert found[0] == found[1] == found[2] and len(found[0]) > 10
+
+
 def test_session_gap_is_inclusive(spark):
     t = dt.datetime(2024, 1, 1)
     events = spark.createDataFrame([("a", t), ("a", t + dt.timedelta(seconds=899)), ("a", t + dt.timedelta(seconds=899 + 900))], "session_key string, ts timestamp")

@@ -38,3 +38,8 @@ def test_query_equals_sql(spark, con, name):
 
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
+
+
+def test_greedy_query_takes_both_sides_from_one_table(spark):
+    rows = contract.queries()["eval_payslips_greedy"](spark, SF).collect()
+    assert rows and len({(r["case_id"], r["competence"], r["taken"]) for r in rows}) == len(rows)
