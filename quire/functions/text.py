@@ -103,25 +103,38 @@ def parsed_br(text: Column) -> Column:
     return F.when(plain.rlike(r"^-?(\d{1,3}(\.\d{3})+|\d+)(,\d{1,2})?$"), F.translate(F.replace(plain, F.lit("."), F.lit("")), ",", ".").try_cast("decimal(18,2)"))
 
 
+def bound(value: Column, f) -> Column:
+    """``f(value)`` with ``value`` evaluated once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def read_time(token: Column) -> Column:
     """A time as optical recognition reads it: separator lost or read as a digit."""
-    text = F.translate(F.upper(F.regexp_replace(token, r"""^[.,;|'"*()]+|[.,;|'"*()]+$""", "")), CONFUSED, DIGITS)
+    plain = F.translate(F.upper(F.regexp_replace(token, r"""^[.,;|'"*()]+|[.,;|'"*()]+$""", "")), CONFUSED, DIGITS)
     shapes = (r"^(\d{1,2})[:;.](\d{2})$", r"^(\d{2})(\d{2})$", r"^(\d{2})[\d+](\d{2})$")
-    found = F.lit(None).cast("string")
-    for shape in reversed(shapes):
-        found = F.when(text.rlike(shape), _clock(text, shape)).otherwise(found)
-    return found
+
+    def read(text: Column) -> Column:
+        found = F.lit(None).cast("string")
+        for shape in reversed(shapes):
+            found = F.when(text.rlike(shape), _clock(text, shape)).otherwise(found)
+        return found
+
+    return bound(plain, read)
 
 
 def read_weekday(token: Column) -> Column:
     """A printed weekday; one wrong letter, or a lost first letter, is forgiven if one weekday alone fits."""
-    letters = F.substring(F.regexp_replace(F.upper(token), "[^A-ZÜ]", ""), 1, 3)
-    for wrong, right in MISREAD.items():
-        letters = F.when(letters == wrong, right).otherwise(letters)
     days = F.array(*map(F.lit, WEEKDAYS))
-    same = lambda d, k: (F.substring(d, k, 1) == F.substring(letters, k, 1)).cast("int")
-    close = F.filter(days, lambda d: F.when(F.length(letters) == 2, F.substring(d, 2, 2) == letters).otherwise(same(d, 1) + same(d, 2) + same(d, 3) == 2))
-    return F.when(letters.isin(*WEEKDAYS), letters).when(F.length(letters).isin(2, 3) & (F.size(close) == 1), F.get(close, F.lit(0)))
+    right = F.create_map(*(F.lit(x) for pair in MISREAD.items() for x in pair))
+
+    def read(letters: Column) -> Column:
+        same = lambda d, k: (F.substring(d, k, 1) == F.substring(letters, k, 1)).cast("int")
+        close = F.filter(days, lambda d: F.when(F.length(letters) == 2, F.substring(d, 2, 2) == letters).otherwise(same(d, 1) + same(d, 2) + same(d, 3) == 2))
+        alone = bound(close, lambda c: F.when(F.size(c) == 1, F.get(c, F.lit(0))))
+        return F.when(letters.isin(*WEEKDAYS), letters).when(F.length(letters).isin(2, 3), alone)
+
+    letters = F.substring(F.regexp_replace(F.upper(token), "[^A-ZÜ]", ""), 1, 3)
+    return bound(bound(letters, lambda x: F.coalesce(F.element_at(right, x), x)), read)
 
 
 def chronological(times: list[Column]) -> Column:

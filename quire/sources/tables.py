@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.text import WEEKDAYS
+
 EVENT_PAGES = {"click": 1, "error": 2, "purchase": 3, "signup": 4, "view": 5}
 
 
@@ -72,3 +74,33 @@ def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("k") % 6 == 0, at(F.lit(1))).otherwise(at(F.lit(0))).alias("reread_1"), F.when(F.col("k") % 10 != 0, at(F.lit(0))).alias("reread_2"),
         F.when(F.col("k") % 4 == 0, at(F.lit(1))).when(F.col("k") % 4 != 3, at(F.lit(0))).alias("model_read"),
     )
+
+
+def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """case_id, page_number, tsv: a printed month of each user, as optical recognition's tab-separated words.
+
+    A day has its first and last event; one event is a lone mark, some rows have both times in one word
+    or no entry. A third of the users has no rows of Wednesdays; some headers have a wrong year or start."""
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("case_id"), F.to_date("ts").alias("day"), F.date_format("ts", "HH:mm").alias("t"), "event_id")
+    days = events.groupBy("case_id", "day").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.count("*").alias("n"), F.min("event_id").alias("k"))
+    months = days.groupBy("case_id", F.trunc("day", "month").alias("month")).agg(F.map_from_entries(F.collect_list(F.struct(F.dayofmonth("day"), F.struct("a", "b", "n", "k")))).alias("known"))
+    few, wrong_start = F.col("case_id") % 3 == 1, (F.col("case_id") % 5 == 3) & (F.col("case_id") % 3 != 1)
+    rows = months.withColumn("page_number", F.row_number().over(Window.partitionBy("case_id").orderBy("month"))).withColumn("day", F.explode(F.sequence("month", F.last_day("month")))).where(~(few & (F.weekday("day") == 2)))
+    e, y = F.col("known")[F.dayofmonth("day")], 300 + 40 * F.dayofmonth("day")
+    word = lambda y, x, w, text: F.struct(F.lit(x).alias("x"), (y if hasattr(y, "alias") else F.lit(y)).alias("y"), F.lit(w).alias("w"), (text if hasattr(text, "alias") else F.lit(text)).alias("text"))
+    names = F.array(*map(F.lit, WEEKDAYS))
+    start = [word(y, 90, 134, F.date_format("day", "dd/MM/yyyy")), word(y, 280, 47, F.element_at(names, F.weekday("day") + 1))]
+    cells = (
+        F.when(e.isNull(), F.array(word(y, 368, 156, "DESC(00:00"), word(y, 575, 88, "23:59)")))
+        .when(e["n"] == 1, F.array(word(y, 370, 74, e["a"]), word(y, 558, 191, "Esquecimento")))
+        .when(e["k"] % 7 == 0, F.array(word(y, 359, 169, F.concat(e["a"], F.lit("."), e["b"]))))
+        .when(e["k"] % 7 == 1, F.array(word(y, 465, 76, e["b"])))
+        .otherwise(F.array(word(y, 369, 76, e["a"]), word(y, 465, 76, e["b"])))
+    )
+    body = rows.groupBy("case_id", "page_number", "month").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("day", F.concat(F.array(*start), cells).alias("ws")))), lambda r: r["ws"])).alias("ws"))
+    year = F.when(F.col("case_id") % 5 == 2, F.add_months("month", -12)).otherwise(F.col("month"))
+    br = lambda d: F.date_format(d, "dd/MM/yyyy")
+    head = F.array(word(140, 90, 100, "Período:"), word(140, 200, 110, br(F.when(wrong_start, F.date_add("month", 10)).otherwise(year))), word(140, 320, 20, "à"), word(140, 440, 110, br(F.last_day(year))))
+    all_words = F.concat(head, F.col("ws"), F.array(word(1700, 90, 80, "Saldo"), word(1700, 180, 30, "de")))
+    line = lambda w: F.concat_ws("\t", F.lit("5\t1\t1\t1"), w["y"], F.lit(1), w["x"], w["y"], w["w"], F.lit(21), F.lit(90), w["text"])
+    return body.select("case_id", "page_number", F.concat(F.lit("level\tpage_num\tblock_num\tpar_num\tline_num\tword_num\tleft\ttop\twidth\theight\tconf\ttext\n"), F.array_join(F.transform(all_words, line), "\n")).alias("tsv"))
