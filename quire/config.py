@@ -31,6 +31,8 @@ class Config:
     page_area: float = 612.0 * 792.0
     # Visual pages.
     ink_relative: float = 0.7
+    most_visual_text: int = 200
+    raster_coverage: float = 0.85
     least_bands: int = 8
     least_neighbor_bands: int = 3
     # Time-card cells and confidences.

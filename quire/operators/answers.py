@@ -6,13 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.text import read_time
+
+#: Shapes of the answers.
+STRIPS = "strips array<struct<id: string, values: array<string>>>"
 ANSWER = "pages array<struct<page_number: int, document_type: string, confidence: double>>"
 
 
+def unfenced(answer: str):
+    return F.regexp_replace(F.trim(answer), r"^```[a-z]*\s*|\s*```$", "")
+
+
 def parsed(answers: DataFrame) -> DataFrame:
     """``answers`` (case_id, call, answer): a row for each page with a known type and a confidence from 0 to 1; code fences are cut off."""
-    body = F.regexp_replace(F.trim("answer"), r"^```[a-z]*\s*|\s*```$", "")
-    rows = answers.select("case_id", "call", F.posexplode(F.from_json(body, ANSWER)["pages"]).alias("pos", "p")).select("case_id", "call", "pos", "p.*")
+    rows = answers.select("case_id", "call", F.posexplode(F.from_json(unfenced("answer"), ANSWER)["pages"]).alias("pos", "p")).select("case_id", "call", "pos", "p.*")
     return rows.where(F.col("page_number").isNotNull() & F.col("document_type").isin("CARTAO_PONTO", "HOLERITE", "IRRELEVANTE") & F.col("confidence").between(0, 1))
 
 
@@ -25,3 +32,13 @@ def classified(asked: DataFrame, answers: DataFrame) -> DataFrame:
 def unclassified(asked: DataFrame, found: DataFrame, overflow: DataFrame) -> DataFrame:
     """Pages without an answer, and those never sent."""
     return asked.select("case_id", "page_number").join(found, ["case_id", "page_number"], "left_anti").union(overflow.select("case_id", "page_number")).distinct()
+
+
+def strip_reads(cells: DataFrame, answers: DataFrame) -> DataFrame:
+    """``cells`` (case_id, strip_id, row_pos from 1, ...) with the time that the answers read for each, by place in its strip.
+
+    Answers for unknown strips, or with another number of values than the strip has rows, don't count; of several the last does."""
+    items = answers.select("case_id", F.posexplode(F.from_json(unfenced("answer"), STRIPS)["strips"]).alias("at", "s")).select("case_id", "at", F.col("s.id").alias("strip_id"), F.col("s.values").alias("values"))
+    sizes = cells.groupBy("case_id", "strip_id").agg(F.count("*").alias("n"))
+    whole = items.join(sizes, ["case_id", "strip_id"]).where(F.size("values") == F.col("n")).groupBy("case_id", "strip_id").agg(F.max_by("values", "at").alias("values"))
+    return cells.join(whole, ["case_id", "strip_id"]).withColumn("model_read", read_time(F.get("values", F.col("row_pos") - 1))).drop("values")

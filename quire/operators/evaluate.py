@@ -89,6 +89,20 @@ def greedy_matches(truth: DataFrame, predicted: DataFrame, tolerance: float = 0.
     return rows.groupBy("case_id", "competence", "part").applyInPandas(match, f"case_id {dict(truth.dtypes)['case_id']}, competence string, row_no bigint, taken bigint")
 
 
+def within(truth: DataFrame, predicted: DataFrame, key: list[str], tolerance: float = 0.006) -> DataFrame:
+    """Rows of ``truth`` (key, amount) that have a predicted amount nearer than ``tolerance``; predictions may serve several rows.
+
+    Amounts meet in cells of the tolerance's size and the two beside, so the join is by equal keys."""
+    cell = F.floor(F.col("amount") / tolerance)
+    near = predicted.select(*key, F.col("amount").alias("other"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell")).distinct()
+    rows = truth.withColumn("cell", cell)
+    same = [rows[k].eqNullSafe(near[k]) for k in key]
+    met = (rows["cell"] == near["cell"]) & (F.abs(rows["amount"] - near["other"]) < tolerance)
+    for s in same:
+        met = met & s
+    return rows.join(near, met, "left_semi").drop("cell")
+
+
 def totals(scores: DataFrame, group: list[str]) -> DataFrame:
     """Sums by group and in total (null group), and the ratio of the sums."""
     sums = scores.groupingSets([group, []], *group).agg(F.count("*").alias("cases"), F.sum("correct").alias("correct"), F.sum("fields").alias("fields"))

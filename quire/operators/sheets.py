@@ -21,6 +21,8 @@ TWO_TIMES = r"(\d{2}[:;.]\d{2}).+?(\d{2}[:;.]\d{2})"
 # Fewest rows and two-time rows of a table, days that dates are moved by to test them, shares of votes.
 LEAST_ROWS, LEAST_PAIRS, REACH = 5, 3, 15
 YEAR_SHARE, WEEKDAY_SHARE, START_SHARE = 0.6, 0.7, 0.8
+# Least and greatest width and height of a cell (in those of its column), least ink.
+GATE_WIDTH, GATE_HEIGHT, LEAST_INK = (0.8, 1.3), (0.6, 1.8), 0.04
 # Reach of a column and least size of a word, width of a merged word (in column widths), first time that is an exit.
 COLUMN_REACH, WORD_WIDTH, MERGED, EXIT_FROM = 0.5, 0.4, 1.6, "13:00"
 
@@ -176,7 +178,25 @@ def row_cells(rows: DataFrame) -> DataFrame:
     worked = rows.where(~is_day_off()).withColumns({"entry": word("entry_x"), "leave": word("exit_x")})
     cells = F.when(joined(F.col("rest")).rlike(LONE), F.when(lone.isNotNull(), F.array(of(lone_slot, lone, True)))).when(
         entry.isNotNull() & leave.isNull() & (entry["w"] > MERGED * width), merged).otherwise(slots)
-    return worked.select(*PAGE, "day", "confirmed", F.inline(cells))
+    return worked.select(*PAGE, "day", "confirmed", F.col("width").alias("column_width"), F.col("height").alias("column_height"), F.inline(cells))
+
+
+def passes_gate() -> Column:
+    """Whether a cell may be shown to the second reader: about as large as its column's cells, with ink, without letters."""
+    w, h = F.col("column_width"), F.col("column_height")
+    sized = F.col("w").between(GATE_WIDTH[0] * w, GATE_WIDTH[1] * w) & F.col("h").between(GATE_HEIGHT[0] * h, GATE_HEIGHT[1] * h)
+    return sized & (F.col("ink_ratio") >= LEAST_INK) & ~F.col("has_letters")
+
+
+def span_texts(words: DataFrame, spans: DataFrame, key: list[str]) -> DataFrame:
+    """For each of ``spans`` (key, span, top, bottom) the words whose middle lies in it, joined by place; a word in several counts for the first.
+
+    Spans of a strip are few, so they are held as a list with it and looked through word by word."""
+    lists = spans.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("span", "top", "bottom"))).alias("spans"))
+    middle_ = F.col("y") + F.col("h") / 2
+    held = words.join(lists, key).withColumn("span", F.get(F.filter("spans", lambda s: (s["top"] <= middle_) & (middle_ < s["bottom"])), F.lit(0))["span"])
+    found = held.where("span IS NOT NULL").groupBy(*key, "span").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "pos", "text"))), lambda w: w["text"]), "").alias("text"))
+    return spans.join(found, [*key, "span"], "left").select(*key, "span", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def sheet_pages(rows: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -18,6 +18,19 @@ def ink_profile(rows: DataFrame, config: Config) -> DataFrame:
     return rows.select("case_id", "page_number", F.size("pixels").alias("width"), F.regexp_count("bits", F.lit("1")).alias("ink"), F.size(runs).alias("bands"), F.coalesce(F.array_max(runs), F.lit(0)).alias("longest"))
 
 
+def image_cover(page: DataFrame) -> DataFrame:
+    """Adds n_images and coverage (0 to 1) of the pages' ``images`` (x0, y0, x1, y1), clipped to ``width`` and ``height``; overlaps count twice."""
+    side = lambda a, b, size: F.greatest(F.least(b, F.col(size)) - F.greatest(a, F.lit(0.0)), F.lit(0.0))
+    area = F.aggregate("images", F.lit(0.0), lambda s, i: s + side(i["x0"], i["x1"], "width") * side(i["y0"], i["y1"], "height"))
+    return page.withColumn("n_images", F.size("images")).withColumn("coverage", F.least(area / F.greatest(F.col("width") * F.col("height"), F.lit(1.0)), F.lit(1.0)))
+
+
+def is_visual(config: Config) -> Column:
+    """A page without calculation or primary signals that holds little text beside an image, or is covered by images."""
+    few = F.length(F.regexp_replace("text", r"(?U)\s", "")) <= config.most_visual_text
+    return ~F.col("calculation") & ~F.col("primary") & ((few & (F.col("n_images") >= 1)) | (F.col("coverage") >= config.raster_coverage))
+
+
 def visual_candidates(profile: DataFrame, config: Config) -> DataFrame:
     """Pages with enough bands, ranked, and the pages right beside one with some bands (one step, no chain)."""
     w = Window.partitionBy("case_id").orderBy("page_number")

@@ -404,6 +404,47 @@ def sheet_unread(spark, sf):
     return sheets.sheet_unread(_sheet_rows(spark, sf)).select("case_id", *long("page_number"), "day")
 
 
+@query(f"WITH {_SHEET} SELECT case_id, page_number, day, slot, (day(day) % 10) / 10 * 0.1::DOUBLE >= 0.04::DOUBLE AND n > 1 AND w >= 0.8 * 76 AS passes FROM (SELECT *, CASE WHEN n = 1 THEN 74 WHEN k % 7 = 0 AND slot = 1 THEN 63 ELSE 76 END AS w FROM (SELECT *, CAST(unnest(CASE WHEN n = 1 THEN [CASE WHEN a >= '13:00' THEN 1 ELSE 0 END] ELSE [0, 1] END) AS BIGINT) AS slot FROM r WHERE n IS NOT NULL))")
+def cell_gate(spark, sf):
+    found = sheets.row_cells(_sheet_rows(spark, sf)).withColumns({"ink_ratio": F.dayofmonth("day") % 10 / 10 * 0.1, "has_letters": F.col("single_mark")})
+    return found.select("case_id", *long("page_number"), "day", *long("slot"), sheets.passes_gate().alias("passes"))
+
+
+@query("WITH w AS (SELECT user_id AS case_id, CAST(ts AS DATE) AS day, event_id, hour(ts) * 60 + minute(ts) + 10.0 AS mid, event_type AS t FROM events), s AS (SELECT DISTINCT case_id, day, k AS span FROM w, range(0, 23) r(k)), m AS (SELECT case_id, day, t, event_id, min(span) AS span FROM w JOIN s USING (case_id, day) WHERE mid >= 60 * span AND mid < 60 * span + 90 GROUP BY ALL), g AS (SELECT case_id, day, span, string_agg(t, '' ORDER BY event_id) AS text FROM m GROUP BY ALL) SELECT case_id, day, span, coalesce(text, '') AS text FROM s LEFT JOIN g USING (case_id, day, span)")
+def words_in_spans(spark, sf):
+    words = src.table(spark, sf, "events").select(F.col("user_id").alias("case_id"), F.to_date("ts").alias("day"), F.col("event_id").alias("pos"), F.col("event_id").alias("x"), (F.hour("ts") * 60 + F.minute("ts")).alias("y"), F.lit(20).alias("h"), F.col("event_type").alias("text"))
+    spans = words.select("case_id", "day").distinct().withColumn("span", F.explode(F.sequence(F.lit(0), F.lit(22)))).withColumns({"top": 60 * F.col("span"), "bottom": 60 * F.col("span") + 90})
+    return sheets.span_texts(words, spans, ["case_id", "day"]).select("case_id", "day", *long("span"), "text")
+
+
+@query(f"WITH {S.RESOLVED}, o AS (SELECT *, bool_or(value IS NULL) OVER (PARTITION BY case_id, slot) AS open FROM resolved) SELECT cell_id, first_read AS model_read FROM o WHERE open AND NOT (case_id % 4 = 0 AND slot = 1)")
+def strip_answers(spark, sf):
+    """The second reader says what the first one did, but drops a row of some strips."""
+    asked = cells.strips(_resolved(spark, sf), DEFAULT).withColumn("strip_id", F.concat_ws("-", "case_id", "slot"))
+    said = asked.groupBy("case_id", "slot", "strip_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_pos", "first_read"))), lambda r: r["first_read"]).alias("values"))
+    short = (F.col("case_id") % 4 == 0) & (F.col("slot") == 1)
+    said = said.withColumn("values", F.when(short, F.slice("values", F.lit(2), F.size("values"))).otherwise(F.col("values")))
+    body = F.to_json(F.struct(F.collect_list(F.struct(F.col("strip_id").alias("id"), "values")).alias("strips")))
+    told = said.groupBy("case_id").agg(F.concat(F.lit("```json\n"), body, F.lit("\n```")).alias("answer"))
+    return answers.strip_reads(asked.select("case_id", "strip_id", "row_pos", "cell_id"), told).select("cell_id", "model_read")
+
+
+@query("WITH p AS (SELECT source AS case_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page_number, coalesce(text, '') AS text, doc_id FROM documents), b AS (SELECT *, doc_id % 3 AS n, 10.0::DOUBLE * (doc_id % 90) AS side FROM p), c AS (SELECT *, least(coalesce(list_sum(list_transform(range(n), lambda i: greatest(least(50.0::DOUBLE * i + side, 612.0::DOUBLE) - 50.0::DOUBLE * i, 0.0::DOUBLE) * 792.0::DOUBLE)), 0.0::DOUBLE) / (612.0::DOUBLE * 792.0::DOUBLE), 1.0::DOUBLE) AS cover FROM b) SELECT case_id, page_number, n AS n_images, round(cover, 6) AS coverage, (length(regexp_replace(text, '\\s', '', 'g')) <= 200 AND n >= 1) OR cover >= 0.85::DOUBLE AS visual FROM c")
+def visual_pages(spark, sf):
+    """Each page with up to two images side by side; no page counts as primary."""
+    i = F.transform(F.sequence(F.lit(0), F.lit(1)), lambda k: F.struct((50.0 * k).alias("x0"), F.lit(-5.0).alias("y0"), (50.0 * k + 10.0 * (F.col("doc_id") % 90)).alias("x1"), F.lit(900.0).alias("y1")))
+    rows = src.pages(spark, sf).withColumns({"images": F.slice(i, F.lit(1), (F.col("doc_id") % 3).cast("int")), "width": F.lit(612.0), "height": F.lit(792.0), "calculation": F.lit(False), "primary": F.lit(False)})
+    return visual.image_cover(rows).select("case_id", *long("page_number", "n_images"), F.round("coverage", 6).alias("coverage"), visual.is_visual(DEFAULT).alias("visual"))
+
+
+@query("WITH t AS (SELECT l_suppkey AS case_id, l_orderkey, l_linenumber, l_partkey, l_extendedprice AS amount FROM lineitem), p AS (SELECT case_id, amount + CASE l_orderkey % 3 WHEN 0 THEN 0.005::DOUBLE WHEN 1 THEN -0.004::DOUBLE ELSE 0.02::DOUBLE END AS other FROM t) SELECT case_id, l_orderkey, l_linenumber, l_partkey, amount FROM t WHERE EXISTS (SELECT 1 FROM p WHERE p.case_id = t.case_id AND abs(t.amount - p.other) < 0.006::DOUBLE)")
+def model_amounts_within(spark, sf):
+    truth = src.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("case_id"), "l_orderkey", "l_linenumber", "l_partkey", F.col("l_extendedprice").alias("amount"))
+    k = F.col("l_orderkey") % 3
+    said = truth.select("case_id", (F.col("amount") + F.when(k == 0, 0.005).when(k == 1, -0.004).otherwise(0.02)).alias("amount"))
+    return evaluate.within(truth, said, ["case_id"])
+
+
 # Export
 
 
