@@ -12,8 +12,6 @@ the first in alphabetical order.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,7 +24,6 @@ ORDERS, BUCKETS = 3, 1 << 15
 PER_LANGUAGE = 4_000
 #: Characters that are scored at a time.
 BLOCK = 1 << 19
-LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 _letters = None
 
@@ -35,6 +32,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(True))
 
 
+def has_letter(text: str) -> bool:
+    """Numbers beside the decimal digits (fractions, superscripts) are no letters."""
+    return any(map(str.isalpha, text))
+
+
 def letter_codes(text: str) -> np.ndarray:
     """Code points of the lower-cased text, 32 for all that is no letter."""
     global _letters
@@ -125,7 +127,7 @@ def score(some: list[str], log: np.ndarray) -> np.ndarray:
 
 def predicted(some: list[str], langs: list[str], log: np.ndarray) -> tuple[list[str], list[float]]:
     """Language and posterior probability of each text."""
-    known = [bool(langs) and LETTER.search(t) is not None for t in some]
+    known = [bool(langs) and has_letter(t) for t in some]
     if not any(known):
         return [UNKNOWN] * len(some), [0.0] * len(some)
     at = score(some, log)

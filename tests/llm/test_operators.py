@@ -70,6 +70,13 @@ def test_language_id_odd_texts(spark, docs):
     assert {r["lang_pred"] for r in langid.identify(docs, langid.train(nothing(spark))).collect()} == {"und"}
 
 
+def test_language_id_numbers_are_no_letters():
+    assert not any(map(langid.has_letter, ("", "½ ² ٣ Ⅷ 7", "_-!", " \n")))
+    assert all(map(langid.has_letter, ("7é", "語", "½a")))
+    log = np.zeros((langid.ORDERS * langid.BUCKETS + 1, 2))
+    assert langid.predicted(["½²", "x"], ["de", "en"], log) == (["und", "de"], [0.0, 0.5])
+
+
 def test_language_id_blocks_do_not_matter(monkeypatch):
     log = np.random.default_rng(0).normal(size=(langid.ORDERS * langid.BUCKETS + 1, 2))
     log[0] = 0
