@@ -12,7 +12,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .grid import period, weekday_number
+from .grid import PERIOD, period, weekday_number
 
 PAGE = ["case_id", "page_number"]
 # Texts that end a table, mark a day without work, and mark a lone time; two times in one word.
@@ -51,7 +51,7 @@ def table_rows(lines: DataFrame) -> DataFrame:
     """Lines above the table's end that start with a piece of a date and a weekday, numbered from 0, with the page's printed period."""
     page, order = Window.partitionBy(*PAGE), Window.partitionBy(*PAGE).orderBy("y", "first")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "first", "text")).over(page)), lambda x: x["text"]), "\n")
-    rows = lines.withColumn("period", period(text)).withColumn("ended", F.max(F.col("text").rlike(TABLE_END)).over(order)).where("NOT ended AND period IS NOT NULL")
+    rows = lines.withColumn("period", T.bound(F.regexp_extract(text, PERIOD, 0), period)).withColumn("ended", F.max(F.col("text").rlike(TABLE_END)).over(order)).where("NOT ended AND period IS NOT NULL")
 
     def day_at(k: int) -> Column:
         dated = F.exists(F.slice("words", 1, k), lambda w: F.contains(w["text"], F.lit("/")))
