@@ -57,8 +57,7 @@ class Shard:
         if len(alive) > 4 * k:  # a first threshold: exact scores of those that lead after the strongest terms
             lead = order[:4]
             rough = query[lead] @ self.terms[lead]
-            rough[self.ids == own] = np.iinfo(np.int64).min
-            some = np.argpartition(-rough, 4 * k)[: 4 * k]
+            some = alive[np.argpartition(-rough[alive], 4 * k)[: 4 * k]]
             threshold = np.sort(query @ self.terms[:, some])[-k]
         else:
             threshold = np.iinfo(np.int64).min

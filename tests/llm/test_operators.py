@@ -217,6 +217,20 @@ def test_top_k_odd_vectors(spark, monkeypatch, shard, block):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("copies", [0, 3, 4, 5, 6])
+def test_top_k_of_near_copies(spark, tmp_path, copies):
+    r = np.random.default_rng(copies)
+    vectors = r.normal(size=(400, 16))
+    for q in range(0, 400, 50):
+        for c in range(1, copies + 1):
+            vectors[q + c] = vectors[q] * (1 - 0.01 * c) + r.normal(size=16) / 200
+    df = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    df.write.parquet(f"{tmp_path}/embeddings")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings/*.parquet'")
+    same(topk.top_k(df), con.sql(queries.OP3_SQL).fetchall())
+
+
 # 4
 
 
