@@ -23,7 +23,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from .common import by_slice, texts, written
 from .components import components
@@ -32,15 +31,22 @@ SHINGLE, DISTANCE, SEED = 3, 2, 42
 SEGMENTS, PARTS, CELL = 32, 5, 8_192
 
 
-def fingerprint(ws: list[bytes], size: int = SHINGLE) -> int:
+def shingle_hashes(ws: list[bytes], size: int = SHINGLE) -> np.ndarray:
     if not ws:
-        return 0
+        return np.zeros(0, np.uint64)
     hashed, n = xxhash.xxh64_intdigest, max(1, len(ws) - size + 1)
     joined = b" ".join(ws)
     ends = np.cumsum([len(w) + 1 for w in ws]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
     stops = (ends[size - 1 :] if len(ws) >= size else ends[-1:]).tolist()
-    h = np.fromiter((hashed(joined[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, n)
+    return np.fromiter((hashed(joined[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, n)
+
+
+def fingerprint(ws: list[bytes], size: int = SHINGLE) -> int:
+    if not ws:
+        return 0
+    h = shingle_hashes(ws, size)
+    n = len(h)
     counts = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 14):
         counts += np.unpackbits(h[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -130,14 +136,3 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, distance: int = DISTAN
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = placed.join(least, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """Of each group of near-duplicates the row with the smallest doc_id, with all its columns; of rows with equal doc_id one. A null doc_id stands behind all others."""
-    numbered = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(1 << 62) + F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1)))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), numbered.alias("doc_id"), "text")
-    found = near_duplicates(rows, **options)
-    best = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("row.text"))
-    kept = rows.select("row", "doc_id").join(best, "doc_id", "left_semi")
-    return kept.withColumn("nth", F.row_number().over(first)).where("nth = 1").select("row.*")

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import defaultdict
 
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quire.llm import langid, quality, queries
+from quire.llm import langid, quality, queries, similar
 from quire.llm.common import written
 
 from .fixtures import documents, nothing
@@ -47,3 +48,57 @@ def test_stages_return_the_columns_of_documents(spark, sf, make):
         assert got.count() <= docs.count()
         docs = got
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() >= docs.count()
+
+
+def shingles(text):
+    ws = split(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {" ".join(ws[k : k + 5]) for k in range(max(1, len(ws) - 4))} if ws else set()
+
+
+def jaccard_groups(some, least=0.8):
+    """The group of each text by brute force."""
+    sets = [shingles(t) for t in some]
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            b = sets[j]
+            if len(a & b) >= least * len(a | b):
+                root[find(j)] = find(i)
+    return [find(k) for k in range(len(sets))]
+
+
+def copies(r, word, n, edits):
+    """A text of n words and near copies of it, the k-th with ``edits[k]`` words changed."""
+    own = [word(r) for _ in range(n)]
+    yield " ".join(own)
+    for k in edits:
+        new = list(own)
+        for at in r.sample(range(n), k):
+            new[at] = word(r)
+        yield " ".join(new)
+
+
+@pytest.mark.parametrize("pairs", [32, 2])
+def test_near_dedup_finds_every_pair_of_similar_texts(spark, pairs):
+    r = random.Random(8)
+    word = lambda r: "w%d" % r.randrange(5000)
+    some = [t for n in (60, 150, 400) for _ in range(6) for t in copies(r, word, n, [1, n // 60, n // 50, n // 45, n // 40, n // 10])]
+    some += ["", None, " ", "one two", "One Two", "one two three"]
+    groups = jaccard_groups(some)
+    assert len(some) > len(set(groups)) > 24
+    got = similar.keep_one(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string"), pairs=pairs).collect()
+    assert sorted(x["doc_id"] for x in got) == sorted({min(k for k, h in enumerate(groups) if h == g) for g in groups})
+
+
+def test_near_dedup_stage_of_given_documents(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    some = sorted((x["doc_id"], x["text"]) for x in docs.collect())
+    groups = jaccard_groups([t for _, t in some])
+    first = {g: min(d for (d, _), h in zip(some, groups) if h == g) for g in set(groups)}
+    assert sorted(x["doc_id"] for x in corpus_pipeline.near_dedup(spark, docs, sf).collect()) == sorted(first.values())
