@@ -27,12 +27,15 @@ class Config:
     least_patterns: int = 4
     candidates: int = 25
     all_pages_up_to: int = 25
+    all_visual_up_to: int = 15
     table_checks: int = 10
     page_area: float = 612.0 * 792.0
     # Visual pages.
     ink_relative: float = 0.7
     most_visual_text: int = 200
     raster_coverage: float = 0.85
+    least_ink: float = 0.0005
+    most_ink: float = 0.5
     least_bands: int = 8
     least_neighbor_bands: int = 3
     # Time-card cells and confidences.

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.text import fold, folded
+from . import visual
 
 
 def _count(text: Column, words: tuple[str, ...]) -> Column:
@@ -26,7 +27,8 @@ def toc_hits(toc: DataFrame, config: Config) -> DataFrame:
 
 
 def signals(pages: DataFrame, toc: DataFrame, config: Config) -> DataFrame:
-    """A row for each page; its text is read here and goes no further."""
+    """A row for each page; its text is read here and goes no further. Pages with ``n_images`` and ``coverage`` can be visual."""
+    images = [c for c in ("n_images", "coverage") if c in pages.columns]
     words = [F.when(F.contains(F.col("folded"), F.lit(fold(w))), F.lit(w)) for w in (*config.strong, *config.weak)]
     hits = reduce(lambda a, b: a + b, [F.regexp_count("text", F.lit(p)) for p in config.patterns])
     rows = pages.withColumn("folded", folded(F.col("text"))).select(
@@ -34,11 +36,13 @@ def signals(pages: DataFrame, toc: DataFrame, config: Config) -> DataFrame:
         _count(F.col("folded"), config.strong).alias("strong"), _count(F.col("folded"), config.weak).alias("weak"),
         F.concat_ws("|", *words).alias("keywords"), hits.alias("patterns"), (_count(F.col("folded"), config.markers) > 0).alias("calculation"),
         F.contains("text", F.lit(config.table_mark)).alias("table_hint"), (F.length("text") / F.lit(config.page_area)).alias("density"),
+        visual.little_text(config).alias("little_text"), *images,
     )
     marked = rows.join(toc_hits(toc, config).withColumn("in_toc", F.lit(True)), ["case_id", "page_number"], "left").withColumn("in_toc", F.coalesce("in_toc", F.lit(False)))
     primary = ~F.col("calculation") & ((F.col("strong") > 0) | (F.col("patterns") >= config.least_patterns) | F.col("in_toc"))
     score = config.strong_score * F.col("strong") + config.weak_score * F.col("weak") + config.pattern_score * F.least("patterns", F.lit(config.most_patterns)) + config.toc_score * F.col("in_toc").cast("int") + 10.0 * F.col("density")
-    return marked.withColumn("primary", primary).withColumn("score", score)
+    rows = marked.withColumn("primary", primary).withColumn("score", score)
+    return rows.withColumn("visual", F.coalesce(visual.is_visual(config, F.col("little_text")), F.lit(False)) if len(images) == 2 else F.lit(False)).drop("little_text", *images)
 
 
 def with_neighbors(signals: DataFrame, config: Config) -> DataFrame:
@@ -46,14 +50,30 @@ def with_neighbors(signals: DataFrame, config: Config) -> DataFrame:
     w = Window.partitionBy("case_id").orderBy("page_number")
     anchor = F.col("primary") & (F.col("keywords") != "")
     beside = F.coalesce(F.lag("anchor").over(w), F.lit(False)) | F.coalesce(F.lead("anchor").over(w), F.lit(False))
-    rows = signals.withColumn("anchor", anchor).withColumn("neighbor", beside & ~F.col("calculation") & ~F.col("primary") & (F.col("patterns") > 0) & (F.col("keywords") == ""))
+    rows = signals.withColumn("anchor", anchor).withColumn("neighbor", beside & ~F.col("calculation") & ~F.col("primary") & (F.col("patterns") > 0) & (F.col("keywords") == "") & ~F.col("visual"))
     return rows.withColumn("score", F.when(F.col("neighbor"), config.neighbor_score).otherwise(F.col("score")))
 
 
+def with_visual(rows: DataFrame, profile: DataFrame, config: Config) -> DataFrame:
+    """Adds ``tier`` from the visual pages' ``profile`` (case_id, page_number, width, ink, bands, longest): 0 text, 1 accepted visual pages, 2 visual pages with some bands beside
+    one of these or beside a text page with a keyword (one step, no chain), 3 the other visual pages of short cases; null for other pages."""
+    w, case = Window.partitionBy("case_id").orderBy("page_number"), Window.partitionBy("case_id")
+    near = lambda c: (F.coalesce(F.lag(c).over(w), F.lit(False)) | F.coalesce(F.lead(c).over(w), F.lit(False)))
+    rows = rows.join(profile.select("case_id", "page_number", "width", "ink", "bands", "longest"), ["case_id", "page_number"], "left")
+    inked = F.coalesce(F.col("visual") & (F.col("ink") / F.col("width")).between(config.least_ink, config.most_ink), F.lit(False))
+    rows = rows.withColumn("inked", inked).withColumn("accepted", F.col("inked") & (F.col("bands") >= config.least_bands)).withColumn("beside", near(F.col("accepted") | F.col("anchor")))
+    short = F.max("page_number").over(case) <= config.all_visual_up_to
+    tier = F.when(F.col("primary") | F.col("neighbor"), 0).when(F.col("accepted"), 1).when(F.col("inked") & F.col("beside") & (F.col("bands") >= config.least_neighbor_bands), 2).when(F.col("visual") & short, 3)
+    score = F.when(F.col("tier") == 1, 2.0 * F.least("bands", F.lit(40)) + F.least("longest", F.lit(40))).when(F.col("tier") == 2, config.neighbor_score).otherwise(F.col("score"))
+    return rows.withColumn("tier", tier).withColumn("score", score).drop("inked", "accepted", "beside", "width", "ink", "bands", "longest")
+
+
 def ranked(rows: DataFrame, config: Config, tables: bool = False) -> DataFrame:
-    """Candidates and overflow by rank; with ``tables``, the best primary pages with a table move up."""
-    found = rows.where("primary OR neighbor")
-    order = Window.partitionBy("case_id").orderBy(F.desc("score"), "page_number")
+    """Candidates and overflow by rank; with ``tables``, the best primary pages with a table move up. Visual pages (``tier`` 1 to 3) stand behind all text pages, so they fill the free slots only."""
+    if "tier" not in rows.columns:
+        rows = rows.withColumn("tier", F.when(F.col("primary") | F.col("neighbor"), 0))
+    found = rows.where("tier IS NOT NULL")
+    order = Window.partitionBy("case_id").orderBy("tier", F.when(F.col("tier") < 3, F.col("score")).desc(), "page_number")
     if tables:
         found = found.withColumn("first_rank", F.row_number().over(Window.partitionBy("case_id", "primary").orderBy(F.desc("score"), "page_number")))
         up = F.col("primary") & (F.col("first_rank") <= config.table_checks) & F.col("table_hint")
@@ -61,8 +81,10 @@ def ranked(rows: DataFrame, config: Config, tables: bool = False) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).withColumn("overflow", F.col("rank") > config.candidates)
 
 
-def triage(pages: DataFrame, toc: DataFrame, config: Config, tables: bool = False) -> DataFrame:
-    return ranked(with_neighbors(signals(pages, toc, config), config), config, tables)
+def triage(pages: DataFrame, toc: DataFrame, config: Config, tables: bool = False, profile: DataFrame | None = None) -> DataFrame:
+    """Ranked candidates and overflow of ``pages``; with the ink ``profile`` of pages that have ``n_images`` and ``coverage``, visual pages too."""
+    rows = with_neighbors(signals(pages, toc, config), config)
+    return ranked(rows if profile is None else with_visual(rows, profile, config), config, tables)
 
 
 def all_pages(pages: DataFrame, config: Config) -> DataFrame:

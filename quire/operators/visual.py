@@ -25,9 +25,13 @@ def image_cover(page: DataFrame) -> DataFrame:
     return page.withColumn("n_images", F.size("images")).withColumn("coverage", F.least(area / F.greatest(F.col("width") * F.col("height"), F.lit(1.0)), F.lit(1.0)))
 
 
-def is_visual(config: Config) -> Column:
-    """A page without calculation or primary signals that holds little text beside an image, or is covered by images."""
-    few = F.length(F.regexp_replace("text", r"(?U)\s", "")) <= config.most_visual_text
+def little_text(config: Config) -> Column:
+    return F.length(F.regexp_replace("text", r"(?U)\s", "")) <= config.most_visual_text
+
+
+def is_visual(config: Config, few: Column | None = None) -> Column:
+    """A page without calculation or primary signals that holds little text (``few``) beside an image, or is covered by images."""
+    few = little_text(config) if few is None else few
     return ~F.col("calculation") & ~F.col("primary") & ((few & (F.col("n_images") >= 1)) | (F.col("coverage") >= config.raster_coverage))
 
 

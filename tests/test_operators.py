@@ -93,6 +93,29 @@ def test_triage(spark):
     assert got.where("case_id = 2 AND NOT overflow").count() == 25 and got.where("case_id = 2 AND overflow").count() == 2
 
 
+def test_triage_of_scanned_pages(spark):
+    text, scan = lambda c, p, t: (c, p, t, 0, 0.0), lambda c, p: (c, p, "", 1, 1.0)
+    # 1: scans alone; 2: text with scans beside it, over 15 pages; 3: over 25 text pages; 4: 24 text pages and two scans; 5: text neighbours are no scans; 6: short, some scans without bands
+    pages = [scan(1, p) for p in range(1, 31)]
+    pages += [scan(2, p) if p in (1, 3, 4, 9) else text(2, p, "holerite" if p == 2 else "nada") for p in range(1, 17)]
+    pages += [text(3, p, "holerite") for p in range(1, 27)] + [scan(3, 27)]
+    pages += [text(4, p, "holerite") for p in range(1, 25)] + [scan(4, 25), scan(4, 26)]
+    pages += [text(5, 1, "holerite"), (5, 2, "08:00", 1, 0.1), text(5, 3, "nada")]
+    pages += [scan(6, p) for p in range(1, 5)]
+    bands = {**{(1, p): p for p in range(1, 31)}, (2, 1): 2, (2, 3): 5, (2, 4): 5, (2, 9): 9, (3, 27): 20, (4, 25): 10, (4, 26): 12, (5, 2): 4, (6, 1): 0, (6, 2): 9, (6, 3): 3, (6, 4): 30}
+    pages = spark.createDataFrame(pages, "case_id int, page_number int, text string, n_images int, coverage double")
+    ink = spark.createDataFrame([(c, p, 100, 90 if (c, p) == (6, 4) else 20, b, 1) for (c, p), b in bands.items()], "case_id int, page_number int, width int, ink int, bands int, longest int")
+    toc = spark.createDataFrame([], "case_id int, page_number int, title string")
+    got = triage.triage(pages, toc, Config(), profile=ink).orderBy("case_id", "rank").collect()
+    sent = lambda c, over: [r["page_number"] for r in got if r["case_id"] == c and r["overflow"] == over]
+    assert (sent(1, False), sent(1, True)) == ([*range(30, 7, -1), 7], []) and len(sent(1, False)) == 24
+    assert sent(2, False) == [2, 9, 3]
+    assert sent(3, False) == list(range(1, 26)) and sent(3, True) == [26, 27]
+    assert sent(4, False) == [*range(1, 25), 26] and sent(4, True) == [25]
+    assert sent(5, False) == [1, 2] and [r["score"] for r in got if r["case_id"] == 5][1] == Config().neighbor_score
+    assert sent(6, False) == [2, 3, 1, 4]
+
+
 def test_schedule_and_votes(spark):
     monday, tuesday = dt.date(2025, 7, 21), dt.date(2025, 7, 22)
     rows = [(1, monday + dt.timedelta(7 * k), s, 10 * k + s, t, t, t, None) for k in range(3) for s, t in ((0, "10:00"), (1, "17:00"))]
