@@ -6,7 +6,7 @@ log-probability matrix (its size does not depend on the corpus) is broadcast, an
 in numpy as a sparse product: the n-grams of many texts are looked up at once and summed by text.
 
 Null texts and texts without a letter are ``und`` with score 0, as is everything when nothing was
-learned. Rows with a null ``doc_id`` count as held out. Languages are learned as they come, ties go to
+learned. Rows with a null ``doc_id`` count as held out; repeated rows are judged once each, long texts whole. Languages are learned as they come, ties go to
 the first in alphabetical order.
 """
 
@@ -22,6 +22,8 @@ from .common import by_slice, texts
 ORDERS, BUCKETS = 3, 1 << 15
 #: Bound of the training sample: of each language about so many documents, chosen by a hash of doc_id.
 PER_LANGUAGE = 4_000
+#: Bound of the model: so many languages, those of the most documents (equal counts: in alphabetical order), are learned.
+LANGUAGES = 256
 #: Characters that are scored at a time.
 BLOCK = 1 << 19
 UNKNOWN = "und"
@@ -60,32 +62,45 @@ def features(codes: np.ndarray) -> list[np.ndarray]:
 
 
 def joined(some: list[str]):
-    """The texts' codes in blocks, each text between spaces and borders: (first text, offsets of its texts, codes)."""
-    border, space = np.zeros(1, np.uint32), np.full(1, 32, np.uint32)
-    held, at, first, size = [], [], 0, 0
+    """The texts' codes in blocks, each text between spaces and a border: (text and offset of its parts, codes).
+
+    A part of a longer text brings the ``ORDERS - 1`` codes that follow it, so that each n-gram starts in one part alone;
+    ``lap`` says how many codes at a part's end only end n-grams."""
+    border, space, end = np.zeros(1, np.uint32), np.full(1, 32, np.uint32), np.zeros(ORDERS, np.uint32)
+    held, at, size = [], [], 0
     for k, text in enumerate(some):
-        for cut in range(0, max(len(text), 1), BLOCK):
-            part = [space, letter_codes(text[max(0, cut - ORDERS + 1) : cut + BLOCK]), space, border] if len(text) > BLOCK else [space, letter_codes(text), space, border]
-            if not at:
-                first = k
-            at.append((k, size))
-            held += part
-            size += sum(map(len, part))
+        codes = np.concatenate([space, letter_codes(text), space])
+        for cut in range(0, len(codes), BLOCK):
+            part = codes[cut : cut + BLOCK + ORDERS - 1]
+            at.append((k, size, max(0, len(part) - BLOCK)))
+            held += [part, border]
+            size += len(part) + 1
             if size >= BLOCK:
-                yield at, np.concatenate(held)
+                yield at, np.concatenate([*held, end])
                 held, at, size = [], [], 0
     if at:
-        yield at, np.concatenate(held)
+        yield at, np.concatenate([*held, end])
+
+
+def bucket_rows(at: list[tuple], codes: np.ndarray) -> list[np.ndarray]:
+    """``features`` of joined texts, those that start in a part's lap left out (0)."""
+    found = features(codes)
+    for _, start, lap in at:
+        if lap:
+            for f in found:
+                f[start + BLOCK : start + BLOCK + lap] = 0
+    return found
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Languages and their log probabilities (a row per bucket; row 0 is zero) from rows of (doc_id, text, lang).
 
-    The driver gets a count per language and ``ORDERS * BUCKETS`` sums for each, however many documents there are."""
+    The driver gets a count for each of up to ``LANGUAGES`` languages and ``ORDERS * BUCKETS`` sums for each, however many documents there are."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not sizes:
         return [], np.zeros((ORDERS * BUCKETS + 1, 0), np.float32)
+    rows = rows.where(F.col("lang").isin(list(sizes)))
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_language / n))])
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
     sample = rows.where(chance < share[F.col("lang")]).select("lang", "text")
@@ -96,8 +111,8 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str],
             some = texts(batch)
             for lang in set(langs := batch.column("lang").to_pylist()):
                 own = sums.setdefault(lang, np.zeros(ORDERS * BUCKETS + 1, np.int64))
-                for _, codes in joined([t for t, x in zip(some, langs) if x == lang]):
-                    for f in features(codes):
+                for at, codes in joined([t for t, x in zip(some, langs) if x == lang]):
+                    for f in bucket_rows(at, codes):
                         own += np.bincount(f, minlength=len(own))
         for lang, own in sums.items():
             some = np.flatnonzero(own)
@@ -118,8 +133,8 @@ def score(some: list[str], log: np.ndarray) -> np.ndarray:
     """Log likelihood of each text under each language."""
     out = np.zeros((len(some), log.shape[1]))
     for at, codes in joined(some):
-        which, starts = zip(*at)
-        for f in features(codes):
+        which, starts, _ = zip(*at)
+        for f in bucket_rows(at, codes):
             inside = np.minimum(starts, len(f) - 1)
             np.add.at(out, list(which), np.add.reduceat(log[f], inside, axis=0, dtype=np.float64))
     return out
