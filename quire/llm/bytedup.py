@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_slice, texts, written
+from .common import by_slice, salted_join, texts, written
 from .windows import Rolling, covered, distinct_runs, find_runs, keyed, live_runs, mix, spans, with_texts
 
 LENGTH, BASE = 200, 32
@@ -175,9 +175,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, base: int = BASE, larg
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     merged = parts.where("part is not null").select("anchor", "run", "part").repartition(spread, "anchor").sortWithinPartitions("anchor", "run").mapInArrow(settle, "anchor bigint, run bigint, first bigint, end bigint")
     hot = parts.where("part is null").select("anchor", "run", F.posexplode("hashes").alias("first", "window"))
-    twice = hot.groupBy("anchor", "window").agg(F.min("run").alias("low"), F.max("run").alias("high")).where("low < high").select("anchor", "window")
-    counted = hot.join(twice, ["anchor", "window"]).select("anchor", "run", F.col("first").cast("bigint").alias("first"), (F.col("first") + 1).cast("bigint").alias("end"))
-    return spans(live, runs.where("n > 1"), merged.union(counted))
+    twice = written(hot.groupBy("anchor", "window").agg(F.count("*").alias("n"), F.min("run").alias("low"), F.max("run").alias("high")).where("low < high").drop("low", "high"), "twice")
+    counted = salted_join(hot, twice, ["anchor", "window"], ["run"]).select("anchor", "run", F.col("first").cast("bigint").alias("first"), (F.col("first") + 1).cast("bigint").alias("end"))
+    return spans(live, runs, merged.union(counted))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, texts_too: bool = False, **options) -> DataFrame:

@@ -8,7 +8,8 @@ A run whose anchor's hash occurs once in the corpus holds no repeated window. If
 hashes of anchor and content, 128 bits together) occurs twice, all its windows are repeated. Different
 runs of one anchor are left to the operator, one representative for each distinct run; however many
 documents share a passage, equal runs are one. Sums by anchor and run are pre-aggregated in the tasks
-that find them, so a run shared by a third of all documents doesn't gather anywhere.
+that find them, and joins deal the rows of a hot anchor or run over many tasks, so a run shared by a third
+of all documents doesn't gather anywhere.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_slice, texts, written
+from .common import by_slice, salted_join, texts, written
 
 #: Tokens that are hashed at a time, places that an anchor's key can tell apart.
 CHUNK, PLACES = 1 << 20, 22
@@ -118,6 +119,8 @@ def keyed(docs: DataFrame, carried: list[str] | None = None) -> DataFrame:
 
 def place(tag, start, count):
     """One number for a text's tag (24 bits), a run's first window (30 bits) and its number of windows (9 bits)."""
+    if len(start) and (int(start.max()) >> 30 or int(count.max()) >> 9):
+        raise ValueError("a text of 2**30 tokens or a run of 512 windows has no place")
     return tag | (start << 24) | (count << 54)
 
 
@@ -138,12 +141,12 @@ def find_runs(docs: DataFrame, tokens_of, length: int, base: int) -> DataFrame:
 
 def live_runs(runs: DataFrame) -> DataFrame:
     """Of the runs, those whose anchor occurs twice, with ``several`` where it has different runs; written."""
-    anchors = runs.groupBy("anchor").agg(F.count("*").alias("n"), F.min("run").alias("low"), F.max("run").alias("high")).where("n > 1")
-    return written(runs.join(anchors.select("anchor", (F.col("low") != F.col("high")).alias("several")), "anchor"), "runs")
+    anchors = written(runs.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("run") != F.max("run")).alias("several")).where("n > 1"), "anchors")
+    return written(salted_join(runs, anchors, ["anchor"], ["text_key", "place"]), "runs")
 
 
 def distinct_runs(live: DataFrame) -> DataFrame:
-    """A row for each distinct run, with its number and one place of it."""
+    """A row for each distinct run, with its number and one place of it; a text's copies count, but have one place."""
     return live.groupBy("anchor", "run").agg(F.count("*").alias("n"), F.first("several").alias("several"), F.min(F.struct("text_key", "place")).alias("at"))
 
 
@@ -167,11 +170,15 @@ def with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return one.join(lists, ["text_key", "text_tag"]).select("text", "wants")
 
 
-def spans(live: DataFrame, whole: DataFrame, parts: DataFrame) -> DataFrame:
-    """text_key, text_tag, spans (first, end of repeated windows' starts), from whole runs (anchor, run) and parts of runs (anchor, run, first, end)."""
-    at = live.select("anchor", "run", "text_key", "place").distinct()
-    rows = at.join(whole.select("anchor", "run"), ["anchor", "run"]).select("text_key", "place", start_of(F.col("place")).alias("first"), (start_of(F.col("place")) + count_of(F.col("place"))).alias("end"))
-    more = at.join(parts, ["anchor", "run"]).select("text_key", "place", (start_of(F.col("place")) + F.col("first")).alias("first"), (start_of(F.col("place")) + F.col("end")).alias("end"))
+def spans(live: DataFrame, runs: DataFrame, parts: DataFrame) -> DataFrame:
+    """text_key, text_tag, spans (first, end of repeated windows' starts).
+
+    Of runs that occur twice (``n`` of ``runs``, written) every window is repeated, wherever they are; of those that occur once the ``parts`` (anchor, run, first, end)."""
+    twice = runs.where("n > 1").select("anchor", "run", "n")
+    begin = start_of(F.col("place"))
+    rows = salted_join(live, twice, ["anchor", "run"], ["text_key", "place"]).select("text_key", "place", begin.alias("first"), (begin + count_of(F.col("place"))).alias("end"))
+    once = runs.where("n = 1").select("anchor", "run", "at.text_key", "at.place").join(parts, ["anchor", "run"])
+    more = once.select("text_key", "place", (begin + F.col("first")).alias("first"), (begin + F.col("end")).alias("end"))
     return rows.union(more).groupBy("text_key", tag_of(F.col("place")).alias("text_tag")).agg(F.collect_set(F.struct("first", "end")).alias("spans"))
 
 

@@ -19,19 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_slice, texts, words, written
-from .windows import anchored_runs, covered, distinct_runs, find_runs, keyed, live_runs, mix, spans, token_rows, with_texts
+from .common import by_slice, salted_join, texts, words, written
+from .windows import CHUNK, Rolling, anchored_runs, covered, distinct_runs, find_runs, keyed, live_runs, mix, spans, token_rows, with_texts
 
 LENGTH, BASE = 35, 5
 _table = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 _space = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 
 
-def word_tokens(text: str) -> np.ndarray:
+def word_tokens(text: str | bytes) -> np.ndarray:
     """A hash of each word."""
-    from .windows import CHUNK, Rolling
-
-    data, out, at = text.encode(), [], 0
+    data, out, at = text if isinstance(text, bytes) else text.encode(), [], 0
     while at < len(data):
         end = len(data)
         if end - at > CHUNK:  # cut at white space
@@ -83,16 +81,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, base: int = BASE) -> D
     schema = "anchor bigint, run bigint, window bigint, " + ", ".join(f"part_{n} bigint" for n in steps)
     left = written(with_texts(docs, wanted).mapInArrow(by_slice(extend), schema), "level")
     for n in steps:
-        twice = left.groupBy("anchor", f"part_{n}").agg(F.min("run").alias("low"), F.max("run").alias("high")).where("low < high")
-        left = left.join(twice, ["anchor", f"part_{n}"], "left_semi")
+        twice = written(left.groupBy("anchor", f"part_{n}").agg(F.count("*").alias("n"), F.min("run").alias("low"), F.max("run").alias("high")).where("low < high").drop("low", "high"), "twice")
+        left = salted_join(left, twice, ["anchor", f"part_{n}"], ["run", "window"], "left_semi")
         if n != steps[-1]:
             left = written(left, "level")
     parts = left.select("anchor", "run", F.col("window").alias("first"), (F.col("window") + 1).alias("end"))
-    return spans(live, runs.where("n > 1"), parts)
+    return spans(live, runs, parts)
 
 
 def _cut(docs: DataFrame, carried: list[str], row, fields: dict, length: int, **options) -> DataFrame:
-    """``carried`` columns of every row, and ``row(words, kept words, spans)``."""
+    """``carried`` columns of every row, and ``row(text, words, kept words, spans)``."""
     found = repeated_spans(docs, length, **options)
     rows = keyed(docs, carried).join(found, ["text_key", "text_tag"], "left").select("row", "text", "spans")
 
@@ -101,7 +99,7 @@ def _cut(docs: DataFrame, carried: list[str], row, fields: dict, length: int, **
         for text, own in zip(texts(batch), batch.column("spans").to_pylist()):
             ws = words(text)
             kept = [w for w, gone in zip(ws, covered(len(ws), own, length).tolist()) if not gone] if own else ws
-            out.append(row(ws, kept, own))
+            out.append(row(text, ws, kept, own))
         return pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(c, t) for c, t in zip(zip(*out), fields.values()))], ["row", *fields])
 
     schema = ", ".join(f"{n} {'string' if t == pa.string() else 'bigint'}" for n, t in fields.items())
@@ -111,11 +109,12 @@ def _cut(docs: DataFrame, carried: list[str], row, fields: dict, length: int, **
 def without_repeats(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 per row of ``docs``."""
     fields = {"n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string()}
-    return _cut(docs, ["doc_id"], lambda ws, kept, _: (len(ws), len(ws) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()), fields, length, **options).select("row.doc_id", *fields)
+    return _cut(docs, ["doc_id"], lambda _, ws, kept, own: (len(ws), len(ws) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()), fields, length, **options).select("row.doc_id", *fields)
 
 
 def cut_texts(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
     """``docs`` with all its columns, each text that holds repeated windows replaced by its other words, joined by one space."""
     others = [c for c in docs.columns if c != "text"]
-    rows = _cut(docs, docs.columns, lambda _, kept, own: (b" ".join(kept).decode() if own else None,), {"kept": pa.string()}, length, **options)
-    return rows.select(*(F.coalesce("kept", "row.text").alias(c) if c not in others else F.col(f"row.`{c}`") for c in docs.columns))
+    marked = docs.withColumn("no_text_", F.col("text").isNull())
+    rows = _cut(marked, [*others, "no_text_"], lambda text, ws, kept, own: (b" ".join(kept).decode() if own else text,), {"kept": pa.string()}, length, **options)
+    return rows.select(*(F.when(~F.col("row.no_text_"), F.col("kept")).alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
