@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import HOT_ROWS, salted_join, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,8 +13,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     A round links every node's neighbours and itself to the smallest of them (the star contractions of
     Kiveris et al. 2014, large and small); each is written, so the lineage is cut. Sums by node are
-    pre-aggregated and no node's neighbours are gathered as a list. Rounds grow with the logarithm of
-    the longest path; only a count and a checksum of the edges go to the driver."""
+    pre-aggregated, no node's neighbours are gathered as a list, and those of a hot node are dealt over many tasks. Rounds grow with the logarithm of
+    the longest path; only a count and a checksum of the edges go to the driver. An empty table has no nodes."""
 
     def both(e: DataFrame) -> DataFrame:
         return e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -23,10 +23,10 @@ def components(edges: DataFrame) -> DataFrame:
         r = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         return r["n"], r["s"]
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, few: bool) -> DataFrame:
         rows = both(e) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = rows.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        linked = rows.join(least, "a")
+        least = rows.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        linked = rows.join(least, "a") if few else salted_join(rows, least := written(least, "least"), ["a"], ["b"])
         if large:
             out = linked.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
@@ -37,6 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
     was = None
     while (is_now := mark(now)) != was:
         was = is_now
-        now = written(star(star(now, True), False), "edges")
+        few = 2 * is_now[0] <= HOT_ROWS
+        now = written(star(star(now, True, few), False, few), "edges")
     stars = now.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root"))
     return stars.union(stars.select(F.col("root").alias("node"), "root").distinct())

@@ -6,15 +6,17 @@ distance of two such vectors never exceeds the number of differing bits. The gri
 vector is dealt into ``PARTS`` parts, and of two vectors at a distance of d at most, ``PARTS - d`` parts
 are equal, so both meet in a cell named by these parts. In a cell, pairs are first held to the
 Manhattan bound, then to the exact count of differing bits, block by block; only the links of a
-spanning forest leave it. A cell of more than ``CELL`` different fingerprints is not compared pair by
-pair: its fingerprints meet, by a Spark aggregation, at the values one bit away (two that differ in two
-bits have such a value in common), which is exact and grows linearly.
+spanning forest leave it. A cell of more than ``CELL`` different fingerprints is dealt again by the same rule, over
+the segments that it leaves free. Fingerprints with equal counts in all but a few segments can still be
+many: those of a cell that stays too large meet, by a Spark aggregation, at the values one bit away (two that
+differ in two bits have such a value in common), which is exact and grows linearly.
 
 Null and empty texts have fingerprint zero and link to each other as any others do; repeated rows stay.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -24,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_slice, texts, written
+from .common import by_slice, salted_join, texts, written
 from .components import components
 
 SHINGLE, DISTANCE, SEED = 3, 2, 42
@@ -70,22 +72,31 @@ def segment_counts(fp: Column) -> Column:
     return F.shiftleft(low.bitwiseAND(high), 1).bitwiseOR(low.bitwiseXOR(high))
 
 
+def part_masks(segments: list[int], distance: int) -> list[int]:
+    """The segments dealt into ``PARTS`` parts: a signed mask for each choice of parts that ``distance`` differences leave equal."""
+    parts = [sum(3 << 2 * int(s) for s in own) for own in np.array_split(np.array(segments), PARTS)]
+    return [m - (1 << 64) if m >> 63 else m for m in (sum(c) for c in combinations(parts, PARTS - distance))]
+
+
 def cells(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """A row for each fingerprint and each choice of parts that may be equal."""
-    edges = np.linspace(0, SEGMENTS, PARTS + 1).astype(int)
-    masks = [sum(3 << 2 * s for s in range(a, b)) for a, b in zip(edges[:-1], edges[1:])]
-    chosen = [sum(c) for c in combinations(masks, PARTS - distance)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in chosen]
-    keys = F.array(*[F.struct(F.lit(k).alias("parts"), F.col("counts").bitwiseAND(F.lit(m)).alias("cell")) for k, m in enumerate(signed)])
+    """fp, parts (the mask), cell: a row for each fingerprint and each choice of parts that may be equal."""
+    keys = F.array(*[F.struct(F.lit(m).alias("parts"), F.col("counts").bitwiseAND(F.lit(m)).alias("cell")) for m in part_masks(list(range(SEGMENTS)), distance)])
     return fps.withColumn("counts", segment_counts(F.col("fp"))).select("fp", F.explode(keys).alias("k")).select("fp", "k.parts", "k.cell")
 
 
+def finer_cells(placed: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """Rows of ``cells`` dealt again over the segments that their masks leave free; ``parts`` and ``cell`` name both steps."""
+    free = lambda m: [s for s in range(SEGMENTS) if not m >> 2 * s & 3]
+    masks = F.create_map(*[F.lit(x) if isinstance(x, int) else F.array(*map(F.lit, x)) for m in part_masks(list(range(SEGMENTS)), distance) for x in (m, [m | f for f in part_masks(free(m), distance)])])
+    return placed.select("fp", "parts", F.explode(masks[F.col("parts")]).alias("mask")).select("fp", F.xxhash64("parts", "mask").alias("parts"), segment_counts(F.col("fp")).bitwiseAND(F.col("mask")).alias("cell"))
+
+
 def spanning_links(fp: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """Links of a spanning forest of the graph of pairs that differ in ``distance`` bits at most."""
     fp = np.sort(fp)
     bits = fp.view(np.uint64)
     low = np.uint64(0x5555555555555555)
-    counts = np.stack([((bits & low) + ((bits >> np.uint64(1)) & low)) >> np.uint64(2 * s) & np.uint64(3) for s in range(SEGMENTS)], 1).astype(np.int8) if len(fp) <= 2048 else None
+    counts = np.stack([((bits & low) + ((bits >> np.uint64(1)) & low)) >> np.uint64(2 * s) & np.uint64(3) for s in range(SEGMENTS)], 1).astype(np.int8)
     root = list(range(len(fp)))
     links = []
 
@@ -97,7 +108,7 @@ def spanning_links(fp: np.ndarray, distance: int) -> list[tuple[int, int]]:
 
     for i in range(len(fp) - 1):
         near = np.arange(i + 1, len(fp))
-        if counts is not None and len(near) > 16:
+        if len(near) > 16:
             near = near[np.abs(counts[i + 1 :] - counts[i]).sum(1, dtype=np.int16) <= distance]
         for j in near[np.bitwise_count(bits[near] ^ bits[i]) <= distance].tolist():
             a, b = find(i), find(j)
@@ -111,28 +122,36 @@ def links(fps: DataFrame, distance: int = DISTANCE, cell: int = CELL) -> DataFra
     """Edges (a, b) whose components are those of all pairs of ``fps`` that differ in ``distance`` (2 at most) bits."""
     if distance not in (0, 2):
         raise ValueError("cells of many fingerprints are joined exactly for 0 and 2 bits only")
-    placed = cells(fps, distance)
-    sizes = placed.groupBy("parts", "cell").agg(F.count("*").alias("n")).where("n > 1")
-    met = placed.join(sizes, ["parts", "cell"])
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(spanning_links(rows["fp"].to_numpy(np.int64), distance), columns=["a", "b"], dtype="int64")
 
-    small = met.where(F.col("n") <= cell).groupBy("parts", "cell").applyInPandas(compare, "a bigint, b bigint")
-    flips = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), k)))
-    value = F.array(F.col("fp")) if distance == 0 else F.concat(F.array("fp"), flips)
-    near = met.where(F.col("n") > cell).select("fp").distinct().select("fp", F.explode(value).alias("near"))
-    centre = near.groupBy("near").agg(F.min("fp").alias("b"), F.max("fp").alias("last")).where("b < last").drop("last")
-    large = near.join(centre, "near").select(F.col("fp").alias("a"), "b").where("a != b")
-    return small.union(large).distinct()
+    step = cells(fps, distance)
+    found, crowded = [], None
+    for finer in (False, True):
+        if finer:
+            step = finer_cells(crowded, distance)
+        sizes = written(step.groupBy("parts", "cell").agg(F.count("*").alias("n"), F.count("*").alias("size")).where("n > 1"), "sizes")
+        met = written(salted_join(step, sizes, ["parts", "cell"], ["fp"]), "cells")
+        found.append(met.where(F.col("size") <= cell).groupBy("parts", "cell").applyInPandas(compare, "a bigint, b bigint"))
+        crowded = met.where(F.col("size") > cell).drop("size")
+        if crowded.isEmpty():
+            break
+    else:
+        flips = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), k)))
+        value = F.array(F.col("fp")) if distance == 0 else F.concat(F.array("fp"), flips)
+        near = crowded.select("fp").distinct().select("fp", F.explode(value).alias("near"))
+        centre = written(near.groupBy("near").agg(F.count("*").alias("n"), F.min("fp").alias("b")).where("n > 1"), "near")
+        found.append(salted_join(near, centre, ["near"], ["fp"]).select(F.col("fp").alias("a"), "b").where("a != b"))
+    return reduce(DataFrame.union, found).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id (the smallest doc_id that can be reached) per row of ``docs``."""
     rows = written(fingerprints(docs, size), "fingerprints")
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     found = components(links(nodes.select("fp"), distance)).select(F.col("node").alias("fp"), "root")
     placed = nodes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    least = written(placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "least")
+    named = written(salted_join(placed.select("root", "fp", F.col("n").alias("rows")), least, ["root"], ["fp"]).select("fp", "component_id", F.col("rows").alias("n")), "named")
+    return salted_join(rows, named, ["fp"], ["doc_id"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
