@@ -7,7 +7,8 @@ merge costs a few operations however long the pre-token is, so one of millions o
 quadratic scan. Equal ranks merge from the left, as the public encoders do.
 
 Pre-tokens repeat: a worker encodes each distinct one once and keeps its ids, within a bound.
-Null texts count as empty.
+Null texts count as empty; repeated rows are encoded once each, long texts whole (in parts cut where a
+pre-token starts anyway); an empty table gives no rows; columns but doc_id and text are ignored.
 """
 
 from __future__ import annotations

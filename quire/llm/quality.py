@@ -6,7 +6,9 @@ kept if at least ``SHARE`` of the code points of its words lie in content lines.
 gradient ascent on the log likelihood (forward-backward) from a bounded sample of labelled documents,
 whose lines take their document's quality as label, starting from and held near a fixed prior.
 
-Null and empty texts have no words and fail; ties go to content.
+Null and empty texts have no words and fail; ties go to content. Repeated rows are judged once each and all
+kept or all rejected; long texts are judged whole; an empty table gives no rows. Labels of a document that
+contradict each other count as bad. ``judged`` ignores extra columns, ``keep_good`` keeps them.
 """
 
 from __future__ import annotations
@@ -54,9 +56,9 @@ _letters = re.compile(rb"[A-Za-z\xc3-\xc9]")
 
 
 def line_features(line: bytes, seen: bool) -> tuple[list[float], int]:
-    """Values of ``FEATURES`` of a line with a word, and the size of its words in bytes."""
+    """Values of ``FEATURES`` of a line with a word, and the code points of its words."""
     ws = line.split()
-    n, size = len(ws), sum(map(len, ws))
+    n, size = len(ws), len(b"".join(ws).decode())
     rate = (size - len(b"".join(ws).translate(None, SYMBOLS))) / size
     upper = line.decode()
     letters = sum(map(len, _letters.findall(line))) or 1
@@ -131,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> tup
 
     def fit(found: pd.DataFrame) -> pd.DataFrame:
         w, stay = PRIOR.copy(), PRIOR_STAY
-        found = found.sort_values("quality", kind="stable")
+        found = found.assign(size=found["x"].map(len), key=found["x"].map(lambda x: np.asarray(x).tobytes())).sort_values(["quality", "size", "key"], kind="stable")  # sums of the same order in each run
         xs = [np.asarray(x, float).reshape(-1, len(FEATURES)) for x in found["x"]]
         ys = [np.full(len(x), q, float) for x, q in zip(xs, found["quality"])]
         total = sum(map(len, xs))

@@ -2,6 +2,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -77,14 +78,46 @@ def test_language_id_numbers_are_no_letters():
     assert langid.predicted(["½²", "x"], ["de", "en"], log) == (["und", "de"], [0.0, 0.5])
 
 
-def test_language_id_blocks_do_not_matter(monkeypatch):
+@pytest.mark.parametrize("block", [3, 7, 50])
+def test_language_id_blocks_do_not_matter(monkeypatch, block):
     log = np.random.default_rng(0).normal(size=(langid.ORDERS * langid.BUCKETS + 1, 2))
     log[0] = 0
-    some = ["the an" * 40, "", "ça va été " * 9, "x"]
+    some = ["the an" * 40, "", "ça va été " * 9, "x", "ab"]
     whole = langid.score(some, log)
-    monkeypatch.setattr(langid, "BLOCK", 50)
-    assert np.argmax(langid.score(some, log), 1).tolist() == np.argmax(whole, 1).tolist()
-    assert np.allclose(langid.score(some[1:2], log), whole[1:2])
+    monkeypatch.setattr(langid, "BLOCK", block)
+    assert np.allclose(langid.score(some, log), whole)
+    assert np.allclose(langid.score(some[2:3], log), whole[2:3])
+
+
+def plain_scores(text, log):
+    """Brute force: n-gram by n-gram."""
+    spaced = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+    total = np.zeros(log.shape[1])
+    for n in range(1, langid.ORDERS + 1):
+        for k in range(len(spaced) - n + 1):
+            h = 0
+            for c in spaced[k : k + n]:
+                h = (h * 0x9E3779B1 + ord(c) * 0x85EBCA6B) & 0xFFFFFFFF
+            total += log[(((h ^ h >> 15) * 0x2C1B3C6D & 0xFFFFFFFF) >> 17) + (n - 1) * langid.BUCKETS + 1]
+    return total
+
+
+def test_language_id_scores_are_the_sums_of_all_ngrams(given_texts):
+    log = np.random.default_rng(1).normal(size=(langid.ORDERS * langid.BUCKETS + 1, 3))
+    log[0] = 0
+    some = [t for _, t in given_texts[:4]] + ["", "a", "Été 7 ½ x"]
+    assert np.allclose(langid.score(some, log), [plain_scores(t, log) for t in some])
+
+
+def test_language_id_of_a_long_text_is_that_of_its_whole(spark):
+    text = "der die und " * 125_000  # 1.5 million characters
+    assert len(text) > 2 * langid.BLOCK
+    model = ["de", "en"], np.random.default_rng(2).normal(size=(langid.ORDERS * langid.BUCKETS + 1, 2)).astype(np.float32)
+    model[1][0] = 0
+    got = langid.identify(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()
+    assert got["lang_pred"] == model[0][int(np.argmax(langid.score([text], model[1])[0]))]
+    period = (langid.score(["der die und " * 40], model[1]) - langid.score(["der die und " * 20], model[1]))[0] / 20
+    assert np.allclose(langid.score([text], model[1])[0], langid.score(["der die und " * 20], model[1])[0] + period * (125_000 - 20))
 
 
 # 2 and 7
@@ -198,25 +231,37 @@ def test_top_k(spark, sf):
     same(queries.op3_exact_top_k(spark, sf), [tuple(r) for r in con.sql(queries.OP3_SQL).fetchall()])
 
 
-@pytest.mark.parametrize("shard, block", [(8192, 2048), (16, 3)])
+def best_of(usable, k=5):
+    """Brute force over (vec_id, integers): every row but the query's own is a candidate."""
+    out = []
+    for n, (i, q) in enumerate(usable):
+        if i % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(q, v)), j) for m, (j, v) in enumerate(usable) if m != n)[:k]
+            out += [(i, rank + 1, j, max(min(-s, (1 << 63) - 1), -(1 << 63))) for rank, (s, j) in enumerate(best)]
+    return out
+
+
+@pytest.mark.parametrize("shard, block", [(32_768, 32_768), (16, 3)])
 def test_top_k_odd_vectors(spark, monkeypatch, shard, block):
     monkeypatch.setattr(topk, "SHARD", shard)
     monkeypatch.setattr(topk, "BLOCK", block)
     r = random.Random(3)
     vectors = [(k, [r.choice([0.0, 0.5, -0.25, 1.0]) for _ in range(6)], "x") for k in range(0, 110)]
-    odd = [(200, None, ""), (250, [1.0, None], ""), (251, [float("nan")] * 6, ""), (300, [float("inf")] * 6, ""), (None, [1.0] * 6, ""), (350, [], ""), (400, [2.0], ""), vectors[0]]
+    odd = [(200, None, ""), (250, [1.0, None], ""), (251, [float("nan")] * 6, ""), (300, [float("inf")] * 6, ""), (301, [-float("inf")], ""), (None, [1.0] * 6, ""), (350, [], ""), (400, [2.0], ""), vectors[0], vectors[1], vectors[1]]
     df = spark.createDataFrame(vectors + odd, "vec_id long, embedding array<float>, rank string")
-    usable = vectors + [(350, [], ""), (400, [2.0], "")]
-    q = {i: [int(np.floor(256 * x)) for x in v] for i, v, _ in usable}
-    out = []
-    for i in q:
-        if i % 50 == 0:
-            best = sorted((-sum(a * b for a, b in zip(q[i], q[j])), j) for j in q if j != i)[:5]
-            out += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
-    same(topk.top_k(df), out)
+    usable = vectors + [(350, [], ""), (400, [2.0], ""), vectors[0], vectors[1], vectors[1]]
+    same(topk.top_k(df), best_of([(i, [int(np.floor(256 * x)) for x in v]) for i, v, _ in usable]))
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [2e6, 3e9, 1e30])
+def test_top_k_of_large_components(spark, size):
+    r = random.Random(5)
+    vectors = [(k, [r.choice([-1, 1]) * r.random() * size for _ in range(4)]) for k in range(90)] + [(0, [size, 1.0]), (1, [size, 1.0]), (2, [size, 1.0])]
+    exact = [(i, [int(np.floor(256 * x)) for x in v] + [0] * (4 - len(v))) for i, v in vectors]
+    same(topk.top_k(spark.createDataFrame(vectors, "vec_id long, embedding array<double>")), best_of(exact))
+
+
 @pytest.mark.parametrize("copies", [0, 3, 4, 5, 6])
 def test_top_k_of_near_copies(spark, tmp_path, copies):
     r = np.random.default_rng(copies)
@@ -323,22 +368,42 @@ def test_page_text_of_given_pages(spark, sf):
     got = {r["page_id"]: r["text"] for r in queries.op6_page_text(spark, sf).collect()}
     for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
         inner = re.search(r"<article>(.*)</article>", r["html"], re.S)[1]
-        if re.search(r"<(?!/?(?:p|b|br|h1)>)", inner):
-            continue
-        blocks = [" ".join(__import__("html").unescape(re.sub(r"</?b>|<br>", "", x)).split()) for x in re.split(r"</?(?:p|h1)>", inner)]
+        assert not re.search(r"<(?!/?(?:p|b|br|h1)>)", inner)
+        blocks = [" ".join(__import__("html").unescape(re.sub(r"</?b>", "", x.replace("<br>", " "))).split()) for x in re.split(r"</?(?:p|h1)>", inner)]
         assert got[r["page_id"]] == "\n\n".join(x for x in blocks if x)
 
 
 def test_region_has_the_greatest_sum():
     r = random.Random(2)
-    for _ in range(200):
-        parts = [r.choice(["w ", "two words ", "<p>", "</p>", "<div>", "<li>"]) for _ in range(14)]
-        found = pagetext.tokens("".join(parts))
-        cost = {"p": 0.3, "div": 2.0, "li": 4.0}
-        value = [len(v.split()) if k == "text" else -cost[v] for k, v in found]
+    weights = pagetext.Weights({"p": 0.3, "div": 2.0, "li": 4.0, ".x": 1.5}, {".x": 9.0})
+    for _ in range(300):
+        parts = [r.choice(["w ", "two words ", "<p>", "</p>", "<div>", "<div class=x>", "</div>", "<li>"]) for _ in range(14)]
+        found = list(pagetext.walk("".join(parts), weights))
+        value = [len(v.split()) * (-1 if out else 1) if k == "text" else -weights.tag(t) for k, v, _, out, t in found]
         best = max([0.0] + [sum(value[a:b]) for a in range(len(value)) for b in range(a, len(value) + 1)])
-        words = split(pagetext.main_text("".join(parts), cost))
-        assert len(words) >= best - 1e-9
+        first, end = pagetext.region(found, weights)
+        assert abs(sum(value[first:end]) - best) < 1e-9
+
+
+def test_learned_weights_decide(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    weights = pagetext.train(pages)
+    none = pagetext.Weights(dict.fromkeys(weights.cost, 0.0), dict.fromkeys(weights.odds, 0.0))
+    assert all(pagetext.main_text(r["html"], weights) != pagetext.main_text(r["html"], none) for r in pages.collect())
+
+
+def test_costs_end_a_region():
+    page = "<div><p>one two three four<hr><hr><hr><p>five six"
+    free, dear = ({"hr": c, "p": 0.02} for c in (0.1, 3.0))
+    assert pagetext.main_text(page, pagetext.Weights(free, {})) == "one two three four\n\nfive six"
+    assert pagetext.main_text(page, pagetext.Weights(dear, {})) == "one two three four"
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, '<a "' * 250_000, "<div>" * 100_000 + "</p>" * 100_000, "<!--" * 250_000, "<script>" * 100_000, "<" * 1_000_000, "<p class='a b" * 80_000])
+def test_broken_pages_take_linear_time(page):
+    began = time.process_time()
+    pagetext.main_text(page, pagetext.Weights({}, {}))
+    assert time.process_time() - began < 5
 
 
 # 8 and 9
@@ -385,12 +450,19 @@ def test_word_repeats_equal_their_sql(spark, sf):
 
 
 @pytest.mark.parametrize("large", [20_000, 2])
-def test_byte_repeats_odd_texts(spark, docs, large):
+def test_byte_repeats_odd_texts(spark, docs, monkeypatch, large):
+    from quire.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", large)
     same(bytedup.without_repeats(docs, large=large), list(expect_bytes([(r[0], r[1]) for r in rows()])))
     assert bytedup.without_repeats(nothing(spark)).count() == 0
 
 
-def test_word_repeats_odd_texts(spark, docs):
+@pytest.mark.parametrize("hot", [10_000, 1])
+def test_word_repeats_odd_texts(spark, docs, monkeypatch, hot):
+    from quire.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     same(worddup.without_repeats(docs), list(expect_words([(r[0], r[1]) for r in rows()])))
     assert worddup.without_repeats(nothing(spark)).count() == 0
 
@@ -464,8 +536,11 @@ def test_simhash_odd_texts(spark, docs):
     assert simhash.near_duplicates(nothing(spark)).count() == 0
 
 
-@pytest.mark.parametrize("cell", [8192, 3])
-def test_links_connect_all_close_fingerprints(spark, cell):
+@pytest.mark.parametrize("cell", [8192, 12, 1])
+def test_links_connect_all_close_fingerprints(spark, monkeypatch, cell):
+    from quire.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 4 if cell < 99 else 10_000)
     r = random.Random(5)
     fps = {r.getrandbits(64) for _ in range(6)}
     for _ in range(150):
