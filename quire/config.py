@@ -38,6 +38,9 @@ class Config:
     most_ink: float = 0.5
     least_bands: int = 8
     least_neighbor_bands: int = 3
+    least_ruled: int = 16
+    least_row_ink: float = 0.005
+    least_rule: float = 0.06
     # Time-card cells and confidences.
     tolerance: int = 75
     least_samples: int = 3

@@ -8,19 +8,32 @@ from pyspark.sql import functions as F
 
 from ..functions.text import read_time
 
-#: Shapes of the answers.
+#: Types of pages, and shapes of the answers; numbers are read as text and checked, so that one bad value spoils its own row only.
+TYPES = ("CARTAO_PONTO", "HOLERITE", "IRRELEVANTE")
 STRIPS = "strips array<struct<id: string, values: array<string>>>"
-ANSWER = "pages array<struct<page_number: int, document_type: string, confidence: double>>"
+_DAY = "struct<date: string, clock_in: string, break_start: string, break_end: string, clock_out: string, confidence: string, missing_fields: array<string>, ambiguous_fields: array<string>>"
+_ITEM = "struct<competence: string, item_name: string, amount: string, base_salary: string, confidence: string>"
+_CONFLICT = "struct<field: string, values: array<string>, source_pages: array<int>>"
+_LISTS = "missing_fields: array<string>, ambiguous_fields: array<string>"
+ANSWER = f"pages array<struct<page_number: string, document_type: string, confidence: string, time_cards: array<{_DAY}>, payslips: array<{_ITEM}>, {_LISTS}, conflicts: array<{_CONFLICT}>>>"
 
 
 def unfenced(answer: str):
     return F.regexp_replace(F.trim(answer), r"^```[a-z]*\s*|\s*```$", "")
 
 
-def parsed(answers: DataFrame) -> DataFrame:
-    """``answers`` (case_id, call, answer): a row for each page with a known type and a confidence from 0 to 1; code fences are cut off."""
+def answer_pages(answers: DataFrame) -> DataFrame:
+    """``answers`` (case_id, call, answer): a row for each page with a known type (without one, it is irrelevant) and a confidence from 0 to 1 (without one, 0), with its nested rows; code fences are cut off."""
     rows = answers.select("case_id", "call", F.posexplode(F.from_json(unfenced("answer"), ANSWER)["pages"]).alias("pos", "p")).select("case_id", "call", "pos", "p.*")
-    return rows.where(F.col("page_number").isNotNull() & F.col("document_type").isin("CARTAO_PONTO", "HOLERITE", "IRRELEVANTE") & F.col("confidence").between(0, 1))
+    rows = rows.withColumns({
+        "page_number": F.col("page_number").try_cast("int"), "document_type": F.coalesce("document_type", F.lit(TYPES[2])), "confidence": F.coalesce("confidence", F.lit("0")).try_cast("double"),
+    })
+    return rows.where(F.col("page_number").isNotNull() & F.col("document_type").isin(*TYPES) & F.col("confidence").between(0, 1))
+
+
+def parsed(answers: DataFrame) -> DataFrame:
+    """case_id, call, pos, page_number, document_type, confidence of the valid pages."""
+    return answer_pages(answers).select("case_id", "call", "pos", "page_number", "document_type", "confidence")
 
 
 def classified(asked: DataFrame, answers: DataFrame) -> DataFrame:

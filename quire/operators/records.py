@@ -12,24 +12,28 @@ TIMES = ("clock_in", "break_start", "break_end", "clock_out")
 
 
 def valid_time_cards(rows: DataFrame) -> DataFrame:
-    """Normalised dates and times, with the ordered lists of missing and ambiguous fields."""
+    """Normalised dates and times, with the ordered lists of missing and ambiguous fields; lists that rows bring come first."""
+    given = {c: F.col(c) if c in rows.columns else F.array().cast("array<string>") for c in ("missing", "ambiguous")}
+    rows = rows.withColumns({f"{c}_given": v for c, v in given.items()})
     clean = rows.withColumns({"date": normalized_date(F.col("date_raw")), **{f"{t}_ok": normalized_time(F.col(t)) for t in TIMES}})
     unread = [F.when(F.col(t).isNotNull() & F.col(f"{t}_ok").isNull(), F.lit(t)) for t in TIMES]
-    clean = clean.withColumn("ambiguous", F.array_compact(F.array(F.when(F.col("date").isNull(), F.lit("date")), *unread)))
+    clean = clean.withColumn("ambiguous", F.array_distinct(F.concat("ambiguous_given", F.array_compact(F.array(F.when(F.col("date").isNull(), F.lit("date")), *unread)))))
     absent = []
     for a, b in (("clock_in", "clock_out"), ("break_start", "break_end")):
         one = F.when(F.col(f"{a}_ok").isNull() & F.col(f"{b}_ok").isNotNull(), F.lit(a)).when(F.col(f"{b}_ok").isNull() & F.col(f"{a}_ok").isNotNull(), F.lit(b))
         absent.append(F.when(~F.array_contains("ambiguous", one), one))
-    clean = clean.withColumn("missing", F.array_compact(F.array(*absent)))
+    clean = clean.withColumn("missing", F.array_distinct(F.concat("missing_given", F.array_compact(F.array(*absent)))))
     given = F.array_compact(F.array(*[F.when(F.col(f"{t}_ok").isNotNull(), F.lit(t)) for t in TIMES]))
     disordered = ~chronological([F.col(f"{t}_ok") for t in TIMES])
     clean = clean.withColumn("ambiguous", F.when(disordered, F.array_distinct(F.concat("ambiguous", given))).otherwise(F.col("ambiguous")))
-    return clean.withColumns({t: F.col(f"{t}_ok") for t in TIMES}).withColumn("day_key", F.coalesce("date", "date_raw")).drop(*(f"{t}_ok" for t in TIMES))
+    return clean.withColumns({t: F.col(f"{t}_ok") for t in TIMES}).withColumn("day_key", F.coalesce("date", "date_raw")).drop(*(f"{t}_ok" for t in TIMES), "missing_given", "ambiguous_given")
 
 
 def valid_payslips(rows: DataFrame) -> DataFrame:
+    """Normalised months and trimmed names, with the list of ambiguous fields; a list that rows bring comes first."""
     month, name = normalized_month(F.col("competence")), F.trim("item_name")
-    flags = F.array_compact(F.array(F.when(F.col("month").isNull(), F.lit("competence")), F.when(F.col("item_name") == "", F.lit("item_name"))))
+    own = F.array_compact(F.array(F.when(F.col("month").isNull(), F.lit("competence")), F.when(F.col("item_name") == "", F.lit("item_name"))))
+    flags = F.array_distinct(F.concat("ambiguous", own)) if "ambiguous" in rows.columns else own
     return rows.withColumn("month", month).withColumn("item_name", name).withColumn("ambiguous", flags).withColumn("competence", F.coalesce("month", "competence")).withColumn("label_key", label_key(F.col("item_name"))).drop("month")
 
 

@@ -38,7 +38,3 @@ def confirmed_dates(rows: DataFrame, pages: DataFrame) -> DataFrame:
 def needs_attention(rows: DataFrame, least: float = 0.5) -> DataFrame:
     return rows.where((F.col("confidence") < least) | (F.size("missing") > 0) | (F.size("ambiguous") > 0))
 
-
-def conflict_kind(field):
-    """time_card, payslip, base_salary or other, from a conflict's field name."""
-    return F.when(field.rlike(r"^time_cards\[[^\]|]*\]$"), "time_card").when(field.rlike(r"^payslips\[[^\]|]*\|[^\]]*\]$"), "payslip").when(field.rlike(r"^payslips\[[^\]|]*\]\.base_salary$"), "base_salary").otherwise("other")

@@ -2,44 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import replace
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..config import TEST_WORDS, Config
+from ..config import TEST_WORDS
 from ..functions import text as T
 from ..operators import answers, cells, evaluate, export, grid, intake, records, review, sheets, triage, visual
 from ..sources import tables as src
 from . import inputs_sql as S
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-SMALL = replace(TEST_WORDS, candidates=2)
-DEFAULT = Config()
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def long(*names: str) -> list:
-    return [F.col(n).cast("bigint").alias(n) for n in names]
-
+from .registry import DEFAULT, QUERIES, SMALL, SPARSE, SQL, long, query
 
 # Triage
 
 
-def _signals(spark, sf):
-    return triage.signals(src.pages(spark, sf), src.toc(spark, sf), TEST_WORDS)
+def _signals(spark, sf, config=TEST_WORDS):
+    return triage.scored(src.numbered(triage.read_pages(src.page_texts(spark, sf), config)), src.toc(spark, sf), config)
 
 
 @query(f"WITH {S.SIGNALS} SELECT case_id, CAST(page_number AS BIGINT) AS page_number, keywords, CAST(strong AS BIGINT) AS strong, CAST(weak AS BIGINT) AS weak FROM signals")
@@ -54,7 +31,7 @@ def pattern_counts(spark, sf):
 
 @query(f"WITH {S.SIGNALS} SELECT case_id, count(*) AS pages, count(*) FILTER (calculation) AS calculation_pages, count(*) FILTER (is_primary) AS primary_pages FROM signals GROUP BY 1")
 def calculation_pages(spark, sf):
-    return _signals(spark, sf).groupBy("case_id").agg(F.count("*").alias("pages"), F.count_if("calculation").alias("calculation_pages"), F.count_if("primary").alias("primary_pages"))
+    return triage.page_counts(_signals(spark, sf)).select("case_id", "pages", "calculation_pages", "primary_pages")
 
 
 @query(f"WITH {S.SIGNALS} SELECT case_id, CAST(page_number AS BIGINT) AS page_number, is_primary, round(score, 6) AS score FROM signals")
@@ -72,9 +49,9 @@ def primary_pages(spark, sf):
     return _signals(spark, sf).where("primary").select("case_id", *long("page_number"))
 
 
-@query(f"WITH {S.NEIGHBORS} SELECT case_id, CAST(page_number AS BIGINT) AS page_number, score FROM near WHERE neighbor")
+@query(f"WITH {S.neighbors(SPARSE)} SELECT case_id, CAST(page_number AS BIGINT) AS page_number, score FROM near WHERE neighbor")
 def neighbor_pages(spark, sf):
-    return triage.with_neighbors(_signals(spark, sf), TEST_WORDS).where("neighbor").select("case_id", *long("page_number"), "score")
+    return triage.with_neighbors(_signals(spark, sf, SPARSE), SPARSE).where("neighbor").select("case_id", *long("page_number"), "score")
 
 
 def _ranked_sql(cap: int) -> str:
@@ -87,17 +64,17 @@ def _ranked(rows):
 
 @query(_ranked_sql(25))
 def triage_candidates(spark, sf):
-    return _ranked(triage.triage(src.pages(spark, sf), src.toc(spark, sf), TEST_WORDS))
+    return _ranked(triage.triage(_signals(spark, sf), TEST_WORDS))
 
 
 @query(_ranked_sql(2))
 def triage_small_cap(spark, sf):
-    return _ranked(triage.triage(src.pages(spark, sf), src.toc(spark, sf), SMALL))
+    return _ranked(triage.triage(_signals(spark, sf), SMALL))
 
 
 @query(f"WITH {S.NEIGHBORS}, f AS (SELECT *, row_number() OVER (PARTITION BY case_id, is_primary ORDER BY score DESC, page_number) AS r FROM near WHERE is_primary OR neighbor), u AS (SELECT case_id, page_number, score + CASE WHEN is_primary AND r <= 10 AND table_hint THEN 50.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM f), ranked AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, page_number) AS rank FROM u) SELECT case_id, CAST(page_number AS BIGINT) AS page_number, rank, round(score, 6) AS score, rank > 25 AS overflow FROM ranked")
 def triage_table_rerank(spark, sf):
-    return _ranked(triage.triage(src.pages(spark, sf), src.toc(spark, sf), TEST_WORDS, tables=True))
+    return _ranked(triage.triage(_signals(spark, sf), TEST_WORDS, tables=True))
 
 
 @query("WITH p AS (SELECT conv_id AS case_id, turn + 1 AS page_number, max(turn + 1) OVER (PARTITION BY conv_id) AS n FROM conversations) SELECT case_id, page_number, page_number AS rank FROM p WHERE n <= 25")
@@ -116,33 +93,6 @@ def call_batches(spark, sf):
     return triage.batches(rows, DEFAULT.pages_per_call, "turn").select("case_id", "turn", *long("call"))
 
 
-# Visual pages: an embedding is a raster row
-
-
-def _profile(spark, sf):
-    rows = src.table(spark, sf, "embeddings").select((F.col("label") % 10).alias("case_id"), F.col("vec_id").alias("page_number"), F.transform("embedding", lambda x: F.floor(128 + 256 * x.cast("double"))).alias("pixels"))
-    numbered = rows.withColumn("page_number", F.row_number().over(Window.partitionBy("case_id").orderBy("page_number")))
-    return visual.ink_profile(numbered, DEFAULT)
-
-
-_PROFILE = """px AS (SELECT label % 10 AS case_id, row_number() OVER (PARTITION BY label % 10 ORDER BY vec_id) AS page_number, list_transform(embedding, lambda x: CAST(floor(128 + 256 * x::DOUBLE) AS BIGINT)) AS p FROM embeddings),
-bits AS (SELECT case_id, page_number, len(p) AS width, array_to_string(list_transform(p, lambda x: CASE WHEN x < floor(list_sum(p)::DOUBLE / len(p) * 0.7::DOUBLE) THEN '1' ELSE '0' END), '') AS b FROM px),
-profile AS (SELECT case_id, page_number, width, length(replace(b, '0', '')) AS ink, len(regexp_extract_all(b, '1+')) AS bands, coalesce(list_max(list_transform(regexp_extract_all(b, '1+'), lambda r: length(r))), 0) AS longest FROM bits)"""
-
-
-@query(f"WITH {_PROFILE} SELECT CAST(case_id AS BIGINT) AS case_id, CAST(page_number AS BIGINT) AS page_number, CAST(width AS BIGINT) AS width, CAST(ink AS BIGINT) AS ink, CAST(bands AS BIGINT) AS bands, CAST(longest AS BIGINT) AS longest FROM profile")
-def visual_profile(spark, sf):
-    return _profile(spark, sf).select(*long("case_id", "page_number", "width", "ink", "bands", "longest"))
-
-
-@query(f"""WITH {_PROFILE}, a AS (SELECT *, bands >= 8 AS accepted, 2 * least(bands, 40) + least(longest, 40) AS score FROM profile),
-n AS (SELECT *, NOT accepted AND bands >= 3 AND (coalesce(lag(accepted) OVER w, false) OR coalesce(lead(accepted) OVER w, false)) AS neighbor FROM a WINDOW w AS (PARTITION BY case_id ORDER BY page_number))
-SELECT CAST(case_id AS BIGINT) AS case_id, CAST(page_number AS BIGINT) AS page_number, accepted, CAST(score AS BIGINT) AS score, row_number() OVER (PARTITION BY case_id ORDER BY accepted DESC, score DESC, page_number) AS rank FROM n WHERE accepted OR neighbor""")
-def visual_rank_neighbors(spark, sf):
-    rows = visual.visual_candidates(_profile(spark, sf), DEFAULT)
-    return rows.select(*long("case_id", "page_number"), "accepted", *long("score", "rank"))
-
-
 # Scalar functions
 
 
@@ -260,13 +210,6 @@ def base_salary_conflicts(spark, sf):
     return records.salary_conflicts(_slips(spark, sf))
 
 
-@query(f"WITH {S.VALID}, u AS (SELECT case_id, row_no, unnest(list_concat(missing, ambiguous)) AS flag, generate_subscripts(list_concat(missing, ambiguous), 1) AS i FROM valid), f AS (SELECT case_id, flag, min(row_no * 100 + i) AS spot FROM u GROUP BY ALL) SELECT case_id, string_agg(flag, ',' ORDER BY spot) AS flags FROM f GROUP BY case_id")
-def result_flags(spark, sf):
-    rows = records.valid_time_cards(src.time_cards(spark, sf)).where("size(missing) + size(ambiguous) > 0")
-    ordered = F.array_sort(F.collect_list(F.struct("row_no", F.concat("missing", "ambiguous").alias("f"))))
-    return rows.groupBy("case_id").agg(F.array_join(F.array_distinct(F.flatten(F.transform(ordered, lambda x: x["f"]))), ",").alias("flags"))
-
-
 # Cells
 
 
@@ -429,14 +372,6 @@ def strip_answers(spark, sf):
     return answers.strip_reads(asked.select("case_id", "strip_id", "row_pos", "cell_id"), told).select("cell_id", "model_read")
 
 
-@query("WITH p AS (SELECT source AS case_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page_number, coalesce(text, '') AS text, doc_id FROM documents), b AS (SELECT *, doc_id % 3 AS n, 10.0::DOUBLE * (doc_id % 90) AS side FROM p), c AS (SELECT *, least(coalesce(list_sum(list_transform(range(n), lambda i: greatest(least(50.0::DOUBLE * i + side, 612.0::DOUBLE) - 50.0::DOUBLE * i, 0.0::DOUBLE) * 792.0::DOUBLE)), 0.0::DOUBLE) / (612.0::DOUBLE * 792.0::DOUBLE), 1.0::DOUBLE) AS cover FROM b) SELECT case_id, page_number, n AS n_images, round(cover, 6) AS coverage, (length(regexp_replace(text, '\\s', '', 'g')) <= 200 AND n >= 1) OR cover >= 0.85::DOUBLE AS visual FROM c")
-def visual_pages(spark, sf):
-    """Each page with up to two images side by side; no page counts as primary."""
-    i = F.transform(F.sequence(F.lit(0), F.lit(1)), lambda k: F.struct((50.0 * k).alias("x0"), F.lit(-5.0).alias("y0"), (50.0 * k + 10.0 * (F.col("doc_id") % 90)).alias("x1"), F.lit(900.0).alias("y1")))
-    rows = src.pages(spark, sf).withColumns({"images": F.slice(i, F.lit(1), (F.col("doc_id") % 3).cast("int")), "width": F.lit(612.0), "height": F.lit(792.0), "calculation": F.lit(False), "primary": F.lit(False)})
-    return visual.image_cover(rows).select("case_id", *long("page_number", "n_images"), F.round("coverage", 6).alias("coverage"), visual.is_visual(DEFAULT).alias("visual"))
-
-
 @query("WITH t AS (SELECT l_suppkey AS case_id, l_orderkey, l_linenumber, l_partkey, l_extendedprice AS amount FROM lineitem), p AS (SELECT case_id, amount + CASE l_orderkey % 3 WHEN 0 THEN 0.005::DOUBLE WHEN 1 THEN -0.004::DOUBLE ELSE 0.02::DOUBLE END AS other FROM t) SELECT case_id, l_orderkey, l_linenumber, l_partkey, amount FROM t WHERE EXISTS (SELECT 1 FROM p WHERE p.case_id = t.case_id AND abs(t.amount - p.other) < 0.006::DOUBLE)")
 def model_amounts_within(spark, sf):
     truth = src.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("case_id"), "l_orderkey", "l_linenumber", "l_partkey", F.col("l_extendedprice").alias("amount"))
@@ -567,13 +502,6 @@ def model_answers_join(spark, sf):
     return answers.classified(asked, _answers(asked)).select("case_id", *long("page_number"), "document_type", "confidence")
 
 
-@query(f"WITH {_ASKED} SELECT case_id, page_number FROM asked ANTI JOIN good USING (case_id, page_number)")
-def unclassified_pages(spark, sf):
-    asked = _asked(spark, sf)
-    found = answers.classified(asked, _answers(asked))
-    return answers.unclassified(asked, found, asked.limit(0)).select("case_id", *long("page_number"))
-
-
 # Evaluation
 
 
@@ -582,9 +510,9 @@ _RATIO = "round(CASE WHEN {b} > 0 THEN {a}::DOUBLE / {b} END, 4)"
 
 @query(f"WITH {S.NEIGHBORS}, r AS (SELECT case_id, page_number, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, page_number) > 2 AS overflow FROM near WHERE is_primary OR neighbor), t AS (SELECT DISTINCT p.case_id, p.page_number FROM pages p JOIN labels l ON p.doc_id = l.doc_id WHERE quality = 1), b AS (SELECT coalesce(t.case_id, r.case_id) AS case_id, t.case_id IS NOT NULL AS t, coalesce(NOT overflow, false) AS s, coalesce(overflow, false) AS o FROM t FULL JOIN r ON t.case_id = r.case_id AND t.page_number = r.page_number), c AS (SELECT case_id, count(*) FILTER (t) AS relevant, count(*) FILTER (s) AS sent, count(*) FILTER (t AND s) AS hit, count(*) FILTER (t AND o) AS in_overflow FROM b GROUP BY 1) SELECT *, {_RATIO.format(a='hit', b='relevant')} AS recall, {_RATIO.format(a='hit', b='sent')} AS precision FROM c")
 def eval_triage(spark, sf):
-    pages = src.pages(spark, sf)
-    truth = pages.join(src.table(spark, sf, "labels").where("quality = 1").select("doc_id"), "doc_id").select("case_id", "page_number").distinct()
-    return evaluate.page_scores(truth, triage.triage(pages, src.toc(spark, sf), SMALL))
+    signals = _signals(spark, sf)
+    truth = signals.join(src.table(spark, sf, "labels").where("quality = 1").select("doc_id"), "doc_id").select("case_id", "page_number").distinct()
+    return evaluate.page_scores(truth, triage.triage(signals, SMALL))
 
 
 @query(f"""WITH {_ASKED}, t AS (SELECT case_id, page_number, CASE WHEN n % 3 = 0 THEN 'CARTAO_PONTO' ELSE 'HOLERITE' END AS want FROM asked WHERE n % 3 <> 2),
@@ -696,3 +624,6 @@ def session_capacity(spark, sf):
 def job_status_latest(spark, sf):
     rows = intake.latest_status(src.table(spark, sf, "events").select(F.col("user_id").alias("run_id"), F.col("ts").alias("at"), "event_id", F.col("event_type").alias("status")))
     return rows.select("run_id", "status", F.unix_micros(F.col("at").cast("timestamp")).alias("at_us"))
+
+
+from . import pages, results  # noqa: E402, F401  (they register their queries)

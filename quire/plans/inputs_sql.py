@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..config import TEST_WORDS
+
 TIMES = ("clock_in", "break_start", "break_end", "clock_out")
 TIME = r"^(\d{1,2})\s*[:hH.]\s*(\d{2})$"
 
@@ -38,24 +40,37 @@ def slug(x: str) -> str:
     return f"coalesce(nullif(left(trim(regexp_replace({fold(x)}, '[^a-z0-9]+', '_', 'g'), '_'), 40), ''), 'verba')"
 
 
-PAGES = """pages AS (SELECT source AS case_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page_number, coalesce(text, '') AS text, doc_id FROM documents)"""
-TOC = """toc AS (SELECT 'src' || (item_id % 20) AS case_id, (item_id // 20) * 3 + 1 AS page_number, text AS title FROM benchmark)"""
-SIGNALS = rf"""{PAGES}, {TOC},
-hits AS (SELECT DISTINCT case_id, page_number FROM toc WHERE regexp_matches({fold('title')}, 'license|apache|the|und|les')),
+PAGES = """pages AS (
+  SELECT source || '/' || (doc_id // 1000) AS case_id, row_number() OVER (PARTITION BY source, doc_id // 1000 ORDER BY doc_id) AS page_number, coalesce(text, '') AS text, doc_id
+  FROM documents)"""
+TOC = """toc AS (
+  SELECT 'src' || (item_id % 20) || '/' || (item_id // 100) AS case_id, item_id // 20 % 5 * 3 + 1 AS page_number, text AS title, item_id
+  FROM benchmark)"""
+
+
+def signals(config) -> str:
+    """Pages with the signals of ``config``; its patterns may hold no quotes."""
+    words = [*config.strong, *config.weak]
+    found = lambda ws: " + ".join(f"contains(f, '{w}')::INT" for w in ws)
+    names = ", ".join(f"CASE WHEN contains(f, '{w}') THEN '{w}' END" for w in words)
+    hits = " + ".join(f"len(regexp_extract_all(text, '{p}'))" for p in config.patterns)
+    marked = " OR ".join(f"contains(f, '{m}')" for m in config.markers)
+    return f"""{PAGES}, {TOC},
+hits AS (SELECT DISTINCT case_id, page_number FROM toc WHERE regexp_matches({fold('title')}, '{'|'.join(words)}')),
 read AS (SELECT *, {fold('text')} AS f FROM pages),
 counted AS (
-  SELECT r.case_id, r.page_number,
-    contains(f, 'license')::INT + contains(f, 'apache')::INT AS strong,
-    contains(f, 'the')::INT + contains(f, 'und')::INT + contains(f, 'les')::INT AS weak,
-    concat_ws('|', CASE WHEN contains(f, 'license') THEN 'license' END, CASE WHEN contains(f, 'apache') THEN 'apache' END, CASE WHEN contains(f, 'the') THEN 'the' END, CASE WHEN contains(f, 'und') THEN 'und' END, CASE WHEN contains(f, 'les') THEN 'les' END) AS keywords,
-    len(regexp_extract_all(text, '\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}')) + len(regexp_extract_all(text, '\d{{16}}')) AS patterns,
-    contains(f, '###') AS calculation, contains(text, '|') AS table_hint, length(text) / 484704.0::DOUBLE AS density, h.case_id IS NOT NULL AS in_toc
+  SELECT r.case_id, r.page_number, r.doc_id, {found(config.strong)} AS strong, {found(config.weak)} AS weak, concat_ws('|', {names}) AS keywords,
+    {hits} AS patterns, {marked} AS calculation, contains(text, '|') AS table_hint, length(text) / 484704.0::DOUBLE AS density, h.case_id IS NOT NULL AS in_toc,
+    length(regexp_replace(text, '\\s', '', 'g')) <= {config.most_visual_text} AS little_text
   FROM read r LEFT JOIN hits h ON r.case_id = h.case_id AND r.page_number = h.page_number),
 signals AS (
-  SELECT *, NOT calculation AND (strong > 0 OR patterns >= 2 OR in_toc) AS is_primary,
+  SELECT *, NOT calculation AND (strong > 0 OR patterns >= {config.least_patterns} OR in_toc) AS is_primary,
     300.0::DOUBLE * strong + 50.0::DOUBLE * weak + 10.0::DOUBLE * least(patterns, 20) + 30.0::DOUBLE * in_toc::INT + 10.0::DOUBLE * density AS score
   FROM counted)"""
-NEIGHBORS = f"""{SIGNALS},
+
+
+def neighbors(config) -> str:
+    return f"""{signals(config)},
 beside AS (
   SELECT *, coalesce(lag(is_primary AND keywords <> '') OVER w, false) OR coalesce(lead(is_primary AND keywords <> '') OVER w, false) AS b
   FROM signals WINDOW w AS (PARTITION BY case_id ORDER BY page_number)),
@@ -64,6 +79,9 @@ near AS (
     b AND NOT calculation AND NOT is_primary AND patterns > 0 AND keywords = '' AS neighbor
   FROM beside)"""
 
+
+SIGNALS, NEIGHBORS = signals(TEST_WORDS), neighbors(TEST_WORDS)
+
 CARDS = """raw AS (
   SELECT user_id AS case_id, strftime(ts, '%Y-%m-%d') AS day, CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 4 WHEN 'view' THEN 5 END AS source_page,
     lpad((min(hour(ts)) // 6 * 6)::VARCHAR, 2, '0') AS h1, lpad((max(hour(ts)) // 6 * 6)::VARCHAR, 2, '0') AS h2, count(*) AS n, min(event_id) AS k, min(value) AS v

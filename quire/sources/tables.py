@@ -15,15 +15,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """case_id, page_number (dense from 1), text."""
+#: Documents of a source that make one case, so that cases grow in number, not in size.
+CASE_DOCS, CASE_ITEMS = 1_000, 5
+
+
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """case_id, doc_id, text: pages in the order of doc_id, not yet numbered."""
     docs = table(spark, sf_dir, "documents")
-    return docs.select(F.col("source").alias("case_id"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("page_number"), F.coalesce("text", F.lit("")).alias("text"), "doc_id")
+    case = F.concat_ws("/", "source", F.floor(F.col("doc_id") / CASE_DOCS).cast("string"))
+    return docs.select(case.alias("case_id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def numbered(pages: DataFrame) -> DataFrame:
+    """Adds page_number, dense from 1 in each case. Rows are shuffled here, so texts must be read before."""
+    return pages.withColumn("page_number", F.row_number().over(Window.partitionBy("case_id").orderBy("doc_id")))
 
 
 def toc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "benchmark")
-    return items.select(F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("case_id"), (F.floor(F.col("item_id") / 20) * 3 + 1).cast("int").alias("page_number"), F.col("text").alias("title"))
+    """case_id, page_number, title, item_id: every third page of a case may have a title."""
+    items, of_source = table(spark, sf_dir, "benchmark"), F.floor(F.col("item_id") / 20)
+    case = F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string"), F.lit("/"), F.floor(of_source / CASE_ITEMS).cast("string"))
+    return items.select(case.alias("case_id"), (of_source % CASE_ITEMS * 3 + 1).cast("int").alias("page_number"), F.col("text").alias("title"), "item_id")
+
+
+def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """case_id, page_number, row_no, pixels, doc_id: 20 vectors are the rows of a page, some of them blank; in every third page the dark pixels of a row lie together. They belong to every third document."""
+    k, page = F.col("vec_id"), F.floor(F.col("vec_id") / 20)
+    values = F.when(page % 3 == 0, F.array_sort("embedding")).otherwise(F.col("embedding"))
+    pixels = F.when(k % (2 + page % 4) == 0, F.transform(values, lambda x: F.lit(255).cast("bigint"))).otherwise(F.transform(values, lambda x: F.floor(128 + 256 * x.cast("double"))))
+    return table(spark, sf_dir, "embeddings").select(F.floor(page / 10).alias("case_id"), (page % 10 + 1).alias("page_number"), (k % 20).alias("row_no"), pixels.alias("pixels"), (page * 3 + 2).alias("doc_id"))
 
 
 def time_cards(spark: SparkSession, sf_dir: str) -> DataFrame:

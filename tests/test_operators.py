@@ -1,6 +1,7 @@
 """Cases of the operators that the driver's tables don't hold."""
 
 import datetime as dt
+import json
 import random
 
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quire.config import Config
 from quire.functions import text as T
-from quire.operators import cells, evaluate, export, grid, intake, records, triage
+from quire.operators import cells, evaluate, export, grid, intake, records, results, triage, visual
 from quire.streaming import sessions as stream
 
 TIME_CASES = {"08:00": "08:00", "8:00": "08:00", "8h00": "08:00", " 17.30 ": "17:30", "23:59": "23:59", "24:00": None, "08:60": None, "0800": None, "8": None, "x": None, "": None}
@@ -88,7 +89,7 @@ def test_histories(spark):
 def test_triage(spark):
     pages = spark.createDataFrame([(1, 1, "nada"), (1, 2, "CARTÃO DE PONTO entrada saída"), (1, 3, "08:00 e 17:00"), (1, 4, "09:00"), (1, 5, "cartão de ponto planilha de cálculo"), *[(2, p, "holerite") for p in range(1, 28)]], "case_id int, page_number int, text string")
     toc = spark.createDataFrame([], "case_id int, page_number int, title string")
-    got = triage.triage(pages, toc, Config())
+    got = triage.triage(triage.signals(pages, toc, Config()), Config())
     assert [(r["page_number"], r["rank"]) for r in got.where("case_id = 1").orderBy("rank").collect()] == [(2, 1), (3, 2)]
     assert got.where("case_id = 2 AND NOT overflow").count() == 25 and got.where("case_id = 2 AND overflow").count() == 2
 
@@ -104,9 +105,9 @@ def test_triage_of_scanned_pages(spark):
     pages += [scan(6, p) for p in range(1, 5)]
     bands = {**{(1, p): p for p in range(1, 31)}, (2, 1): 2, (2, 3): 5, (2, 4): 5, (2, 9): 9, (3, 27): 20, (4, 25): 10, (4, 26): 12, (5, 2): 4, (6, 1): 0, (6, 2): 9, (6, 3): 3, (6, 4): 30}
     pages = spark.createDataFrame(pages, "case_id int, page_number int, text string, n_images int, coverage double")
-    ink = spark.createDataFrame([(c, p, 100, 90 if (c, p) == (6, 4) else 20, b, 1) for (c, p), b in bands.items()], "case_id int, page_number int, width int, ink int, bands int, longest int")
+    ink = spark.createDataFrame([(c, p, 0.9 if (c, p) == (6, 4) else 0.2, b, 1) for (c, p), b in bands.items()], "case_id int, page_number int, ink_ratio double, bands int, ruled int")
     toc = spark.createDataFrame([], "case_id int, page_number int, title string")
-    got = triage.triage(pages, toc, Config(), profile=ink).orderBy("case_id", "rank").collect()
+    got = triage.triage(triage.signals(pages, toc, Config()), Config(), profile=ink).orderBy("case_id", "rank").collect()
     sent = lambda c, over: [r["page_number"] for r in got if r["case_id"] == c and r["overflow"] == over]
     assert (sent(1, False), sent(1, True)) == ([*range(30, 7, -1), 7], []) and len(sent(1, False)) == 24
     assert sent(2, False) == [2, 9, 3]
@@ -114,6 +115,68 @@ def test_triage_of_scanned_pages(spark):
     assert sent(4, False) == [*range(1, 25), 26] and sent(4, True) == [25]
     assert sent(5, False) == [1, 2] and [r["score"] for r in got if r["case_id"] == 5][1] == Config().neighbor_score
     assert sent(6, False) == [2, 3, 1, 4]
+    whole = triage.triage(triage.signals(pages, toc, Config()), Config(), profile=ink, keep_all_up_to=16).where("NOT overflow").orderBy("case_id", "rank").collect()
+    assert [r["page_number"] for r in whole if r["case_id"] == 2] == list(range(1, 17)) and [r["page_number"] for r in whole if r["case_id"] == 3] == list(range(1, 26))
+
+
+def test_raster(spark):
+    """Bands are stretches of inked rows, ruled rows hold a run of ink; the threshold comes from the whole page."""
+    white, dots, rule = [250] * 100, [0, 0] + [250] * 98, [250] * 40 + [0] * 6 + [250] * 54
+    one = [250] * 99 + [0]
+    pages = {1: [white, dots, dots, white, rule, one, dots], 2: [white] * 3, 3: [[0] * 100] * 4, 4: [rule] * 17 + [white] + [dots, white] * 2}
+    rows = spark.createDataFrame([(1, p, k, r) for p, rs in pages.items() for k, r in enumerate(rs)], "case_id int, page_number int, row_no int, pixels array<int>")
+    got = {r["page_number"]: r for r in visual.ink_profile(rows, Config()).collect()}
+    assert {p: (r["width"], r["height"], r["bands"], r["ruled"]) for p, r in got.items()} == {1: (100, 7, 3, 1), 2: (100, 3, 0, 0), 3: (100, 4, 0, 0), 4: (100, 22, 3, 17)}
+    assert got[1]["ink_ratio"] == 13 / 700 and got[3]["ink_ratio"] == 0
+    found = visual.visual_candidates(visual.ink_profile(rows, Config()), Config()).collect()
+    assert [(r["page_number"], r["accepted"], r["score"]) for r in found] == [(4, True, 23.0)]
+
+
+def test_rows_of_model_answers(spark):
+    good = {"date": "2024-01-02", "clock_in": "08:00", "source_page": 9, "confidence": 0.9}
+    page = lambda n, kind="CARTAO_PONTO", **more: {"page_number": n, "document_type": kind, "confidence": 0.8, **more}
+    answer = {"pages": [
+        page("1", time_cards=[good, {**good, "date": None}, {**good, "confidence": 2}, {**good, "confidence": "x"}], payslips=[{"competence": "2024-01"}]),
+        page(2, "HOLERITE", payslips=[{"competence": "2024-01", "item_name": "a", "amount": "12.5", "confidence": 1}, {"competence": "2024-01", "item_name": "a", "amount": "?", "confidence": 1}], time_cards=[good]),
+        page(3, "OUTRO"), page(3, time_cards=[good]), page(7), page(4, conflicts=[{"field": "x", "values": [1, "b"], "source_pages": [4]}, {"values": []}], missing_fields=["date"]), {"page_number": 5},
+    ]}
+    asked = spark.createDataFrame([(1, 0, n) for n in range(1, 7)], "case_id int, call int, page_number int")
+    told = spark.createDataFrame([(1, 0, "```json\n" + json.dumps(answer) + "\n```"), (1, 0, "no json")], "case_id int, call int, answer string")
+    pages = results.model_pages(asked, told)
+    assert sorted((r["page_number"], r["document_type"]) for r in pages.collect()) == [(1, "CARTAO_PONTO"), (2, "HOLERITE"), (3, "CARTAO_PONTO"), (4, "CARTAO_PONTO"), (5, "IRRELEVANTE")]
+    assert sorted((r["source_page"], r["pos"], r["date_raw"]) for r in results.time_card_rows(pages).collect()) == [(1, 0, "2024-01-02"), (3, 0, "2024-01-02")]
+    assert [(r["source_page"], r["amount"]) for r in results.payslip_rows(pages).collect()] == [(2, 12.5)]
+    assert [(r["field"], r["found_values"], r["source_pages"]) for r in results.model_conflicts(pages).collect()] == [("x", '["1","b"]', "4")]
+    assert [(r["source_page"], r["kind"], r["flag"]) for r in results.page_flags(pages).collect()] == [(4, "missing", "date")]
+
+
+def test_saved_review(spark):
+    rows = cards(spark, ("2024-01-02", "08:00", None, None, "17:00", 1, 0.9), ("2024-01-02", "09:00", None, None, "17:00", 2, 0.9)).withColumn("case_id", F.lit(1))
+    items = spark.createDataFrame([(1, 0, "2024-01", "A]b", 1.0, None, 1, 0.9), (1, 1, "2024-01", "a]B", 2.0, None, 2, 0.9)], "case_id int, row_no int, competence string, item_name string, amount double, base_salary double, source_page int, confidence double")
+    stated = spark.createDataFrame([(1, 1, "free", '["x"]', "1")], "case_id int, place int, field string, found_values string, source_pages string")
+    found = results.all_conflicts(stated, *results.validated(rows, items))
+    assert [(r["seq"], r["field"], r["found_values"]) for r in found.orderBy("seq").collect()] == [
+        (1, "free", '["x"]'),
+        (2, "time_cards[2024-01-02]", '[{"clock_in":"08:00","break_start":null,"break_end":null,"clock_out":"17:00"},{"clock_in":"09:00","break_start":null,"break_end":null,"clock_out":"17:00"}]'),
+        (3, "payslips[2024-01|A]b]", "[1.00,2.00]"),
+    ]
+    saved = results.saved_review(rows.where("source_page = 2"), items, found)[2]
+    assert [r["field"] for r in saved.orderBy("seq").collect()] == ["free", "payslips[2024-01|A]b]"]
+
+
+@pytest.mark.parametrize("field, kind, key, item", [
+    ("time_cards[2024-01-02]", "time_card", "2024-01-02", None), ("time_cards[]", None, None, None), ("payslips[2024-01|a]b]", "payslip", "2024-01", "a]b"), ("payslips[2024-01].base_salary", "base_salary", "2024-01", None),
+    ("payslips[2024-01|x].base_salary", "base_salary", "2024-01|x", None), ("payslips[a]", None, None, None), ("xtime_cards[1]", None, None, None),
+])
+def test_conflict_fields(spark, field, kind, key, item):
+    r = spark.range(1).select(results.conflict_field(F.lit(field)).alias("c"), results.is_derived(F.lit(field)).alias("d")).first()
+    assert (r["c"]["kind"], r["c"]["day_or_month"], r["c"]["item"], r["d"]) == (kind, key, item, kind is not None)
+
+
+def test_observed_counters(spark):
+    rows, seen = results.observed(spark.range(10), "pages", n=F.count(F.lit(1)), odd=F.count_if(F.col("id") % 2 == 1))
+    rows.collect()
+    assert seen.get == {"n": 10, "odd": 5}
 
 
 def test_schedule_and_votes(spark):
