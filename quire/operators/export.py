@@ -10,24 +10,33 @@ from ..config import Config
 from ..functions.text import amount_br, cents, label_key, month_br, slug
 from .records import TIMES
 
+#: First lines of the files, their line ends and character sets.
+DAY_HEADER = ";".join(["Data", *(f"{x}{k}" for k in range(1, 7) for x in ("Entrada", "Saída"))])
+HISTORY_HEADER = "MES_ANO;VALOR;FGTS;FGTS_REC.;CONTRIBUICAO_SOCIAL;CONTRIBUICAO_SOCIAL_REC."
+DAY_CHARSET, HISTORY_CHARSET = "ISO-8859-1", "UTF-8"
 UNSAFE = '[;"\r\n]'
 #: Words of the notes, by counter.
 NOTES = {
     "days": "Dias exportados", "incomplete": "Turnos incompletos, deixados de fora", "unconfirmed": "Registros com data a confirmar, deixados de fora", "unread": "Horários a conferir, deixados vazios",
     "omitted": "Dias sem turno completo, deixados de fora", "dropped": "Turnos além do limite do dia, deixados de fora", "skipped": "Registros com data inválida, deixados de fora",
+    "summed": "Lançamentos somados a outro da mesma verba e competência", "skipped_payslips": "Lançamentos com competência inválida, deixados de fora",
 }
 NOTHING = "Nada foi extraído"
 
 
-def shifts(cards: DataFrame) -> DataFrame:
-    """Adds ``complete`` (pairs of times), ``incomplete`` and ``unread`` counts to validated rows that have a confirmed date."""
+def with_shifts(cards: DataFrame) -> DataFrame:
+    """Adds ``complete`` (pairs of times), ``incomplete`` and ``unread`` counts to validated rows."""
     broken = F.col("break_start").isNotNull() | F.col("break_end").isNotNull()
     pair = lambda a, b: F.struct(F.col(a).alias("start"), F.col(b).alias("end"))
     pairs = F.when(broken, F.array(pair("clock_in", "break_start"), pair("break_end", "clock_out"))).otherwise(F.array(pair("clock_in", "clock_out")))
     both, none = lambda p: p["start"].isNotNull() & p["end"].isNotNull(), lambda p: p["start"].isNull() & p["end"].isNull()
     unread = sum((F.when(F.array_contains("ambiguous", t) & F.col(t).isNull(), 1).otherwise(0) for t in TIMES), F.lit(0))
-    rows = cards.where(F.col("date").isNotNull() & ~F.array_contains("ambiguous", "date")).withColumn("pairs", pairs)
-    return rows.withColumns({"complete": F.filter("pairs", both), "incomplete": F.size(F.filter("pairs", lambda p: ~both(p) & ~none(p))), "unread": unread}).drop("pairs")
+    return cards.withColumn("pairs", pairs).withColumns({"complete": F.filter("pairs", both), "incomplete": F.size(F.filter("pairs", lambda p: ~both(p) & ~none(p))), "unread": unread}).drop("pairs")
+
+
+def shifts(cards: DataFrame) -> DataFrame:
+    """``with_shifts`` of the rows that have a confirmed date."""
+    return with_shifts(cards.where(F.col("date").isNotNull() & ~F.array_contains("ambiguous", "date")))
 
 
 def workdays(cards: DataFrame, config: Config) -> DataFrame:
@@ -47,17 +56,27 @@ def day_columns(cards: DataFrame, config: Config) -> DataFrame:
     return days.select("case_id", "date", *(at(2 * k + e).alias(f"{name}_{k}") for k in range(1, config.most_shifts + 1) for e, name in ((0, "start"), (1, "end"))))
 
 
+def months(slips: DataFrame, config: Config) -> DataFrame:
+    """One row for each case, label and month of the rows that stay, from one aggregation: sum and number of its amounts, the label and the base salary of its first rows.
+
+    The months' rows are all that later steps need; labels and salaries come from windows over a case's months, not from the items again."""
+    named = slips.where(~F.array_contains("ambiguous", "competence")).groupBy("case_id", "label_key", "competence").agg(
+        F.sum(cents(F.col("amount"))).alias("amount"), F.count("*").alias("n"), F.min(F.struct("row_no", "item_name")).alias("first"),
+        F.min(F.when(F.col("base_salary").isNotNull(), F.struct("row_no", cents(F.col("base_salary")).alias("salary")))).alias("pay"))
+    case, label, month = (Window.partitionBy("case_id", *keys) for keys in ([], ["label_key"], ["competence"]))
+    named = named.withColumn("label", F.min("first").over(label)["item_name"]).withColumn("month_pay", F.min("pay").over(month)).withColumn("nth", F.row_number().over(month.orderBy("label_key")))
+    is_base = slug(F.col("label")) == slug(F.lit(config.base_salary_label))
+    return named.withColumn("has_base", F.max(is_base).over(case)).select(
+        "case_id", "label_key", "competence", F.col("amount").cast("decimal(28,2)").alias("amount"), "n", "label", F.when(~F.col("has_base") & (F.col("nth") == 1), F.col("month_pay.salary")).alias("salary"))
+
+
 def histories(slips: DataFrame, config: Config) -> DataFrame:
     """A row for each case, label and month: the sum of its amounts and how many rows were merged; base salaries as a label of their own unless an item has its slug."""
-    dated = slips.where(~F.array_contains("ambiguous", "competence"))
-    items = dated.groupBy("case_id", "label_key", "competence").agg(F.sum(cents(F.col("amount"))).alias("amount"), F.count("*").alias("n"))
-    names = dated.groupBy("case_id", "label_key").agg(F.min_by("item_name", "row_no").alias("label"))
-    named = items.join(names, ["case_id", "label_key"]).withColumn("is_base", F.lit(False))
     base = F.lit(config.base_salary_label)
-    same = named.where(slug(F.col("label")) == slug(base)).select("case_id").distinct()
-    salaries = dated.where("base_salary IS NOT NULL").groupBy("case_id", "competence").agg(F.min_by(cents(F.col("base_salary")), "row_no").alias("amount"))
-    salaries = salaries.join(same, "case_id", "left_anti").select("case_id", label_key(base).alias("label_key"), "competence", F.col("amount").cast("decimal(28,2)").alias("amount"), F.lit(1).cast("bigint").alias("n"), base.alias("label"), F.lit(True).alias("is_base"))
-    return named.select(salaries.columns).union(salaries)
+    item = F.struct("label_key", "amount", "n", "label", F.lit(False).alias("is_base"))
+    salary = F.struct(label_key(base).alias("label_key"), F.col("salary").cast("decimal(28,2)").alias("amount"), F.lit(1).cast("bigint").alias("n"), base.alias("label"), F.lit(True).alias("is_base"))
+    both = F.array_compact(F.array(item, F.when(F.col("salary").isNotNull(), salary)))
+    return months(slips, config).select("case_id", "competence", F.inline(both)).select("case_id", "label_key", "competence", "amount", "n", "label", "is_base")
 
 
 def history_lines(rows: DataFrame) -> DataFrame:
@@ -65,7 +84,8 @@ def history_lines(rows: DataFrame) -> DataFrame:
     order = Window.partitionBy("case_id").orderBy(F.desc("is_base"), "label_key")
     numbered = rows.withColumn("file_no", F.dense_rank().over(order))
     name = F.concat(F.lit("historico_salarial_"), F.format_string("%02d", "file_no"), F.lit("_"), slug(F.regexp_replace("label", UNSAFE, " ")), F.lit(".csv"))
-    return numbered.select("case_id", name.alias("file_name"), "competence", F.concat_ws(";", month_br(F.col("competence")), amount_br(F.col("amount")), F.lit("0,00"), F.lit("N"), F.lit("0,00"), F.lit("N")).alias("line"))
+    line = F.concat(month_br(F.col("competence")), F.lit(";"), amount_br(F.col("amount")), F.lit(";;;;"))  # what a slip doesn't say stays empty
+    return numbered.select("case_id", name.alias("file_name"), "competence", "n", "is_base", line.alias("line"))
 
 
 def file_bytes(lines: DataFrame, group: list[str], order: str, header: str, charset: str) -> DataFrame:
@@ -77,25 +97,50 @@ def file_bytes(lines: DataFrame, group: list[str], order: str, header: str, char
 
 
 def summary(cards: DataFrame, config: Config) -> DataFrame:
-    """Counters of a case's workday export."""
-    flags = cards.groupBy("case_id").agg(F.count_if(F.col("date").isNull()).alias("skipped"), F.count_if(F.col("date").isNotNull() & F.array_contains("ambiguous", "date")).alias("unconfirmed"))
-    half = shifts(cards).groupBy("case_id").agg(F.sum("incomplete").alias("incomplete"), F.sum("unread").alias("unread"))
-    days = workdays(cards, config).groupBy("case_id").agg(F.count_if(~F.col("omitted")).alias("days"), F.count_if("omitted").alias("omitted"), F.sum(F.when(~F.col("omitted"), F.col("dropped")).otherwise(0)).alias("dropped"))
-    zero = {c: F.coalesce(F.col(c), F.lit(0)).cast("bigint") for c in ("skipped", "unconfirmed", "incomplete", "unread", "days", "omitted", "dropped")}
-    return flags.join(half, "case_id", "left").join(days, "case_id", "left").select("case_id", *(v.alias(k) for k, v in zero.items()))
+    """Counters of a case's workday export: one aggregation by case and day, one by case."""
+    dated = F.col("date").isNotNull()
+    unsure = dated & F.array_contains("ambiguous", "date")
+    rows = with_shifts(cards).withColumn("used", dated & ~unsure)
+    of = lambda c: F.sum(F.when(F.col("used"), F.col(c)).otherwise(0))
+    days = rows.groupBy("case_id", F.when(F.col("used"), F.col("date")).alias("date")).agg(
+        F.count_if(~dated).alias("skipped"), F.count_if(unsure).alias("unconfirmed"), of("incomplete").alias("incomplete"), of("unread").alias("unread"),
+        F.sum(F.when(F.col("used"), F.size("complete")).otherwise(0)).alias("n_shifts"))
+    omitted = F.col("date").isNotNull() & (F.col("n_shifts") == 0) & (F.col("incomplete") + F.col("unread") > 0)
+    kept = F.col("date").isNotNull() & ~omitted
+    total = lambda c: F.sum(c).cast("bigint").alias(c)
+    return days.groupBy("case_id").agg(
+        total("skipped"), total("unconfirmed"), total("incomplete"), total("unread"), F.count_if(kept).alias("days"), F.count_if(omitted).alias("omitted"),
+        F.sum(F.when(kept, F.greatest(F.col("n_shifts") - config.most_shifts, F.lit(0))).otherwise(0)).cast("bigint").alias("dropped"))
+
+
+def slip_summary(slips: DataFrame) -> DataFrame:
+    """Counters of a case's history export: rows without a valid month, and rows that were added to another of their label and month."""
+    rows = slips.withColumn("bad", F.array_contains("ambiguous", "competence"))
+    groups = rows.groupBy("case_id", "label_key", "competence").agg(F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good"))
+    return groups.groupBy("case_id").agg(F.sum("bad").alias("skipped_payslips"), F.sum(F.greatest(F.col("good") - 1, F.lit(0))).alias("summed"))
 
 
 def notes(counters: DataFrame, lines: DataFrame) -> DataFrame:
-    """The text that goes with a case's files: a line for each counter of ``summary`` above zero and for each history file; it starts with a byte-order mark and ends its lines with CR LF."""
-    months = lines.groupBy("case_id", "file_name").agg(F.count("*").alias("n"))
+    """The text that goes with a case's files: a line for each of the ``counters`` above zero and for each history file; it starts with a byte-order mark and ends its lines with CR LF."""
+    files = lines.groupBy("case_id", "file_name").agg(F.count("*").alias("n"))
     file = F.concat(F.lit("- "), "file_name", F.lit(": "), F.col("n").cast("string"))
-    files = months.groupBy("case_id").agg(F.array_sort(F.collect_list(file)).alias("files"))
-    said = [F.when(F.col(c) > 0, F.concat(F.lit(f"{words}: "), F.col(c).cast("string"))) for c, words in NOTES.items()]
+    files = files.groupBy("case_id").agg(F.array_sort(F.collect_list(file)).alias("files"))
+    said = [F.when(F.col(c) > 0, F.concat(F.lit(f"{words}: "), F.col(c).cast("string"))) for c, words in NOTES.items() if c in counters.columns]
     text = F.concat(F.array_compact(F.array(*said)), F.coalesce("files", F.array().cast("array<string>")))
     body = F.when(F.size(text) == 0, F.array(F.lit(NOTHING))).otherwise(text)
     return counters.join(files, "case_id", "full").select("case_id", F.concat(F.lit("\ufeff"), F.array_join(body, "\r\n"), F.lit("\r\n")).alias("text"))
 
 
+def day_files(cards: DataFrame, config: Config) -> DataFrame:
+    """Each case's file of workdays."""
+    return file_bytes(workdays(cards, config).where("NOT omitted"), ["case_id"], "date", DAY_HEADER, DAY_CHARSET)
+
+
+def history_files(lines: DataFrame) -> DataFrame:
+    """Each case's history files, a month a line."""
+    return file_bytes(lines, ["case_id", "file_name"], "competence", HISTORY_HEADER, HISTORY_CHARSET)
+
+
 def open_cases(rows: DataFrame, conflicts: DataFrame) -> DataFrame:
     """Cases that may be exported: those without a conflict."""
     return rows.select("case_id").distinct().join(conflicts.select("case_id").distinct(), "case_id", "left_anti")

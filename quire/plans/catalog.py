@@ -417,20 +417,46 @@ def history_pivot(spark, sf):
     return export.histories(_slips(spark, sf).where("kept"), DEFAULT).select("case_id", "label_key", "competence", F.col("amount").cast("string").alias("amount"), *long("n"))
 
 
-@query(f"WITH {_HISTORY}, f AS (SELECT *, dense_rank() OVER (PARTITION BY case_id ORDER BY is_base DESC, label_key) AS no FROM history) SELECT case_id, 'historico_salarial_' || lpad(no::VARCHAR, 2, '0') || '_' || {S.slug('label')} || '.csv' AS file_name, competence, competence[6:7] || '/' || competence[1:4] || ';' || replace(amount::VARCHAR, '.', ',') || ';0,00;N;0,00;N' AS line FROM f")
+@query(f"WITH {_HISTORY}, f AS (SELECT *, dense_rank() OVER (PARTITION BY case_id ORDER BY is_base DESC, label_key) AS no FROM history) SELECT case_id, 'historico_salarial_' || lpad(no::VARCHAR, 2, '0') || '_' || {S.slug('label')} || '.csv' AS file_name, competence, competence[6:7] || '/' || competence[1:4] || ';' || replace(amount::VARCHAR, '.', ',') || ';;;;' AS line FROM f")
 def history_files(spark, sf):
-    return export.history_lines(export.histories(_slips(spark, sf).where("kept"), DEFAULT))
+    return export.history_lines(export.histories(_slips(spark, sf).where("kept"), DEFAULT)).select("case_id", "file_name", "competence", "line")
+
+
+@query(f"""WITH {S.REC_SLIPS}, g AS (SELECT case_id, label_key, competence, count(*) FILTER (no_month) AS bad, count(*) FILTER (NOT no_month) AS good FROM rec WHERE kept GROUP BY ALL)
+SELECT case_id, CAST(sum(bad) AS BIGINT) AS skipped_payslips, CAST(sum(greatest(good - 1, 0)) AS BIGINT) AS summed FROM g GROUP BY 1""")
+def export_slip_summary(spark, sf):
+    return export.slip_summary(_slips(spark, sf).where("kept"))
 
 
 _NOTES = ", ".join(f"CASE WHEN {c} > 0 THEN '{words}: ' || {c} END" for c, words in export.NOTES.items())
 
 
-@query(f"""WITH c AS ({SQL['export_summary']}), l AS ({SQL['history_files']}), m AS (SELECT case_id, '- ' || file_name || ': ' || count(*) AS line FROM l GROUP BY case_id, file_name),
+@query(f"""WITH d AS ({SQL['export_summary']}), s AS ({SQL['export_slip_summary']}), c AS (SELECT * FROM d FULL JOIN s USING (case_id)),
+l AS ({SQL['history_files']}), m AS (SELECT case_id, '- ' || file_name || ': ' || count(*) AS line FROM l GROUP BY case_id, file_name),
 f AS (SELECT case_id, list(line ORDER BY line) AS files FROM m GROUP BY 1),
 t AS (SELECT coalesce(c.case_id, f.case_id) AS case_id, list_concat(list_filter([{_NOTES}], lambda x: x IS NOT NULL), coalesce(files, [])) AS said FROM c FULL JOIN f ON c.case_id = f.case_id)
 SELECT case_id, chr(65279) || CASE WHEN len(said) = 0 THEN '{export.NOTHING}' ELSE array_to_string(said, chr(13) || chr(10)) END || chr(13) || chr(10) AS text FROM t""")
 def export_readme(spark, sf):
-    return export.notes(export_summary(spark, sf), history_files(spark, sf))
+    slips = _slips(spark, sf).where("kept")
+    counters = export_summary(spark, sf).join(export.slip_summary(slips), "case_id", "full")
+    return export.notes(counters, export.history_lines(export.histories(slips, DEFAULT)))
+
+
+@query(f"""WITH l AS ({SQL['history_files']}) SELECT case_id, file_name, sha256(encode('{export.HISTORY_HEADER}' || chr(13) || chr(10) || string_agg(line, chr(13) || chr(10) ORDER BY competence))) AS sha,
+  CAST(octet_length(encode('{export.HISTORY_HEADER}' || chr(13) || chr(10) || string_agg(line, chr(13) || chr(10) ORDER BY competence))) AS BIGINT) AS n_bytes FROM l GROUP BY ALL""")
+def history_file_bytes(spark, sf):
+    files = export.history_files(export.history_lines(export.histories(_slips(spark, sf).where("kept"), DEFAULT)))
+    return files.select("case_id", "file_name", F.sha2("content", 256).alias("sha"), F.length("content").cast("bigint").alias("n_bytes"))
+
+
+_LATIN_HEADER = " || '\\xED'::BLOB || ".join(f"encode('{part}')" for part in export.DAY_HEADER.split("í"))
+
+
+@query(f"""WITH {S.SHIFTS}, l AS (SELECT case_id, {_LATIN_HEADER} || encode(chr(13) || chr(10) || string_agg(line, chr(13) || chr(10) ORDER BY date)) AS content FROM workdays WHERE NOT omitted GROUP BY 1)
+SELECT case_id, sha256(content) AS sha, CAST(octet_length(content) AS BIGINT) AS n_bytes FROM l""")
+def workday_file_bytes(spark, sf):
+    files = export.day_files(_kept_cards(spark, sf), DEFAULT)
+    return files.select("case_id", F.sha2("content", 256).alias("sha"), F.length("content").cast("bigint").alias("n_bytes"))
 
 
 @query(f"WITH {S.REC_CARDS}, d AS (SELECT case_id || '/' || day_key AS case_id, kept AND disputed AS open FROM rec) SELECT case_id FROM d GROUP BY case_id HAVING NOT bool_or(open)")
