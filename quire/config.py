@@ -54,6 +54,9 @@ class Config:
     pages_per_call: int = 5
     strips_per_call: int = 4
     most_upload_bytes: int = 80 * 1024 * 1024
+    most_files: int = 60
+    calls_per_minute: int = 4
+    sweep_seconds: int = 60
     session_seconds: int = 900
     most_sessions: int = 8
 

@@ -70,3 +70,93 @@ def outcomes(cells: DataFrame, truth: str) -> DataFrame:
     """Cells that are right, to review, or wrong without a sign, by source."""
     return cells.groupBy(F.coalesce("source", F.lit("none")).alias("source")).agg(F.count_if(F.col("value") == F.col(truth)).alias("correct"), F.count_if(F.col("value").isNull()).alias("review"), F.count_if(F.col("value") != F.col(truth)).alias("silent_errors"))
 
+
+
+def schedule_cells(cells: DataFrame) -> DataFrame:
+    """The cells that a case's schedule is observed from: those of pages with confirmed dates, or all where no page has."""
+    any_confirmed = F.max(F.col("confirmed")).over(Window.partitionBy("case_id"))
+    return cells.withColumn("any_confirmed", any_confirmed).where("confirmed OR NOT any_confirmed").drop("any_confirmed")
+
+
+def physical_column(entry_x: Column, exit_x: Column) -> Column:
+    """0 or 1: the column that a cell's place is nearest to (the entry's where both are as near), whatever its slot."""
+    return (F.abs(F.col("x") - exit_x) < F.abs(F.col("x") - entry_x)).cast("int")
+
+
+def column_strips(cells: DataFrame, passes: Column, config: Config, seed: int = 0) -> DataFrame:
+    """Cells that ``passes`` lets through, as strips: one for each column of a page with an open cell, rows in a seeded order, strips in calls.
+
+    ``cells`` have entry_x and exit_x of their page; settled cells of a strip are context, and answers for them don't count."""
+    rows = cells.where(passes).withColumn("column", physical_column(F.col("entry_x"), F.col("exit_x")))
+    column = Window.partitionBy("case_id", "page_number", "column")
+    rows = rows.withColumn("open", F.max(F.col("value").isNull()).over(column)).where("open").drop("open")
+    mixed = F.md5(F.concat_ws("-", F.lit(seed).cast("string"), F.col("cell_id").cast("string")))
+    rows = rows.withColumn("row_pos", F.row_number().over(column.orderBy(mixed)))
+    strip = F.dense_rank().over(Window.partitionBy("case_id").orderBy("page_number", "column"))
+    return rows.withColumn("strip_no", strip).withColumn("call", F.floor((F.col("strip_no") - 1) / config.strips_per_call).cast("int"))
+
+
+def has_letters(text: Column) -> Column:
+    """Three letters in a row: a word. A blurred digit reads as one or two."""
+    return text.rlike(r"[A-Za-zÀ-ú]{3,}")
+
+
+def ink_ratio(pixels: Column, below: int = 128) -> Column:
+    return F.size(F.filter(pixels, lambda x: x < below)) / F.greatest(F.size(pixels), F.lit(1))
+
+
+def time_card_entries(cells: DataFrame, unread: DataFrame, config: Config) -> DataFrame:
+    """A row for each page and day: ``cells`` (case_id, page_number, day, slot, cell_id, value, source, single_mark, confirmed) as one entry, and ``unread`` days (with confirmed) as empty ones.
+
+    An entry has its times, its month, the fields to check (the date first, where the page's dates are not confirmed; both times for a lone mark
+    without a value), the confidence of its worst source, and the cells to show by field."""
+    name = F.when(F.col("slot") == 0, "clock_in").otherwise("clock_out")
+    pending = F.when(F.col("confirmed"), F.array().cast("array<string>")).otherwise(F.array(F.lit("date")))
+    open_ = F.when(F.col("value").isNotNull(), F.array().cast("array<string>")).when(F.col("single_mark"), F.array(F.lit("clock_in"), F.lit("clock_out"))).otherwise(F.array(name))
+    shown = F.when(F.coalesce(F.col("source"), F.lit("")) != "local", F.struct(F.when(F.col("single_mark") & F.col("value").isNull(), "clock_in").otherwise(name).alias("field"), F.col("cell_id").alias("cell")))
+    rows = cells.select("case_id", "page_number", "day", "slot", "cell_id", "value", "source", pending.alias("pending"), open_.alias("open"), shown.alias("shown"))
+    pick = lambda slot: F.max_by("value", F.when((F.col("slot") == slot) & F.col("value").isNotNull(), F.col("cell_id")))
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("slot", "cell_id", c))), lambda x: x[c])
+    shown_last = F.aggregate(F.array_compact(in_order("shown")), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>")),
+                             lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x["field"]), F.map_from_arrays(F.array(x["field"]), F.array(x["cell"].cast("bigint")))))
+    level = F.when(F.max(F.col("source").isNull()), config.confidence_pending).when(F.max(F.col("source") == "model"), config.confidence_model).otherwise(config.confidence_local)
+    read = rows.groupBy("case_id", "page_number", "day").agg(
+        pick(0).alias("clock_in"), pick(1).alias("clock_out"), F.concat(F.first("pending"), F.array_distinct(F.flatten(in_order("open")))).alias("ambiguous"),
+        level.alias("confidence"), shown_last.alias("review_cells"))
+    none = F.lit(None).cast("string")
+    both = F.array(F.lit("clock_in"), F.lit("clock_out"))
+    empty = unread.select(
+        "case_id", "page_number", "day", none.alias("clock_in"), none.alias("clock_out"), F.concat(pending, both).alias("ambiguous"), F.lit(0.0).alias("confidence"),
+        F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>")).alias("review_cells"))
+    return read.unionByName(empty).withColumn("competence", F.date_format("day", "yyyy-MM"))
+
+
+def review_cell(field: str) -> Column:
+    """The cell to show for a field of an entry, or null."""
+    return F.try_element_at("review_cells", F.lit(field))
+
+
+def cell_summary(pages: DataFrame, cells: DataFrame, unread: DataFrame) -> DataFrame:
+    """Eight counters of a case's local reading; ``pages`` (case_id, page_number, recognized, confirmed)."""
+    a = pages.groupBy("case_id").agg(
+        F.count_if("recognized").alias("pages"), F.count_if(~F.col("recognized")).alias("unrecognized"), F.count_if(F.col("recognized") & ~F.col("confirmed")).alias("dates_unconfirmed"))
+    b = cells.groupBy("case_id").agg(
+        F.count("*").alias("cells"), F.count_if(F.col("source") == "local").alias("local"), F.count_if(F.col("source") == "model").alias("model"), F.count_if(F.col("value").isNull()).alias("review"))
+    c = unread.groupBy("case_id").agg(F.count("*").alias("unread_days"))
+    names = ("pages", "unrecognized", "dates_unconfirmed", "cells", "local", "model", "review", "unread_days")
+    return a.join(b, "case_id", "left").join(c, "case_id", "left").select("case_id", *(F.coalesce(n, F.lit(0)).cast("bigint").alias(n) for n in names))
+
+
+def strategies(expected: DataFrame, cells: DataFrame, config: Config) -> DataFrame:
+    """How often each way to settle cells is right, leaves a cell to review, or is wrong without a sign: ``expected`` (case_id, day, slot, want) against the first cell of each place.
+
+    ``cells`` are resolved (usual, agreed, local, value). A place without a cell is one to review, for every way."""
+    first = cells.withColumn("nth", F.row_number().over(Window.partitionBy("case_id", "day", "slot").orderBy("cell_id"))).where("nth = 1")
+    ways = F.array(
+        F.struct(F.lit("first_reading").alias("strategy"), F.when(plausible("first_read", config, False), F.col("first_read")).alias("got")),
+        F.struct(F.lit("consensus").alias("strategy"), F.when(F.col("local"), F.col("agreed")).alias("got")),
+        F.struct(F.lit("with_model").alias("strategy"), F.col("value").alias("got")),
+    )
+    rows = expected.join(first, ["case_id", "day", "slot"], "left").select("want", F.inline(ways))
+    right, review = F.col("got") == F.col("want"), F.col("got").isNull()
+    return rows.groupBy("strategy").agg(F.count_if(right).alias("correct"), F.count_if(review).alias("review"), F.count_if(F.col("got") != F.col("want")).alias("silent_errors"))

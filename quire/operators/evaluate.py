@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cents
+from ..functions.text import cents, normalized_date, normalized_month, normalized_time
+from ..sources.files import TRUTH
+from .answers import TYPES
 from .records import TIMES
 
-#: Fixed value: the type of a page that ground truth doesn't list.
-IRRELEVANT = "IRRELEVANTE"
+#: The type of a page that ground truth doesn't list.
+IRRELEVANT = TYPES[2]
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -45,17 +50,25 @@ def model_scores(calls: DataFrame, group: list[str]) -> DataFrame:
 
 
 def day_scores(truth: DataFrame, predicted: DataFrame) -> DataFrame:
-    """``truth`` (case_id, date, times) against validated rows; of several predictions for a day the first counts."""
+    """``truth`` (case_id, date, times) against validated rows; of several predictions for a day the first counts.
+
+    Days found and invented, and of the four times of each day how many are right, empty, wrong, or wrong on a day whose date is to be confirmed."""
     first = predicted.where("date IS NOT NULL").withColumn("nth", F.row_number().over(Window.partitionBy("case_id", "date").orderBy("row_no"))).where("nth = 1")
     got = first.select("case_id", "date", *(F.col(t).alias(f"got_{t}") for t in TIMES), F.array_contains("ambiguous", "date").alias("pending"), F.lit(1).alias("found"))
-    fields = F.explode(F.array(*[F.struct(F.col(t).alias("want"), F.col(f"got_{t}").alias("got")) for t in TIMES]))
+    fields = F.explode(F.array(*[F.struct(F.lit(t).alias("name"), F.col(t).alias("want"), F.col(f"got_{t}").alias("got")) for t in TIMES]))
     rows = truth.join(got, ["case_id", "date"], "left").withColumn("f", fields)
     want, have = F.col("f.want"), F.col("f.got")
     counts = rows.groupBy("case_id").agg(
         F.count("*").alias("fields"), F.count_if(want.eqNullSafe(have)).alias("correct"), F.count_if(want.isNull() & have.isNotNull()).alias("invented"), F.count_if(want.isNotNull()).alias("marks"),
-        F.count_if(want.isNotNull() & have.isNull()).alias("empty"), F.count_if((want != have) & ~F.col("pending")).alias("wrong"), F.count_if((want != have) & F.col("pending")).alias("date_pending"), (F.count_if(F.col("found") == 1) / 4).cast("bigint").alias("found_days"))
-    extra = got.join(truth.select("case_id", "date"), ["case_id", "date"], "left_anti").groupBy("case_id").agg(F.count("*").alias("extra_days"))
-    return counts.join(extra, "case_id", "left").withColumns({"extra_days": F.coalesce("extra_days", F.lit(0)).cast("bigint"), "accuracy": ratio(F.col("correct"), F.col("fields"))})
+        F.count_if(want.isNotNull() & have.isNull()).alias("empty"), F.count_if((want != have) & ~F.col("pending")).alias("wrong"), F.count_if((want != have) & F.col("pending")).alias("date_pending"), (F.count_if(F.col("found") == 1) / 4).cast("bigint").alias("found_days"),
+        F.count_distinct("date").alias("expected_days"), *(F.count_if((F.col("f.name") == t) & want.eqNullSafe(have)).alias(f"right_{t}") for t in TIMES), *(F.count_if(F.col("f.name") == t).alias(f"all_{t}") for t in TIMES))
+    extra = got.join(truth.select("case_id", "date").distinct(), ["case_id", "date"], "left_anti").groupBy("case_id").agg(F.count("*").alias("extra_days"))
+    pending = got.groupBy("case_id").agg(F.count_if("pending").alias("unconfirmed_days"))
+    shares = {f"accuracy_{t}": ratio(F.col(f"right_{t}"), F.col(f"all_{t}")) for t in TIMES}
+    both = counts.join(extra, "case_id", "left").join(pending, "case_id", "left")
+    none = {c: F.coalesce(c, F.lit(0)).cast("bigint") for c in ("extra_days", "unconfirmed_days")}
+    whole = {"day_recall": ratio(F.col("found_days"), F.col("expected_days")), "accuracy": ratio(F.col("correct"), F.col("fields"))}
+    return both.withColumns({**none, **whole, **shares}).drop(*(f"{a}_{t}" for a in ("right", "all") for t in TIMES))
 
 
 def item_scores(truth: DataFrame, predicted: DataFrame) -> DataFrame:
@@ -75,11 +88,22 @@ def greedy_matches(truth: DataFrame, predicted: DataFrame, tolerance: float = 0.
     Amounts of a month that lie further apart than ``tolerance`` cannot compete, so a large month is cut at such gaps, ``runs_per_task`` runs a group."""
     def match(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("row_no")
-        free, out = list(rows.loc[~rows["given"], ["row_no", "amount"]].itertuples(index=False, name=None)), []
+        waiting: dict[float, list[int]] = {}  # rows of each amount, the first one last
+        for row, amount in rows.loc[~rows["given"], ["row_no", "amount"]].iloc[::-1].itertuples(index=False, name=None):
+            waiting.setdefault(amount, []).append(row)
+        amounts, out = sorted(waiting), []
         for case, month, row, amount in rows.loc[rows["given"], ["case_id", "competence", "row_no", "amount"]].itertuples(index=False, name=None):
-            k = next((k for k, (_, a) in enumerate(free) if abs(a - amount) <= tolerance), None)
-            if k is not None:
-                out.append((case, month, row, free.pop(k)[0]))
+            at, best = bisect_left(amounts, amount - 2 * tolerance), None
+            while at < len(amounts) and amounts[at] <= amount + 2 * tolerance:
+                own = waiting[amounts[at]]
+                if not own:
+                    del amounts[at]
+                    continue
+                if abs(amounts[at] - amount) <= tolerance and (best is None or own[-1] < best[-1]):
+                    best = own
+                at += 1
+            if best is not None:
+                out.append((case, month, row, best.pop()))
         return pd.DataFrame(out, columns=["case_id", "competence", "row_no", "taken"])
 
     columns, by_amount = ["case_id", "competence", "row_no", "amount"], Window.partitionBy("case_id", "competence").orderBy("amount")
@@ -107,3 +131,42 @@ def totals(scores: DataFrame, group: list[str]) -> DataFrame:
     """Sums by group and in total (null group), and the ratio of the sums."""
     sums = scores.groupingSets([group, []], *group).agg(F.count("*").alias("cases"), F.sum("correct").alias("correct"), F.sum("fields").alias("fields"))
     return sums.withColumn("accuracy", ratio(F.col("correct"), F.col("fields")))
+
+
+def truth_tables(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """``documents`` (case_id, document: JSON) as pages, time cards and pay items, and what is wrong with the other cases.
+
+    A case with a page below 1, an unknown type, a date, month or time that cannot be read, or an amount that is no number gives no rows but
+    one in the last table: ``problem`` names the field, never its value. Amounts lose their sign and are rounded to cents."""
+    rows = documents.select("case_id", F.from_json("document", TRUTH).alias("t")).select("case_id", "t.*")
+    page = lambda k, v: k.try_cast("int").isNull() | (k.try_cast("int") < 1) | ~F.coalesce(v, F.lit("")).isin(*TYPES)
+    unread = lambda t: lambda r: r[t].isNotNull() & (r[t] != "") & normalized_time(r[t]).isNull()
+    has = lambda c, f: F.coalesce(F.exists(c, f), F.lit(False))
+    problem = F.when(F.col("pages").isNull() & F.col("time_cards").isNull() & F.col("payslips").isNull(), "document")
+    problem = problem.when(F.coalesce(F.size(F.map_filter("pages", page)) > 0, F.lit(False)), "pages")
+    problem = problem.when(has("time_cards", lambda r: normalized_date(r["date"]).isNull()), "date")
+    for t in TIMES:
+        problem = problem.when(has("time_cards", unread(t)), t)
+    problem = problem.when(has("payslips", lambda r: normalized_month(r["competence"]).isNull()), "competence").when(has("payslips", lambda r: r["amount"].try_cast("double").isNull()), "amount")
+    rows = rows.withColumn("problem", problem)
+    good = rows.where("problem IS NULL")
+    pages = good.select("case_id", F.explode("pages").alias("page", "document_type")).select("case_id", F.col("page").cast("int").alias("page_number"), "document_type")
+    days = good.select("case_id", F.posexplode("time_cards").alias("pos", "r")).select("case_id", "pos", normalized_date(F.col("r.date")).alias("date"), *(normalized_time(F.col(f"r.{t}")).alias(t) for t in TIMES))
+    items = good.select("case_id", F.posexplode("payslips").alias("pos", "r")).select(
+        "case_id", "pos", normalized_month(F.col("r.competence")).alias("competence"), F.coalesce("r.item_name", F.lit("")).alias("item_name"), F.round(F.abs(F.col("r.amount").try_cast("double")), 2).alias("amount"))
+    return pages, days, items, rows.where("problem IS NOT NULL").select("case_id", "problem")
+
+
+def next_cases(cases: DataFrame, done: DataFrame, most: int, kinds: list[str] | None = None) -> DataFrame:
+    """The first ``most`` cases (case_id, layout, scan), in the order of their ids, that were not measured before; with ``kinds`` (layout/scan), of these alone."""
+    rows = cases if kinds is None else cases.where(F.concat_ws("/", "layout", "scan").isin(kinds))
+    return rows.join(done.select("case_id").distinct(), "case_id", "left_anti").orderBy("case_id").limit(most)
+
+
+def case_scores(pages: DataFrame, classes: DataFrame, days: DataFrame, items: DataFrame) -> DataFrame:
+    """One row for each case from the four scores: ``page_scores``, ``class_scores``, ``day_scores``, ``item_scores``; counters of a part that a case lacks are 0, its ratios null."""
+    named = lambda rows, name: rows.select("case_id", *(F.col(c).alias(f"{name}_{c}") for c in rows.columns if c != "case_id"))
+    parts = [named(rows, name) for rows, name in ((pages, "page"), (classes, "class"), (days, "day"), (items, "item"))]
+    whole = reduce(lambda a, b: a.join(b, "case_id", "full"), parts)
+    counts = [c for c, t in whole.dtypes if t == "bigint" and c != "case_id"]
+    return whole.withColumns({c: F.coalesce(c, F.lit(0)).cast("bigint") for c in counts})

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from heapq import heappop, heappush
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -19,14 +22,41 @@ def upload_kind(name: Column, content_type: Column) -> Column:
 
 
 def over_budget(uploads: DataFrame, most_bytes: int) -> DataFrame:
-    """Adds the running size in file order and whether it exceeds the shared budget."""
+    """Adds the running size in file order, whether it exceeds the shared budget, and the file's state: EMPTY_FILE, FILE_TOO_LARGE (all that is read past the budget) or OK."""
     running = F.sum("size").over(Window.partitionBy("case_id").orderBy("file_pos").rowsBetween(Window.unboundedPreceding, 0))
-    return uploads.withColumn("used", running).withColumn("too_large", F.col("used") > most_bytes)
+    rows = uploads.withColumn("used", running).withColumn("too_large", F.col("used") > most_bytes)
+    return rows.withColumn("state", F.when(F.col("too_large"), "FILE_TOO_LARGE").when(F.coalesce(F.col("size"), F.lit(0)) == 0, "EMPTY_FILE").otherwise("OK"))
+
+
+def upload_checks(uploads: DataFrame, most_files: int, most_bytes: int) -> DataFrame:
+    """Each case's upload with its first fault: TOO_MANY_FILES, UNKNOWN_KIND, FILE_TOO_LARGE, EMPTY_FILE, or OK."""
+    kind = upload_kind(F.col("filename"), F.col("content_type"))
+    sums = uploads.groupBy("case_id").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"), F.count_if(kind.isNull()).alias("unknown"), F.count_if(F.coalesce(F.col("size"), F.lit(0)) == 0).alias("empty"))
+    state = (
+        F.when(F.col("files") > most_files, "TOO_MANY_FILES").when(F.col("unknown") > 0, "UNKNOWN_KIND").when(F.col("bytes") > most_bytes, "FILE_TOO_LARGE")
+        .when(F.col("empty") > 0, "EMPTY_FILE").otherwise("OK")
+    )
+    return sums.select("case_id", "files", "bytes", state.alias("state"))
+
+
+def merged_files(files: DataFrame, key: tuple[str, ...] = ("filename", "size", "modified")) -> DataFrame:
+    """Of files with the same name, size and time of change in a case, the first."""
+    return files.withColumn("nth", F.row_number().over(Window.partitionBy("case_id", *key).orderBy("file_pos"))).where("nth = 1").drop("nth")
 
 
-def merged_files(files: DataFrame) -> DataFrame:
-    """Of files with the same name and size in a case, the first."""
-    return files.withColumn("nth", F.row_number().over(Window.partitionBy("case_id", "filename", "size").orderBy("file_pos"))).where("nth = 1").drop("nth")
+def page_starts(files: DataFrame) -> DataFrame:
+    """Adds ``first_page``: the place of a file's first page in its case, by the pages of the files before."""
+    before = F.sum("n_pages").over(Window.partitionBy("case_id").orderBy("file_pos").rowsBetween(Window.unboundedPreceding, -1))
+    return files.withColumn("first_page", F.coalesce(before, F.lit(0)) + 1)
+
+
+def assembled(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``files`` (case_id, file_pos, n_pages, encrypted) as one document for each case: its pages in file order, and the files that spoil theirs (encrypted, or without pages), which give no document."""
+    bad = F.col("encrypted") | (F.coalesce(F.col("n_pages"), F.lit(0)) < 1)
+    rows = files.withColumn("bad", bad).withColumn("spoilt", F.max("bad").over(Window.partitionBy("case_id")))
+    good = page_starts(rows.where("NOT spoilt")).select("case_id", "file_pos", "first_page", F.explode(F.sequence(F.lit(1), F.col("n_pages").cast("int"))).alias("page_pos"))
+    pages = good.select("case_id", (F.col("first_page") + F.col("page_pos") - 1).alias("page_number"), "file_pos", "page_pos")
+    return pages, rows.where("bad").select("case_id", "file_pos", F.lit("INVALID_PDF").alias("state"))
 
 
 def sessions(events: DataFrame, seconds: int) -> DataFrame:
@@ -52,3 +82,51 @@ def concurrency(found: DataFrame, seconds: int, per: str = "day") -> DataFrame:
 def latest_status(events: DataFrame) -> DataFrame:
     """``events`` (run_id, at, status): each run's last status, of an append-only log."""
     return events.groupBy("run_id").agg(F.max_by("status", F.struct("at", "event_id")).alias("status"), F.max("at").alias("at"))
+
+
+def expired(found: DataFrame, seconds: int, every: int = 60) -> DataFrame:
+    """Adds when each session expires (microseconds, ``seconds`` past its last event) and the first sweep, one every ``every`` seconds, that finds it expired."""
+    expires = F.unix_micros(F.col("last_ts").cast("timestamp")) + seconds * 1_000_000
+    step = every * 1_000_000
+    return found.withColumn("expires_us", expires).withColumn("swept_us", (F.ceil(F.col("expires_us") / F.lit(step)) * step).cast("bigint"))
+
+
+def admitted(asked: DataFrame, most: int) -> DataFrame:
+    """``asked`` (store, session, start_us, expires_us) with ``admitted``: a session is turned away while its store holds ``most`` live ones; none is put out for it.
+
+    A store's sessions are cut where none is live, so a task gets one busy period, not a store's whole history."""
+    order = Window.partitionBy("store").orderBy("start_us", "session")
+    latest = F.max("expires_us").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = asked.withColumn("fresh", F.coalesce((F.col("start_us") >= latest).cast("int"), F.lit(1))).withColumn("period", F.sum("fresh").over(order)).drop("fresh")
+
+    names = [*asked.columns, "admitted"]
+
+    def admit(period: pd.DataFrame) -> pd.DataFrame:
+        period = period.sort_values(["start_us", "session"])
+        live: list[int] = []
+        kept = []
+        for start, end in zip(period["start_us"], period["expires_us"]):
+            while live and live[0] <= start:
+                heappop(live)
+            kept.append(len(live) < most)
+            if kept[-1]:
+                heappush(live, end)
+        return period.assign(admitted=kept)[names]
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in asked.dtypes) + ", admitted boolean"
+    return rows.groupBy("store", "period").applyInPandas(admit, schema)
+
+
+def paced(runs: DataFrame, per_minute: int) -> DataFrame:
+    """``runs`` (queue, nth, calls, elapsed in seconds) one after the other at ``per_minute`` calls: the pause after each, and when each starts."""
+    need = F.col("calls") * 60.0 / per_minute
+    before = Window.partitionBy("queue").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    rows = runs.withColumn("pause", F.greatest(need - F.col("elapsed"), F.lit(0.0)))
+    return rows.withColumn("starts_at", F.coalesce(F.sum(F.col("elapsed") + F.col("pause")).over(before), F.lit(0.0)))
+
+
+def status_spans(events: DataFrame) -> DataFrame:
+    """Every change of a run's status with the time it held, the last without an end; repeated statuses are one."""
+    order = Window.partitionBy("run_id").orderBy("at", "event_id")
+    changes = events.withColumn("before", F.lag("status").over(order)).where("before IS NULL OR before <> status").drop("before")
+    return changes.withColumn("until", F.lead("at").over(order))

@@ -293,9 +293,9 @@ def month_shift_vote(spark, sf):
     return grid.month_shift(rows).select("case_id", *long("best_shift", "agree"))
 
 
-@query("WITH d AS (SELECT DISTINCT user_id AS case_id, CAST(ts AS DATE) AS day FROM events WHERE event_type = 'click'), e AS (SELECT case_id, unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM d GROUP BY 1) SELECT * FROM e ANTI JOIN d USING (case_id, day)")
+@query("WITH d AS (SELECT DISTINCT user_id AS case_id, CAST(ts AS DATE) AS day FROM events), e AS (SELECT case_id, unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM d GROUP BY 1) SELECT * FROM e ANTI JOIN d USING (case_id, day)")
 def unread_days(spark, sf):
-    return grid.unread_days(src.table(spark, sf, "events").where("event_type = 'click'").select(F.col("user_id").alias("case_id"), F.to_date("ts").alias("day")))
+    return grid.unread_days(src.table(spark, sf, "events").select(F.col("user_id").alias("case_id"), F.to_date("ts").alias("day")))
 
 
 @query("WITH w AS (SELECT user_id AS case_id, CAST(ts AS DATE) AS line, event_id AS pos, hour(ts) * 60 + minute(ts) AS x, event_type AS text FROM events), c AS (SELECT DISTINCT case_id, line, slot, 480 + 540 * slot AS cx FROM w, range(0, 2) t(slot)), n AS (SELECT w.case_id, w.line, slot, text, abs(x - cx) AS away, pos FROM w JOIN c ON w.case_id = c.case_id AND w.line = c.line WHERE abs(x - cx) <= 150), r AS (SELECT *, row_number() OVER (PARTITION BY case_id, line, slot ORDER BY away, pos) AS k FROM n) SELECT case_id, line, slot, text, CAST(away AS BIGINT) AS away FROM r WHERE k = 1")
@@ -553,10 +553,11 @@ def eval_classification(spark, sf):
 
 
 @query(f"""WITH {S.VALID}, f AS (SELECT *, row_number() OVER (PARTITION BY case_id, date ORDER BY row_no) AS nth FROM valid WHERE date IS NOT NULL AND source_page <> 2), p AS (SELECT * FROM f WHERE nth = 1), t AS (SELECT * EXCLUDE nth FROM (SELECT *, row_number() OVER (PARTITION BY case_id, date ORDER BY row_no) AS nth FROM valid WHERE date IS NOT NULL AND source_page <= 3) WHERE nth = 1),
-j AS (SELECT t.case_id, p.case_id IS NOT NULL AS found, coalesce(list_contains(p.ambiguous, 'date'), false) AS pending, unnest([{', '.join(f"{{'w': t.{x}, 'g': p.{x}}}" for x in S.TIMES)}]) AS u FROM t LEFT JOIN p ON t.case_id = p.case_id AND t.date = p.date),
-c AS (SELECT case_id, count(*) AS fields, count(*) FILTER (u.w IS NOT DISTINCT FROM u.g) AS correct, count(*) FILTER (u.w IS NULL AND u.g IS NOT NULL) AS invented, count(*) FILTER (u.w IS NOT NULL) AS marks, count(*) FILTER (u.w IS NOT NULL AND u.g IS NULL) AS empty, count(*) FILTER (u.w <> u.g AND NOT pending) AS wrong, count(*) FILTER (u.w <> u.g AND pending) AS date_pending, count(*) FILTER (found) // 4 AS found_days FROM j GROUP BY 1),
-x AS (SELECT p.case_id, count(*) AS extra_days FROM p ANTI JOIN t USING (case_id, date) GROUP BY 1)
-SELECT c.*, coalesce(extra_days, 0) AS extra_days, {_RATIO.format(a='correct', b='fields')} AS accuracy FROM c LEFT JOIN x ON c.case_id = x.case_id""")
+j AS (SELECT t.case_id, t.date, p.case_id IS NOT NULL AS found, coalesce(list_contains(p.ambiguous, 'date'), false) AS pending, unnest([{', '.join(f"{{'n': '{x}', 'w': t.{x}, 'g': p.{x}}}" for x in S.TIMES)}]) AS u FROM t LEFT JOIN p ON t.case_id = p.case_id AND t.date = p.date),
+c AS (SELECT case_id, count(*) AS fields, count(*) FILTER (u.w IS NOT DISTINCT FROM u.g) AS correct, count(*) FILTER (u.w IS NULL AND u.g IS NOT NULL) AS invented, count(*) FILTER (u.w IS NOT NULL) AS marks, count(*) FILTER (u.w IS NOT NULL AND u.g IS NULL) AS empty, count(*) FILTER (u.w <> u.g AND NOT pending) AS wrong, count(*) FILTER (u.w <> u.g AND pending) AS date_pending, count(*) FILTER (found) // 4 AS found_days,
+  count(DISTINCT date) AS expected_days, {', '.join(f"round(count(*) FILTER (u.n = '{x}' AND u.w IS NOT DISTINCT FROM u.g)::DOUBLE / count(*) FILTER (u.n = '{x}'), 4) AS accuracy_{x}" for x in S.TIMES)} FROM j GROUP BY 1),
+x AS (SELECT p.case_id, count(*) AS extra_days FROM p ANTI JOIN t USING (case_id, date) GROUP BY 1), o AS (SELECT case_id, count(*) FILTER (list_contains(ambiguous, 'date')) AS unconfirmed_days FROM p GROUP BY 1)
+SELECT c.*, coalesce(extra_days, 0) AS extra_days, coalesce(unconfirmed_days, 0) AS unconfirmed_days, {_RATIO.format(a='found_days', b='expected_days')} AS day_recall, {_RATIO.format(a='correct', b='fields')} AS accuracy FROM c LEFT JOIN x ON c.case_id = x.case_id LEFT JOIN o ON c.case_id = o.case_id""")
 def eval_time_cards(spark, sf):
     rows = records.valid_time_cards(src.time_cards(spark, sf))
     return evaluate.day_scores(_first_of_day(rows), rows.where("source_page <> 2"))
@@ -622,9 +623,10 @@ def upload_budget(spark, sf):
     return intake.over_budget(_files(spark, sf), 20_000).select("page_id", "used", "too_large")
 
 
-@query(f"WITH {_FILES}, r AS (SELECT *, row_number() OVER (PARTITION BY case_id, filename, size // 1000 ORDER BY file_pos) AS nth FROM files) SELECT page_id, case_id, filename FROM r WHERE nth = 1")
+@query(f"WITH {_FILES}, r AS (SELECT *, row_number() OVER (PARTITION BY case_id, filename, size // 1000, page_id % 2 ORDER BY file_pos) AS nth FROM files) SELECT page_id, case_id, filename FROM r WHERE nth = 1")
 def merge_files(spark, sf):
-    return intake.merged_files(_files(spark, sf).withColumn("size", F.floor(F.col("size") / 1000))).select("page_id", "case_id", "filename")
+    files = _files(spark, sf).withColumns({"size": F.floor(F.col("size") / 1000), "modified": F.col("page_id") % 2})
+    return intake.merged_files(files).select("page_id", "case_id", "filename")
 
 
 def _sessions_sql(seconds: int) -> str:
@@ -652,4 +654,4 @@ def job_status_latest(spark, sf):
     return rows.select("run_id", "status", F.unix_micros(F.col("at").cast("timestamp")).alias("at_us"))
 
 
-from . import pages, results  # noqa: E402, F401  (they register their queries)
+from . import evaluation, pages, readings, results  # noqa: E402, F401  (they register their queries)

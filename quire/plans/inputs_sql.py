@@ -136,11 +136,12 @@ vslips AS (SELECT * EXCLUDE (competence, item_name), coalesce({month('competence
 REC_SLIPS = f"{VALID_SLIPS}, {reconciled('vslips', 'competence, label_key', 'CAST(CAST(amount AS DECIMAL(18,2)) AS VARCHAR)')}"
 
 MARKS = """firsts AS (
-  SELECT user_id AS case_id, CAST(ts AS DATE) AS day, CASE event_type WHEN 'click' THEN 0 ELSE 1 END AS slot, min(hour(ts)) AS h, min(event_id) AS k
-  FROM events WHERE event_type IN ('click', 'purchase') GROUP BY 1, 2, 3),
+  SELECT user_id AS case_id, CAST(ts AS DATE) AS day, CASE WHEN event_type IN ('purchase', 'signup') THEN 1 ELSE 0 END AS slot, min(hour(ts)) AS h, min(event_id) AS k
+  FROM events GROUP BY 1, 2, 3),
 marks AS (
   SELECT case_id, day, slot, k AS cell_id, t0 AS first_read, CASE WHEN k % 6 = 0 THEN t1 ELSE t0 END AS reread_1, CASE WHEN k % 10 <> 0 THEN t0 END AS reread_2,
-    CASE WHEN k % 4 = 0 THEN t1 WHEN k % 4 <> 3 THEN t0 END AS model_read, isodow(day) - 1 AS weekday
+    CASE WHEN k % 4 = 0 THEN t1 WHEN k % 4 <> 3 THEN t0 END AS model_read, isodow(day) - 1 AS weekday, k,
+    month(day) AS page_number, (case_id + month(day)) % 3 <> 0 AS confirmed, k % 9 = 0 AS single_mark
   FROM (SELECT *, lpad(h::VARCHAR, 2, '0') || ':' || lpad((k % 60)::VARCHAR, 2, '0') AS t0, lpad(((h + 1) % 24)::VARCHAR, 2, '0') || ':' || lpad((k % 60)::VARCHAR, 2, '0') AS t1 FROM firsts))"""
 SCHEDULE = f"""{MARKS},
 samples AS (SELECT case_id, weekday, list_sort(list({minutes('first_read')}) FILTER (slot = 0)) AS a, list_sort(list({minutes('first_read')}) FILTER (slot = 1)) AS b FROM marks GROUP BY 1, 2),

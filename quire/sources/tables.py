@@ -84,15 +84,25 @@ def payslips(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Place of the two columns of a page and usual size of a cell.
+ENTRY_X, EXIT_X, CELL = 412, 538, (84, 23)
+
+
 def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells of a time card: first reading, two further readings and a model's, per user, day and slot (0: entry, 1: exit)."""
-    events = table(spark, sf_dir, "events").where(F.col("event_type").isin("click", "purchase"))
-    rows = events.groupBy(F.col("user_id").alias("case_id"), F.to_date("ts").alias("day"), F.when(F.col("event_type") == "click", 0).otherwise(1).alias("slot")).agg(F.min(F.hour("ts")).alias("h"), F.min("event_id").alias("k"))
+    """Cells of a time card, per user, day and slot (0: entry, 1: exit): first reading, two further readings and a model's; page (a month), place, size, ink and letters."""
+    events = table(spark, sf_dir, "events")
+    slot = F.when(F.col("event_type").isin("purchase", "signup"), 1).otherwise(0)
+    rows = events.groupBy(F.col("user_id").alias("case_id"), F.to_date("ts").alias("day"), slot.alias("slot")).agg(F.min(F.hour("ts")).alias("h"), F.min("event_id").alias("k"))
     at = lambda shift: F.format_string("%02d:%02d", ((F.col("h") + shift) % 24).cast("int"), (F.col("k") % 60).cast("int"))
+    k, single = F.col("k"), F.col("k") % 9 == 0
     return rows.select(
-        "case_id", "day", "slot", F.col("k").alias("cell_id"), at(F.lit(0)).alias("first_read"),
-        F.when(F.col("k") % 6 == 0, at(F.lit(1))).otherwise(at(F.lit(0))).alias("reread_1"), F.when(F.col("k") % 10 != 0, at(F.lit(0))).alias("reread_2"),
-        F.when(F.col("k") % 4 == 0, at(F.lit(1))).when(F.col("k") % 4 != 3, at(F.lit(0))).alias("model_read"),
+        "case_id", "day", "slot", k.alias("cell_id"), at(F.lit(0)).alias("first_read"),
+        F.when(k % 6 == 0, at(F.lit(1))).otherwise(at(F.lit(0))).alias("reread_1"), F.when(k % 10 != 0, at(F.lit(0))).alias("reread_2"),
+        F.when(k % 4 == 0, at(F.lit(1))).when(k % 4 != 3, at(F.lit(0))).alias("model_read"),
+        F.month("day").alias("page_number"), ((F.col("case_id") + F.month("day")) % 3 != 0).alias("confirmed"), single.alias("single_mark"),
+        (F.when((F.col("slot") == 0) | single, ENTRY_X).otherwise(EXIT_X) + k % 5 - 2).alias("x"), (CELL[0] - k % 24).alias("w"), F.lit(CELL[1]).alias("h"),
+        (k % 12 / 100.0).alias("ink_ratio"), (k % 17 == 0).alias("has_letters"), F.lit(CELL[0]).alias("column_width"), F.lit(CELL[1]).alias("column_height"),
+        F.lit(ENTRY_X).alias("entry_x"), F.lit(EXIT_X).alias("exit_x"),
     )
 
 
