@@ -311,14 +311,14 @@ _SHEET = """e AS (SELECT user_id AS case_id, CAST(ts AS DATE) AS day, min(strfti
 p AS (SELECT DISTINCT case_id, CAST(date_trunc('month', day) AS DATE) AS month FROM e), q AS (SELECT *, CAST(row_number() OVER (PARTITION BY case_id ORDER BY month) AS BIGINT) AS page_number FROM p),
 c AS (SELECT case_id, page_number, month, CAST(unnest(generate_series(month, last_day(month), INTERVAL 1 DAY)) AS DATE) AS day FROM q),
 d AS (SELECT c.*, a, b, n, k FROM c LEFT JOIN e USING (case_id, day) WHERE NOT (c.case_id % 3 = 1 AND isodow(day) = 3)),
-good AS (SELECT case_id, page_number FROM d GROUP BY 1, 2 HAVING count(*) FILTER (n > 1 AND k % 7 > 1) >= 3), r AS (SELECT * FROM d JOIN good USING (case_id, page_number))"""
+good AS (SELECT case_id, page_number FROM d GROUP BY 1, 2 HAVING count(*) FILTER (n > 1 AND k % 7 > 1) >= 3), r AS (SELECT *, 315 + 12 * (case_id % 4) AS ex, 70 + 3 * (case_id % 3) AS cw FROM d JOIN good USING (case_id, page_number))"""
 
 
 @query("""WITH e AS (SELECT user_id AS case_id, CAST(ts AS DATE) AS day, min(strftime(ts, '%H:%M')) AS a, max(strftime(ts, '%H:%M')) AS b, count(*) AS n, min(event_id) AS k FROM events GROUP BY 1, 2),
 f AS (SELECT case_id, day, CASE WHEN n = 1 THEN [a, 'Esquecimento'] WHEN k % 7 = 0 THEN [a || '.' || b] WHEN k % 7 = 1 THEN [b] ELSE [a, b] END AS ws FROM e WHERE NOT (case_id % 3 = 1 AND isodow(day) = 3))
-SELECT case_id, CAST(300 + 40 * day(day) AS BIGINT) AS y, CAST(len(ws) AS BIGINT) AS n, array_to_string(ws, ' ') AS words FROM f""")
+SELECT case_id, CAST(260 + 34 * day(day) AS BIGINT) AS y, CAST(len(ws) AS BIGINT) AS n, array_to_string(ws, ' ') AS words FROM f""")
 def ocr_tsv_words(spark, sf):
-    found = sheets.tsv_words(src.sheets(spark, sf)).where("y BETWEEN 300 AND 1600 AND x > 300")
+    found = sheets.tsv_words(src.sheets(spark, sf)).where("y BETWEEN 260 AND 1400 AND x > 300")
     lines = found.groupBy("case_id", "page_number", "y").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "text"))), lambda w: w["text"]), " ").alias("words"))
     return lines.where("words NOT LIKE 'DESC%'").select("case_id", *long("y", "n"), "words")
 
@@ -327,16 +327,16 @@ def _sheet_rows(spark, sf):
     return sheets.sheet_rows(sheets.tsv_words(src.sheets(spark, sf)))
 
 
-@query(f"WITH {_SHEET} SELECT case_id, page_number, CAST(count(*) AS BIGINT) AS n_rows, month AS start, CAST(last_day(month) AS DATE) AS end_day, true AS confirmed, CAST(369 AS BIGINT) AS entry_x, CAST(465 AS BIGINT) AS exit_x, CAST(76 AS BIGINT) AS width, CAST(21 AS BIGINT) AS height FROM r GROUP BY case_id, page_number, month")
+@query(f"WITH {_SHEET} SELECT case_id, page_number, CAST(count(*) AS BIGINT) AS n_rows, month AS start, CAST(last_day(month) AS DATE) AS end_day, true AS confirmed, CAST(min(ex) AS BIGINT) AS entry_x, CAST(min(ex + cw + 45) AS BIGINT) AS exit_x, CAST(min(cw) AS BIGINT) AS width, CAST(19 + case_id % 3 AS BIGINT) AS height FROM r GROUP BY case_id, page_number, month")
 def sheet_pages(spark, sf):
     found = sheets.sheet_pages(_sheet_rows(spark, sf))
     return found.select("case_id", *long("page_number", "n_rows"), "start", F.col("end").alias("end_day"), "confirmed", *long("entry_x", "exit_x", "width", "height"))
 
 
-@query(f"""WITH {_SHEET}, s AS (SELECT *, unnest(CASE WHEN n = 1 THEN [{{'slot': CASE WHEN a >= '13:00' THEN 1 ELSE 0 END, 'first_read': a, 'x': 370, 'w': 74}}]
-WHEN k % 7 = 0 THEN [{{'slot': 0, 'first_read': a, 'x': 359, 'w': 76}}, {{'slot': 1, 'first_read': b, 'x': 465, 'w': 63}}]
-WHEN k % 7 = 1 THEN [{{'slot': 0, 'first_read': NULL, 'x': 369, 'w': 76}}, {{'slot': 1, 'first_read': b, 'x': 465, 'w': 76}}]
-ELSE [{{'slot': 0, 'first_read': a, 'x': 369, 'w': 76}}, {{'slot': 1, 'first_read': b, 'x': 465, 'w': 76}}] END) AS u FROM r WHERE n IS NOT NULL)
+@query(f"""WITH {_SHEET}, s AS (SELECT *, unnest(CASE WHEN n = 1 THEN [{{'slot': CASE WHEN a >= '13:00' THEN 1 ELSE 0 END, 'first_read': a, 'x': ex + 2, 'w': cw - 4}}]
+WHEN k % 7 = 0 THEN [{{'slot': 0, 'first_read': a, 'x': ex - 5, 'w': cw}}, {{'slot': 1, 'first_read': b, 'x': ex + cw + 45, 'w': cw - 25}}]
+WHEN k % 7 = 1 THEN [{{'slot': 0, 'first_read': NULL, 'x': ex, 'w': cw}}, {{'slot': 1, 'first_read': b, 'x': ex + cw + 45, 'w': cw}}]
+ELSE [{{'slot': 0, 'first_read': a, 'x': ex, 'w': cw}}, {{'slot': 1, 'first_read': b, 'x': ex + cw + 45, 'w': cw}}] END) AS u FROM r WHERE n IS NOT NULL)
 SELECT case_id, page_number, day, CAST(u.slot AS BIGINT) AS slot, u.first_read AS first_read, n = 1 AS single_mark, CAST(u.x AS BIGINT) AS x, CAST(u.w AS BIGINT) AS w FROM s""")
 def sheet_cells(spark, sf):
     return sheets.row_cells(_sheet_rows(spark, sf)).select("case_id", *long("page_number"), "day", *long("slot"), "first_read", "single_mark", *long("x", "w"))
@@ -347,7 +347,7 @@ def sheet_unread(spark, sf):
     return sheets.sheet_unread(_sheet_rows(spark, sf)).select("case_id", *long("page_number"), "day")
 
 
-@query(f"WITH {_SHEET} SELECT case_id, page_number, day, slot, (day(day) % 10) / 10 * 0.1::DOUBLE >= 0.04::DOUBLE AND n > 1 AND w >= 0.8 * 76 AS passes FROM (SELECT *, CASE WHEN n = 1 THEN 74 WHEN k % 7 = 0 AND slot = 1 THEN 63 ELSE 76 END AS w FROM (SELECT *, CAST(unnest(CASE WHEN n = 1 THEN [CASE WHEN a >= '13:00' THEN 1 ELSE 0 END] ELSE [0, 1] END) AS BIGINT) AS slot FROM r WHERE n IS NOT NULL))")
+@query(f"WITH {_SHEET} SELECT case_id, page_number, day, slot, (day(day) % 10) / 10 * 0.1::DOUBLE >= 0.04::DOUBLE AND n > 1 AND w >= 0.8 * cw AS passes FROM (SELECT *, CASE WHEN n = 1 THEN cw - 4 WHEN k % 7 = 0 AND slot = 1 THEN cw - 25 ELSE cw END AS w FROM (SELECT *, CAST(unnest(CASE WHEN n = 1 THEN [CASE WHEN a >= '13:00' THEN 1 ELSE 0 END] ELSE [0, 1] END) AS BIGINT) AS slot FROM r WHERE n IS NOT NULL))")
 def cell_gate(spark, sf):
     found = sheets.row_cells(_sheet_rows(spark, sf)).withColumns({"ink_ratio": F.dayofmonth("day") % 10 / 10 * 0.1, "has_letters": F.col("single_mark")})
     return found.select("case_id", *long("page_number"), "day", *long("slot"), sheets.passes_gate().alias("passes"))

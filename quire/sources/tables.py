@@ -106,6 +106,16 @@ def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: First line of a printed day, and the space between days.
+SHEET_TOP, SHEET_STEP = 260, 34
+
+
+def sheet_columns(case_id):
+    """Where a case's sheets have their entries and exits, and how wide and high a time is printed: every case its own layout."""
+    entry, width = 315 + 12 * (case_id % 4), 70 + 3 * (case_id % 3)
+    return entry, entry + width + 45, width, 19 + case_id % 3
+
+
 def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """case_id, page_number, tsv: a printed month of each user, as optical recognition's tab-separated words.
 
@@ -116,21 +126,23 @@ def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     months = days.groupBy("case_id", F.trunc("day", "month").alias("month")).agg(F.map_from_entries(F.collect_list(F.struct(F.dayofmonth("day"), F.struct("a", "b", "n", "k")))).alias("known"))
     few, wrong_start = F.col("case_id") % 3 == 1, (F.col("case_id") % 5 == 3) & (F.col("case_id") % 3 != 1)
     rows = months.withColumn("page_number", F.row_number().over(Window.partitionBy("case_id").orderBy("month"))).withColumn("day", F.explode(F.sequence("month", F.last_day("month")))).where(~(few & (F.weekday("day") == 2)))
-    e, y = F.col("known")[F.dayofmonth("day")], 300 + 40 * F.dayofmonth("day")
-    word = lambda y, x, w, text: F.struct(F.lit(x).alias("x"), (y if hasattr(y, "alias") else F.lit(y)).alias("y"), F.lit(w).alias("w"), (text if hasattr(text, "alias") else F.lit(text)).alias("text"))
-    names = F.array(*map(F.lit, WEEKDAYS))
-    start = [word(y, 90, 134, F.date_format("day", "dd/MM/yyyy")), word(y, 280, 47, F.element_at(names, F.weekday("day") + 1))]
+    e, y = F.col("known")[F.dayofmonth("day")], SHEET_TOP + SHEET_STEP * F.dayofmonth("day")
+    entry, leave, width, height = sheet_columns(F.col("case_id"))
+    as_column = lambda v: v if hasattr(v, "alias") else F.lit(v)
+    word = lambda y, x, w, text: F.struct(*(c.cast(t).alias(n) for c, t, n in zip(map(as_column, (x, y, w, text)), ("bigint", "bigint", "bigint", "string"), ("x", "y", "w", "text"))))
+    start = [word(y, 60, 120, F.date_format("day", "dd/MM/yyyy")), word(y, 210, 40, F.element_at(F.array(*map(F.lit, WEEKDAYS)), F.weekday("day") + 1))]
     cells = (
-        F.when(e.isNull(), F.array(word(y, 368, 156, "DESC(00:00"), word(y, 575, 88, "23:59)")))
-        .when(e["n"] == 1, F.array(word(y, 370, 74, e["a"]), word(y, 558, 191, "Esquecimento")))
-        .when(e["k"] % 7 == 0, F.array(word(y, 359, 169, F.concat(e["a"], F.lit("."), e["b"]))))
-        .when(e["k"] % 7 == 1, F.array(word(y, 465, 76, e["b"])))
-        .otherwise(F.array(word(y, 369, 76, e["a"]), word(y, 465, 76, e["b"])))
+        F.when(e.isNull(), F.array(word(y, entry, 2 * width, "DESCANSO")))
+        .when(e["n"] == 1, F.array(word(y, entry + 2, width - 4, e["a"]), word(y, leave + width + 20, 2 * width + 30, "Esquecimento")))
+        .when(e["k"] % 7 == 0, F.array(word(y, entry - 5, 2 * width + 25, F.concat(e["a"], F.lit("."), e["b"]))))
+        .when(e["k"] % 7 == 1, F.array(word(y, leave, width, e["b"])))
+        .otherwise(F.array(word(y, entry, width, e["a"]), word(y, leave, width, e["b"])))
     )
     body = rows.groupBy("case_id", "page_number", "month").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("day", F.concat(F.array(*start), cells).alias("ws")))), lambda r: r["ws"])).alias("ws"))
     year = F.when(F.col("case_id") % 5 == 2, F.add_months("month", -12)).otherwise(F.col("month"))
     br = lambda d: F.date_format(d, "dd/MM/yyyy")
-    head = F.array(word(140, 90, 100, "Período:"), word(140, 200, 110, br(F.when(wrong_start, F.date_add("month", 10)).otherwise(year))), word(140, 320, 20, "à"), word(140, 440, 110, br(F.last_day(year))))
-    all_words = F.concat(head, F.col("ws"), F.array(word(1700, 90, 80, "Saldo"), word(1700, 180, 30, "de")))
-    line = lambda w: F.concat_ws("\t", F.lit("5\t1\t1\t1"), w["y"], F.lit(1), w["x"], w["y"], w["w"], F.lit(21), F.lit(90), w["text"])
-    return body.select("case_id", "page_number", F.concat(F.lit("level\tpage_num\tblock_num\tpar_num\tline_num\tword_num\tleft\ttop\twidth\theight\tconf\ttext\n"), F.array_join(F.transform(all_words, line), "\n")).alias("tsv"))
+    head = F.array(word(110, 60, 90, "Período"), word(110, 170, 110, br(F.when(wrong_start, F.date_add("month", 10)).otherwise(year))), word(110, 300, 16, "à"), word(110, 340, 110, br(F.last_day(year))))
+    all_words = F.concat(head, F.col("ws"), F.array(word(1500, 60, 70, "Saldo"), word(1500, 150, 60, "mensal")))
+    line = lambda w: F.concat_ws("\t", F.lit("5\t1\t1\t1"), w["y"], F.lit(1), w["x"], w["y"], w["w"], height, F.lit(90), w["text"])
+    top = F.lit("level\tpage_num\tblock_num\tpar_num\tline_num\tword_num\tleft\ttop\twidth\theight\tconf\ttext\n")
+    return body.select("case_id", "page_number", F.concat(top, F.array_join(F.transform(all_words, line), "\n")).alias("tsv"))

@@ -8,28 +8,33 @@ from pyspark.sql import functions as F
 from quire.functions.text import WEEKDAYS
 from quire.operators import sheets
 
-START, END = dt.date(2025, 7, 21), dt.date(2025, 8, 20)
+#: A four-week roster: late shifts on Tuesdays and Fridays, early ones on the other workdays, Sundays off, Saturdays short.
+FIRST, LAST = dt.date(2023, 3, 5), dt.date(2023, 4, 2)
+SHIFTS = {0: ("06:20", "14:40"), 1: ("13:10", "21:30"), 2: ("06:20", "14:40"), 3: ("06:20", "14:40"), 4: ("13:10", "21:30"), 5: ("07:00", "11:00")}
+ENTRY, EXIT, WIDE, HIGH = 290, 430, 62, 18
 WORDS = "case_id int, page_number int, pos int, line_key string, x int, y int, w int, h int, text string"
 
 
-def sheet(start=START, end=END, period=None, skip=(), cells=None, weekdays=None, fragment=None):
-    """Words (x, y, w, text) of a sheet: Mondays and Thursdays 10 to 17, other days 8 to 15, weekends off."""
-    out = [(90, 140, 100, "Período:")] + [(200 + 120 * k, 140, 110, t) for k, t in enumerate((period or f"{start:%d/%m/%Y} à {end:%d/%m/%Y}").split())]
-    fragment = fragment or (lambda n, d: f"{d.day % 10}/{d:%m/%Y}")
-    y = 300
+def sheet(start=FIRST, end=LAST, period=None, skip=(), cells=None, weekdays=None, fragment=None):
+    """Words (x, y, w, text) of a sheet with its header, a line a day, and the line that ends it."""
+    head = [t for t in (period or f"{start:%d/%m/%Y} à {end:%d/%m/%Y}").split()]
+    out = [(40, 75, 80, "Período"), *((140 + 105 * k, 75, 95, t) for k, t in enumerate(head))]
+    print_day = fragment or (lambda n, d: f"{d.day % 10}/{d:%m/%Y}")
     for n in range((end - start).days + 1):
-        day = start + dt.timedelta(days=n)
-        if day not in skip:
-            times = ("10:00", "17:00") if day.weekday() in (0, 3) else ("08:00", "15:00")
-            own = [(368, 156, "DESC(00:00"), (543, 13, "-"), (575, 88, "23:59)")] if day.weekday() > 4 else [(369, 76, times[0]), (465, 76, times[1])]
-            out += [(90, y, 134, fragment(n, day)), (280, y, 47, (weekdays or {}).get(day, WEEKDAYS[day.weekday()]))]
-            out += [(x, y, w, t) for x, w, t in (cells or {}).get(day, own)]
-        y += 40
-    return out + [(90, y + 40, 80, "Saldo")]
+        day, y = start + dt.timedelta(days=n), 200 + 27 * n
+        if day in skip:
+            continue
+        own = (cells or {}).get(day)
+        if own is None:
+            times = SHIFTS.get(day.weekday())
+            own = [(x, WIDE, t) for x, t in zip((ENTRY, EXIT), times)] if times else [(ENTRY + 4, 130, "DESCANSO")]
+        out += [(40, y, 115, print_day(n, day)), (180, y, 38, (weekdays or {}).get(day, WEEKDAYS[day.weekday()]))]
+        out += [(x, y, w, t) for x, w, t in own]
+    return [*out, (40, 200 + 27 * 40, 66, "Saldo")]
 
 
 def read(spark, words):
-    rows = [(1, 1, k, str(y), x, y, w, 21, t) for k, (x, y, w, t) in enumerate(words)]
+    rows = [(1, 1, k, str(y), x, y, w, HIGH, t) for k, (x, y, w, t) in enumerate(words)]
     return sheets.sheet_rows(spark.createDataFrame(rows, WORDS).orderBy(F.desc("pos")))
 
 
@@ -40,8 +45,9 @@ def outcome(rows):
     return [p["confirmed"] for p in pages], [r["day"] for r in found], [r["day"] for r in sheets.sheet_unread(rows).collect()]
 
 
-WORKDAYS = [START + dt.timedelta(days=n) for n in range(31) if (START + dt.timedelta(days=n)).weekday() < 5]
-GAP = dt.date(2025, 7, 23)
+ALL_DAYS = [FIRST + dt.timedelta(days=n) for n in range((LAST - FIRST).days + 1)]
+WORKDAYS = [d for d in ALL_DAYS if d.weekday() in SHIFTS]
+GAP = dt.date(2023, 3, 16)
 
 
 def full(n, d):
@@ -50,21 +56,21 @@ def full(n, d):
 
 @pytest.mark.parametrize("options, confirmed, days, unread", [
     ({}, True, WORKDAYS, []),
-    ({"weekdays": {dt.date(2025, 7, 22): "SEX"}}, True, WORKDAYS, []),
+    ({"weekdays": {dt.date(2023, 3, 8): "SAB"}}, True, WORKDAYS, []),
     ({"skip": {GAP}}, True, [d for d in WORKDAYS if d != GAP], [GAP]),
-    ({"period": "21/07/2025 à 20/08/2932"}, True, WORKDAYS, []),
+    ({"period": "05/03/2023 à 02/04/3024"}, True, WORKDAYS, []),
     ({"fragment": full}, True, WORKDAYS, []),
-    ({"period": "21/07/2024 à 20/08/2024"}, True, WORKDAYS, []),
-    ({"period": "31/07/2025 à 20/08/2025", "fragment": full}, True, WORKDAYS, []),
+    ({"period": "05/03/2022 à 02/04/2022"}, True, WORKDAYS, []),
+    ({"period": "16/03/2023 à 02/04/2023", "fragment": full}, True, WORKDAYS, []),
 ])
 def test_dates(spark, options, confirmed, days, unread):
     assert outcome(read(spark, sheet(**options))) == ([confirmed], days, unread)
 
 
 @pytest.mark.parametrize("options", [
-    {"period": "28/07/2025 à 27/08/2025"},
-    {"period": "31/07/2025 à 20/08/2025", "fragment": lambda n, d: f"{d + dt.timedelta(days=3):%d/%m/%Y}"},
-    {"end": START + dt.timedelta(days=7), "fragment": lambda n, d: f"{d.day % 10}/{d:%m/%Y}" if n < 4 else "~/"},
+    {"period": "12/03/2023 à 09/04/2023"},
+    {"period": "16/03/2023 à 02/04/2023", "fragment": lambda n, d: f"{d + dt.timedelta(days=4):%d/%m/%Y}"},
+    {"end": FIRST + dt.timedelta(days=7), "fragment": lambda n, d: f"{d.day % 10}/{d:%m/%Y}" if n < 4 else "~/"},
 ])
 def test_doubtful_dates_keep_their_cells(spark, options):
     confirmed, days, _ = outcome(read(spark, sheet(**options)))
@@ -72,23 +78,27 @@ def test_doubtful_dates_keep_their_cells(spark, options):
 
 
 def test_a_period_over_the_new_year(spark):
-    confirmed, days, _ = outcome(read(spark, sheet(dt.date(2024, 12, 23), dt.date(2025, 1, 22))))
-    assert confirmed == [True] and days[0] == dt.date(2024, 12, 23)
+    confirmed, days, _ = outcome(read(spark, sheet(dt.date(2020, 12, 14), dt.date(2021, 1, 10))))
+    assert confirmed == [True] and days[0] == dt.date(2020, 12, 14) and days[-1] == dt.date(2021, 1, 9)
 
 
 def test_cells_of_odd_rows(spark):
+    day = lambda n: dt.date(2023, 3, n)
     odd = {
-        dt.date(2025, 7, 21): [(370, 74, "17:01"), (496, 10, "*"), (558, 191, "Esquecimento")], dt.date(2025, 7, 22): [(359, 169, "07:58.15:04")],
-        dt.date(2025, 7, 23): [(465, 76, "15:00")], dt.date(2025, 7, 24): [(368, 76, "DEST0800"), (465, 76, "15:00")], dt.date(2025, 7, 25): [],
-    }
+        day(6): [(ENTRY - 3, WIDE - 2, "15:26"), (EXIT + 90, 140, "Esquecimento")],  # a lone mark is an exit by its time
+        day(7): [(ENTRY - 6, 2 * WIDE + 30, "13:08.21:33")],  # both times in one word
+        day(8): [(EXIT, WIDE, "14:44")],  # the entry's box is guessed
+        day(9): [(ENTRY, WIDE, "DEST0620"), (EXIT, WIDE, "14:40")],  # digits at the exit: no day off
+        day(10): [],
+    }
     found = {}
     for r in sheets.row_cells(read(spark, sheet(cells=odd))).orderBy("day", "slot").collect():
-        found.setdefault(r["day"].day if r["day"].month == 7 else 0, []).append((r["slot"], r["first_read"], r["single_mark"], r["w"]))
-    assert found[21] == [(1, "17:01", True, 74)]
-    assert found[22] == [(0, "07:58", False, 76), (1, "15:04", False, 63)]
-    assert found[23] == [(0, None, False, 76), (1, "15:00", False, 76)]
-    assert [x[:2] for x in found[24]] == [(0, None), (1, "15:00")]
-    assert [x[:2] for x in found[25]] == [(0, None), (1, None)]
+        found.setdefault(r["day"], []).append((r["slot"], r["first_read"], r["single_mark"], r["w"]))
+    assert found[day(6)] == [(1, "15:26", True, WIDE - 2)]
+    assert found[day(7)] == [(0, "13:08", False, WIDE), (1, "21:33", False, ENTRY - 6 + 2 * WIDE + 30 - EXIT)]
+    assert found[day(8)] == [(0, None, False, WIDE), (1, "14:44", False, WIDE)]
+    assert [x[:2] for x in found[day(9)]] == [(0, None), (1, "14:40")]
+    assert [x[:2] for x in found[day(10)]] == [(0, None), (1, None)]
 
 
 def test_pages_without_a_table(spark):
