@@ -13,7 +13,6 @@ contradict each other count as bad. ``judged`` ignores extra columns, ``keep_goo
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
 import numpy as np
@@ -52,17 +51,13 @@ def base_counts(ws: list[bytes], data: bytes) -> tuple[int, int, int, int]:
     return chars, symbols, len(lines) - len(set(lines)), repeated
 
 
-_letters = re.compile(rb"[A-Za-z\xc3-\xc9]")
-
-
 def line_features(line: bytes, seen: bool) -> tuple[list[float], int]:
     """Values of ``FEATURES`` of a line with a word, and the code points of its words."""
     ws = line.split()
-    n, size = len(ws), len(b"".join(ws).decode())
-    rate = (size - len(b"".join(ws).translate(None, SYMBOLS))) / size
-    upper = line.decode()
-    letters = sum(map(len, _letters.findall(line))) or 1
-    shout = n > 1 and upper == upper.upper() and letters > 5
+    data = b"".join(ws)
+    n, size, text = len(ws), len(data.decode()), line.decode()
+    rate = (len(data) - len(data.translate(None, SYMBOLS))) / size
+    shout = n > 1 and text == text.upper() and sum(map(str.isalpha, text)) > 5
     stutter = sum(map(bytes.__eq__, ws, ws[1:])) / n
     return [1.0, float(rate > 0.02), float(rate > 0.15), float(shout), float(line.count(b"!") > 0.2 * n), float(stutter > 0.2), float(seen or len(set(ws)) < 0.4 * n and n > 20), float(ws[-1][-1:] in b".?\"" and rate <= 0.02), float(n < 4)], size
 
