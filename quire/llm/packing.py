@@ -3,11 +3,13 @@
 Documents are encoded where they are read; only (doc_id, piece, start, length, crc32) goes on, about 40
 bytes a piece. Pieces are dealt at random to groups of about ``GROUP`` pieces, and each group is packed
 by itself in falling length: among the open sequences with room in every capacity (tokens, documents,
-attention cost as the sum of squared lengths) the one with the smallest weighted norm of what remains,
-or the largest weighted dot product of need and room, takes the piece. A group loses a sequence or two
+attention cost as the sum of squared lengths) the one with the largest weighted dot product of need and
+room, or the smallest weighted norm of what remains, takes the piece. All three weigh alike by default: about 29 of
+100 pieces then lie elsewhere than by tokens alone, in no more sequences. A group loses a sequence or two
 at its end, some hundredths of a percent of the thousands that it fills.
 
-Null texts count as empty (they still hold the end id); repeated rows are packed once each.
+Null texts count as empty (they still hold the end id); repeated rows are packed once each; longer texts are cut
+into pieces; an empty table gives no rows; columns but doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -47,7 +49,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, longest: int) ->
     return rows.mapInArrow(by_slice(cut), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
-def best_fit(lengths: np.ndarray, tokens: int, documents: int, attention: int, weights=(1.0, 1e-6, 1e-6), by: str = "norm") -> tuple[np.ndarray, np.ndarray]:
+def best_fit(lengths: np.ndarray, tokens: int, documents: int, attention: int, weights=(1.0, 1.0, 1.0), by: str = "dot") -> tuple[np.ndarray, np.ndarray]:
     """For each piece its bin and its offset in it. No bin exceeds ``tokens``, ``documents`` pieces, or ``attention`` as the sum of squared lengths."""
     capacity = np.array([tokens, documents, attention], float)
     need = np.stack([lengths, np.ones_like(lengths), lengths * lengths], 1).astype(float)
@@ -81,7 +83,7 @@ def best_fit(lengths: np.ndarray, tokens: int, documents: int, attention: int, w
     return which, offset
 
 
-def pack(pieces: DataFrame, tokens: int = 4096, documents: int | None = None, attention: int | None = None, weights=(1.0, 1e-6, 1e-6), by: str = "norm", group: int = GROUP) -> DataFrame:
+def pack(pieces: DataFrame, tokens: int = 4096, documents: int | None = None, attention: int | None = None, weights=(1.0, 1.0, 1.0), by: str = "dot", group: int = GROUP) -> DataFrame:
     """``pieces`` (with a ``length`` of ``tokens`` at most) with ``sequence_id`` and ``offset``. Without them, the other two capacities are those that no full sequence exceeds."""
     documents, attention = documents or tokens, attention or tokens * tokens
     pieces = written(pieces, "pieces")
