@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,6 +18,10 @@ SLICE_ROWS, SLICE_BYTES = 256, 1 << 20
 HOT_ROWS, HOT_KEYS, SALTS = 10_000, 50_000, 64
 
 
+#: Paths of the tables that ``written`` made, in order.
+_made: list[str] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -32,10 +37,22 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that ``written`` makes inside, but for the last one, which must not need the others any more."""
+    start = len(_made)
+    yield
+    for name in _made[start:-1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    del _made[start:-1]
+
+
 def written(df: DataFrame, name: str, **options) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again; cuts the lineage."""
+    """``df`` written as Parquet to the shared folder and read again; cuts the lineage. The files stay until ``scratch`` or their owner deletes them."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.options(**{"compression": "zstd"} | options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

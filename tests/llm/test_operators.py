@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 import xxhash
@@ -222,6 +223,30 @@ def test_packing_holds_every_capacity(by):
         packing.best_fit(np.array([101]), 100, 4, 6000)
 
 
+def test_packing_weighs_every_capacity():
+    lengths = np.random.default_rng(3).integers(1, 900, 2000)
+    by_tokens, by_all = (packing.best_fit(lengths, 4096, 4096, 4096**2, w, "dot")[0] for w in ((1.0, 0.0, 0.0), (1.0, 1.0, 1.0)))
+    best = packing.best_fit(lengths, 4096, 4096, 4096**2, (1.0, 0.0, 0.0), "norm")[0]
+    assert (best != by_all).mean() > 0.05 and max(by_all) <= max(by_tokens) + 1 <= -(-lengths.sum() // 4096) + 2
+    assert max(packing.best_fit(lengths, 4096, 6, 4096**2)[0]) > max(by_all)  # six documents a sequence bind
+
+
+def test_token_files_have_dictionaries_set_row_groups_and_page_indexes(spark, sf, tmp_path):
+    path = f"{tmp_path}/tokens"
+    token_files.write_tokens(spark.read.parquet(f"{sf}/documents.parquet"), path, queries.WORD_TOKENIZER, 2)
+    files = sorted(x for x in __import__("pathlib").Path(path).iterdir() if x.suffix == ".parquet")
+    last = -1
+    for file in files:
+        meta = pq.ParquetFile(file).metadata
+        for k in range(meta.num_row_groups):
+            group = meta.row_group(k)
+            columns = {group.column(c).path_in_schema.split(".")[0]: group.column(c) for c in range(group.num_columns)}
+            assert {"RLE_DICTIONARY"} & set(columns["ids"].encodings) or {"DELTA_BINARY_PACKED"} & set(columns["ids"].encodings)
+            assert all(c.has_offset_index and c.has_column_index for c in columns.values())
+            assert columns["doc_id"].statistics.min > last  # ranges of doc_id follow each other
+            last = columns["doc_id"].statistics.max
+
+
 # 3
 
 
@@ -332,6 +357,49 @@ def test_viterbi_is_the_best_labelling():
         assert abs(value(quality.viterbi(gain, stay).tolist()) - best) < 1e-9
 
 
+def plain_features(text):
+    """The features of each line with a word, from their definitions, over code points."""
+    out, sizes, seen = [], [], set()
+    for line in text.split("\n"):
+        ws = split(line)
+        if not ws:
+            continue
+        joined = "".join(ws)
+        rate = sum(c in "#*$%&|<>" for c in joined) / len(joined)
+        letters = sum(c.isalpha() for c in line)
+        out.append((len(ws), rate, line == line.upper() and letters > 5, line.count("!"), [a == b for a, b in zip(ws, ws[1:])], line in seen, len(set(ws)), ws[-1][-1], len(joined)))
+        sizes.append(len(joined))
+        seen.add(line)
+    return out, sizes
+
+
+def plain_share(text, model):
+    """Share of the code points in content lines by trying every labelling of the lines."""
+    lines, sizes = plain_features(text)
+    gain = []
+    for n, rate, shout, marks, same_, again, different, end, _ in lines:
+        x = [1, rate > 0.02, rate > 0.15, shout and n > 1, marks > 0.2 * n, sum(same_) / n > 0.2, again or (different < 0.4 * n and n > 20), end in '."?' and rate <= 0.02, n < 4]
+        gain.append(float(np.dot(np.array(x, float), model[0])))
+    value = lambda y: float(np.dot(gain, y)) + model[1] * sum(a == b for a, b in zip(y, y[1:]))
+    best = max(([m >> k & 1 for k in range(len(gain))] for m in range(1 << len(gain))), key=value)
+    return float(np.dot(best, sizes) / sum(sizes))
+
+
+def test_kept_is_the_verdict_of_the_best_labelling(spark, sf, given_texts):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    checked = 0
+    for _, t in given_texts:
+        lines, _ = plain_features(t)
+        if 0 < len(lines) <= 9:
+            got = quality.verdict(t, model)
+            assert abs(got[6] - plain_share(t, model)) < 1e-9
+            assert got[7] == (not base(t)[5] and plain_share(t, model) >= quality.SHARE)
+            checked += 1
+    assert checked > 50
+    assert quality.text_features(("é" * 40 + "\nok.").encode())[1].tolist() == [40.0, 3.0]
+
+
 def test_gradient_is_the_slope_of_the_likelihood():
     r = np.random.default_rng(1)
     x, y, w, stay = r.normal(size=(5, 3)), np.array([1.0, 0, 1, 1, 0]), r.normal(size=3), 0.4
