@@ -55,7 +55,9 @@ def neighbor_pages(spark, sf):
 
 
 def _ranked_sql(cap: int) -> str:
-    return f"WITH {S.NEIGHBORS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, page_number) AS rank FROM near WHERE is_primary OR neighbor) SELECT case_id, CAST(page_number AS BIGINT) AS page_number, rank, round(score, 6) AS score, rank > {cap} AS overflow FROM ranked"
+    return f"""WITH {S.NEIGHBORS},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, page_number) AS rank FROM near WHERE is_primary OR neighbor)
+SELECT case_id, CAST(page_number AS BIGINT) AS page_number, rank, round(score, 6) AS score, rank > {cap} AS overflow FROM ranked"""
 
 
 def _ranked(rows):
@@ -72,17 +74,26 @@ def triage_small_cap(spark, sf):
     return _ranked(triage.triage(_signals(spark, sf), SMALL))
 
 
-@query(f"WITH {S.NEIGHBORS}, f AS (SELECT *, row_number() OVER (PARTITION BY case_id, is_primary ORDER BY score DESC, page_number) AS r FROM near WHERE is_primary OR neighbor), u AS (SELECT case_id, page_number, score + CASE WHEN is_primary AND r <= 10 AND table_hint THEN 50.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM f), ranked AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, page_number) AS rank FROM u) SELECT case_id, CAST(page_number AS BIGINT) AS page_number, rank, round(score, 6) AS score, rank > 25 AS overflow FROM ranked")
+@query(f"""WITH {S.NEIGHBORS},
+f AS (SELECT *, row_number() OVER (PARTITION BY case_id, is_primary ORDER BY score DESC, page_number) AS r FROM near WHERE is_primary OR neighbor),
+u AS (SELECT case_id, page_number, score + CASE WHEN is_primary AND r <= 10 AND table_hint THEN 50.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM f),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, page_number) AS rank FROM u)
+SELECT case_id, CAST(page_number AS BIGINT) AS page_number, rank, round(score, 6) AS score, rank > 25 AS overflow FROM ranked""")
 def triage_table_rerank(spark, sf):
     return _ranked(triage.triage(_signals(spark, sf), TEST_WORDS, tables=True))
 
 
-@query("WITH p AS (SELECT conv_id AS case_id, turn + 1 AS page_number, max(turn + 1) OVER (PARTITION BY conv_id) AS n FROM conversations) SELECT case_id, page_number, page_number AS rank FROM p WHERE n <= 25")
+@query("""WITH p AS (SELECT conv_id AS case_id, turn + 1 AS page_number, max(turn + 1) OVER (PARTITION BY conv_id) AS n FROM conversations)
+SELECT case_id, page_number, page_number AS rank FROM p WHERE n <= 25""")
 def triage_all_pages_mode(spark, sf):
     return triage.all_pages(src.table(spark, sf, "conversations").select(F.col("conv_id").alias("case_id"), (F.col("turn") + 1).alias("page_number")), TEST_WORDS)
 
 
-@query(f"WITH {S.SIGNALS}, d AS (SELECT DISTINCT case_id, page_number FROM signals WHERE weak > 0), i AS (SELECT *, page_number - row_number() OVER (PARTITION BY case_id ORDER BY page_number) AS island FROM d), r AS (SELECT case_id, min(page_number) AS a, max(page_number) AS b FROM i GROUP BY case_id, island) SELECT case_id, CAST(a AS BIGINT) AS first, CAST(b AS BIGINT) AS last, CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END AS label FROM r")
+@query(f"""WITH {S.SIGNALS},
+d AS (SELECT DISTINCT case_id, page_number FROM signals WHERE weak > 0),
+i AS (SELECT *, page_number - row_number() OVER (PARTITION BY case_id ORDER BY page_number) AS island FROM d),
+r AS (SELECT case_id, min(page_number) AS a, max(page_number) AS b FROM i GROUP BY case_id, island)
+SELECT case_id, CAST(a AS BIGINT) AS first, CAST(b AS BIGINT) AS last, CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END AS label FROM r""")
 def page_ranges(spark, sf):
     return triage.page_ranges(_signals(spark, sf).where("weak > 0")).select("case_id", *long("first", "last"), "label")
 
@@ -113,13 +124,16 @@ def label_keys_slugs(spark, sf):
     return src.table(spark, sf, "part").select("p_partkey", T.label_key(label).alias("label_key"), T.slug(label).alias("slug"))
 
 
-@query("WITH a AS (SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DECIMAL(18,2)) AS c FROM lineitem) SELECT l_orderkey, l_linenumber, replace(c::VARCHAR, '.', ',') AS printed, translate(format('{:,.2f}', c::DOUBLE), ',.', '.,') AS grouped, c::DOUBLE AS parsed FROM a")
+@query("""WITH a AS (SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DECIMAL(18,2)) AS c FROM lineitem)
+SELECT l_orderkey, l_linenumber, replace(c::VARCHAR, '.', ',') AS printed, translate(format('{:,.2f}', c::DOUBLE), ',.', '.,') AS grouped, c::DOUBLE AS parsed FROM a""")
 def amount_roundtrip(spark, sf):
     amount = F.col("l_extendedprice")
     return src.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", T.amount_br(amount).alias("printed"), T.grouped_br(amount).alias("grouped"), T.parsed_br(T.grouped_br(amount)).cast("double").alias("parsed"))
 
 
-_TOKEN = "CASE k % 6 WHEN 0 THEN lpad(h::VARCHAR, 2, '0') || ':' || lpad(m::VARCHAR, 2, '0') WHEN 1 THEN lpad(h::VARCHAR, 2, '0') || lpad(m::VARCHAR, 2, '0') WHEN 2 THEN lpad(h::VARCHAR, 2, '0') || '3' || lpad(m::VARCHAR, 2, '0') WHEN 3 THEN replace(lpad(h::VARCHAR, 2, '0'), '0', 'O') || ';' || lpad(m::VARCHAR, 2, '0') WHEN 4 THEN '''' || h || '.' || lpad(m::VARCHAR, 2, '0') || '*' ELSE 'ab' || h END"
+_TOKEN = """CASE k % 6 WHEN 0 THEN lpad(h::VARCHAR, 2, '0') || ':' || lpad(m::VARCHAR, 2, '0') WHEN 1 THEN lpad(h::VARCHAR, 2, '0') || lpad(m::VARCHAR, 2, '0')
+  WHEN 2 THEN lpad(h::VARCHAR, 2, '0') || '3' || lpad(m::VARCHAR, 2, '0') WHEN 3 THEN replace(lpad(h::VARCHAR, 2, '0'), '0', 'O') || ';' || lpad(m::VARCHAR, 2, '0')
+  WHEN 4 THEN '''' || h || '.' || lpad(m::VARCHAR, 2, '0') || '*' ELSE 'ab' || h END"""
 
 
 def _tokens(spark, sf):
@@ -132,7 +146,13 @@ def _tokens(spark, sf):
 _PLAIN = """translate(upper(regexp_replace(token, '^[.,;|''"*()]+|[.,;|''"*()]+$', '', 'g')), 'OCDQB€$', '0000885')"""
 
 
-@query(rf"WITH t AS (SELECT event_id, {_TOKEN} AS token FROM (SELECT event_id, event_id AS k, hour(ts) AS h, minute(ts) AS m FROM events)), p AS (SELECT event_id, token, {_PLAIN} AS x FROM t), s AS (SELECT *, CASE WHEN regexp_matches(x, '^(\d{{1,2}})[:;.](\d{{2}})$') THEN '^(\d{{1,2}})[:;.](\d{{2}})$' WHEN regexp_matches(x, '^\d{{4}}$') THEN 'b' WHEN regexp_matches(x, '^\d{{2}}[\d+]\d{{2}}$') THEN 'c' END AS shape FROM p), v AS (SELECT event_id, token, TRY_CAST(CASE WHEN shape IN ('b', 'c') THEN x[1:2] WHEN shape IS NOT NULL THEN regexp_extract(x, '^(\d{{1,2}})[:;.]', 1) END AS INT) AS h, TRY_CAST(CASE WHEN shape IS NOT NULL THEN x[-2:] END AS INT) AS m FROM s) SELECT event_id, token, CASE WHEN h <= 23 AND m <= 59 THEN lpad(h::VARCHAR, 2, '0') || ':' || lpad(m::VARCHAR, 2, '0') END AS time FROM v")
+@query(rf"""WITH t AS (SELECT event_id, {_TOKEN} AS token FROM (SELECT event_id, event_id AS k, hour(ts) AS h, minute(ts) AS m FROM events)),
+p AS (SELECT event_id, token, {_PLAIN} AS x FROM t),
+s AS (SELECT *, CASE WHEN regexp_matches(x, '^(\d{{1,2}})[:;.](\d{{2}})$') THEN '^(\d{{1,2}})[:;.](\d{{2}})$' WHEN regexp_matches(x, '^\d{{4}}$') THEN 'b'
+  WHEN regexp_matches(x, '^\d{{2}}[\d+]\d{{2}}$') THEN 'c' END AS shape FROM p),
+v AS (SELECT event_id, token, TRY_CAST(CASE WHEN shape IN ('b', 'c') THEN x[1:2] WHEN shape IS NOT NULL THEN regexp_extract(x, '^(\d{{1,2}})[:;.]', 1) END AS INT) AS h,
+  TRY_CAST(CASE WHEN shape IS NOT NULL THEN x[-2:] END AS INT) AS m FROM s)
+SELECT event_id, token, CASE WHEN h <= 23 AND m <= 59 THEN lpad(h::VARCHAR, 2, '0') || ':' || lpad(m::VARCHAR, 2, '0') END AS time FROM v""")
 def ocr_token_times(spark, sf):
     return _tokens(spark, sf).select("event_id", "token", T.read_time(F.col("token")).alias("time"))
 
@@ -148,7 +168,11 @@ def _noisy_weekdays(spark, sf):
     return rows.select("event_id", "w", F.when(k == 0, F.col("w")).when(k == 1, F.concat(cut(1, 1), F.lit("X"), cut(3, 1))).when(k == 2, cut(2, 2)).when(k == 3, F.concat(F.lit("Z"), cut(2, 2))).otherwise(F.concat(F.lower("w"), F.lit("."))).alias("token"))
 
 
-@query(f"WITH t AS (SELECT event_id, {_NOISY} AS token FROM (SELECT event_id, {_DAYS}[isodow(ts)] AS w FROM events)), l AS (SELECT event_id, token, regexp_replace(upper(token), '[^A-ZÜ]', '', 'g')[1:3] AS raw FROM t), f AS (SELECT event_id, token, CASE raw WHEN 'SES' THEN 'SEG' WHEN 'SEK' THEN 'SEX' WHEN 'QUT' THEN 'QUI' WHEN 'QÜI' THEN 'QUI' ELSE raw END AS x FROM l), c AS (SELECT *, list_filter({_DAYS}, lambda d: CASE WHEN length(x) = 2 THEN d[2:3] = x ELSE (d[1] = x[1])::INT + (d[2] = x[2])::INT + (d[3] = x[3])::INT = 2 END) AS near FROM f) SELECT event_id, token, CASE WHEN list_contains({_DAYS}, x) THEN x WHEN length(x) IN (2, 3) AND len(near) = 1 THEN near[1] END AS weekday FROM c")
+@query(f"""WITH t AS (SELECT event_id, {_NOISY} AS token FROM (SELECT event_id, {_DAYS}[isodow(ts)] AS w FROM events)),
+l AS (SELECT event_id, token, regexp_replace(upper(token), '[^A-ZÜ]', '', 'g')[1:3] AS raw FROM t),
+f AS (SELECT event_id, token, CASE raw WHEN 'SES' THEN 'SEG' WHEN 'SEK' THEN 'SEX' WHEN 'QUT' THEN 'QUI' WHEN 'QÜI' THEN 'QUI' ELSE raw END AS x FROM l),
+c AS (SELECT *, list_filter({_DAYS}, lambda d: CASE WHEN length(x) = 2 THEN d[2:3] = x ELSE (d[1] = x[1])::INT + (d[2] = x[2])::INT + (d[3] = x[3])::INT = 2 END) AS near FROM f)
+SELECT event_id, token, CASE WHEN list_contains({_DAYS}, x) THEN x WHEN length(x) IN (2, 3) AND len(near) = 1 THEN near[1] END AS weekday FROM c""")
 def ocr_weekdays(spark, sf):
     return _noisy_weekdays(spark, sf).select("event_id", "token", T.read_weekday(F.col("token")).alias("weekday"))
 
@@ -183,7 +207,11 @@ def dedup_time_cards(spark, sf):
 
 
 def _conflict_sql(rec: str, group: str) -> str:
-    return f"WITH {rec}, c AS (SELECT case_id, {group}, value_key, min(row_no) AS r FROM rec WHERE kept AND disputed GROUP BY ALL), v AS (SELECT case_id, {group}, string_agg(value_key, '; ' ORDER BY r) AS found_values FROM c GROUP BY ALL), p AS (SELECT case_id, {group}, array_to_string(list_sort(list(DISTINCT source_page)), ',') AS source_pages FROM rec WHERE kept AND disputed GROUP BY ALL) SELECT v.*, p.source_pages FROM v JOIN p USING (case_id, {group})"
+    return f"""WITH {rec},
+c AS (SELECT case_id, {group}, value_key, min(row_no) AS r FROM rec WHERE kept AND disputed GROUP BY ALL),
+v AS (SELECT case_id, {group}, string_agg(value_key, '; ' ORDER BY r) AS found_values FROM c GROUP BY ALL),
+p AS (SELECT case_id, {group}, array_to_string(list_sort(list(DISTINCT source_page)), ',') AS source_pages FROM rec WHERE kept AND disputed GROUP BY ALL)
+SELECT v.*, p.source_pages FROM v JOIN p USING (case_id, {group})"""
 
 
 @query(_conflict_sql(S.REC_CARDS, "day_key"))
@@ -205,7 +233,12 @@ def conflicts_payslips(spark, sf):
     return records.conflicts(_slips(spark, sf), ["competence", "label_key"])
 
 
-@query(f"WITH {S.REC_SLIPS}, k AS (SELECT case_id, competence, CAST(CAST(base_salary AS DECIMAL(18,2)) AS VARCHAR) AS s, row_no, source_page FROM rec WHERE kept AND base_salary IS NOT NULL), f AS (SELECT case_id, competence, s, min(row_no) AS r FROM k GROUP BY ALL), v AS (SELECT case_id, competence, string_agg(s, '; ' ORDER BY r) AS found_values, count(*) AS n FROM f GROUP BY ALL), p AS (SELECT case_id, competence, list_sort(list(DISTINCT source_page)) AS p FROM k GROUP BY ALL) SELECT case_id, competence, found_values, array_to_string(p, ',') AS source_pages FROM v JOIN p USING (case_id, competence) WHERE n > 1 AND len(p) > 1")
+@query(f"""WITH {S.REC_SLIPS},
+k AS (SELECT case_id, competence, CAST(CAST(base_salary AS DECIMAL(18,2)) AS VARCHAR) AS s, row_no, source_page FROM rec WHERE kept AND base_salary IS NOT NULL),
+f AS (SELECT case_id, competence, s, min(row_no) AS r FROM k GROUP BY ALL),
+v AS (SELECT case_id, competence, string_agg(s, '; ' ORDER BY r) AS found_values, count(*) AS n FROM f GROUP BY ALL),
+p AS (SELECT case_id, competence, list_sort(list(DISTINCT source_page)) AS p FROM k GROUP BY ALL)
+SELECT case_id, competence, found_values, array_to_string(p, ',') AS source_pages FROM v JOIN p USING (case_id, competence) WHERE n > 1 AND len(p) > 1""")
 def base_salary_conflicts(spark, sf):
     return records.salary_conflicts(_slips(spark, sf))
 
@@ -223,7 +256,8 @@ def _resolved(spark, sf):
     return cells.resolved(marks, cells.schedule(marks, DEFAULT), DEFAULT)
 
 
-@query(f"WITH {S.RESOLVED} SELECT cell_id, first_read IS NOT NULL AND coalesce(abs({S.minutes('first_read')} - usual) <= 75, true) AS plausible, model_read IS NOT NULL AND coalesce(abs({S.minutes('model_read')} - usual) <= 75, false) AS model_plausible FROM agreed")
+@query(f"""WITH {S.RESOLVED} SELECT cell_id, first_read IS NOT NULL AND coalesce(abs({S.minutes('first_read')} - usual) <= 75, true) AS plausible, model_read IS NOT NULL
+  AND coalesce(abs({S.minutes('model_read')} - usual) <= 75, false) AS model_plausible FROM agreed""")
 def plausible_marks(spark, sf):
     marks = src.marks(spark, sf)
     rows = cells.with_usual(marks, cells.schedule(marks, DEFAULT))
@@ -240,17 +274,26 @@ def second_reader_vote(spark, sf):
     return _resolved(spark, sf).select("cell_id", "source", "value")
 
 
-@query(f"WITH {S.RESOLVED}, o AS (SELECT *, bool_or(value IS NULL) OVER (PARTITION BY case_id, slot) AS open FROM resolved), s AS (SELECT case_id, slot, (row_number() OVER (PARTITION BY case_id ORDER BY slot) - 1) // 4 AS call FROM (SELECT DISTINCT case_id, slot FROM o WHERE open)) SELECT o.case_id, CAST(o.slot AS BIGINT) AS slot, cell_id, row_number() OVER (PARTITION BY o.case_id, o.slot ORDER BY md5('0-' || cell_id)) AS row_pos, CAST(call AS BIGINT) AS call FROM o JOIN s ON o.case_id = s.case_id AND o.slot = s.slot WHERE open")
+@query(f"""WITH {S.RESOLVED},
+o AS (SELECT *, bool_or(value IS NULL) OVER (PARTITION BY case_id, slot) AS open FROM resolved),
+s AS (SELECT case_id, slot, (row_number() OVER (PARTITION BY case_id ORDER BY slot) - 1) // 4 AS call FROM (SELECT DISTINCT case_id, slot FROM o WHERE open))
+SELECT o.case_id, CAST(o.slot AS BIGINT) AS slot, cell_id, row_number() OVER (PARTITION BY o.case_id, o.slot ORDER BY md5('0-' || cell_id)) AS row_pos,
+  CAST(call AS BIGINT) AS call FROM o JOIN s ON o.case_id = s.case_id AND o.slot = s.slot WHERE open""")
 def strip_batches(spark, sf):
     return cells.strips(_resolved(spark, sf), DEFAULT).select("case_id", *long("slot"), "cell_id", *long("row_pos", "call"))
 
 
-@query(f"WITH {S.RESOLVED}, d AS (SELECT case_id, day, max(CASE WHEN slot = 0 THEN value END) AS clock_in, max(CASE WHEN slot = 1 THEN value END) AS clock_out, bool_or(slot = 0 AND value IS NULL) AS a, bool_or(slot = 1 AND value IS NULL) AS b, bool_or(coalesce(source = 'model', false)) AS m FROM resolved GROUP BY 1, 2) SELECT case_id, day, clock_in, clock_out, concat_ws(',', CASE WHEN a THEN 'clock_in' END, CASE WHEN b THEN 'clock_out' END) AS ambiguous, CASE WHEN a OR b THEN 0.3::DOUBLE WHEN m THEN 0.85::DOUBLE ELSE 0.95::DOUBLE END AS confidence FROM d")
+@query(f"""WITH {S.RESOLVED},
+d AS (SELECT case_id, day, max(CASE WHEN slot = 0 THEN value END) AS clock_in, max(CASE WHEN slot = 1 THEN value END) AS clock_out, bool_or(slot = 0
+  AND value IS NULL) AS a, bool_or(slot = 1 AND value IS NULL) AS b, bool_or(coalesce(source = 'model', false)) AS m FROM resolved GROUP BY 1, 2)
+SELECT case_id, day, clock_in, clock_out, concat_ws(',', CASE WHEN a THEN 'clock_in' END, CASE WHEN b THEN 'clock_out' END) AS ambiguous, CASE WHEN a
+  OR b THEN 0.3::DOUBLE WHEN m THEN 0.85::DOUBLE ELSE 0.95::DOUBLE END AS confidence FROM d""")
 def entries_from_cells(spark, sf):
     return cells.entries(_resolved(spark, sf), DEFAULT)
 
 
-@query(f"WITH {S.RESOLVED} SELECT coalesce(source, 'none') AS source, count(*) FILTER (value = first_read) AS correct, count(*) FILTER (value IS NULL) AS review, count(*) FILTER (value <> first_read) AS silent_errors FROM resolved GROUP BY 1")
+@query(f"""WITH {S.RESOLVED} SELECT coalesce(source, 'none') AS source, count(*) FILTER (value = first_read) AS correct, count(*) FILTER (value IS NULL) AS review,
+  count(*) FILTER (value <> first_read) AS silent_errors FROM resolved GROUP BY 1""")
 def strategy_outcomes(spark, sf):
     return cells.outcomes(_resolved(spark, sf), "first_read")
 
@@ -258,7 +301,11 @@ def strategy_outcomes(spark, sf):
 # Dates of rows
 
 
-@query("WITH d AS (SELECT DISTINCT user_id AS case_id, CAST(ts AS DATE) AS day FROM events), r AS (SELECT case_id, day, row_number() OVER (PARTITION BY case_id ORDER BY day) AS pos, min(day) OVER (PARTITION BY case_id) AS start FROM d), g AS (SELECT *, isodow(day) - 1 AS w, lag(isodow(day) - 1) OVER (PARTITION BY case_id ORDER BY pos) AS b FROM r), s AS (SELECT case_id, pos, start, CASE WHEN b IS NULL THEN ((w - (isodow(start) - 1)) % 7 + 7) % 7 ELSE 1 + ((w - b - 1) % 7 + 7) % 7 END AS gap FROM g) SELECT case_id, pos, start + CAST(sum(gap) OVER (PARTITION BY case_id ORDER BY pos) AS INTEGER) AS date FROM s")
+@query("""WITH d AS (SELECT DISTINCT user_id AS case_id, CAST(ts AS DATE) AS day FROM events),
+r AS (SELECT case_id, day, row_number() OVER (PARTITION BY case_id ORDER BY day) AS pos, min(day) OVER (PARTITION BY case_id) AS start FROM d),
+g AS (SELECT *, isodow(day) - 1 AS w, lag(isodow(day) - 1) OVER (PARTITION BY case_id ORDER BY pos) AS b FROM r),
+s AS (SELECT case_id, pos, start, CASE WHEN b IS NULL THEN ((w - (isodow(start) - 1)) % 7 + 7) % 7 ELSE 1 + ((w - b - 1) % 7 + 7) % 7 END AS gap FROM g)
+SELECT case_id, pos, start + CAST(sum(gap) OVER (PARTITION BY case_id ORDER BY pos) AS INTEGER) AS date FROM s""")
 def weekday_sync_dates(spark, sf):
     days = src.table(spark, sf, "events").select(F.col("user_id").alias("case_id"), F.to_date("ts").alias("day")).distinct()
     w = Window.partitionBy("case_id")
@@ -266,7 +313,11 @@ def weekday_sync_dates(spark, sf):
     return grid.synced_dates(rows).select("case_id", *long("pos"), "date")
 
 
-@query(r"WITH t AS (SELECT o_orderkey, 'de ' || strftime(o_orderdate, '%d/%m/%Y') || ' à ' || CASE WHEN o_orderkey % 3 = 0 THEN '20/08/2932' WHEN o_orderkey % 3 = 1 THEN '31/02/2000' ELSE strftime(o_orderdate + INTERVAL 30 DAY, '%d/%m/%Y') END AS x FROM orders), p AS (SELECT o_orderkey, CAST(try_strptime(x[4:13], '%d/%m/%Y') AS DATE) AS s, CAST(try_strptime(x[17:26], '%d/%m/%Y') AS DATE) AS e FROM t) SELECT o_orderkey, s AS start, CASE WHEN coalesce(date_diff('day', s, e) BETWEEN 6 AND 62, false) THEN e WHEN day(s) > 28 THEN s + 30 ELSE CAST(s + INTERVAL 1 MONTH AS DATE) - 1 END AS end_day, coalesce(date_diff('day', s, e) BETWEEN 6 AND 62, false) AS printed FROM p")
+@query(r"""WITH t AS (SELECT o_orderkey, 'de ' || strftime(o_orderdate, '%d/%m/%Y') || ' à ' || CASE WHEN o_orderkey % 3 = 0 THEN '20/08/2932'
+  WHEN o_orderkey % 3 = 1 THEN '31/02/2000' ELSE strftime(o_orderdate + INTERVAL 30 DAY, '%d/%m/%Y') END AS x FROM orders),
+p AS (SELECT o_orderkey, CAST(try_strptime(x[4:13], '%d/%m/%Y') AS DATE) AS s, CAST(try_strptime(x[17:26], '%d/%m/%Y') AS DATE) AS e FROM t)
+SELECT o_orderkey, s AS start, CASE WHEN coalesce(date_diff('day', s, e) BETWEEN 6 AND 62, false) THEN e WHEN day(s) > 28 THEN s + 30
+  ELSE CAST(s + INTERVAL 1 MONTH AS DATE) - 1 END AS end_day, coalesce(date_diff('day', s, e) BETWEEN 6 AND 62, false) AS printed FROM p""")
 def period_parse(spark, sf):
     k, br = F.col("o_orderkey") % 3, lambda d: F.date_format(d, "dd/MM/yyyy")
     end = F.when(k == 0, "20/08/2932").when(k == 1, "31/02/2000").otherwise(br(F.date_add(F.to_date("o_orderdate"), 30)))
@@ -277,7 +328,10 @@ def period_parse(spark, sf):
 _VOTES = "r AS (SELECT user_id AS case_id, event_id % 31 AS pos, CAST(ts AS DATE) AS day FROM events)"
 
 
-@query(f"WITH {_VOTES}, v AS (SELECT case_id, day - CAST(pos AS INTEGER) AS start, count(*) AS n, min(pos) AS first FROM r GROUP BY 1, 2), b AS (SELECT *, sum(n) OVER (PARTITION BY case_id) AS n_rows, row_number() OVER (PARTITION BY case_id ORDER BY n DESC, first, start DESC) AS k FROM v) SELECT case_id, start, n AS votes, CAST(n_rows AS BIGINT) AS n_rows FROM b WHERE k = 1 AND n >= greatest(2, 0.03::DOUBLE * n_rows)")
+@query(f"""WITH {_VOTES},
+v AS (SELECT case_id, day - CAST(pos AS INTEGER) AS start, count(*) AS n, min(pos) AS first FROM r GROUP BY 1, 2),
+b AS (SELECT *, sum(n) OVER (PARTITION BY case_id) AS n_rows, row_number() OVER (PARTITION BY case_id ORDER BY n DESC, first, start DESC) AS k FROM v)
+SELECT case_id, start, n AS votes, CAST(n_rows AS BIGINT) AS n_rows FROM b WHERE k = 1 AND n >= greatest(2, 0.03::DOUBLE * n_rows)""")
 def start_vote(spark, sf):
     rows = src.table(spark, sf, "events").select(F.col("user_id").alias("case_id"), (F.col("event_id") % 31).alias("pos"), F.to_date("ts").alias("read_date"))
     return _latest_start(rows)
@@ -287,18 +341,27 @@ def _latest_start(rows):
     return grid.start_vote(rows, 2, 0.03)
 
 
-@query("WITH r AS (SELECT o_custkey AS case_id, CAST(o_orderdate AS DATE) AS d, month(o_orderdate + INTERVAL 3 DAY) AS m FROM orders), s AS (SELECT case_id, k AS shift, count(*) FILTER (month(d + CAST(k AS INTEGER)) = m) AS agree FROM r, range(-15, 16) t(k) GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY agree DESC, abs(shift), shift) AS n FROM s) SELECT case_id, shift AS best_shift, agree FROM b WHERE n = 1")
+@query("""WITH r AS (SELECT o_custkey AS case_id, CAST(o_orderdate AS DATE) AS d, month(o_orderdate + INTERVAL 3 DAY) AS m FROM orders),
+s AS (SELECT case_id, k AS shift, count(*) FILTER (month(d + CAST(k AS INTEGER)) = m) AS agree FROM r, range(-15, 16) t(k) GROUP BY 1, 2),
+b AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY agree DESC, abs(shift), shift) AS n FROM s)
+SELECT case_id, shift AS best_shift, agree FROM b WHERE n = 1""")
 def month_shift_vote(spark, sf):
     rows = src.table(spark, sf, "orders").select(F.col("o_custkey").alias("case_id"), F.to_date("o_orderdate").alias("date"), F.month(F.date_add(F.to_date("o_orderdate"), 3)).alias("printed_month"))
     return grid.month_shift(rows).select("case_id", *long("best_shift", "agree"))
 
 
-@query("WITH d AS (SELECT DISTINCT user_id AS case_id, CAST(ts AS DATE) AS day FROM events), e AS (SELECT case_id, unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM d GROUP BY 1) SELECT * FROM e ANTI JOIN d USING (case_id, day)")
+@query("""WITH d AS (SELECT DISTINCT user_id AS case_id, CAST(ts AS DATE) AS day FROM events),
+e AS (SELECT case_id, unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM d GROUP BY 1)
+SELECT * FROM e ANTI JOIN d USING (case_id, day)""")
 def unread_days(spark, sf):
     return grid.unread_days(src.table(spark, sf, "events").select(F.col("user_id").alias("case_id"), F.to_date("ts").alias("day")))
 
 
-@query("WITH w AS (SELECT user_id AS case_id, CAST(ts AS DATE) AS line, event_id AS pos, hour(ts) * 60 + minute(ts) AS x, event_type AS text FROM events), c AS (SELECT DISTINCT case_id, line, slot, 480 + 540 * slot AS cx FROM w, range(0, 2) t(slot)), n AS (SELECT w.case_id, w.line, slot, text, abs(x - cx) AS away, pos FROM w JOIN c ON w.case_id = c.case_id AND w.line = c.line WHERE abs(x - cx) <= 150), r AS (SELECT *, row_number() OVER (PARTITION BY case_id, line, slot ORDER BY away, pos) AS k FROM n) SELECT case_id, line, slot, text, CAST(away AS BIGINT) AS away FROM r WHERE k = 1")
+@query("""WITH w AS (SELECT user_id AS case_id, CAST(ts AS DATE) AS line, event_id AS pos, hour(ts) * 60 + minute(ts) AS x, event_type AS text FROM events),
+c AS (SELECT DISTINCT case_id, line, slot, 480 + 540 * slot AS cx FROM w, range(0, 2) t(slot)),
+n AS (SELECT w.case_id, w.line, slot, text, abs(x - cx) AS away, pos FROM w JOIN c ON w.case_id = c.case_id AND w.line = c.line WHERE abs(x - cx) <= 150),
+r AS (SELECT *, row_number() OVER (PARTITION BY case_id, line, slot ORDER BY away, pos) AS k FROM n)
+SELECT case_id, line, slot, text, CAST(away AS BIGINT) AS away FROM r WHERE k = 1""")
 def nearest_column_words(spark, sf):
     words = src.table(spark, sf, "events").select(F.col("user_id").alias("case_id"), F.to_date("ts").alias("line"), F.col("event_id").alias("pos"), (F.hour("ts") * 60 + F.minute("ts")).alias("x"), F.col("event_type").alias("text"))
     columns = words.select("case_id", "line").distinct().withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(1)))).withColumns({"x": 480 + 540 * F.col("slot"), "width": F.lit(300)})
@@ -327,7 +390,9 @@ def _sheet_rows(spark, sf):
     return sheets.sheet_rows(sheets.tsv_words(src.sheets(spark, sf)))
 
 
-@query(f"WITH {_SHEET} SELECT case_id, page_number, CAST(count(*) AS BIGINT) AS n_rows, month AS start, CAST(last_day(month) AS DATE) AS end_day, true AS confirmed, CAST(min(ex) AS BIGINT) AS entry_x, CAST(min(ex + cw + 45) AS BIGINT) AS exit_x, CAST(min(cw) AS BIGINT) AS width, CAST(19 + case_id % 3 AS BIGINT) AS height FROM r GROUP BY case_id, page_number, month")
+@query(f"""WITH {_SHEET} SELECT case_id, page_number, CAST(count(*) AS BIGINT) AS n_rows, month AS start, CAST(last_day(month) AS DATE) AS end_day, true AS confirmed,
+  CAST(min(ex) AS BIGINT) AS entry_x, CAST(min(ex + cw + 45) AS BIGINT) AS exit_x, CAST(min(cw) AS BIGINT) AS width, CAST(19 + case_id % 3 AS BIGINT) AS height FROM r
+  GROUP BY case_id, page_number, month""")
 def sheet_pages(spark, sf):
     found = sheets.sheet_pages(_sheet_rows(spark, sf))
     return found.select("case_id", *long("page_number", "n_rows"), "start", F.col("end").alias("end_day"), "confirmed", *long("entry_x", "exit_x", "width", "height"))
@@ -342,25 +407,36 @@ def sheet_cells(spark, sf):
     return sheets.row_cells(_sheet_rows(spark, sf)).select("case_id", *long("page_number"), "day", *long("slot"), "first_read", "single_mark", *long("x", "w"))
 
 
-@query(f"WITH {_SHEET}, l AS (SELECT case_id, page_number, month, max(day) AS last FROM r GROUP BY ALL) SELECT case_id, page_number, CAST(day AS DATE) AS day FROM (SELECT case_id, page_number, last, unnest(generate_series(month, last, INTERVAL 1 DAY)) AS day FROM l WHERE case_id % 3 = 1) WHERE isodow(day) = 3")
+@query(f"""WITH {_SHEET},
+l AS (SELECT case_id, page_number, month, max(day) AS last FROM r GROUP BY ALL)
+SELECT case_id, page_number, CAST(day AS DATE) AS day FROM (SELECT case_id, page_number, last, unnest(generate_series(month, last, INTERVAL 1 DAY)) AS day FROM l
+  WHERE case_id % 3 = 1) WHERE isodow(day) = 3""")
 def sheet_unread(spark, sf):
     return sheets.sheet_unread(_sheet_rows(spark, sf)).select("case_id", *long("page_number"), "day")
 
 
-@query(f"WITH {_SHEET} SELECT case_id, page_number, day, slot, (day(day) % 10) / 10 * 0.1::DOUBLE >= 0.04::DOUBLE AND n > 1 AND w >= 0.8 * cw AS passes FROM (SELECT *, CASE WHEN n = 1 THEN cw - 4 WHEN k % 7 = 0 AND slot = 1 THEN cw - 25 ELSE cw END AS w FROM (SELECT *, CAST(unnest(CASE WHEN n = 1 THEN [CASE WHEN a >= '13:00' THEN 1 ELSE 0 END] ELSE [0, 1] END) AS BIGINT) AS slot FROM r WHERE n IS NOT NULL))")
+@query(f"""WITH {_SHEET} SELECT case_id, page_number, day, slot, (day(day) % 10) / 10 * 0.1::DOUBLE >= 0.04::DOUBLE AND n > 1 AND w >= 0.8 * cw AS passes FROM (SELECT *, CASE
+  WHEN n = 1 THEN cw - 4 WHEN k % 7 = 0 AND slot = 1 THEN cw - 25 ELSE cw END AS w FROM (SELECT *, CAST(unnest(CASE WHEN n = 1 THEN [CASE WHEN a >= '13:00' THEN 1
+  ELSE 0 END] ELSE [0, 1] END) AS BIGINT) AS slot FROM r WHERE n IS NOT NULL))""")
 def cell_gate(spark, sf):
     found = sheets.row_cells(_sheet_rows(spark, sf)).withColumns({"ink_ratio": F.dayofmonth("day") % 10 / 10 * 0.1, "has_letters": F.col("single_mark")})
     return found.select("case_id", *long("page_number"), "day", *long("slot"), sheets.passes_gate().alias("passes"))
 
 
-@query("WITH w AS (SELECT user_id AS case_id, CAST(ts AS DATE) AS day, event_id, hour(ts) * 60 + minute(ts) + 10.0 AS mid, event_type AS t FROM events), s AS (SELECT DISTINCT case_id, day, k AS span FROM w, range(0, 23) r(k)), m AS (SELECT case_id, day, t, event_id, min(span) AS span FROM w JOIN s USING (case_id, day) WHERE mid >= 60 * span AND mid < 60 * span + 90 GROUP BY ALL), g AS (SELECT case_id, day, span, string_agg(t, '' ORDER BY event_id) AS text FROM m GROUP BY ALL) SELECT case_id, day, span, coalesce(text, '') AS text FROM s LEFT JOIN g USING (case_id, day, span)")
+@query("""WITH w AS (SELECT user_id AS case_id, CAST(ts AS DATE) AS day, event_id, hour(ts) * 60 + minute(ts) + 10.0 AS mid, event_type AS t FROM events),
+s AS (SELECT DISTINCT case_id, day, k AS span FROM w, range(0, 23) r(k)),
+m AS (SELECT case_id, day, t, event_id, min(span) AS span FROM w JOIN s USING (case_id, day) WHERE mid >= 60 * span AND mid < 60 * span + 90 GROUP BY ALL),
+g AS (SELECT case_id, day, span, string_agg(t, '' ORDER BY event_id) AS text FROM m GROUP BY ALL)
+SELECT case_id, day, span, coalesce(text, '') AS text FROM s LEFT JOIN g USING (case_id, day, span)""")
 def words_in_spans(spark, sf):
     words = src.table(spark, sf, "events").select(F.col("user_id").alias("case_id"), F.to_date("ts").alias("day"), F.col("event_id").alias("pos"), F.col("event_id").alias("x"), (F.hour("ts") * 60 + F.minute("ts")).alias("y"), F.lit(20).alias("h"), F.col("event_type").alias("text"))
     spans = words.select("case_id", "day").distinct().withColumn("span", F.explode(F.sequence(F.lit(0), F.lit(22)))).withColumns({"top": 60 * F.col("span"), "bottom": 60 * F.col("span") + 90})
     return sheets.span_texts(words, spans, ["case_id", "day"]).select("case_id", "day", *long("span"), "text")
 
 
-@query(f"WITH {S.RESOLVED}, o AS (SELECT *, bool_or(value IS NULL) OVER (PARTITION BY case_id, slot) AS open FROM resolved) SELECT cell_id, first_read AS model_read FROM o WHERE open AND NOT (case_id % 4 = 0 AND slot = 1)")
+@query(f"""WITH {S.RESOLVED},
+o AS (SELECT *, bool_or(value IS NULL) OVER (PARTITION BY case_id, slot) AS open FROM resolved)
+SELECT cell_id, first_read AS model_read FROM o WHERE open AND NOT (case_id % 4 = 0 AND slot = 1)""")
 def strip_answers(spark, sf):
     """The second reader says what the first one did, but drops a row of some strips."""
     asked = cells.strips(_resolved(spark, sf), DEFAULT).withColumn("strip_id", F.concat_ws("-", "case_id", "slot"))
@@ -372,7 +448,9 @@ def strip_answers(spark, sf):
     return answers.strip_reads(asked.select("case_id", "strip_id", "row_pos", "cell_id"), told).select("cell_id", "model_read")
 
 
-@query("WITH t AS (SELECT l_suppkey AS case_id, l_orderkey, l_linenumber, l_partkey, l_extendedprice AS amount FROM lineitem), p AS (SELECT case_id, amount + CASE l_orderkey % 3 WHEN 0 THEN 0.005::DOUBLE WHEN 1 THEN -0.004::DOUBLE ELSE 0.02::DOUBLE END AS other FROM t) SELECT case_id, l_orderkey, l_linenumber, l_partkey, amount FROM t WHERE EXISTS (SELECT 1 FROM p WHERE p.case_id = t.case_id AND abs(t.amount - p.other) < 0.006::DOUBLE)")
+@query("""WITH t AS (SELECT l_suppkey AS case_id, l_orderkey, l_linenumber, l_partkey, l_extendedprice AS amount FROM lineitem),
+p AS (SELECT case_id, amount + CASE l_orderkey % 3 WHEN 0 THEN 0.005::DOUBLE WHEN 1 THEN -0.004::DOUBLE ELSE 0.02::DOUBLE END AS other FROM t)
+SELECT case_id, l_orderkey, l_linenumber, l_partkey, amount FROM t WHERE EXISTS (SELECT 1 FROM p WHERE p.case_id = t.case_id AND abs(t.amount - p.other) < 0.006::DOUBLE)""")
 def model_amounts_within(spark, sf):
     truth = src.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("case_id"), "l_orderkey", "l_linenumber", "l_partkey", F.col("l_extendedprice").alias("amount"))
     k = F.col("l_orderkey") % 3
@@ -401,7 +479,14 @@ def export_csv_lines(spark, sf):
     return export.workdays(_kept_cards(spark, sf), DEFAULT).where("NOT omitted").select("case_id", "line")
 
 
-@query(f"WITH {S.SHIFTS}, h AS (SELECT case_id, sum(incomplete) AS incomplete, sum(unread) AS unread FROM shifts GROUP BY 1), w AS (SELECT case_id, count(*) FILTER (NOT omitted) AS days, count(*) FILTER (omitted) AS omitted, sum(CASE WHEN omitted THEN 0 ELSE dropped END) AS dropped FROM workdays GROUP BY 1), f AS (SELECT case_id, count(*) FILTER (date IS NULL) AS skipped, count(*) FILTER (date IS NOT NULL AND list_contains(ambiguous, 'date')) AS unconfirmed FROM rec WHERE kept GROUP BY 1) SELECT case_id, skipped, unconfirmed, {', '.join(f'CAST(coalesce({c}, 0) AS BIGINT) AS {c}' for c in ('incomplete', 'unread', 'days', 'omitted', 'dropped'))} FROM f LEFT JOIN h USING (case_id) LEFT JOIN w USING (case_id)")
+@query(f"""WITH {S.SHIFTS},
+h AS (SELECT case_id, sum(incomplete) AS incomplete, sum(unread) AS unread FROM shifts GROUP BY 1),
+w AS (SELECT case_id, count(*) FILTER (NOT omitted) AS days, count(*) FILTER (omitted) AS omitted, sum(CASE WHEN omitted THEN 0 ELSE dropped END) AS dropped
+  FROM workdays GROUP BY 1),
+f AS (SELECT case_id, count(*) FILTER (date IS NULL) AS skipped, count(*) FILTER (date IS NOT NULL AND list_contains(ambiguous, 'date')) AS unconfirmed FROM rec
+  WHERE kept GROUP BY 1)
+SELECT case_id, skipped, unconfirmed, {', '.join(f'CAST(coalesce({c}, 0) AS BIGINT) AS {c}' for c in ('incomplete', 'unread', 'days', 'omitted', 'dropped'))} FROM f LEFT
+  JOIN h USING (case_id) LEFT JOIN w USING (case_id)""")
 def export_summary(spark, sf):
     return export.summary(_kept_cards(spark, sf), DEFAULT)
 
@@ -417,7 +502,10 @@ def history_pivot(spark, sf):
     return export.histories(_slips(spark, sf).where("kept"), DEFAULT).select("case_id", "label_key", "competence", F.col("amount").cast("string").alias("amount"), *long("n"))
 
 
-@query(f"WITH {_HISTORY}, f AS (SELECT *, dense_rank() OVER (PARTITION BY case_id ORDER BY is_base DESC, label_key) AS no FROM history) SELECT case_id, 'historico_salarial_' || lpad(no::VARCHAR, 2, '0') || '_' || {S.slug('label')} || '.csv' AS file_name, competence, competence[6:7] || '/' || competence[1:4] || ';' || replace(amount::VARCHAR, '.', ',') || ';;;;' AS line FROM f")
+@query(f"""WITH {_HISTORY},
+f AS (SELECT *, dense_rank() OVER (PARTITION BY case_id ORDER BY is_base DESC, label_key) AS no FROM history)
+SELECT case_id, 'historico_salarial_' || lpad(no::VARCHAR, 2, '0') || '_' || {S.slug('label')} || '.csv' AS file_name, competence,
+  competence[6:7] || '/' || competence[1:4] || ';' || replace(amount::VARCHAR, '.', ',') || ';;;;' AS line FROM f""")
 def history_files(spark, sf):
     return export.history_lines(export.histories(_slips(spark, sf).where("kept"), DEFAULT)).select("case_id", "file_name", "competence", "line")
 
@@ -469,7 +557,12 @@ def export_gate(spark, sf):
 # Review
 
 
-@query(f"WITH {S.VALID}, e AS (SELECT case_id, row_no, CASE WHEN source_page <= 2 THEN '09:00' END AS t, source_page = 5 AS other FROM valid WHERE source_page <= 2 OR source_page = 5) SELECT v.case_id, v.row_no, coalesce(t, clock_in) AS clock_in, CASE WHEN other THEN '18:00' ELSE clock_out END AS clock_out, CASE WHEN e.case_id IS NOT NULL THEN 1.0::DOUBLE ELSE confidence END AS confidence, array_to_string(CASE WHEN e.case_id IS NULL THEN missing ELSE [] END, ',') AS missing, array_to_string(CASE WHEN e.case_id IS NULL THEN ambiguous ELSE list_filter(ambiguous, lambda x: x = 'date') END, ',') AS ambiguous FROM valid v LEFT JOIN e ON v.case_id = e.case_id AND v.row_no = e.row_no")
+@query(f"""WITH {S.VALID},
+e AS (SELECT case_id, row_no, CASE WHEN source_page <= 2 THEN '09:00' END AS t, source_page = 5 AS other FROM valid WHERE source_page <= 2 OR source_page = 5)
+SELECT v.case_id, v.row_no, coalesce(t, clock_in) AS clock_in, CASE WHEN other THEN '18:00' ELSE clock_out END AS clock_out, CASE
+  WHEN e.case_id IS NOT NULL THEN 1.0::DOUBLE ELSE confidence END AS confidence, array_to_string(CASE WHEN e.case_id IS NULL THEN missing ELSE [] END, ',') AS missing,
+  array_to_string(CASE WHEN e.case_id IS NULL THEN ambiguous ELSE list_filter(ambiguous, lambda x: x = 'date') END, ',') AS ambiguous FROM valid v LEFT
+  JOIN e ON v.case_id = e.case_id AND v.row_no = e.row_no""")
 def review_edits(spark, sf):
     rows = records.valid_time_cards(src.time_cards(spark, sf))
     edit = lambda where, field, value: rows.where(where).select("case_id", "row_no", F.lit(field).alias("field"), F.lit(value).alias("new_value"))
@@ -477,14 +570,19 @@ def review_edits(spark, sf):
     return done.select("case_id", *long("row_no"), "clock_in", "clock_out", "confidence", F.array_join("missing", ",").alias("missing"), F.array_join("ambiguous", ",").alias("ambiguous"))
 
 
-@query(f"WITH {S.REC_CARDS}, c AS (SELECT case_id, day_key, max(source_page) AS keep_page FROM rec WHERE kept AND disputed GROUP BY ALL) SELECT r.case_id, r.row_no, r.day_key, CAST(r.source_page AS BIGINT) AS source_page FROM rec r LEFT JOIN c ON r.case_id = c.case_id AND r.day_key = c.day_key WHERE r.kept AND (keep_page IS NULL OR source_page = keep_page)")
+@query(f"""WITH {S.REC_CARDS},
+c AS (SELECT case_id, day_key, max(source_page) AS keep_page FROM rec WHERE kept AND disputed GROUP BY ALL)
+SELECT r.case_id, r.row_no, r.day_key, CAST(r.source_page AS BIGINT) AS source_page FROM rec r LEFT JOIN c ON r.case_id = c.case_id AND r.day_key = c.day_key
+  WHERE r.kept AND (keep_page IS NULL OR source_page = keep_page)""")
 def review_keep_page(spark, sf):
     rows = _kept_cards(spark, sf)
     choices = rows.where("disputed").groupBy("case_id", "day_key").agg(F.max("source_page").alias("keep_page"))
     return review.kept_pages(rows, choices, ["day_key"]).select("case_id", *long("row_no"), "day_key", *long("source_page"))
 
 
-@query(f"WITH {S.REC_SLIPS}, c AS (SELECT case_id, competence, max(base_salary) AS s FROM rec WHERE kept AND base_salary IS NOT NULL GROUP BY ALL) SELECT r.case_id, r.row_no, coalesce(s, base_salary) AS base_salary FROM rec r LEFT JOIN c ON r.case_id = c.case_id AND r.competence = c.competence WHERE kept")
+@query(f"""WITH {S.REC_SLIPS},
+c AS (SELECT case_id, competence, max(base_salary) AS s FROM rec WHERE kept AND base_salary IS NOT NULL GROUP BY ALL)
+SELECT r.case_id, r.row_no, coalesce(s, base_salary) AS base_salary FROM rec r LEFT JOIN c ON r.case_id = c.case_id AND r.competence = c.competence WHERE kept""")
 def review_base_salary(spark, sf):
     rows = _slips(spark, sf).where("kept")
     choices = rows.where("base_salary IS NOT NULL").groupBy("case_id", "competence").agg(F.max("base_salary").alias("salary"))
@@ -519,7 +617,9 @@ def _answers(asked):
     return rows.select("case_id", "call", F.concat(F.lit("```json\n"), F.to_json(F.struct(F.transform("all", lambda x: x["p"]).alias("pages"))), F.lit("\n```")).alias("answer"))
 
 
-_ASKED = "asked AS (SELECT conv_id AS case_id, turn + 1 AS page_number, length(text) AS n FROM conversations), good AS (SELECT case_id, page_number, CASE WHEN n % 2 = 0 THEN 'HOLERITE' ELSE 'CARTAO_PONTO' END AS document_type, n % 100 / 100.0::DOUBLE AS confidence FROM asked WHERE n % 11 <> 0 AND n % 5 <> 0 AND n % 7 <> 0 AND n % 13 <> 0)"
+_ASKED = """asked AS (SELECT conv_id AS case_id, turn + 1 AS page_number, length(text) AS n FROM conversations),
+good AS (SELECT case_id, page_number, CASE WHEN n % 2 = 0 THEN 'HOLERITE' ELSE 'CARTAO_PONTO' END AS document_type, n % 100 / 100.0::DOUBLE AS confidence FROM asked
+  WHERE n % 11 <> 0 AND n % 5 <> 0 AND n % 7 <> 0 AND n % 13 <> 0)"""
 
 
 @query(f"WITH {_ASKED} SELECT * FROM good")
@@ -534,7 +634,13 @@ def model_answers_join(spark, sf):
 _RATIO = "round(CASE WHEN {b} > 0 THEN {a}::DOUBLE / {b} END, 4)"
 
 
-@query(f"WITH {S.NEIGHBORS}, r AS (SELECT case_id, page_number, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, page_number) > 2 AS overflow FROM near WHERE is_primary OR neighbor), t AS (SELECT DISTINCT p.case_id, p.page_number FROM pages p JOIN labels l ON p.doc_id = l.doc_id WHERE quality = 1), b AS (SELECT coalesce(t.case_id, r.case_id) AS case_id, t.case_id IS NOT NULL AS t, coalesce(NOT overflow, false) AS s, coalesce(overflow, false) AS o FROM t FULL JOIN r ON t.case_id = r.case_id AND t.page_number = r.page_number), c AS (SELECT case_id, count(*) FILTER (t) AS relevant, count(*) FILTER (s) AS sent, count(*) FILTER (t AND s) AS hit, count(*) FILTER (t AND o) AS in_overflow FROM b GROUP BY 1) SELECT *, {_RATIO.format(a='hit', b='relevant')} AS recall, {_RATIO.format(a='hit', b='sent')} AS precision FROM c")
+@query(f"""WITH {S.NEIGHBORS},
+r AS (SELECT case_id, page_number, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, page_number) > 2 AS overflow FROM near WHERE is_primary OR neighbor),
+t AS (SELECT DISTINCT p.case_id, p.page_number FROM pages p JOIN labels l ON p.doc_id = l.doc_id WHERE quality = 1),
+b AS (SELECT coalesce(t.case_id, r.case_id) AS case_id, t.case_id IS NOT NULL AS t, coalesce(NOT overflow, false) AS s, coalesce(overflow, false) AS o FROM t FULL
+  JOIN r ON t.case_id = r.case_id AND t.page_number = r.page_number),
+c AS (SELECT case_id, count(*) FILTER (t) AS relevant, count(*) FILTER (s) AS sent, count(*) FILTER (t AND s) AS hit, count(*) FILTER (t AND o) AS in_overflow FROM b GROUP BY 1)
+SELECT *, {_RATIO.format(a='hit', b='relevant')} AS recall, {_RATIO.format(a='hit', b='sent')} AS precision FROM c""")
 def eval_triage(spark, sf):
     signals = _signals(spark, sf)
     truth = signals.join(src.table(spark, sf, "labels").where("quality = 1").select("doc_id"), "doc_id").select("case_id", "page_number").distinct()
@@ -568,10 +674,17 @@ def _first_of_day(rows):
     return truth.withColumn("nth", F.row_number().over(Window.partitionBy("case_id", "date").orderBy("row_no"))).where("nth = 1").select("case_id", "date", *S.TIMES)
 
 
-_ITEMS = "n AS (SELECT case_id, competence, CAST(amount AS DECIMAL(18,2)) AS cents, label_key, row_number() OVER (PARTITION BY case_id, competence, CAST(amount AS DECIMAL(18,2)) ORDER BY row_no) AS nth, {p} FROM vslips WHERE {w})"
+_ITEMS = """n AS (SELECT case_id, competence, CAST(amount AS DECIMAL(18,2)) AS cents, label_key, row_number() OVER (PARTITION BY case_id, competence,
+  CAST(amount AS DECIMAL(18,2)) ORDER BY row_no) AS nth, {p} FROM vslips WHERE {w})"""
 
 
-@query(f"WITH {S.VALID_SLIPS}, {_ITEMS.format(p='1 AS t', w='source_page <= 5')}, m AS (SELECT case_id, competence, CAST(amount AS DECIMAL(18,2)) AS cents, label_key, row_number() OVER (PARTITION BY case_id, competence, CAST(amount AS DECIMAL(18,2)) ORDER BY row_no) AS nth FROM vslips WHERE source_page >= 3), b AS (SELECT coalesce(n.case_id, m.case_id) AS case_id, n.label_key AS want, m.label_key AS got FROM n FULL JOIN m ON n.case_id = m.case_id AND n.competence = m.competence AND n.cents = m.cents AND n.nth = m.nth), c AS (SELECT case_id, count(want) AS expected, count(got) AS predicted, count(*) FILTER (want IS NOT NULL AND got IS NOT NULL) AS matched, count(*) FILTER (want = got) AS named FROM b GROUP BY 1) SELECT *, {_RATIO.format(a='matched', b='expected')} AS recall, {_RATIO.format(a='matched', b='predicted')} AS precision FROM c")
+@query(f"""WITH {S.VALID_SLIPS}, {_ITEMS.format(p='1 AS t', w='source_page <= 5')}, m AS (SELECT case_id, competence, CAST(amount AS DECIMAL(18,2)) AS cents, label_key,
+  row_number() OVER (PARTITION BY case_id, competence, CAST(amount AS DECIMAL(18,2)) ORDER BY row_no) AS nth FROM vslips WHERE source_page >= 3),
+b AS (SELECT coalesce(n.case_id, m.case_id) AS case_id, n.label_key AS want, m.label_key AS got FROM n FULL JOIN m ON n.case_id = m.case_id
+  AND n.competence = m.competence AND n.cents = m.cents AND n.nth = m.nth),
+c AS (SELECT case_id, count(want) AS expected, count(got) AS predicted, count(*) FILTER (want IS NOT NULL AND got IS NOT NULL) AS matched,
+  count(*) FILTER (want = got) AS named FROM b GROUP BY 1)
+SELECT *, {_RATIO.format(a='matched', b='expected')} AS recall, {_RATIO.format(a='matched', b='predicted')} AS precision FROM c""")
 def eval_payslips_exact(spark, sf):
     rows = records.valid_payslips(src.payslips(spark, sf))
     return evaluate.item_scores(rows.where("source_page <= 5"), rows.where("source_page >= 3"))
@@ -595,7 +708,11 @@ def model_compare(spark, sf):
     return evaluate.model_scores(calls, ["model", "thinking"])
 
 
-@query(f"WITH {S.RESOLVED}, s AS (SELECT case_id, CAST(case_id % 3 AS BIGINT) AS layout, CAST(case_id % 2 AS BIGINT) AS scan, count(*) AS fields, count(*) FILTER (value = first_read) AS correct FROM resolved GROUP BY 1, 2, 3), g AS (SELECT layout, scan, count(*) AS cases, CAST(sum(correct) AS BIGINT) AS correct, CAST(sum(fields) AS BIGINT) AS fields FROM s GROUP BY GROUPING SETS ((layout, scan), ())) SELECT *, {_RATIO.format(a='correct', b='fields')} AS accuracy FROM g")
+@query(f"""WITH {S.RESOLVED},
+s AS (SELECT case_id, CAST(case_id % 3 AS BIGINT) AS layout, CAST(case_id % 2 AS BIGINT) AS scan, count(*) AS fields, count(*) FILTER (value = first_read) AS correct
+  FROM resolved GROUP BY 1, 2, 3),
+g AS (SELECT layout, scan, count(*) AS cases, CAST(sum(correct) AS BIGINT) AS correct, CAST(sum(fields) AS BIGINT) AS fields FROM s GROUP BY GROUPING SETS ((layout, scan), ()))
+SELECT *, {_RATIO.format(a='correct', b='fields')} AS accuracy FROM g""")
 def eval_summary_grouping_sets(spark, sf):
     scores = _resolved(spark, sf).groupBy("case_id", (F.col("case_id") % 3).alias("layout"), (F.col("case_id") % 2).alias("scan")).agg(F.count("*").alias("fields"), F.count_if(F.col("value") == F.col("first_read")).alias("correct"))
     return evaluate.totals(scores, ["layout", "scan"])
@@ -604,7 +721,9 @@ def eval_summary_grouping_sets(spark, sf):
 # Uploads and sessions
 
 
-_FILES = "files AS (SELECT page_id, page_id % 25 AS case_id, page_id // 25 AS file_pos, length(html) AS size, CASE page_id % 4 WHEN 0 THEN 'F' || (page_id % 7) || '.PDF' WHEN 1 THEN 'img' || (page_id % 5) || '.jpeg' ELSE split_part(url, '?', 1) END AS filename, CASE page_id % 3 WHEN 0 THEN 'text/html' WHEN 1 THEN 'Application/PDF; v=1' END AS content_type FROM pages)"
+_FILES = """files AS (SELECT page_id, page_id % 25 AS case_id, page_id // 25 AS file_pos, length(html) AS size, CASE page_id % 4 WHEN 0 THEN 'F' || (page_id % 7) || '.PDF'
+  WHEN 1 THEN 'img' || (page_id % 5) || '.jpeg' ELSE split_part(url, '?', 1) END AS filename, CASE page_id % 3 WHEN 0 THEN 'text/html'
+  WHEN 1 THEN 'Application/PDF; v=1' END AS content_type FROM pages)"""
 
 
 def _files(spark, sf):
@@ -613,24 +732,32 @@ def _files(spark, sf):
     return src.table(spark, sf, "pages").select("page_id", (k % 25).alias("case_id"), F.floor(k / 25).alias("file_pos"), F.length("html").cast("bigint").alias("size"), name.alias("filename"), F.when(k % 3 == 0, "text/html").when(k % 3 == 1, "Application/PDF; v=1").alias("content_type"))
 
 
-@query(f"WITH {_FILES} SELECT page_id, CASE WHEN ends_with(lower(filename), '.pdf') OR lower(trim(split_part(coalesce(content_type, ''), ';', 1))) IN ('application/pdf', 'application/x-pdf') THEN 'pdf' WHEN regexp_matches(lower(filename), '\\.(jpg|jpeg|png|webp)$') THEN 'image' END AS kind FROM files")
+@query(f"""WITH {_FILES} SELECT page_id, CASE WHEN ends_with(lower(filename), '.pdf') OR lower(trim(split_part(coalesce(content_type, ''), ';', 1))) IN ('application/pdf',
+  'application/x-pdf') THEN 'pdf' WHEN regexp_matches(lower(filename), '\\.(jpg|jpeg|png|webp)$') THEN 'image' END AS kind FROM files""")
 def upload_kinds(spark, sf):
     return _files(spark, sf).select("page_id", intake.upload_kind(F.col("filename"), F.col("content_type")).alias("kind"))
 
 
-@query(f"WITH {_FILES}, r AS (SELECT page_id, CAST(sum(size) OVER (PARTITION BY case_id ORDER BY file_pos ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM files) SELECT page_id, used, used > 20000 AS too_large FROM r")
+@query(f"""WITH {_FILES},
+r AS (SELECT page_id, CAST(sum(size) OVER (PARTITION BY case_id ORDER BY file_pos ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM files)
+SELECT page_id, used, used > 20000 AS too_large FROM r""")
 def upload_budget(spark, sf):
     return intake.over_budget(_files(spark, sf), 20_000).select("page_id", "used", "too_large")
 
 
-@query(f"WITH {_FILES}, r AS (SELECT *, row_number() OVER (PARTITION BY case_id, filename, size // 1000, page_id % 2 ORDER BY file_pos) AS nth FROM files) SELECT page_id, case_id, filename FROM r WHERE nth = 1")
+@query(f"""WITH {_FILES},
+r AS (SELECT *, row_number() OVER (PARTITION BY case_id, filename, size // 1000, page_id % 2 ORDER BY file_pos) AS nth FROM files)
+SELECT page_id, case_id, filename FROM r WHERE nth = 1""")
 def merge_files(spark, sf):
     files = _files(spark, sf).withColumns({"size": F.floor(F.col("size") / 1000), "modified": F.col("page_id") % 2})
     return intake.merged_files(files).select("page_id", "case_id", "filename")
 
 
 def _sessions_sql(seconds: int) -> str:
-    return f"g AS (SELECT user_id AS session_key, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) < {seconds * 1000000} THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), n AS (SELECT *, sum(new) OVER (PARTITION BY session_key ORDER BY ts) AS no FROM g), found AS (SELECT session_key, CAST(no AS BIGINT) AS session_no, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM n GROUP BY 1, 2)"
+    return f"""g AS (SELECT user_id AS session_key, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) < {seconds * 1000000} THEN 0 ELSE 1 END AS new
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+n AS (SELECT *, sum(new) OVER (PARTITION BY session_key ORDER BY ts) AS no FROM g),
+found AS (SELECT session_key, CAST(no AS BIGINT) AS session_no, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM n GROUP BY 1, 2)"""
 
 
 def _sessions(spark, sf, seconds):
@@ -643,7 +770,12 @@ def session_activity(spark, sf):
     return _sessions(spark, sf, 21_600).select("session_key", "session_no", "n", us("first_ts").alias("first_us"), us("last_ts").alias("last_us"))
 
 
-@query(f"WITH {_sessions_sql(900)}, s AS (SELECT epoch_us(first_ts) AS moment, 1 AS d FROM found UNION ALL SELECT epoch_us(last_ts) + 900000000, -1 FROM found), r AS (SELECT moment, sum(d) OVER (ORDER BY moment, d ROWS UNBOUNDED PRECEDING) AS live, moment // 86400000000 AS day, sum(d) OVER (PARTITION BY moment // 86400000000) AS c FROM s), b AS (SELECT day, max(live) AS peak, max(c) AS c FROM r GROUP BY 1), e AS (SELECT *, coalesce(sum(c) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b) SELECT DATE '1970-01-01' + CAST(day AS INTEGER) AS day, CAST(greatest(peak, before) AS BIGINT) AS live, greatest(peak, before) > 8 AS full_up FROM e")
+@query(f"""WITH {_sessions_sql(900)},
+s AS (SELECT epoch_us(first_ts) AS moment, 1 AS d FROM found UNION ALL SELECT epoch_us(last_ts) + 900000000, -1 FROM found),
+r AS (SELECT moment, sum(d) OVER (ORDER BY moment, d ROWS UNBOUNDED PRECEDING) AS live, moment // 86400000000 AS day, sum(d) OVER (PARTITION BY moment // 86400000000) AS c FROM s),
+b AS (SELECT day, max(live) AS peak, max(c) AS c FROM r GROUP BY 1),
+e AS (SELECT *, coalesce(sum(c) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b)
+SELECT DATE '1970-01-01' + CAST(day AS INTEGER) AS day, CAST(greatest(peak, before) AS BIGINT) AS live, greatest(peak, before) > 8 AS full_up FROM e""")
 def session_capacity(spark, sf):
     return intake.concurrency(_sessions(spark, sf, DEFAULT.session_seconds), DEFAULT.session_seconds).withColumn("full_up", F.col("live") > DEFAULT.most_sessions)
 
