@@ -30,7 +30,7 @@ from .common import by_slice, salted_join, texts, written
 from .components import components
 
 SHINGLE, DISTANCE, SEED = 3, 2, 42
-SEGMENTS, PARTS, CELL = 32, 5, 8_192
+SEGMENTS, PARTS, CELL = 32, 5, 2_048
 
 
 def shingle_hashes(ws: list[bytes], size: int = SHINGLE) -> np.ndarray:

@@ -604,7 +604,7 @@ def test_simhash_odd_texts(spark, docs):
     assert simhash.near_duplicates(nothing(spark)).count() == 0
 
 
-@pytest.mark.parametrize("cell", [8192, 12, 1])
+@pytest.mark.parametrize("cell", [2048, 12, 1])
 def test_links_connect_all_close_fingerprints(spark, monkeypatch, cell):
     from quire.llm import common
 
