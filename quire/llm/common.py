@@ -116,7 +116,7 @@ def words(text: str | None) -> list[bytes]:
 class Memo(dict):
     """Results of ``make`` by piece of text. Holds two generations of ``kept`` pieces and bytes at most (a longer piece is not kept): what was not asked for in a generation goes."""
 
-    def __init__(self, make: Callable[[str], bytes], kept: int = 400_000, size: int = 64 << 20, longest: int = 1 << 12):
+    def __init__(self, make: Callable[[str], bytes], kept: int = 200_000, size: int = 64 << 20, longest: int = 1 << 12):
         self.make, self.kept, self.size, self.longest, self.held, self.old = make, kept, size, longest, 0, {}
 
     def __missing__(self, piece: str) -> bytes:
