@@ -37,7 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
     was = None
     while (is_now := mark(now)) != was:
         was = is_now
-        few = 2 * is_now[0] <= HOT_ROWS
+        few = 2 * is_now[0] <= 10 * HOT_ROWS  # a task holds a star of so many rows
         now = written(star(star(now, True, few), False, few), "edges")
     stars = now.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root"))
     return stars.union(stars.select(F.col("root").alias("node"), "root").distinct())
