@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quire.config import Config
 from quire.functions import text as T
 from quire.operators import cells, evaluate, export, grid, intake, records, results, triage, visual
+from quire.sources import files
 from quire.streaming import sessions as stream
 
 TIME_CASES = {"08:00": "08:00", "8:00": "08:00", "8h00": "08:00", " 17.30 ": "17:30", "23:59": "23:59", "24:00": None, "08:60": None, "0800": None, "8": None, "x": None, "": None}
@@ -266,3 +267,50 @@ def test_notes(spark):
         2: f"﻿{export.NOTHING}\r\n",
         3: "﻿- c.csv: 1\r\n",
     }
+
+
+def test_admissions_turn_away_past_the_cap(spark):
+    r = random.Random(6)
+    asked = [(s, f"{s}-{k}", start := r.randrange(3_000), start + r.randrange(1, 200)) for s in range(3) for k in range(120)]
+    got = {x["session"]: x["admitted"] for x in intake.admitted(spark.createDataFrame(asked, "store int, session string, start_us long, expires_us long"), 3).collect()}
+    live, want = {}, {}
+    for store, name, start, end in sorted(asked, key=lambda x: (x[2], x[1])):
+        held = live[store] = [e for e in live.get(store, []) if e > start]
+        want[name] = len(held) < 3
+        if want[name]:
+            held.append(end)
+    assert got == want and not all(got.values())
+
+
+def test_truth_files(spark, tmp_path):
+    day = {"date": "1/2/2024", "clock_in": "8h00", "clock_out": ""}
+    cases = {
+        "a": {"pages": {"1": "CARTAO_PONTO"}, "time_cards": [day], "payslips": [{"competence": "2/2024", "item_name": "x", "amount": -10.126}]}, "b": {"pages": {"0": "HOLERITE"}}, "c": {"pages": {"1": "?"}},
+        "d": {"time_cards": [{**day, "clock_in": "secret"}]}, "e": {"payslips": [{"competence": "2024-13", "amount": 1}]}, "f": {"payslips": [{"competence": "2024-12", "amount": None}]}, "g": {"time_cards": [{**day, "date": None}]},
+    }
+    for name, case in cases.items():
+        (tmp_path / f"{name}.gabarito.json").write_text(json.dumps(case))
+    pages, days, items, problems = evaluate.truth_tables(files.truth_documents(spark, f"{tmp_path}/*.json", ".gabarito.json"))
+    assert [tuple(r) for r in pages.collect()] == [("a", 1, "CARTAO_PONTO")]
+    assert [tuple(r) for r in days.collect()] == [("a", 0, "2024-02-01", "08:00", None, None, None)]
+    assert [tuple(r) for r in items.collect()] == [("a", 0, "2024-02", "x", 10.13)]
+    assert {r["case_id"]: r["problem"] for r in problems.collect()} == {"b": "pages", "c": "pages", "d": "clock_in", "e": "competence", "f": "amount", "g": "date"}
+
+
+def test_metrics_are_appended_once(spark, tmp_path):
+    scores, path = spark.createDataFrame([(1, 2), (2, 3)], "case_id long, correct long"), f"{tmp_path}/m"
+    files.write_metrics(scores.where("case_id = 1"), path)
+    files.write_metrics(scores.withColumn("correct", F.lit(9).cast("long")), path, files.read_metrics(spark, path, "case_id long"))
+    assert sorted(map(tuple, files.read_metrics(spark, path, "case_id long, correct long").collect())) == [(1, 2), (2, 9)]
+
+
+def test_entries_of_a_page(spark):
+    day = dt.date(2024, 5, 6)
+    rows = [(1, 2, day, 0, 10, "08:00", "local", False, False), (1, 2, day, 1, 11, None, None, False, False), (1, 2, day + dt.timedelta(1), 1, 12, None, None, True, False), (1, 3, day, 0, 13, "07:00", "model", False, True)]
+    cells_ = spark.createDataFrame(rows, "case_id int, page_number int, day date, slot int, cell_id long, value string, source string, single_mark boolean, confirmed boolean")
+    unread = spark.createDataFrame([(1, 2, dt.date(2024, 5, 9), False)], "case_id int, page_number int, day date, confirmed boolean")
+    got = [(r["page_number"], r["day"].day, r["clock_in"], r["ambiguous"], r["confidence"], r["review_cells"], r["competence"]) for r in cells.time_card_entries(cells_, unread, Config()).orderBy("page_number", "day").collect()]
+    assert got == [
+        (2, 6, "08:00", ["date", "clock_out"], 0.3, {"clock_out": 11}, "2024-05"), (2, 7, None, ["date", "clock_in", "clock_out"], 0.3, {"clock_in": 12}, "2024-05"),
+        (2, 9, None, ["date", "clock_in", "clock_out"], 0.0, {}, "2024-05"), (3, 6, "07:00", [], 0.85, {"clock_in": 13}, "2024-05"),
+    ]
