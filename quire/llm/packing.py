@@ -28,6 +28,8 @@ from .wordbpe import encoder
 
 #: Pieces that one task packs at a time.
 GROUP = 32_768
+#: Pieces of text that a worker keeps encoded: half of what token files keep, as other stages share the executor's memory.
+KEPT = 200_000
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, longest: int) -> DataFrame:
@@ -36,7 +38,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, longest: int) ->
     end = np.uint32(end_id).tobytes()
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own, rows = encoder(vocabulary.value), []
+        own, rows = encoder(vocabulary.value, KEPT), []
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch)):
             ids = own.encode(text) + end
             for k, at in enumerate(range(0, len(ids), 4 * longest)):

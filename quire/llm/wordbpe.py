@@ -26,20 +26,20 @@ PARTS = re.compile(r"[^ \t\n\r]+")
 #: Characters of a text that are looked up at a time.
 CHUNK = 1 << 19
 
-_encoders: dict[bytes, WordEncoder] = {}
+_encoders: dict[tuple[bytes, int], WordEncoder] = {}
 
 
-def encoder(vocabulary: bytes) -> WordEncoder:
-    """The worker's encoder for a tokenizer file's content."""
-    key = hashlib.md5(vocabulary).digest()
+def encoder(vocabulary: bytes, kept: int = 400_000) -> WordEncoder:
+    """The worker's encoder for a tokenizer file's content, which keeps ``kept`` pieces of text."""
+    key = hashlib.md5(vocabulary).digest(), kept
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = WordEncoder(vocabulary)
+        _encoders[key] = WordEncoder(vocabulary, kept)
     return _encoders[key]
 
 
 class WordEncoder:
-    def __init__(self, vocabulary: bytes):
+    def __init__(self, vocabulary: bytes, kept: int = 400_000):
         self.tokenizer = Tokenizer.from_str(vocabulary.decode())
         known = json.loads(vocabulary)
         kinds = [x["type"] for x in (known.get("normalizer") or {}).get("normalizers", [])]
@@ -49,7 +49,7 @@ class WordEncoder:
         self.special = [x["content"] for x in known["added_tokens"]]
         spelled = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {c: "".join(x for x, _ in spelled.pre_tokenize_str(chr(c))) for c in (*range(33, 127), *range(0xC0, 0x100))}
-        self.pieces, self.parts = Memo(self._piece), Memo(self._part)
+        self.pieces, self.parts = Memo(self._piece, kept), Memo(self._part, kept)
 
     def _piece(self, piece: str) -> bytes:
         """Of a lower-case Latin pre-token."""
