@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,8 +19,8 @@ SLICE_ROWS, SLICE_BYTES = 256, 1 << 20
 HOT_ROWS, HOT_KEYS, SALTS = 10_000, 50_000, 64
 
 
-#: Paths of the tables that ``written`` made, in order.
-_made: list[str] = []
+#: Paths of the tables that ``written`` made inside ``scratch``, in order; each thread or context has its own.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,20 +40,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes the tables that ``written`` makes inside, but for the last one, which must not need the others any more."""
-    start = len(_made)
-    yield
-    for name in _made[start:-1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    del _made[start:-1]
+    """Deletes the tables that ``written`` makes inside: all but the last one, which must not need the others any more, or all where an error ends the block."""
+    made: list[str] = []
+    before = _made.set(made)
+    kept = 0
+    try:
+        yield
+        kept = 1
+    finally:
+        _made.reset(before)
+        for name in made[: len(made) - kept]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str, **options) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again; cuts the lineage. The files stay until ``scratch`` or their owner deletes them."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _made.append(path)
+    if (made := _made.get()) is not None:
+        made.append(path)
     df.write.options(**{"compression": "zstd"} | options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytebpe, bytedup, langid, packing, pagetext, quality, simhash, token_files, topk, worddup
+from . import bytebpe, bytedup, filter_audit, langid, mixing, packing, pagetext, quality, ranking, simhash, token_files, topk, worddup
 from .common import table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -55,8 +55,23 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2)
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 def queries() -> dict:
-    ops = (op1_language_id, op2_token_files, op3_exact_top_k, op4_byte_bpe, op5_quality_rules, op6_page_text, op7_best_fit_packing, op8_byte_repeats, op9_word_repeats, op10_simhash_groups)
+    ops = (
+        op1_language_id, op2_token_files, op3_exact_top_k, op4_byte_bpe, op5_quality_rules, op6_page_text, op7_best_fit_packing,
+        op8_byte_repeats, op9_word_repeats, op10_simhash_groups, op11_filter_interactions, op12_source_mix, op13_ranked_search,
+    )
     return {f.__name__: f for f in ops}
 
 
@@ -94,5 +109,77 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - len(k) AS BIGI
 """
 
 
+OP11_SQL = r"""
+WITH RECURSIVE one AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws,
+         min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least
+  FROM documents
+), f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, concat(
+           CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END,
+           CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END,
+           CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 'C' ELSE '' END,
+           CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END,
+           CASE WHEN doc_id > least THEN 'E' ELSE '' END) AS fails
+  FROM d LEFT JOIN one USING (doc_id)
+), c AS (
+  SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails
+), o AS (
+  SELECT '' AS o UNION ALL SELECT o || x FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE NOT contains(o, x)
+), s AS (
+  SELECT o AS filter_order, step, substr(o, step, 1) AS own, substr(o, 1, step - 1) AS before FROM o, (SELECT unnest(range(1, 6)) AS step) WHERE length(o) = 5
+), x AS (
+  SELECT part, filter_order, step, own, fails, n, good, toxic, contains(fails, own) AS failing,
+         before <> '' AND regexp_matches(fails, '[' || before || '_]') AS earlier
+  FROM s, c
+), a AS (
+  SELECT part, filter_order, step, own,
+         sum(n) FILTER (NOT failing AND NOT earlier) AS kept, sum(n) FILTER (failing AND NOT earlier) AS removed,
+         sum(n) FILTER (failing AND earlier) AS redundant, sum(n) FILTER (fails = own) AS unique_fails,
+         sum(good) FILTER (failing AND NOT earlier) AS good_lost, sum(toxic) FILTER (failing AND NOT earlier) AS toxic_lost
+  FROM x GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+       CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+       CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+       CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM a
+"""
+
+
+OP13_SQL = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+  FROM documents
+), d AS (
+  SELECT r, doc_id, ws, len(ws) AS n FROM words WHERE len(ws) > 0
+), s AS (
+  SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM d
+), p AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ws) AS term FROM d) GROUP BY r, term
+), w AS (
+  SELECT term, CAST(floor(1000 * ln((2.0 * n_docs + 2) / (2.0 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY term, n_docs
+), i AS (
+  SELECT i, item_id, unnest(ws) AS term FROM (
+    SELECT row_number() OVER () AS i, item_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+    FROM benchmark)
+), q AS (
+  SELECT i, item_id, term, count(*) AS times FROM i GROUP BY i, item_id, term
+), x AS (
+  SELECT i, item_id, d.r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN p USING (term) JOIN d USING (r), s GROUP BY i, item_id, d.r, doc_id
+), o AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM x WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_top_k": OP3_SQL, "op9_word_repeats": OP9_SQL}
+    return {"op3_exact_top_k": OP3_SQL, "op9_word_repeats": OP9_SQL, "op11_filter_interactions": OP11_SQL, "op13_ranked_search": OP13_SQL}

@@ -133,5 +133,6 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
         return pd.DataFrame(found, columns=["key", "query_id", "vec_id", "score", "beyond"]).astype({"beyond": "object"})
 
     found = candidates.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInPandas(search, "key bigint, query_id bigint, vec_id bigint, score bigint, beyond string")
+    found = written(found, "found")  # k rows for each query and shard; a reader that needs fewer columns must not prune those of the search
     best = Window.partitionBy("key").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -36,7 +36,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def powers(n: int, name: str = "up") -> np.ndarray:
     """The first n powers of the multiplier, or of its inverse, modulo 2**64."""
-    if len(_powers.get(name, ())) < n:
+    if name not in _powers or len(_powers[name]) < n:
         base = MULTIPLIER if name == "up" else pow(MULTIPLIER, -1, 1 << 64)
         steps = np.full(max(n, CHUNK + 4096), base, np.uint64)
         steps[0] = 1
