@@ -96,9 +96,10 @@ def audit(counted: DataFrame) -> DataFrame:
     """part, filter_order, step and the counts of each step of every order, from a row for each part and set of failures (``failure_counts``)."""
     sets = counted.groupBy("part").agg(F.collect_list(F.struct("fails", "n", "good", "toxic")).alias("sets"))  # 32 at most
     orders = ["".join(p) for p in permutations(FILTERS)]
-    bits = lambda some: sum(1 << FILTERS.index(f) for f in some)
-    steps = F.array(*(F.struct(F.lit(o).alias("filter_order"), F.lit(k + 1).alias("step"), F.lit(bits(o[k])).alias("own"), F.lit(bits(o[:k])).alias("before")) for o in orders for k in range(len(o))))
-    rows = sets.withColumn("s", F.explode(steps)).select("part", "sets", "s.*")
+    rows = sets.withColumn("filter_order", F.explode(F.split(F.lit(" ".join(orders)), " "))).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(len(FILTERS)))))
+    bit = lambda k: F.call_function("shiftleft", F.lit(1), F.instr(F.lit(FILTERS), F.substr("filter_order", k, F.lit(1))) - 1)
+    through = F.aggregate(F.sequence(F.lit(1), F.col("step")), F.lit(0), lambda acc, k: acc.bitwiseOR(bit(k)))
+    rows = rows.withColumn("own", bit(F.col("step"))).withColumn("before", through - F.col("own"))
 
     def total(test, value):
         return F.aggregate("sets", F.lit(0).cast("bigint"), lambda acc, x: acc + F.when(test(x), value(x)).otherwise(F.lit(0).cast("bigint")))
