@@ -1,13 +1,16 @@
 """Operator 6: main text of HTML pages by maximum-scoring subsequence.
 
 A page becomes a row of words and tags. Words score 1, but -1 below an element whose class, id, role or
-name marks it as no article text; tags cost something. A linear scan finds the contiguous region with the
+name marks it as no article text; tags cost something, a row of tags without a word between them as much as its dearest.
+A block whose words are all links costs more for each end of a link. A linear scan finds the contiguous region with the
 highest sum. Both kinds of weights are learned from labelled pages, those whose markup holds just one
-article: a tag, class, id or role costs the logarithm of how much more often it lies outside the article than
+article: a tag, class, id, role or block of links costs the logarithm of how much more often it lies outside the article than
 inside (an article's own borders lie outside), and marks its words as no text where nearly all words
-below it lie outside. Tokens that no labelled page has outside its article keep a fixed prior.
+below it lie outside. A fixed prior adds to the odds of a mark, and is the cost of tokens that no labelled page has. What labelled pages happen to
+have in menus only, such as lists, may be text elsewhere, so a cost has a limit by its kind: a block tag costs less than a word.
 
-Below an article or main element, marked elements are holes: they cost nothing and their words go.
+Below an article or main element no tag costs anything, as the element says what is text: it keeps all its words but those of
+marked elements, which are holes. Costs decide on pages without such elements.
 In the region, character references are decoded, white space inside a block becomes one space, and
 blocks are joined by two line ends in page order. Pages are read in linear time, whatever they hold.
 
@@ -31,8 +34,8 @@ from .common import by_slice, texts
 
 #: Bound of the training sample: about so many pages, chosen by a hash of page_id.
 PAGES = 2_000
-#: Bounds of a tag's cost (inline tags, links above all, may stand between an article's words); logarithm of the odds from which a token marks its words as no text.
-LEAST, INLINE_MOST, MOST, MARKS = 0.02, 1.0, 8.0, 3.0
+#: Bounds of the cost of any tag, of inline and of plain ones (both may stand between an article's words), of classes, ids and roles, of the ends of links in a block of links, of other tags; logarithm of the odds from which a token marks its words as no text.
+LEAST, INLINE_MOST, PLAIN_MOST, CLASS_MOST, LINK_MOST, MOST, MARKS = 0.02, 0.25, 0.5, 1.5, 2.0, 4.0, 3.0
 #: Elements by what they do to text.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "template"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -121,14 +124,22 @@ class Weights:
         self.cost, self.odds, self._costs, self._marks = cost, odds, {}, {}
 
     def prior_cost(self, token: str) -> float:
+        if token.endswith(">a"):
+            return LINK_MOST * (token[:-2] not in TEXT)
         return 0.0 if token[0] in ".@" else LEAST if token in TEXT or token in INLINE else 1.0 if token not in PLAIN else 0.25
 
+    def most(self, token: str) -> float:
+        return LINK_MOST if token.endswith(">a") else CLASS_MOST if token[0] in ".@" else INLINE_MOST if token in INLINE else PLAIN_MOST if token in PLAIN or token in BORDERS else MOST
+
+    def of(self, token: str) -> float:
+        return max(0.0, min(self.most(token), self.cost.get(token, self.prior_cost(token))))
+
     def prior_odds(self, token: str) -> float:
         return 2 * MARKS * (token == "@hidden" or token in NAMES or token[0] == "." and token[1:] in CLASSES or token[0] == "@" and token[1:] in ROLES)
 
     def tag(self, tokens: tuple[str, ...]) -> float:
         if tokens not in self._costs:
-            self._costs[tokens] = min(INLINE_MOST if tokens[0] in INLINE else MOST, max(LEAST, *(self.cost.get(t, self.prior_cost(t)) for t in tokens), 0.0))
+            self._costs[tokens] = max(LEAST, *map(self.of, tokens))
         return self._costs[tokens]
 
     def marked(self, tokens: tuple[str, ...], below_article: bool) -> bool:
@@ -136,12 +147,12 @@ class Weights:
         key = tokens, below_article
         if key not in self._marks:
             telling = [t for t in tokens if t[0] in ".@" or t not in PLAIN and t not in BORDERS and not (t == "header" and below_article)]
-            self._marks[key] = tokens[0] not in ("html", "body") and any(self.odds.get(t, self.prior_odds(t)) > MARKS for t in telling)
+            self._marks[key] = tokens[0] not in ("html", "body") and any(self.odds.get(t, 0.0) + self.prior_odds(t) > MARKS for t in telling)
         return self._marks[key]
 
 
 def walk(page: str, weights: Weights):
-    """(kind, value, depth of articles around, depth of marked elements around, tokens of a tag), raw elements left out."""
+    """(text, open or close, value, depth of articles around, depth of marked elements around, tokens of a tag), raw elements left out."""
     stack: list[tuple[tuple[str, ...], bool, bool]] = []  # tokens, article, marked
     opened: dict[str, int] = {}
     inside = out = 0
@@ -163,7 +174,7 @@ def walk(page: str, weights: Weights):
             if article and out and not inside:  # a marked element that was never closed
                 while out:
                     pop()
-            yield "tag", name, inside, out, value
+            yield "open", name, inside, out, value
             if name in VOID:
                 continue
             marked = weights.marked(value, inside > 0) and not (article and not inside)
@@ -174,18 +185,59 @@ def walk(page: str, weights: Weights):
             tokens = pop()
             while tokens[0] != value:
                 tokens = pop()
-            yield "tag", value, inside, out, tokens
+            yield "close", value, inside, out, tokens
+
+
+class LinkBlocks:
+    """Follows a page and finds its blocks (what lies between two tags that aren't inline) whose words are all links."""
+
+    def __init__(self):
+        self.block, self.depth, self.words, self.links = "", 0, False, []
+
+    def text(self) -> None:
+        self.words |= not self.depth
+
+    def tag(self, kind: str, name: str, at) -> tuple[str, list]:
+        """The tag that began the block that ends here, and the links' tags (their ``at``), if it is one of links."""
+        if name == "a":
+            self.depth = max(0, self.depth + (1 if kind == "open" else -1))
+            self.links.append(at)
+        if name in INLINE:
+            return "", []
+        ended = self.block, [] if self.words else self.links
+        self.block, self.words, self.links = name if kind == "open" else "/", False, []
+        return ended
+
+
+def scores(found: list[tuple], weights: Weights) -> list[float]:
+    """The score of each item of ``walk``."""
+    out, run, blocks = [], 0.0, LinkBlocks()
+
+    def charge(block: str, links: list[int]) -> None:
+        for at in links:
+            out[at] -= 0.0 if found[at][2] else weights.of(f"{block}>a")
+
+    for k, (kind, value, inside, marked, tokens) in enumerate(found):
+        if kind == "text":
+            n = len(value.split())
+            out.append(0.0 if inside and marked else float(-n if marked else n))
+            if n:
+                run = 0.0
+                blocks.text()
+            continue
+        cost = 0.0 if inside else weights.tag(tokens)
+        out.append(run - max(run, cost))
+        run = max(run, cost)
+        charge(*blocks.tag(kind, value, k))
+    charge(*blocks.tag("close", "", len(found)))
+    return out
 
 
 def region(found: list[tuple], weights: Weights) -> tuple[int, int]:
     """First and end of the items whose scores have the highest sum (the first of equal ones)."""
     best, best_at, total, start = 0.0, (0, 0), 0.0, 0
-    for k, (kind, value, inside, out, tokens) in enumerate(found):
-        hole = inside and out
-        if kind == "text":
-            total += 0 if hole else len(value.split()) * (-1 if out else 1)
-        elif not hole:
-            total -= weights.tag(tokens)
+    for k, score in enumerate(scores(found, weights)):
+        total += score
         if total > best:
             best, best_at = total, (start, k + 1)
         elif total <= 0:
@@ -210,11 +262,12 @@ def main_text(page: str, weights: Weights) -> str:
 
 
 def token_counts(page: str) -> list[tuple[str, int, int, int, int]] | None:
-    """Of a labelled page (one with exactly one article) for each token: tags inside and outside the article, words below it inside and outside."""
+    """Of a labelled page (one with exactly one article) for each token: tags inside and outside the article, words below it inside and outside. A block of links is a tag."""
     sums: dict[str, list[int]] = {}
     stack: list[tuple[tuple[str, ...], int, int]] = []
     opened: dict[str, int] = {}
     articles = state = words_in = words_out = 0
+    blocks = LinkBlocks()
 
     def close() -> str:
         tokens, a, b = stack.pop()
@@ -228,7 +281,12 @@ def token_counts(page: str) -> list[tuple[str, int, int, int, int]] | None:
             if not (stack and stack[-1][0][0] in RAW):
                 n = len(value.split())
                 words_in, words_out = words_in + n * (state == 1), words_out + n * (state != 1)
+                if n:
+                    blocks.text()
             continue
+        block, links = blocks.tag(kind, value if kind == "close" else value[0], None)
+        if links:
+            sums.setdefault(f"{block}>a", [0, 0, 0, 0])[0 if state == 1 else 1] += len(links)
         if kind == "close":
             if not opened.get(value):
                 continue

@@ -445,19 +445,68 @@ def test_region_has_the_greatest_sum():
     r = random.Random(2)
     weights = pagetext.Weights({"p": 0.3, "div": 2.0, "li": 4.0, ".x": 1.5}, {".x": 9.0})
     for _ in range(300):
-        parts = [r.choice(["w ", "two words ", "<p>", "</p>", "<div>", "<div class=x>", "</div>", "<li>"]) for _ in range(14)]
+        parts = [r.choice(["w ", "two words ", "<p>", "</p>", "<div>", "<div class=x>", "</div>", "<li>", "<a>", "</a>", "<article>", "</article>"]) for _ in range(14)]
         found = list(pagetext.walk("".join(parts), weights))
-        value = [len(v.split()) * (-1 if out else 1) if k == "text" else -weights.tag(t) for k, v, _, out, t in found]
+        value = pagetext.scores(found, weights)
         best = max([0.0] + [sum(value[a:b]) for a in range(len(value)) for b in range(a, len(value) + 1)])
         first, end = pagetext.region(found, weights)
         assert abs(sum(value[first:end]) - best) < 1e-9
 
 
-def test_learned_weights_decide(spark, sf):
-    pages = spark.read.parquet(f"{sf}/pages.parquet")
-    weights = pagetext.train(pages)
-    none = pagetext.Weights(dict.fromkeys(weights.cost, 0.0), dict.fromkeys(weights.odds, 0.0))
-    assert all(pagetext.main_text(r["html"], weights) != pagetext.main_text(r["html"], none) for r in pages.collect())
+@pytest.fixture(scope="module")
+def page_weights(spark, sf):
+    return pagetext.train(spark.read.parquet(f"{sf}/pages.parquet"))
+
+
+WORDS_40, WORDS_45 = (" ".join(f"{c}{k}" for k in range(n)) for c, n in (("w", 40), ("v", 45)))
+LIST = "<ul>" + "".join(f"<li>item{k}</li>" for k in range(6)) + "</ul>"
+MENU = "<ul>" + "".join(f"<li><a href=x>menu{k}</a></li>" for k in range(6)) + "</ul>"
+#: Bodies that the given pages don't show: lists, tables, quotes, figures, links, nested blocks.
+BODIES = [
+    f"<h1>Head</h1><p>{WORDS_40}</p>{LIST}<p>{WORDS_45}</p>",
+    f"<h2>Short</h2>{LIST}",
+    "<p>See <a>this link here</a> now.</p>",
+    f"<p>one two three four five</p><table><thead><tr><th>a</th><th>b</th></tr></thead><tr><td>1</td><td>2</td></tr></table><p>{WORDS_40}</p><ol><li>x</li><li>y</li></ol>",
+    f"<p>{WORDS_45}</p>" + "<div>" * 6 + f"<p>{WORDS_40}</p>" + "</div>" * 6 + "<blockquote>quoted <q>twice</q></blockquote>",
+    f"<section><h2>A</h2><figure><img src=x><figcaption>caption here</figcaption></figure><p>{WORDS_40}</p></section><section><h2>B</h2><pre>code x</pre><dl><dt>t</dt><dd>d e</dd></dl></section>",
+    f"<div class=intro><p>{WORDS_40}</p></div><div class=more><p>five words at the end</p></div>",
+    f"<p>{WORDS_40}</p><ul><li><a>Term</a> what it means</li><li><a>Other</a> is another thing</li></ul>",
+]
+AROUND = [
+    "<body><nav>{m}</nav><article>{b}</article><footer>foot words</footer></body>",
+    "<body><header>top</header><main class=wide>{b}</main><aside>side words here</aside></body>",
+    "<body>{m}<div>{b}</div>{m}</body>",
+    "<div><div>{m}</div></div><div><div>{b}</div></div><div class=ad>Buy it now please</div>",
+    "<table><tr><td>{m}</td><td>{b}</td></tr></table>",
+]
+
+
+@pytest.mark.parametrize("around", AROUND)
+@pytest.mark.parametrize("body", BODIES)
+def test_no_word_of_an_article_is_lost(page_weights, body, around):
+    text = pagetext.main_text(around.format(m=MENU, b=body), page_weights)
+    assert text.split() == re.sub("<[^>]*>", " ", body.replace("</a>", "").replace("<a>", "").replace("<q>", "").replace("</q>", "")).split()
+
+
+def test_learned_costs_decide(page_weights):
+    """With the costs at zero and all else as it was, menus of pages without an article stay."""
+    none = pagetext.Weights(dict.fromkeys(page_weights.cost, 0.0), page_weights.odds)
+    for around in AROUND[2:]:
+        for body in BODIES:
+            text = pagetext.main_text(around.format(m=MENU, b=body), none)
+            assert "menu5" in text and "menu5" not in pagetext.main_text(around.format(m=MENU, b=body), page_weights)
+
+
+def test_learned_marks_decide(spark, sf, page_weights, monkeypatch):
+    monkeypatch.setattr(pagetext.Weights, "prior_odds", lambda self, token: 0.0)
+    none = pagetext.Weights(page_weights.cost, dict.fromkeys(page_weights.odds, 0.0))
+    pages = [r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    assert all(pagetext.main_text(h, page_weights) != pagetext.main_text(h, none) for h in pages)
+
+
+def test_links_of_two_words_leave_without_labelled_pages():
+    menu = "<div><a href=x>Home page</a> <a href=y>About us</a></div>"
+    assert pagetext.main_text(f"<body>{menu}<h1>Head of</h1><p>{WORDS_40}</p>{menu}", pagetext.Weights({}, {})) == f"Head of\n\n{WORDS_40}"
 
 
 def test_costs_end_a_region():
