@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 from pyspark.sql import Column
@@ -16,22 +17,65 @@ CONFUSED, DIGITS = "OCDQB€$", "0000885"
 MISREAD = {"SES": "SEG", "SE3": "SEG", "SEK": "SEX", "QUT": "QUI", "QÜI": "QUI"}
 
 
-def _accents() -> tuple[str, str]:
-    """Lower-case letters up to U+024F whose decomposition is one letter and marks, and those letters."""
-    pairs = []
-    for c in map(chr, range(0xC0, 0x250)):
+#: Hangul syllables decompose by a rule: 19 first, 21 middle and 27 last letters.
+SYLLABLES, HANGUL = range(0xAC00, 0xD7A4), ((0x1100, 19), (0x1161, 21), (0x11A8, 27))
+
+
+@functools.cache
+def _decompositions() -> tuple[str, str, dict[str, str]]:
+    """Characters whose compatibility decomposition without combining marks is one character, and those characters (at the end those that leave nothing); and a map of those that leave several."""
+    single, gone, several = [], [], {}
+    for code in range(0x80, 0x110000):
+        c = chr(code)
+        if code in SYLLABLES or not (unicodedata.decomposition(c) or unicodedata.combining(c)):
+            continue
         plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-        if c == c.lower() and plain != c and len(plain) == 1:
-            pairs.append((c, plain))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+        if not plain:
+            gone.append(c)
+        elif len(plain) > 1:
+            several[c] = plain
+        elif plain != c:
+            single.append((c, plain))
+    return "".join(a for a, _ in single) + "".join(gone), "".join(b for _, b in single), several
+
+
+def _character_class(characters) -> str:
+    """A pattern's class of characters, as ranges."""
+    ranges: list[list[int]] = []
+    for code in sorted(map(ord, characters)):
+        if ranges and code == ranges[-1][1] + 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges) + "]"
+
+
+def _replaced(text: Column, some: str, by) -> Column:
+    """``text`` with ``by(c)`` for each character c of the class ``some``, null for others; cut before these characters, so that the rest stays in long pieces."""
+    first = lambda piece: F.substring(piece, 1, 1)
+    pieces = F.transform(F.split(text, f"(?={some})"), lambda p: F.concat(F.coalesce(by(first(p)), first(p)), F.substr(p, F.lit(2))))
+    return F.when(text.rlike(some), F.array_join(pieces, "")).otherwise(text)
 
 
-ACCENTED, PLAIN = _accents()
+def _letters(syllable: Column) -> Column:
+    place = F.ascii(syllable) - SYLLABLES[0]
+    of = lambda k: F.array(*(F.lit(chr(HANGUL[k][0] + n)) for n in range(HANGUL[k][1])))
+    last = F.pmod(place, F.lit(28))
+    return F.concat(F.get(of(0), F.floor(place / 588).cast("int")), F.get(of(1), F.floor(F.pmod(place, F.lit(588)) / 28).cast("int")), F.when(last == 0, "").otherwise(F.get(of(2), last - 1)))
 
 
 def folded(text: Column) -> Column:
-    """Lower case without accents; compatibility letters beyond U+024F stay as they are."""
-    return F.regexp_replace(F.translate(F.lower(text), ACCENTED, PLAIN), r"\p{M}", "")
+    """Lower case, compatibility decomposition, no combining marks: ligatures, full-width letters, fractions and ordinals become plain letters and digits.
+
+    Most texts have Latin letters only: a cheap class sends them straight to the one-to-one table."""
+    from_, to, several = _decompositions()
+    lower, latin = F.lower(text), [c for c in several if c < "\u0250"]
+    table = F.create_map(*(F.lit(x) for pair in several.items() for x in pair))
+    hangul = _character_class(map(chr, SYLLABLES))
+    longer = _replaced(lower, _character_class(several), lambda c: F.try_element_at(table, c))
+    longer = _replaced(longer, hangul, lambda c: F.when(c.rlike(hangul), _letters(c)))
+    other = "[" + _character_class(latin)[1:-1] + r"\x{250}-\x{10FFFF}]"
+    return F.translate(F.when(lower.rlike(other), longer).otherwise(lower), from_, to)
 
 
 def fold(word: str) -> str:

@@ -105,9 +105,11 @@ def ink_ratio(pixels: Column, below: int = 128) -> Column:
     return F.size(F.filter(pixels, lambda x: x < below)) / F.greatest(F.size(pixels), F.lit(1))
 
 
-def time_card_entries(cells: DataFrame, unread: DataFrame, config: Config) -> DataFrame:
+def time_card_entries(cells: DataFrame, unread: DataFrame, config: Config, work_days: DataFrame | None = None) -> DataFrame:
     """A row for each page and day: ``cells`` (case_id, page_number, day, slot, cell_id, value, source, single_mark, confirmed) as one entry, and ``unread`` days (with confirmed) as empty ones.
 
+    Of ``work_days`` (case_id, page_number, day, confirmed) each has an entry, also one without a cell: it has no times, nothing of it is open, and no reading is doubtful.
+
     An entry has its times, its month, the fields to check (the date first, where the page's dates are not confirmed; both times for a lone mark
     without a value), the confidence of its worst source, and the cells to show by field."""
     name = F.when(F.col("slot") == 0, "clock_in").otherwise("clock_out")
@@ -115,11 +117,13 @@ def time_card_entries(cells: DataFrame, unread: DataFrame, config: Config) -> Da
     open_ = F.when(F.col("value").isNotNull(), F.array().cast("array<string>")).when(F.col("single_mark"), F.array(F.lit("clock_in"), F.lit("clock_out"))).otherwise(F.array(name))
     shown = F.when(F.coalesce(F.col("source"), F.lit("")) != "local", F.struct(F.when(F.col("single_mark") & F.col("value").isNull(), "clock_in").otherwise(name).alias("field"), F.col("cell_id").alias("cell")))
     rows = cells.select("case_id", "page_number", "day", "slot", "cell_id", "value", "source", pending.alias("pending"), open_.alias("open"), shown.alias("shown"))
+    if work_days is not None:  # rows without a cell, aggregated with the others: no join
+        rows = rows.unionByName(work_days.select("case_id", "page_number", "day", pending.alias("pending"), F.array().cast("array<string>").alias("open")), allowMissingColumns=True)
     pick = lambda slot: F.max_by("value", F.when((F.col("slot") == slot) & F.col("value").isNotNull(), F.col("cell_id")))
     in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("slot", "cell_id", c))), lambda x: x[c])
     shown_last = F.aggregate(F.array_compact(in_order("shown")), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>")),
                              lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x["field"]), F.map_from_arrays(F.array(x["field"]), F.array(x["cell"].cast("bigint")))))
-    level = F.when(F.max(F.col("source").isNull()), config.confidence_pending).when(F.max(F.col("source") == "model"), config.confidence_model).otherwise(config.confidence_local)
+    level = F.when(F.max(F.col("slot").isNotNull() & F.col("source").isNull()), config.confidence_pending).when(F.max(F.col("source") == "model"), config.confidence_model).otherwise(config.confidence_local)
     read = rows.groupBy("case_id", "page_number", "day").agg(
         pick(0).alias("clock_in"), pick(1).alias("clock_out"), F.concat(F.first("pending"), F.array_distinct(F.flatten(in_order("open")))).alias("ambiguous"),
         level.alias("confidence"), shown_last.alias("review_cells"))

@@ -149,11 +149,11 @@ def is_day_off() -> Column:
     return F.substring(text, 1, 30).rlike(NO_WORK) & ~text.rlike(r"^\S{0,3}\d") & ~near
 
 
-def row_cells(rows: DataFrame) -> DataFrame:
-    """case_id, page_number, day, slot (0: entry, 1: exit), x, y, w, h, first_read, single_mark for the cells of work days.
+def work_days(rows: DataFrame) -> DataFrame:
+    """A row for each day that isn't off: case_id, page_number, day, confirmed, column_width, column_height and the list ``cells`` of slot (0: entry, 1: exit), x, y, w, h, first_read, single_mark.
 
     A word belongs to the column it is nearest to. A lone mark has its slot from its time; a wide word
-    holds both times; a column without a word gets its usual box, to be read again."""
+    holds both times; a column without a word gets its usual box, to be read again. A day with the sign of a lone mark but without a word has an empty list."""
     word = lambda x: F.array_min(F.transform(
         F.filter("rest", lambda w: (F.abs(w["x"] - F.col(x)) <= COLUMN_REACH * F.col("width")) & (w["w"] >= WORD_WIDTH * F.col("width"))),
         lambda w: F.struct(F.abs(w["x"] - F.col(x)).alias("away"), w.alias("word"))))["word"]
@@ -178,7 +178,17 @@ def row_cells(rows: DataFrame) -> DataFrame:
     worked = rows.where(~is_day_off()).withColumns({"entry": word("entry_x"), "leave": word("exit_x")})
     cells = F.when(joined(F.col("rest")).rlike(LONE), F.when(lone.isNotNull(), F.array(of(lone_slot, lone, True)))).when(
         entry.isNotNull() & leave.isNull() & (entry["w"] > MERGED * width), merged).otherwise(slots)
-    return worked.select(*PAGE, "day", "confirmed", F.col("width").alias("column_width"), F.col("height").alias("column_height"), F.inline(cells))
+    return worked.select(*PAGE, "day", "confirmed", F.col("width").alias("column_width"), F.col("height").alias("column_height"), F.coalesce(cells, F.filter(slots, lambda _: F.lit(False))).alias("cells"))
+
+
+def cells_of(days: DataFrame) -> DataFrame:
+    """A row for each cell of ``work_days``."""
+    return days.select(*(c for c in days.columns if c != "cells"), F.inline("cells"))
+
+
+def row_cells(rows: DataFrame) -> DataFrame:
+    """A row for each cell of the work days of ``rows``; a work day without one has none (see ``work_days``)."""
+    return cells_of(work_days(rows))
 
 
 def passes_gate() -> Column:

@@ -407,6 +407,34 @@ def sheet_cells(spark, sf):
     return sheets.row_cells(_sheet_rows(spark, sf)).select("case_id", *long("page_number"), "day", *long("slot"), "first_read", "single_mark", *long("x", "w"))
 
 
+@query("""SELECT doc_id, md5(lower(strip_accents(lower(text)))) AS folded, contains(strip_accents(lower(text)), 'official') OR contains(strip_accents(lower(text)), 'tion') AS hit FROM documents WHERE text IS NOT NULL""")
+def fold_ligatures(spark, sf):
+    """Texts as PDFs hold them, with ligatures, full-width letters and digits, fold to the plain ones."""
+    printed = F.translate(F.col("text"), "0123456789toc", "０１２３４５６７８９ｔｏｃ")
+    for plain, ligature in (("ffi", "ﬃ"), ("fi", "ﬁ"), ("ff", "ﬀ"), ("fl", "ﬂ")):
+        printed = F.replace(printed, F.lit(plain), F.lit(ligature))
+    folds = src.table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", T.folded(printed).alias("t"))
+    return folds.select("doc_id", F.md5("t").alias("folded"), (F.contains("t", F.lit("official")) | F.contains("t", F.lit("tion"))).alias("hit"))
+
+
+@query(f"""WITH {_SHEET},
+l AS (SELECT case_id, page_number, month, max(day) AS last FROM r GROUP BY ALL),
+w AS (SELECT case_id, page_number, day, CASE WHEN n = 1 AND (k % 3 = 0 OR a >= '13:00') THEN NULL WHEN n > 1 AND k % 7 = 1 THEN NULL ELSE a END AS clock_in,
+  CASE WHEN n > 1 THEN b WHEN k % 3 <> 0 AND a >= '13:00' THEN a END AS clock_out, CASE WHEN n > 1 AND k % 7 = 1 THEN 'clock_in' ELSE '' END AS ambiguous,
+  CASE WHEN n > 1 AND k % 7 = 1 THEN 0.3::DOUBLE ELSE 0.95::DOUBLE END AS confidence FROM r WHERE n IS NOT NULL)
+SELECT case_id, page_number, CAST(day AS DATE) AS day, clock_in, clock_out, ambiguous, confidence FROM w
+UNION ALL SELECT case_id, page_number, CAST(day AS DATE), NULL, NULL, 'clock_in,clock_out', 0.0::DOUBLE
+  FROM (SELECT case_id, page_number, last, unnest(generate_series(month, last, INTERVAL 1 DAY)) AS day FROM l WHERE case_id % 3 = 1) WHERE isodow(day) = 3""")
+def sheet_entries(spark, sf):
+    """Whole sheets to entries, lone marks without a time among them: every work day has one."""
+    rows = sheets.sheet_rows(sheets.tsv_words(src.sheets(spark, sf, bare=True)))
+    days = sheets.work_days(rows)
+    read = sheets.cells_of(days).withColumns({"cell_id": F.col("slot").cast("bigint"), "value": F.col("first_read"), "source": F.when(F.col("first_read").isNotNull(), "local")})
+    unread = sheets.sheet_unread(rows).withColumn("confirmed", F.lit(True))
+    found = cells.time_card_entries(read, unread, DEFAULT, days)
+    return found.select("case_id", *long("page_number"), "day", "clock_in", "clock_out", F.array_join("ambiguous", ",").alias("ambiguous"), "confidence")
+
+
 @query(f"""WITH {_SHEET},
 l AS (SELECT case_id, page_number, month, max(day) AS last FROM r GROUP BY ALL)
 SELECT case_id, page_number, CAST(day AS DATE) AS day FROM (SELECT case_id, page_number, last, unnest(generate_series(month, last, INTERVAL 1 DAY)) AS day FROM l

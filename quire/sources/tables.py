@@ -116,11 +116,12 @@ def sheet_columns(case_id):
     return entry, entry + width + 45, width, 19 + case_id % 3
 
 
-def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sheets(spark: SparkSession, sf_dir: str, bare: bool = False) -> DataFrame:
     """case_id, page_number, tsv: a printed month of each user, as optical recognition's tab-separated words.
 
     A day has its first and last event; one event is a lone mark, some rows have both times in one word
-    or no entry. A third of the users has no rows of Wednesdays; some headers have a wrong year or start."""
+    or no entry. A third of the users has no rows of Wednesdays; some headers have a wrong year or start.
+    With ``bare``, every third lone mark is printed without its time."""
     events = table(spark, sf_dir, "events").select(F.col("user_id").alias("case_id"), F.to_date("ts").alias("day"), F.date_format("ts", "HH:mm").alias("t"), "event_id")
     days = events.groupBy("case_id", "day").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.count("*").alias("n"), F.min("event_id").alias("k"))
     months = days.groupBy("case_id", F.trunc("day", "month").alias("month")).agg(F.map_from_entries(F.collect_list(F.struct(F.dayofmonth("day"), F.struct("a", "b", "n", "k")))).alias("known"))
@@ -133,6 +134,7 @@ def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = [word(y, 60, 120, F.date_format("day", "dd/MM/yyyy")), word(y, 210, 40, F.element_at(F.array(*map(F.lit, WEEKDAYS)), F.weekday("day") + 1))]
     cells = (
         F.when(e.isNull(), F.array(word(y, entry, 2 * width, "DESCANSO")))
+        .when(F.lit(bare) & (e["n"] == 1) & (e["k"] % 3 == 0), F.array(word(y, leave + width + 20, 2 * width + 30, "Esquecimento")))
         .when(e["n"] == 1, F.array(word(y, entry + 2, width - 4, e["a"]), word(y, leave + width + 20, 2 * width + 30, "Esquecimento")))
         .when(e["k"] % 7 == 0, F.array(word(y, entry - 5, 2 * width + 25, F.concat(e["a"], F.lit("."), e["b"]))))
         .when(e["k"] % 7 == 1, F.array(word(y, leave, width, e["b"])))

@@ -1,6 +1,7 @@
 """Cases of the operators that the driver's tables don't hold."""
 
 import datetime as dt
+import unicodedata
 import json
 import random
 
@@ -29,6 +30,28 @@ def test_scalars(spark, f, cases):
     assert {r["x"]: r["y"] for r in rows} == cases
 
 
+def test_folding_is_the_decomposition_of_every_character(spark):
+    """All assigned characters, alone and between others, against the standard library."""
+    known = [chr(c) for c in range(1, 0x110000) if unicodedata.category(chr(c)) not in ("Cs", "Cn", "Co")]
+    some = [(c, f"x{c}Á{c}{c}") for c in known]
+    got = spark.createDataFrame(some, "a string, b string").repartition(4).select("a", "b", T.folded(F.col("a")).alias("fa"), T.folded(F.col("b")).alias("fb")).collect()
+    assert len(got) == len(known) > 140_000
+    bad = [(r["a"], r["fa"]) for r in got if r["fa"] != T.fold(r["a"]) or r["fb"] != T.fold(r["b"])]
+    assert not bad, (len(bad), bad[:20])
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.text(alphabet="aÇ ﬁﬆＡ９½ºª…한글각é\u0301Ⅷ㎏ﷺ😀x", max_size=30), max_size=6))
+def test_folding_of_texts(spark, some):
+    got = [r[0] for r in spark.createDataFrame([(k, t) for k, t in enumerate(some)], "k int, t string").orderBy("k").select(T.folded(F.col("t"))).collect()]
+    assert got == [T.fold(t) for t in some]
+
+
+def test_keywords_in_ligatures_and_full_width(spark):
+    df = spark.createDataFrame([("Diário oﬁcial, ＨＯＬＥＲＩＴＥ de ½ mês, 1ª via",)], "t string").select(T.folded(F.col("t")), T.label_key(F.lit(" Salário ＢＡＳＥ ")), T.slug(F.lit("Adicional ﬁxo 50％")))
+    assert tuple(df.first()) == ("diario oficial, holerite de 1\u20442 mes, 1a via", "salario base", "adicional_fixo_50")
+
+
 def test_folding_and_slugs(spark):
     row = spark.createDataFrame([("  Salário   BASE ", "Hóras/Éxtras 50% " * 5, "!!!")], "a string, b string, c string").select(T.label_key(F.col("a")), T.slug(F.col("a")), T.slug(F.col("b")), T.slug(F.col("c")), T.amount_br(F.lit(1234.5)), T.grouped_br(F.lit(1234567.5))).first()
     assert tuple(row) == ("salario base", "salario_base", ("horas_extras_50_" * 5)[:40], "verba", "1234,50", "1.234.567,50")
