@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import read_time
 
-#: Types of pages, and shapes of the answers; numbers are read as text and checked, so that one bad value spoils its own row only.
+#: Types of pages, and shapes of the answers; numbers are read as text and checked, so that one bad value spoils its own row only; values of conflicts may be of any type and keep it.
 TYPES = ("CARTAO_PONTO", "HOLERITE", "IRRELEVANTE")
 STRIPS = "strips array<struct<id: string, values: array<string>>>"
 _DAY = "struct<date: string, clock_in: string, break_start: string, break_end: string, clock_out: string, confidence: string, missing_fields: array<string>, ambiguous_fields: array<string>>"
 _ITEM = "struct<competence: string, item_name: string, amount: string, base_salary: string, confidence: string>"
-_CONFLICT = "struct<field: string, values: array<string>, source_pages: array<int>>"
+_CONFLICT = "struct<field: string, values: array<variant>, source_pages: array<int>>"
 _LISTS = "missing_fields: array<string>, ambiguous_fields: array<string>"
 ANSWER = f"pages array<struct<page_number: string, document_type: string, confidence: string, time_cards: array<{_DAY}>, payslips: array<{_ITEM}>, {_LISTS}, conflicts: array<{_CONFLICT}>>>"
 

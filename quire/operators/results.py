@@ -145,14 +145,22 @@ def field_label(field: Column) -> Column:
     return F.coalesce(F.element_at(names, field), field)
 
 
+def typed_values(found_values: Column) -> Column:
+    """The values of a conflict, a JSON list, each of its own type; null if it is no list."""
+    return F.try_variant_get(F.try_parse_json(found_values), "$", "array<variant>")
+
+
 def value_label(value: Column) -> Column:
-    """An amount as currency; the times of a JSON object that are given, entry and exit first; other text as it is."""
-    given = F.from_json(value, "clock_in string, clock_out string, break_start string, break_end string")
+    """A number as currency (not a text of digits); the times of an object that are given, entry and exit first; a text as it is; anything else as JSON, an object's keys in alphabetical order."""
+    kind = F.schema_of_variant(value)
+    field = lambda t: F.try_variant_get(value, f"$.{t}", "string")
     short = (("clock_in", "in"), ("clock_out", "out"), ("break_start", "int. start"), ("break_end", "int. end"))
-    parts = F.concat_ws(" · ", *(F.when(F.coalesce(given[t], F.lit("")) != "", F.concat(F.lit(f"{n}: "), given[t])) for t, n in short))
-    amount = value.try_cast("decimal(18,2)")
+    parts = F.concat_ws(" · ", *(F.when(F.coalesce(field(t), F.lit("")) != "", F.concat(F.lit(f"{n}: "), field(t))) for t, n in short))
+    amount = F.round(F.try_variant_get(value, "$", "decimal(38,6)"), 2)
     money = F.concat(F.when(amount < 0, "-").otherwise(""), F.lit("R$ "), grouped_br(F.abs(amount)))
-    return F.when(amount.isNotNull(), money).when(value.startswith("{") & (parts != ""), parts).otherwise(value)
+    number = kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") & amount.isNotNull()
+    text = F.when(kind == "STRING", F.try_variant_get(value, "$", "string")).otherwise(F.to_json(value))
+    return F.when(number, money).when(kind.startswith("OBJECT") & (parts != ""), parts).otherwise(text)
 
 
 # Validation of a whole result

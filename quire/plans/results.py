@@ -34,14 +34,14 @@ def _answers(asked):
     items = F.transform(upto(3), lambda i: F.struct(
         F.concat(F.lit("2024-"), two(1 + n % 12)).alias("competence"), F.concat(F.lit("Item "), _text(i)).alias("item_name"),
         F.when((n + i) % 8 == 0, "x").otherwise(_text((n * i / 4).cast("decimal(18,2)"))).alias("amount"), F.lit("0.8").alias("confidence")))
-    conflict = F.struct(F.when(n % 6 != 0, F.concat(F.lit("pages["), _text(p), F.lit("]"))).alias("field"), F.array(_text(n), F.lit("?")).alias("values"), F.array(p).alias("source_pages"))
+    conflict = F.struct(F.when(n % 6 != 0, F.concat(F.lit("pages["), _text(p), F.lit("]"))).alias("field"), F.array(F.parse_json(_text(n)), F.parse_json(F.concat(F.lit('"'), _text(n), F.lit('"'))), F.parse_json(F.lit('{"a":null}'))).alias("values"), F.array(p).alias("source_pages"))
     page = F.struct(
         F.when(n % 13 == 0, p + 90).otherwise(p).alias("page_number"), F.when(n % 5 == 0, "carta").when(n % 2 == 0, "HOLERITE").otherwise("CARTAO_PONTO").alias("document_type"),
         F.when(n % 7 == 0, 2.0).otherwise((n % 100) / 100.0).alias("confidence"), days.alias("time_cards"), items.alias("payslips"),
         F.when(n % 3 == 0, F.array(F.lit("clock_in"), F.lit("date"))).alias("missing_fields"), F.when(n % 4 == 0, F.array(F.lit("amount"))).alias("ambiguous_fields"),
         F.when(n % 3 == 1, F.array(conflict)).alias("conflicts"))
-    rows = asked.where(n % 11 != 0).groupBy("case_id", "call").agg(F.array_sort(F.collect_list(F.struct("page_number", page.alias("p")))).alias("all"))
-    return rows.select("case_id", "call", F.concat(F.lit("```json\n"), F.to_json(F.struct(F.transform("all", lambda x: x["p"]).alias("pages"))), F.lit("\n```")).alias("answer"))
+    rows = asked.where(n % 11 != 0).groupBy("case_id", "call").agg(F.array_sort(F.collect_list(F.struct("page_number", F.to_json(page).alias("p")))).alias("all"))
+    return rows.select("case_id", "call", F.concat(F.lit("```json\n"), F.lit('{"pages":['), F.array_join(F.transform("all", lambda x: x["p"]), ","), F.lit("]}\n```")).alias("answer"))
 
 
 def _pages(spark, sf):
@@ -77,7 +77,7 @@ page_flags AS (
   UNION ALL SELECT case_id, page_number, 'ambiguous', 0, 'amount' FROM good WHERE n % 4 = 0)"""
 _STATED = f"""{_PAGE_FLAGS},
 stated AS (
-  SELECT case_id, page_number AS source_page, 'pages[' || page_number || ']' AS field, '["' || n || '","?"]' AS found_values, page_number::VARCHAR AS source_pages
+  SELECT case_id, page_number AS source_page, 'pages[' || page_number || ']' AS field, '[' || n || ',"' || n || '",{{"a":null}}]' AS found_values, page_number::VARCHAR AS source_pages
   FROM good WHERE n % 3 = 1 AND n % 6 <> 0)"""
 
 
@@ -207,7 +207,7 @@ def review_save(spark, sf):
 
 _FIELDS = r"""f AS (SELECT p_partkey, p_name AS item, CASE p_partkey % 7 WHEN 0 THEN 'time_cards[2024-01-0' || (p_partkey % 9) || ']' WHEN 1 THEN 'payslips[2024-01|a]' || p_name || ']'
     WHEN 2 THEN 'payslips[2024-0' || (1 + p_partkey % 9) || '].base_salary' WHEN 3 THEN 'time_cards[]' WHEN 4 THEN 'payslips[' || p_name || ']' WHEN 5 THEN 'payslips[2024-02|' || p_name || ']' ELSE p_name END AS field,
-    CASE p_partkey % 3 WHEN 0 THEN (p_partkey - 100) || '.50' WHEN 1 THEN '{"clock_in":"08:0' || (p_partkey % 9) || '","break_start":null,"clock_out":"17:00"}' ELSE p_name END AS value FROM part)"""
+    CASE p_partkey % 3 WHEN 0 THEN (p_partkey - 100) || '.50' WHEN 1 THEN '{"clock_in":"08:0' || (p_partkey % 9) || '","break_start":null,"clock_out":"17:00"}' ELSE to_json(p_name)::VARCHAR END AS value FROM part)"""
 
 
 @query(rf"""WITH {_FIELDS}, k AS (SELECT *, CASE WHEN regexp_full_match(field, 'payslips\[([^\]]+)\]\.base_salary') THEN 'base_salary' WHEN regexp_full_match(field, 'payslips\[([^|\]]+)\|(.+)\]') THEN 'payslip'
@@ -215,7 +215,7 @@ _FIELDS = r"""f AS (SELECT p_partkey, p_name AS item, CASE p_partkey % 7 WHEN 0
 SELECT p_partkey, field, kind, CASE kind WHEN 'time_card' THEN field[12:-2] WHEN 'base_salary' THEN split_part(field[10:], ']', 1) WHEN 'payslip' THEN split_part(field[10:], '|', 1) END AS day_or_month,
   CASE WHEN kind = 'payslip' THEN field[strpos(field, '|') + 1:-2] END AS item, kind IS NOT NULL AS derived, field || ':' || (p_partkey % 4) || ',' || (p_partkey % 4 + 3) AS conflict_key,
   CASE p_partkey % 3 WHEN 0 THEN CASE WHEN value[1:1] = '-' THEN '-' ELSE '' END || 'R$ ' || translate(format('{{:,.2f}}', abs(value::DOUBLE)), ',.', '.,')
-    WHEN 1 THEN 'in: 08:0' || (p_partkey % 9) || ' · out: 17:00' ELSE value END AS label
+    WHEN 1 THEN 'in: 08:0' || (p_partkey % 9) || ' · out: 17:00' ELSE k.item END AS label
 FROM k""")
 def conflict_fields(spark, sf):
     k, name, text = F.col("p_partkey"), F.col("p_name"), lambda x: x.cast("string")
@@ -224,10 +224,24 @@ def conflict_fields(spark, sf):
         .when(k % 7 == 2, F.concat(F.lit("payslips[2024-0"), text(1 + k % 9), F.lit("].base_salary"))).when(k % 7 == 3, "time_cards[]")
         .when(k % 7 == 4, F.concat(F.lit("payslips["), name, F.lit("]"))).when(k % 7 == 5, F.concat(F.lit("payslips[2024-02|"), name, F.lit("]"))).otherwise(name)
     )
-    value = F.when(k % 3 == 0, F.concat(text(k - 100), F.lit(".50"))).when(k % 3 == 1, F.concat(F.lit('{"clock_in":"08:0'), text(k % 9), F.lit('","break_start":null,"clock_out":"17:00"}'))).otherwise(name)
+    value = F.when(k % 3 == 0, F.concat(text(k - 100), F.lit(".50"))).when(k % 3 == 1, F.concat(F.lit('{"clock_in":"08:0'), text(k % 9), F.lit('","break_start":null,"clock_out":"17:00"}'))).otherwise(F.concat(F.lit('"'), F.replace(name, F.lit('"'), F.lit('\\"')), F.lit('"')))
     rows = src.table(spark, sf, "part").select("p_partkey", field.alias("field"), value.alias("value"), F.concat_ws(",", text(k % 4), text(k % 4 + 3)).alias("pages"))
     return rows.withColumn("c", results.conflict_field(F.col("field"))).select(
-        "p_partkey", "field", "c.*", results.is_derived(F.col("field")).alias("derived"), results.conflict_key(F.col("field"), F.col("pages")).alias("conflict_key"), results.value_label(F.col("value")).alias("label"))
+        "p_partkey", "field", "c.*", results.is_derived(F.col("field")).alias("derived"), results.conflict_key(F.col("field"), F.col("pages")).alias("conflict_key"), results.value_label(F.parse_json("value")).alias("label"))
+
+
+@query(f"""WITH {_CONFLICTS}, v AS (SELECT case_id, seq, field, unnest(from_json(found_values, '["JSON"]')) AS v, generate_subscripts(from_json(found_values, '["JSON"]'), 1) AS place FROM conflicts)
+SELECT case_id, seq, place, json_type(v) IN ('UBIGINT', 'BIGINT', 'DOUBLE') AS is_number, CASE
+  WHEN json_type(v) IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN CASE WHEN v::DOUBLE < 0 THEN '-' ELSE '' END || 'R$ ' || translate(format('{{:,.2f}}', abs(v::DOUBLE)), ',.', '.,')
+  WHEN json_type(v) = 'VARCHAR' THEN v ->> '$'
+  WHEN coalesce(v ->> 'clock_in', v ->> 'clock_out', v ->> 'break_start', v ->> 'break_end') IS NULL
+    THEN CASE WHEN list_contains(json_keys(v), 'clock_in') THEN '{{"break_end":null,"break_start":null,"clock_in":null,"clock_out":null}}' ELSE v::VARCHAR END
+  ELSE concat_ws(' · ', 'in: ' || (v ->> 'clock_in'), 'out: ' || (v ->> 'clock_out'), 'int. start: ' || (v ->> 'break_start'), 'int. end: ' || (v ->> 'break_end')) END AS label FROM v""")
+def conflict_value_labels(spark, sf):
+    """Every value of every conflict of whole results, those of the model and derived ones, by its own type."""
+    rows = _conflicts(spark, sf).select("case_id", *long("seq"), F.posexplode(results.typed_values(F.col("found_values"))).alias("place", "v"))
+    number = F.schema_of_variant("v").rlike("^(BIGINT|DECIMAL|DOUBLE)").alias("is_number")
+    return rows.select("case_id", "seq", (F.col("place") + 1).cast("bigint").alias("place"), number, results.value_label(F.col("v")).alias("label"))
 
 
 @query(f"""WITH {S.VALID}, u AS (SELECT case_id, row_no, unnest(list_concat(missing, ambiguous)) AS flag FROM valid)

@@ -162,7 +162,7 @@ def test_rows_of_model_answers(spark):
     answer = {"pages": [
         page("1", time_cards=[good, {**good, "date": None}, {**good, "confidence": 2}, {**good, "confidence": "x"}], payslips=[{"competence": "2024-01"}]),
         page(2, "HOLERITE", payslips=[{"competence": "2024-01", "item_name": "a", "amount": "12.5", "confidence": 1}, {"competence": "2024-01", "item_name": "a", "amount": "?", "confidence": 1}], time_cards=[good]),
-        page(3, "OUTRO"), page(3, time_cards=[good]), page(7), page(4, conflicts=[{"field": "x", "values": [1, "b"], "source_pages": [4]}, {"values": []}], missing_fields=["date"]), {"page_number": 5},
+        page(3, "OUTRO"), page(3, time_cards=[good]), page(7), page(4, conflicts=[{"field": "x", "values": [1, "1", {"a": None}, 2.50, True, None, [1]], "source_pages": [4]}, {"values": []}], missing_fields=["date"]), {"page_number": 5},
     ]}
     asked = spark.createDataFrame([(1, 0, n) for n in range(1, 7)], "case_id int, call int, page_number int")
     told = spark.createDataFrame([(1, 0, "```json\n" + json.dumps(answer) + "\n```"), (1, 0, "no json")], "case_id int, call int, answer string")
@@ -170,10 +170,21 @@ def test_rows_of_model_answers(spark):
     assert sorted((r["page_number"], r["document_type"]) for r in pages.collect()) == [(1, "CARTAO_PONTO"), (2, "HOLERITE"), (3, "CARTAO_PONTO"), (4, "CARTAO_PONTO"), (5, "IRRELEVANTE")]
     assert sorted((r["source_page"], r["pos"], r["date_raw"]) for r in results.time_card_rows(pages).collect()) == [(1, 0, "2024-01-02"), (3, 0, "2024-01-02")]
     assert [(r["source_page"], r["amount"]) for r in results.payslip_rows(pages).collect()] == [(2, 12.5)]
-    assert [(r["field"], r["found_values"], r["source_pages"]) for r in results.model_conflicts(pages).collect()] == [("x", '["1","b"]', "4")]
+    assert [(r["field"], r["found_values"], r["source_pages"]) for r in results.model_conflicts(pages).collect()] == [("x", '[1,"1",{"a":null},2.5,true,null,[1]]', "4")]
     assert [(r["source_page"], r["kind"], r["flag"]) for r in results.page_flags(pages).collect()] == [(4, "missing", "date")]
 
 
+def test_labels_of_typed_values(spark):
+    cases = {
+        "1": "R$ 1,00", '"1"': "1", "-1234567.895": "-R$ 1.234.567,90", "1e3": "R$ 1.000,00", '"R$ 5"': "R$ 5", "true": "true", "null": "null", "[1,2]": "[1,2]", '{"a":null}': '{"a":null}', "{}": "{}",
+        '{"clock_out":"17:00","clock_in":"08:00","break_start":"","break_end":null}': "in: 08:00 · out: 17:00", '{"break_end":"13:00","clock_in":8}': "in: 8 · int. end: 13:00",
+    }
+    whole = "[" + ",".join(cases) + "]"
+    rows = spark.createDataFrame([(whole,), ("{}",), ("no",), (None,)], "t string").select(results.typed_values(F.col("t")).alias("vs"))
+    assert [r[0] for r in rows.select(F.size("vs")).collect()] == [len(cases), None, None, None]
+    assert [r[0] for r in rows.select(F.explode("vs").alias("v")).select(results.value_label(F.col("v"))).collect()] == list(cases.values())
+
+
 def test_saved_review(spark):
     rows = cards(spark, ("2024-01-02", "08:00", None, None, "17:00", 1, 0.9), ("2024-01-02", "09:00", None, None, "17:00", 2, 0.9)).withColumn("case_id", F.lit(1))
     items = spark.createDataFrame([(1, 0, "2024-01", "A]b", 1.0, None, 1, 0.9), (1, 1, "2024-01", "a]B", 2.0, None, 2, 0.9)], "case_id int, row_no int, competence string, item_name string, amount double, base_salary double, source_page int, confidence double")
