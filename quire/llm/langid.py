@@ -6,8 +6,8 @@ log-probability matrix (its size does not depend on the corpus) is broadcast, an
 in numpy as a sparse product: the n-grams of many texts are looked up at once and summed by text.
 
 Null texts and texts without a letter are ``und`` with score 0, as is everything when nothing was
-learned. Rows with a null ``doc_id`` count as held out; repeated rows are judged once each, long texts whole. Languages are learned as they come, ties go to
-the first in alphabetical order.
+learned. Rows with a null ``doc_id`` count as held out; repeated rows are judged once each, long texts whole. All languages are learned; more than
+``LANGUAGES`` are scored in blocks, with a running best. Ties go to the first in alphabetical order.
 """
 
 from __future__ import annotations
@@ -17,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_slice, texts
+from .common import by_slice, texts, written
 
 ORDERS, BUCKETS = 3, 1 << 15
 #: Bound of the training sample: of each language about so many documents, chosen by a hash of doc_id.
 PER_LANGUAGE = 4_000
-#: Bound of the model: so many languages, those of the most documents (equal counts: in alphabetical order), are learned.
+#: Languages that are scored at a time. More take more passes over the texts; all are learned.
 LANGUAGES = 256
+#: Which texts are too unlike their language: deviations and at most what difference, the least deviation of an n-gram's log likelihood, and n-grams of a text from which the deviation is that of the training documents.
+FAR, FARTHEST, SPREAD, GRAMS = 20.0, 4.0, 0.1, 1_000
 #: Characters that are scored at a time.
 BLOCK = 1 << 19
 UNKNOWN = "und"
@@ -92,18 +94,22 @@ def bucket_rows(at: list[tuple], codes: np.ndarray) -> list[np.ndarray]:
     return found
 
 
+def sample_of(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """lang, text of the bounded training sample."""
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("docs"))
+    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
+    return rows.select("doc_id", "lang", "text").join(F.broadcast(sizes), "lang").where(chance < F.lit(float(per_language)) / F.col("docs")).select("lang", "text")
+
+
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
-    """Languages and their log probabilities (a row per bucket; row 0 is zero) from rows of (doc_id, text, lang).
+    """Languages and their log probabilities (a row per bucket; row 0 is zero) from rows of (doc_id, text, lang). Languages have equal prior probabilities, however many documents they have.
 
-    The driver gets a count for each of up to ``LANGUAGES`` languages and ``ORDERS * BUCKETS`` sums for each, however many documents there are."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    if not sizes:
+    The driver gets the languages and ``ORDERS * BUCKETS`` sums for each of a block of them at a time, however many documents there are."""
+    sample = sample_of(docs, per_language).select("lang", "text")
+    langs = sorted(r["lang"] for r in sample.select("lang").distinct().collect())
+    if not langs:
         return [], np.zeros((ORDERS * BUCKETS + 1, 0), np.float32)
-    rows = rows.where(F.col("lang").isin(list(sizes)))
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_language / n))])
-    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    sample = rows.where(chance < share[F.col("lang")]).select("lang", "text")
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
@@ -118,61 +124,103 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str],
             some = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some), pa.array(own[some])], ["lang", "bucket", "n"])
 
-    counts = sample.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(sizes)
-    n = np.zeros((ORDERS * BUCKETS + 1, len(langs)))
-    n[counts["bucket"].to_numpy(np.int64), [langs.index(x) for x in counts["lang"]]] = counts["n"].to_numpy(float)
-    log = np.zeros_like(n)
-    for k in range(ORDERS):
-        part = slice(k * BUCKETS + 1, (k + 1) * BUCKETS + 1)
-        log[part] = np.log((n[part] + 0.1) / (n[part] + 0.1).sum(0))
-    return langs, log.astype(np.float32)
-
-
-def score(some: list[str], log: np.ndarray) -> np.ndarray:
-    """Log likelihood of each text under each language."""
-    out = np.zeros((len(some), log.shape[1]))
+    counts = sample.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = written(counts, "counts") if len(langs) > LANGUAGES else counts
+    log = np.zeros((ORDERS * BUCKETS + 1, len(langs)), np.float32)
+    for a in range(0, len(langs), LANGUAGES):
+        place = {x: k for k, x in enumerate(langs[a : a + LANGUAGES])}
+        own = counts.where(F.col("lang").isin(list(place))).toPandas()
+        n = np.zeros((len(log), len(place)))
+        n[own["bucket"].to_numpy(np.int64), [place[x] for x in own["lang"]]] = own["n"].to_numpy(float)
+        for k in range(ORDERS):
+            part = slice(k * BUCKETS + 1, (k + 1) * BUCKETS + 1)
+            log[part, a : a + len(place)] = np.log((n[part] + 0.1) / (n[part] + 0.1).sum(0))
+    return langs, log
+
+
+def scored(some: list[str], log: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log likelihood of each text under each language, and the number of n-grams it sums up."""
+    out, n = np.zeros((len(some), log.shape[1])), np.zeros(len(some), np.int64)
     for at, codes in joined(some):
         which, starts, _ = zip(*at)
         for f in bucket_rows(at, codes):
             inside = np.minimum(starts, len(f) - 1)
             np.add.at(out, list(which), np.add.reduceat(log[f], inside, axis=0, dtype=np.float64))
-    return out
+            np.add.at(n, list(which), np.add.reduceat((f > 0).astype(np.int64), inside))
+    return out, n
+
+
+def score(some: list[str], log: np.ndarray) -> np.ndarray:
+    return scored(some, log)[0]
+
+
+def best_of(some: list[str], langs: list[str], log: np.ndarray, best: list, top: np.ndarray, mass: np.ndarray, n: np.ndarray) -> None:
+    """Updates, for each text with a letter, its best language so far, that one's log likelihood, the sum of all likelihoods in units of it, and the number of n-grams."""
+    known = [k for k, t in enumerate(some) if langs and has_letter(t)]
+    if not known:
+        return
+    at, grams = scored([some[k] for k in known], log)
+    own = at.max(1)
+    higher = np.maximum(top[known], own)
+    mass[known] = mass[known] * np.exp(np.where(np.isinf(top[known]), -np.inf, top[known] - higher)) + np.exp(at - higher[:, None]).sum(1)
+    for k, j, better in zip(known, at.argmax(1).tolist(), (own > top[known]).tolist()):
+        if better:
+            best[k] = langs[j]
+    top[known], n[known] = higher, grams
 
 
 def predicted(some: list[str], langs: list[str], log: np.ndarray) -> tuple[list[str], list[float]]:
     """Language and posterior probability of each text."""
-    known = [bool(langs) and has_letter(t) for t in some]
-    if not any(known):
-        return [UNKNOWN] * len(some), [0.0] * len(some)
-    at = score(some, log)
-    best = at.argmax(1)
-    p = 1 / np.exp(np.minimum(at - at.max(1, keepdims=True), 0)).sum(1)
-    return [langs[b] if ok else UNKNOWN for b, ok in zip(best, known)], [float(x) if ok else 0.0 for x, ok in zip(p, known)]
+    best, top, mass, n = [UNKNOWN] * len(some), np.full(len(some), -np.inf), np.zeros(len(some)), np.zeros(len(some), np.int64)
+    best_of(some, langs, log, best, top, mass, n)
+    return best, [float(1 / m) if m else 0.0 for m in mass]
 
 
-def keep_known(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose text has a language, with a posterior probability of ``least`` or more."""
+def judged(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
+    """``rows`` (row, text) as row, best, top, mass, n (see ``best_of``): a pass for each block of ``LANGUAGES`` languages, so that a worker holds one block's matrix."""
     langs, log = model
-    sent = docs.sparkSession.sparkContext.broadcast(log)
+    names = ("best", "top", "mass", "n")
+    rows = rows.select("row", "text", F.lit(UNKNOWN).alias("best"), F.lit(float("-inf")).alias("top"), F.lit(0.0).alias("mass"), F.lit(0).cast("bigint").alias("n"))
+    for a in range(0, len(langs), LANGUAGES):
+        own = langs[a : a + LANGUAGES]
+        sent = rows.sparkSession.sparkContext.broadcast(np.ascontiguousarray(log[:, a : a + LANGUAGES]))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        pred, value = predicted(texts(batch), langs, sent.value)
-        return batch.filter(pa.array([p != UNKNOWN and v >= least for p, v in zip(pred, value)]))
+        def run(batch: pa.RecordBatch, own=own, sent=sent) -> pa.RecordBatch:
+            best, (top, mass, n) = batch.column("best").to_pylist(), (batch.column(c).to_numpy(zero_copy_only=False).copy() for c in names[1:])
+            best_of(texts(batch), own, sent.value, best, top, mass, n)
+            return pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), pa.array(best, pa.string()), pa.array(top), pa.array(mass), pa.array(n)], ["row", "text", *names])
 
-    return docs.mapInArrow(by_slice(run), docs.schema)
+        rows = rows.mapInArrow(by_slice(run), rows.schema)
+    return rows.drop("text")
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """doc_id, held_out, lang_pred, score (the language's posterior probability) per document, read from the text alone."""
-    langs, log = model
-    sent = docs.sparkSession.sparkContext.broadcast(log)
+def posterior() -> Column:
+    return F.when(F.col("mass") > 0, 1 / F.col("mass")).otherwise(0.0)
+
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        some = texts(batch)
-        pred, value = predicted(some, langs, sent.value)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(pred, pa.string()), pa.array(value, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+def usual(docs: DataFrame, model: tuple[list[str], np.ndarray], per_language: int = PER_LANGUAGE) -> DataFrame:
+    """lang, mean, sd of the log likelihood of an n-gram in the training documents of each language (of ``GRAMS`` n-grams or more), under that language's own model or the one that fits better."""
+    known = sample_of(docs, per_language).select(F.struct("lang").alias("row"), "text")
+    own = judged(known, model).where(F.col("n") >= GRAMS).withColumn("value", F.col("top") / F.nullif(F.col("n"), F.lit(0)))
+    return own.where("best = row.lang").groupBy("best").agg(F.avg("value").alias("mean"), F.coalesce(F.stddev_pop("value"), F.lit(0.0)).alias("sd")).withColumnRenamed("best", "lang")
 
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    kind = dict(docs.dtypes)["doc_id"]
-    return rows.mapInArrow(by_slice(run), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+
+def keep_known(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float = 0.5, far: float = FAR) -> DataFrame:
+    """The rows of ``docs`` whose text has a language: a posterior probability of ``least`` or more, and n-grams about as likely as in that language's training documents.
+
+    The posterior alone tells nothing of noise and of languages that were not learned: over all n-grams of a text it is next to 1 for some language always. So
+    the mean log likelihood of an n-gram may lie at most ``far`` deviations (``SPREAD`` at least) below the training documents' mean, and ``FARTHEST`` in any case; a
+    deviation grows as texts get shorter than ``GRAMS`` n-grams."""
+    found = judged(docs.select(F.struct(*docs.columns).alias("row"), "text"), model)
+    limits = written(usual(docs, model), "languages")  # one row a language
+    grams = F.nullif(F.col("n"), F.lit(0))
+    deviation = F.greatest("sd", F.lit(SPREAD)) * F.sqrt(1 + F.lit(float(GRAMS)) / grams)
+    near = F.col("mean").isNull() | (F.col("top") / grams >= F.col("mean") - F.least(far * deviation, F.lit(FARTHEST)))
+    joined_ = found.join(limits.withColumnRenamed("lang", "best"), "best", "left")
+    return joined_.where((F.col("best") != UNKNOWN) & (posterior() >= least) & near).select("row.*")
+
+
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
+    """doc_id, held_out, lang_pred, score (the language's posterior probability) per document, read from the text alone."""
+    found = judged(docs.select(F.struct("doc_id", held_out(F.col("doc_id")).alias("held_out")).alias("row"), "text"), model)
+    return found.select("row.doc_id", "row.held_out", F.col("best").alias("lang_pred"), posterior().alias("score"))

@@ -4,7 +4,7 @@ Base rules count words, symbols, repeated lines and repeated three-word windows
 lines of a text that passes them are then labelled content or boilerplate by Viterbi decoding; a text is
 kept if at least ``SHARE`` of the code points of its words lie in content lines. Weights are learned by
 gradient ascent on the log likelihood (forward-backward) from a bounded sample of labelled documents,
-whose lines take their document's quality as label, starting from and held near a fixed prior.
+whose lines take their document's quality as label, joined in pairs of both labels, starting from and held near a fixed prior.
 
 Null and empty texts have no words and fail; ties go to content. Repeated rows are judged once each and all
 kept or all rejected; long texts are judged whole; an empty table gives no rows. Labels of a document that
@@ -110,6 +110,17 @@ def gradient(x: np.ndarray, y: np.ndarray, w: np.ndarray, stay: float) -> tuple[
     return x.T @ (y - p[:, 1]), float((y[1:] == y[:-1]).sum() - same.sum())
 
 
+def mixed_sequences(found: list[tuple[np.ndarray, int]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Documents of both labels joined in pairs, now one and now the other first, so that changes of label are learned too; those left over of one label stay alone."""
+    poor, good = ([x for x, q in found if q == label] for label in (0, 1))
+    xs, ys = [], []
+    for k in range(max(len(poor), len(good))):
+        own = [(x[k], q) for x, q in ((poor, 0.0), (good, 1.0)) if k < len(x)][:: 1 if k % 2 else -1]
+        xs.append(np.concatenate([x for x, _ in own]))
+        ys.append(np.concatenate([np.full(len(x), q) for x, q in own]))
+    return xs, ys
+
+
 def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> tuple[np.ndarray, float]:
     """Weights of ``FEATURES`` and of equal neighbours. The driver gets two counts; one task fits the bounded sample."""
     known = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -129,8 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> tup
     def fit(found: pd.DataFrame) -> pd.DataFrame:
         w, stay = PRIOR.copy(), PRIOR_STAY
         found = found.assign(size=found["x"].map(len), key=found["x"].map(lambda x: np.asarray(x).tobytes())).sort_values(["quality", "size", "key"], kind="stable")  # sums of the same order in each run
-        xs = [np.asarray(x, float).reshape(-1, len(FEATURES)) for x in found["x"]]
-        ys = [np.full(len(x), q, float) for x, q in zip(xs, found["quality"])]
+        xs, ys = mixed_sequences([(np.asarray(x, float).reshape(-1, len(FEATURES)), q) for x, q in zip(found["x"], found["quality"])])
         total = sum(map(len, xs))
         for _ in range(STEPS):
             g, s = zip(*(gradient(x, y, w, stay) for x, y in zip(xs, ys)))

@@ -124,6 +124,57 @@ def test_language_id_of_a_long_text_is_that_of_its_whole(spark):
 # 2 and 7
 
 
+def test_language_model_is_the_counted_one(spark, sf):
+    """Training, by plain counting: every document of the training part, every n-gram."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    langs, log = langid.train(docs)
+    counts = defaultdict(Counter)
+    for r in docs.collect():
+        if r["lang"] is not None and r["text"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2:
+            spaced = " " + "".join(c if c.isalpha() else " " for c in r["text"].lower()) + " "
+            for n in range(1, langid.ORDERS + 1):
+                for k in range(len(spaced) - n + 1):
+                    h = 0
+                    for c in spaced[k : k + n]:
+                        h = (h * 0x9E3779B1 + ord(c) * 0x85EBCA6B) & 0xFFFFFFFF
+                    counts[r["lang"]][(((h ^ h >> 15) * 0x2C1B3C6D & 0xFFFFFFFF) >> 17) + (n - 1) * langid.BUCKETS + 1] += 1
+    assert langs == sorted(counts)
+    expected = np.zeros_like(log, dtype=float)
+    for j, lang in enumerate(langs):
+        for n in range(langid.ORDERS):
+            own = np.array([counts[lang][k] for k in range(n * langid.BUCKETS + 1, (n + 1) * langid.BUCKETS + 1)]) + 0.1
+            expected[n * langid.BUCKETS + 1 : (n + 1) * langid.BUCKETS + 1, j] = np.log(own / own.sum())
+    assert np.allclose(log, expected, atol=1e-5)
+
+
+@pytest.mark.parametrize("languages", [1, 2, 3])
+def test_all_languages_are_scored_in_blocks(spark, docs, sf, monkeypatch, languages):
+    given = spark.read.parquet(f"{sf}/documents.parquet")
+    whole = sorted(map(tuple, langid.identify(given, langid.train(given)).collect()))
+    monkeypatch.setattr(langid, "LANGUAGES", languages)
+    model = langid.train(given)
+    assert len(model[0]) == 4
+    blocks = sorted(map(tuple, langid.identify(given, model).collect()))
+    assert [r[:3] for r in whole] == [r[:3] for r in blocks]
+    assert np.allclose([r[3] for r in whole], [r[3] for r in blocks])
+
+
+def test_texts_like_no_language_are_rejected(spark, sf):
+    """Noise and other scripts have a posterior probability near 1, too; short ones are told as well as long ones."""
+    given = spark.read.parquet(f"{sf}/documents.parquet").drop("n_chars")
+    r = random.Random(1)
+    noise = [" ".join("".join(r.choice("qxzkvwjpbf") for _ in range(r.randint(3, 9))) for _ in range(n)) for n in (10, 60, 400)]
+    foreign = [t * k for t in ("これは日本語の文章です。今日は天気がいいので散歩に行きました。", "Это русский текст о погоде и о том, что мы делали вчера вечером. ") for k in (1, 10)]
+    prose = ["This is ordinary English prose about the weather and what we did yesterday, with nothing odd in it. "]
+    odd = spark.createDataFrame([(10_000 + k, t, None, "s") for k, t in enumerate(noise + foreign + prose)], given.schema)
+    docs = given.union(odd)
+    model = langid.train(docs)
+    sure = {x["doc_id"] for x in langid.identify(docs, model).where("score > 0.5").collect()}
+    kept = {x["doc_id"] for x in langid.keep_known(docs, model).collect()}
+    assert sum(10_000 + k in sure for k in range(7)) >= 6
+    assert {x["doc_id"] for x in given.collect()} | {10_007} == kept
+
+
 def test_word_encoder_is_the_library(given_texts, word_tokenizer):
     own = encoder(open(queries.WORD_TOKENIZER, "rb").read())
     for t in [t for _, t in given_texts[:60]] + [r[1] or "" for r in rows()]:
@@ -400,6 +451,18 @@ def test_kept_is_the_verdict_of_the_best_labelling(spark, sf, given_texts):
     assert quality.text_features(("é" * 40 + "\nok.").encode())[1].tolist() == [40.0, 3.0]
 
 
+def test_training_sequences_hold_both_labels():
+    docs = [(np.full((n, 2), float(n)), q) for n, q in ((1, 0), (2, 0), (3, 1), (4, 1), (5, 1))]
+    xs, ys = quality.mixed_sequences(docs)
+    assert [y.tolist() for y in ys] == [[1, 1, 1, 0], [0, 0, 1, 1, 1, 1], [1, 1, 1, 1, 1]]
+    assert [x[:, 0].tolist() for x in xs] == [[3, 3, 3, 1], [2, 2, 4, 4, 4, 4], [5] * 5]
+
+
+def test_a_fit_learns_where_labels_change(spark, sf):
+    model = quality.train(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    assert model[1] != quality.PRIOR_STAY and not np.allclose(model[0], quality.PRIOR)
+
+
 def test_gradient_is_the_slope_of_the_likelihood():
     r = np.random.default_rng(1)
     x, y, w, stay = r.normal(size=(5, 3)), np.array([1.0, 0, 1, 1, 0]), r.normal(size=3), 0.4
