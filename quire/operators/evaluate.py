@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cents, normalized_date, normalized_month, normalized_time
-from ..sources.files import TRUTH
+from ..sources.files import TRUTH, kept
 from .answers import TYPES
 from .records import TIMES
 
@@ -82,35 +80,55 @@ def item_scores(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     return counts.withColumns({"recall": ratio(F.col("matched"), F.col("expected")), "precision": ratio(F.col("matched"), F.col("predicted"))})
 
 
-def greedy_matches(truth: DataFrame, predicted: DataFrame, tolerance: float = 0.01, runs_per_task: int = 256) -> DataFrame:
+def greedy_matches(truth: DataFrame, predicted: DataFrame, tolerance: float = 0.01) -> DataFrame:
     """Rows of truth with the prediction each takes: in row order the first unused one of its month within ``tolerance``; null amounts match nothing.
 
-    Amounts of a month that lie further apart than ``tolerance`` cannot compete, so a large month is cut at such gaps, ``runs_per_task`` runs a group."""
-    def match(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("row_no")
-        waiting: dict[float, list[int]] = {}  # rows of each amount, the first one last
-        for row, amount in rows.loc[~rows["given"], ["row_no", "amount"]].iloc[::-1].itertuples(index=False, name=None):
-            waiting.setdefault(amount, []).append(row)
-        amounts, out = sorted(waiting), []
-        for case, month, row, amount in rows.loc[rows["given"], ["case_id", "competence", "row_no", "amount"]].itertuples(index=False, name=None):
-            at, best = bisect_left(amounts, amount - 2 * tolerance), None
-            while at < len(amounts) and amounts[at] <= amount + 2 * tolerance:
-                own = waiting[amounts[at]]
-                if not own:
-                    del amounts[at]
-                    continue
-                if abs(amounts[at] - amount) <= tolerance and (best is None or own[-1] < best[-1]):
-                    best = own
-                at += 1
-            if best is not None:
-                out.append((case, month, row, best.pop()))
-        return pd.DataFrame(out, columns=["case_id", "competence", "row_no", "taken"])
-
-    columns, by_amount = ["case_id", "competence", "row_no", "amount"], Window.partitionBy("case_id", "competence").orderBy("amount")
+    Amounts of a month that lie further apart than ``tolerance`` cannot compete, so a month is cut at such gaps into runs. A run whose amounts are
+    all within reach of each other matches by place. The others are settled in rounds (``_rounds``); a row takes part as long as it has an
+    unused candidate."""
+    columns, month = ["case_id", "competence", "row_no", "amount"], ["case_id", "competence"]
+    by_amount, run = Window.partitionBy(*month).orderBy("amount"), Window.partitionBy(*month, "run")
     rows = truth.select(*columns, F.lit(True).alias("given")).union(predicted.select(*columns, F.lit(False).alias("given"))).where("amount IS NOT NULL")
-    gap = F.coalesce(F.col("amount") - F.lag("amount").over(by_amount) > tolerance, F.lit(False))
-    rows = rows.withColumn("gap", gap).withColumn("part", F.floor(F.sum(F.col("gap").cast("int")).over(by_amount) / runs_per_task)).drop("gap")
-    return rows.groupBy("case_id", "competence", "part").applyInPandas(match, f"case_id {dict(truth.dtypes)['case_id']}, competence string, row_no bigint, taken bigint")
+    gap = F.coalesce((F.col("amount") - F.lag("amount").over(by_amount) > tolerance).cast("int"), F.lit(0))
+    rows = rows.withColumn("gap", gap).withColumn("run", F.sum("gap").over(by_amount)).drop("gap")
+    span = F.max("amount").over(run) - F.min("amount").over(run)
+    rows = rows.withColumns({"near": span <= tolerance, "both": F.count_if("given").over(run) * F.count_if(~F.col("given")).over(run) > 0}).where("both").drop("both")
+    placed = rows.where("near").withColumn("nth", F.row_number().over(Window.partitionBy(*month, "run", "given").orderBy("row_no")))
+    side = lambda given: F.max(F.when(F.col("given") == given, F.col("row_no")))
+    by_place = placed.groupBy(*month, "run", "nth").agg(side(True).alias("row_no"), side(False).alias("taken")).where("row_no IS NOT NULL AND taken IS NOT NULL").select(*month, "row_no", "taken")
+    return by_place.union(_rounds(kept(rows.where("NOT near").select(*columns, "given"), "unsettled"), tolerance))
+
+
+def _rounds(free: DataFrame, tolerance: float) -> DataFrame:
+    """``greedy_matches`` of rows (case_id, competence, row_no, amount, given) in rounds, each of which settles some rows of every month that can still match.
+
+    Rows of a month, a side and one amount are a class, whose first unused row stands for it. A class's choice is the class within reach with the smallest first row.
+    Two classes that choose each other match row by row, until one's next row comes after the first of another class that the other side could choose."""
+    month = ["case_id", "competence"]
+    cell = F.floor(F.col("amount") / (2 * tolerance)) if tolerance else F.col("amount")
+    beside = F.explode(F.array(cell - 1, cell, cell + 1)) if tolerance else cell
+    classes = free.select(*month, "given", "amount").distinct()
+    a = classes.where("given").select(*month, F.col("amount").alias("want"), cell.alias("cell"))
+    b = classes.where("NOT given").select(*month, F.col("amount").alias("have"), beside.alias("cell"))
+    reach = kept(a.join(b, [*month, "cell"]).where(F.abs(F.col("have") - F.col("want")) <= tolerance).drop("cell"), "reach")
+    found = []
+    while True:
+        firsts = free.groupBy(*month, "given", "amount").agg(F.min("row_no").alias("first"))
+        wanted = firsts.where("given").select(*month, F.col("amount").alias("want"), F.col("first").alias("want_first"))
+        had = firsts.where("NOT given").select(*month, F.col("amount").alias("have"), F.col("first").alias("have_first"))
+        live = reach.join(wanted, [*month, "want"]).join(had, [*month, "have"])
+        of_want, of_have = Window.partitionBy(*month, "want").orderBy("have_first"), Window.partitionBy(*month, "have").orderBy("want_first")
+        live = live.withColumns({"choice": F.row_number().over(of_want), "until": F.lead("have_first").over(of_want)})
+        live = live.withColumns({"chosen": F.row_number().over(of_have), "limit": F.lead("want_first").over(of_have)}).where("choice = 1 AND chosen = 1")
+        ranked = free.withColumn("nth", F.row_number().over(Window.partitionBy(*month, "given", "amount").orderBy("row_no")))
+        left = ranked.where("given").join(live.withColumnRenamed("want", "amount"), [*month, "amount"]).where("limit IS NULL OR row_no < limit").select(*month, "have", "nth", "row_no")
+        right = ranked.where("NOT given").join(live.withColumnRenamed("have", "amount"), [*month, "amount"]).where("until IS NULL OR row_no < until").select(*month, F.col("amount").alias("have"), "nth", F.col("row_no").alias("taken"))
+        now = kept(left.join(right, [*month, "have", "nth"]).select(*month, "row_no", "taken"), "matched")
+        found.append(now)
+        if now.isEmpty():
+            return reduce(DataFrame.union, found)
+        gone = now.select(*month, "row_no", F.lit(True).alias("given")).union(now.select(*month, F.col("taken").alias("row_no"), F.lit(False).alias("given")))
+        free = kept(free.join(gone, [*month, "row_no", "given"], "left_anti").select(*free.columns), "unsettled")
 
 
 def within(truth: DataFrame, predicted: DataFrame, key: list[str], tolerance: float = 0.006) -> DataFrame:

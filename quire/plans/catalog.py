@@ -718,7 +718,16 @@ def eval_payslips_exact(spark, sf):
     return evaluate.item_scores(rows.where("source_page <= 5"), rows.where("source_page >= 3"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {S.VALID_SLIPS},
+t AS (SELECT case_id, competence, list({{'row_no': row_no, 'amount': amount}} ORDER BY row_no) AS ts FROM vslips WHERE source_page <= 5 AND amount IS NOT NULL GROUP BY ALL),
+p AS (SELECT case_id, competence, list({{'row_no': row_no, 'amount': amount}} ORDER BY row_no) AS ps FROM vslips WHERE source_page >= 3 AND amount IS NOT NULL GROUP BY ALL),
+g AS (
+  SELECT case_id, competence, ts, ps, 0 AS k, NULL::BIGINT AS row_no, NULL::BIGINT AS taken, []::BIGINT[] AS used FROM t JOIN p USING (case_id, competence)
+  UNION ALL
+  SELECT case_id, competence, ts, ps, k + 1, row_no, c, CASE WHEN c IS NULL THEN used ELSE list_append(used, c) END FROM (
+    SELECT case_id, competence, ts, ps, k, used, ts[k + 1].row_no AS row_no, list_filter(ps, lambda x: abs(x.amount - ts[k + 1].amount) <= 0.01::DOUBLE AND NOT list_contains(used, x.row_no))[1].row_no AS c
+    FROM g WHERE k < len(ts)))
+SELECT case_id, competence, row_no, taken FROM g WHERE taken IS NOT NULL""")
 def eval_payslips_greedy(spark, sf):
     rows = records.valid_payslips(src.payslips(spark, sf))
     return evaluate.greedy_matches(rows.where("source_page <= 5"), rows.where("source_page >= 3"))

@@ -30,6 +30,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in a new shared folder, which cuts its lineage; the folder's owner deletes it."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_metrics(scores: DataFrame, path: str, done: DataFrame | None = None) -> None:
     """Append a JSON line for each case to ``path``; cases of ``done`` (case_id) were measured before and stay as they are."""
     rows = scores if done is None else scores.join(done.select("case_id").distinct(), "case_id", "left_anti")

@@ -242,15 +242,35 @@ def test_synced_dates_equal_a_loop(spark, weekdays, first):
 def test_greedy_matching(spark):
     rows = lambda *a: spark.createDataFrame([(1, "2024-03", k, x) for k, x in enumerate(a)], "case_id int, competence string, row_no long, amount double")
     got = evaluate.greedy_matches(rows(100.0, 100.005, 50.0), rows(100.004, 99.995, 70.0)).collect()
-    assert sorted((r["row_no"], r["taken"]) for r in got) == [(0, 0), (1, 1)] or sorted((r["row_no"], r["taken"]) for r in got) == [(0, 0)]
+    assert sorted((r["row_no"], r["taken"]) for r in got) == [(0, 0), (1, 1)]
 
 
-def test_greedy_matching_in_parts(spark):
+def greedily(truth, predicted, tolerance):
+    """An independent loop: each row of truth takes the first unused prediction of its month within reach."""
+    used, out = set(), []
+    for case, month, row, amount in truth:
+        for k, (c, m, taken, other) in enumerate(predicted):
+            if k not in used and (c, m) == (case, month) and None not in (amount, other) and abs(other - amount) <= tolerance:
+                used.add(k)
+                out.append((case, month, row, taken))
+                break
+    return sorted(out)
+
+
+@pytest.mark.parametrize("kind", ["few amounts", "chain", "ties", "spread", "exact"])
+def test_greedy_matching_equals_a_loop(spark, kind):
     r = random.Random(3)
-    make = lambda: spark.createDataFrame([(k % 2, "2024-03", k, None if k == 5 else r.randrange(60) / 200) for k in range(60)], "case_id int, competence string, row_no long, amount double")
-    truth, predicted = make(), make()
-    found = [sorted(map(tuple, evaluate.greedy_matches(truth, predicted, 0.004, runs).collect())) for runs in (1, 4, 1_000)]
-    assert found[0] == found[1] == found[2] and len(found[0]) > 10
+    amount = {"few amounts": lambda k: r.randrange(60) / 200, "chain": lambda k: (k if r.random() < 0.5 else 39 - k) / 100, "ties": lambda k: r.choice((1.0, 1.01, 1.02)), "spread": lambda k: r.random(), "exact": lambda k: r.randrange(9) / 4}[kind]
+    tolerance = {"few amounts": 0.004, "exact": 0.0}.get(kind, 0.0100001)
+    make = lambda: [(k % 2, "2024-0" + str(1 + k % 3 // 2), k, None if k == 5 else amount(k)) for k in range(80)]
+    truth, predicted = make(), make()[::1 if kind == "ties" else -1]
+    predicted = sorted(predicted, key=lambda x: x[2])
+    frame = lambda rows: spark.createDataFrame(rows, "case_id int, competence string, row_no long, amount double")
+    got = evaluate.greedy_matches(frame(truth), frame(predicted), tolerance)
+    expected = greedily(truth, predicted, tolerance)
+    assert sorted(map(tuple, got.collect())) == expected and len(expected) > 10
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+    assert evaluate.greedy_matches(frame(truth), frame([]), tolerance).count() == 0
 
 
 def test_session_gap_is_inclusive(spark):
