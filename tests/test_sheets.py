@@ -1,6 +1,7 @@
-"""Tables rebuilt from words: whole invented sheets, in and out of order."""
+"""Tables rebuilt from words. A sheet is written as it looks on paper, a character to ten pixels; the cases follow the operator's rules one by one."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,106 +9,150 @@ from pyspark.sql import functions as F
 from quire.functions.text import WEEKDAYS
 from quire.operators import sheets
 
-#: A four-week roster: late shifts on Tuesdays and Fridays, early ones on the other workdays, Sundays off, Saturdays short.
-FIRST, LAST = dt.date(2023, 3, 5), dt.date(2023, 4, 2)
-SHIFTS = {0: ("06:20", "14:40"), 1: ("13:10", "21:30"), 2: ("06:20", "14:40"), 3: ("06:20", "14:40"), 4: ("13:10", "21:30"), 5: ("07:00", "11:00")}
-ENTRY, EXIT, WIDE, HIGH = 290, 430, 62, 18
 WORDS = "case_id int, page_number int, pos int, line_key string, x int, y int, w int, h int, text string"
+CELL, LINE = 10, 30
+DAY = dt.timedelta(days=1)
 
 
-def sheet(start=FIRST, end=LAST, period=None, skip=(), cells=None, weekdays=None, fragment=None):
-    """Words (x, y, w, text) of a sheet with its header, a line a day, and the line that ends it."""
-    head = [t for t in (period or f"{start:%d/%m/%Y} à {end:%d/%m/%Y}").split()]
-    out = [(40, 75, 80, "Período"), *((140 + 105 * k, 75, 95, t) for k, t in enumerate(head))]
-    print_day = fragment or (lambda n, d: f"{d.day % 10}/{d:%m/%Y}")
-    for n in range((end - start).days + 1):
-        day, y = start + dt.timedelta(days=n), 200 + 27 * n
-        if day in skip:
-            continue
-        own = (cells or {}).get(day)
-        if own is None:
-            times = SHIFTS.get(day.weekday())
-            own = [(x, WIDE, t) for x, t in zip((ENTRY, EXIT), times)] if times else [(ENTRY + 4, 130, "DESCANSO")]
-        out += [(40, y, 115, print_day(n, day)), (180, y, 38, (weekdays or {}).get(day, WEEKDAYS[day.weekday()]))]
-        out += [(x, y, w, t) for x, w, t in own]
-    return [*out, (40, 200 + 27 * 40, 66, "Saldo")]
+def printed(page: str, number: int = 1, shuffle: int = 0):
+    """Words of a page: a word starts where its first character stands and is as wide as it is long. Words are met in a shuffled order of lines."""
+    rows = []
+    lines = list(enumerate(page.split("\n")))
+    random.Random(shuffle).shuffle(lines)
+    for y, line in lines:
+        at = 0
+        for text in line.split():
+            at = line.index(text, at)
+            rows.append((7, number, len(rows), f"line {y}", at * CELL, y * LINE, len(text) * CELL, 16, text))
+            at += len(text)
+    return rows
 
 
-def read(spark, words):
-    rows = [(1, 1, k, str(y), x, y, w, HIGH, t) for k, (x, y, w, t) in enumerate(words)]
-    return sheets.sheet_rows(spark.createDataFrame(rows, WORDS).orderBy(F.desc("pos")))
+def read(spark, *pages):
+    rows = [r for k, page in enumerate(pages, 1) for r in printed(page, k, shuffle=k)]
+    return sheets.sheet_rows(spark.createDataFrame(rows, WORDS))
 
 
-def outcome(rows):
-    """Confirmed, first and last work day, unread days."""
-    found = sheets.row_cells(rows).select("day").distinct().orderBy("day").collect()
-    pages = sheets.sheet_pages(rows).collect()
-    return [p["confirmed"] for p in pages], [r["day"] for r in found], [r["day"] for r in sheets.sheet_unread(rows).collect()]
+def line(day: dt.date, left: str = "07:10", right: str = "16:05", weekday: str | None = None, date: str = "%d/%m/%Y") -> str:
+    return f"{day.strftime(date):<12}{weekday or WEEKDAYS[day.weekday()]:<8}{left:<10}{right}"
 
 
-ALL_DAYS = [FIRST + dt.timedelta(days=n) for n in range((LAST - FIRST).days + 1)]
-WORKDAYS = [d for d in ALL_DAYS if d.weekday() in SHIFTS]
-GAP = dt.date(2023, 3, 16)
+def page(lines: list[str], first: dt.date, last: dt.date, header: str = "Período {a} a {b}") -> str:
+    return "\n".join([header.format(a=f"{first:%d/%m/%Y}", b=f"{last:%d/%m/%Y}"), "", *lines, "Saldo do mês 00:00"])
 
 
-def full(n, d):
-    return f"{d:%d/%m/%Y}"
+def span(first: dt.date, n: int) -> list[dt.date]:
+    return [first + k * DAY for k in range(n)]
 
 
-@pytest.mark.parametrize("options, confirmed, days, unread", [
-    ({}, True, WORKDAYS, []),
-    ({"weekdays": {dt.date(2023, 3, 8): "SAB"}}, True, WORKDAYS, []),
-    ({"skip": {GAP}}, True, [d for d in WORKDAYS if d != GAP], [GAP]),
-    ({"period": "05/03/2023 à 02/04/3024"}, True, WORKDAYS, []),
-    ({"fragment": full}, True, WORKDAYS, []),
-    ({"period": "05/03/2022 à 02/04/2022"}, True, WORKDAYS, []),
-    ({"period": "16/03/2023 à 02/04/2023", "fragment": full}, True, WORKDAYS, []),
-])
-def test_dates(spark, options, confirmed, days, unread):
-    assert outcome(read(spark, sheet(**options))) == ([confirmed], days, unread)
+def facts(rows):
+    """Of each page: whether its dates are confirmed, the days of its rows, and the days that no row has."""
+    out = {p["page_number"]: [p["confirmed"], [], []] for p in sheets.sheet_pages(rows).collect()}
+    for k, found in ((1, rows.select("page_number", "day")), (2, sheets.sheet_unread(rows))):
+        for r in sorted(found.collect(), key=lambda r: r["day"]):
+            out[r["page_number"]][k].append(r["day"])
+    return out
 
 
-@pytest.mark.parametrize("options", [
-    {"period": "12/03/2023 à 09/04/2023"},
-    {"period": "16/03/2023 à 02/04/2023", "fragment": lambda n, d: f"{d + dt.timedelta(days=4):%d/%m/%Y}"},
-    {"end": FIRST + dt.timedelta(days=7), "fragment": lambda n, d: f"{d.day % 10}/{d:%m/%Y}" if n < 4 else "~/"},
-])
-def test_doubtful_dates_keep_their_cells(spark, options):
-    confirmed, days, _ = outcome(read(spark, sheet(**options)))
-    assert confirmed == [False] and days
+START = dt.date(2022, 9, 12)  # a Monday
+TEN = span(START, 10)
 
 
-def test_a_period_over_the_new_year(spark):
-    confirmed, days, _ = outcome(read(spark, sheet(dt.date(2020, 12, 14), dt.date(2021, 1, 10))))
-    assert confirmed == [True] and days[0] == dt.date(2020, 12, 14) and days[-1] == dt.date(2021, 1, 9)
+def test_lines_in_their_places_have_the_days_of_the_period(spark):
+    years = span(dt.date(2019, 12, 27), 12)
+    got = facts(read(spark, page([line(d) for d in TEN], TEN[0], TEN[-1]), page([line(d) for d in years], years[0], years[-1])))
+    assert got == {1: [True, TEN, []], 2: [True, years, []]}
 
 
-def test_cells_of_odd_rows(spark):
-    day = lambda n: dt.date(2023, 3, n)
-    odd = {
-        day(6): [(ENTRY - 3, WIDE - 2, "15:26"), (EXIT + 90, 140, "Esquecimento")],  # a lone mark is an exit by its time
-        day(7): [(ENTRY - 6, 2 * WIDE + 30, "13:08.21:33")],  # both times in one word
-        day(8): [(EXIT, WIDE, "14:44")],  # the entry's box is guessed
-        day(9): [(ENTRY, WIDE, "DEST0620"), (EXIT, WIDE, "14:40")],  # digits at the exit: no day off
-        day(10): [],
-    }
-    found = {}
-    for r in sheets.row_cells(read(spark, sheet(cells=odd))).orderBy("day", "slot").collect():
-        found.setdefault(r["day"], []).append((r["slot"], r["first_read"], r["single_mark"], r["w"]))
-    assert found[day(6)] == [(1, "15:26", True, WIDE - 2)]
-    assert found[day(7)] == [(0, "13:08", False, WIDE), (1, "21:33", False, ENTRY - 6 + 2 * WIDE + 30 - EXIT)]
-    assert found[day(8)] == [(0, None, False, WIDE), (1, "14:44", False, WIDE)]
-    assert [x[:2] for x in found[day(9)]] == [(0, None), (1, "14:40")]
-    assert [x[:2] for x in found[day(10)]] == [(0, None), (1, None)]
+def test_a_few_misread_weekdays_do_not_matter_where_every_day_has_its_line(spark):
+    lines = [line(d, weekday="DOM" if k in (2, 5) else None) for k, d in enumerate(TEN)]
+    assert facts(read(spark, page(lines, TEN[0], TEN[-1]))) == {1: [True, TEN, []]}
+
+
+@pytest.mark.parametrize("lost", [{4}, {3, 4}, {1, 8}])
+def test_lines_that_are_lost_leave_days_unread(spark, lost):
+    lines = [line(d) for k, d in enumerate(TEN) if k not in lost]
+    assert facts(read(spark, page(lines, TEN[0], TEN[-1]))) == {1: [True, [d for k, d in enumerate(TEN) if k not in lost], [TEN[k] for k in sorted(lost)]]}
+
+
+@pytest.mark.parametrize("years", [-1, 1])
+def test_most_years_of_the_lines_mend_the_period(spark, years):
+    moved = lambda d: d.replace(year=d.year + years)
+    assert facts(read(spark, page([line(d) for d in TEN], moved(TEN[0]), moved(TEN[-1])))) == {1: [True, TEN, []]}
+
+
+def test_an_impossible_end_is_a_month_after_the_start(spark):
+    month = span(START, 30)
+    lines = [line(d) for d in month]
+    assert facts(read(spark, page(lines, START, START, "Período {a} a 11/10/2922"))) == {1: [True, month, []]}
 
 
-def test_pages_without_a_table(spark):
-    assert read(spark, [(10, 10, 90, "Petição")]).count() == 0
-    assert read(spark, sheet()[:5]).count() == 0
+def test_most_printed_dates_move_the_start(spark):
+    late = START + 5 * DAY
+    assert facts(read(spark, page([line(d) for d in TEN], late, late + 9 * DAY)))[1][:2] == [True, TEN]
+
+
+def test_dates_that_months_do_not_bear_out_are_not_confirmed(spark):
+    """The lines turn to October after five rows, but the header's period ends in September; no line has a whole date to vote by."""
+    cut = ["~/" + line(d, date="%m/%Y") for d in span(dt.date(2022, 9, 26), 10)]
+    early = dt.date(2022, 9, 16)
+    got = facts(read(spark, page(cut, early, early + 9 * DAY)))
+    assert got == {1: [False, span(early, 10), []]}
+
+
+def test_tables_end_and_need_rows(spark):
+    after = page([line(d) for d in TEN], TEN[0], TEN[-1]) + "\n" + line(TEN[-1] + DAY)
+    short = page([line(d) for d in TEN[:4]], TEN[0], TEN[3])
+    single = page([line(d, right="") for d in TEN], TEN[0], TEN[-1])
+    assert facts(read(spark, after, short, single, "Petição inicial", page([line(d) for d in TEN], TEN[0], TEN[-1], "Folha de {a}"))) == {1: [True, TEN, []]}
+
+
+def test_cells(spark):
+    """Columns are where most times stand; what a row prints there, or leaves out, makes its cells."""
+    odd = {
+        0: ("FOLGA DESCANSO", ""),
+        1: ("16:40", "     Esquecimento"),  # one time, marked as lone: an exit, as it is late
+        2: ("07:1O", "16:O5"),  # letters read as digits
+        3: ("07:12.16:03xxxxx", ""),  # both times in one word
+        4: ("", "16:20"),  # no entry: its usual box
+        5: ("", "                    Esquecimento"),  # the sign of a lone mark and no time
+        6: ("FERIADO 1", "  16:11"),  # digits at the exit
+    }
+    lines = [line(d, *odd.get(k, ("07:10", "16:05"))) for k, d in enumerate(span(START, 14))]
+    days = sheets.work_days(read(spark, page(lines, START, START + 13 * DAY)))
+    got = {(r["day"] - START).days: [(c["slot"], c["first_read"], c["single_mark"], c["x"]) for c in r["cells"]] for r in days.collect()}
+    assert sorted(got) == list(range(1, 14))
+    assert got[1] == [(1, "16:40", True, 200)]
+    assert [c[:2] for c in got[2]] == [(0, "07:10"), (1, "16:05")]
+    assert [c[:2] for c in got[3]] == [(0, "07:12"), (1, "16:03")]
+    assert got[4] == [(0, None, False, 200), (1, "16:20", False, 300)]
+    assert got[5] == []
+    assert [c[:2] for c in got[6]] == [(0, None), (1, "16:11")]
+    assert got[9] == [(0, "07:10", False, 200), (1, "16:05", False, 300)]
+    assert sheets.row_cells(read(spark, page(lines, START, START + 13 * DAY))).count() == sum(map(len, got.values()))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_sheets_come_back(spark, seed):
+    """Any period, random lines lost and weekdays misread: what has its line keeps its day, and the rest is unread."""
+    r = random.Random(seed)
+    pages, expected = [], {}
+    for k in range(1, 7):
+        first, n = dt.date(2018, 1, 1) + r.randrange(2_000) * DAY, r.randint(14, 40)
+        days = span(first, n)
+        lost = set(r.sample(range(1, n - 1), r.randint(0, 2)))
+        misread = set() if lost else set(r.sample(range(n), n // 6))
+        lines = [line(d, weekday=WEEKDAYS[(d.weekday() + 2) % 7] if j in misread else None) for j, d in enumerate(days) if j not in lost]
+        pages.append(page(lines, days[0], days[-1]))
+        expected[k] = [True, [d for j, d in enumerate(days) if j not in lost], [days[j] for j in sorted(lost)]]
+    assert facts(read(spark, *pages)) == expected
 
 
 def test_tsv(spark):
     head = "level\tpage_num\tblock_num\tpar_num\tline_num\tword_num\tleft\ttop\twidth\theight\tconf\ttext"
-    body = [head, "5\t1\t1\t2\t3\t1\t5\t7\t60\t20\t90\t 10:00 ", "5\t1\t1\t1", "5\t1\t1\t2\t3\t2\t5\t7\t60\t20\t90\t  ", "5\t1\t1\t2\t3\t3\tx\t7\t60\t20\t90\ta"]
-    rows = spark.createDataFrame([(1, 1, "\n".join(body)), (1, 2, ""), (1, 3, None)], "case_id int, page_number int, tsv string")
-    assert [tuple(r) for r in sheets.tsv_words(rows).collect()] == [(1, 1, 1, "1-2-3", 5, 7, 60, 20, "10:00")]
+    fields = lambda x, text, line_no=8: "\t".join(map(str, (5, 1, 2, 1, line_no, 1, x, 44, 31, 12, 77, text)))
+    tsv = "\r\n".join([head, fields(3, "  16:05\t"), fields(4, "   "), fields("?", "lost"), "5\t1\t2", fields(90, "DOM", 9)])
+    rows = spark.createDataFrame([(1, 1, tsv), (1, 2, ""), (1, 3, None)], "case_id int, page_number int, tsv string")
+    got = sheets.tsv_words(rows).select("page_number", "pos", "line_key", "x", "y", "w", "h", "text").orderBy("pos")
+    assert [tuple(r) for r in got.collect()] == [(1, 1, "2-1-8", 3, 44, 31, 12, "16:05"), (1, 5, "2-1-9", 90, 44, 31, 12, "DOM")]
+    assert got.where(F.col("page_number") > 1).isEmpty()
