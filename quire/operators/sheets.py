@@ -1,14 +1,13 @@
 """Dated tables rebuilt from positioned words: lines, table rows, columns, dates by several rules, and cells.
 
-A page is the unit: its words are brought together once, and every later step is a window over the
-page or an expression on one line, so nothing else is shuffled. The alternatives for the dates (as
-printed, a year off, as most rows say) are columns of each row, and the first that holds is taken.
+A page is the unit: its words are brought together once, as one row with its lines, and every later step is an
+expression on that row (a page has some hundred words at most), so nothing else is shuffled and nothing is sorted again. The alternatives for
+the dates (as printed, a year off, as most rows say) are columns, and the first that holds is taken.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -37,44 +36,51 @@ def tsv_words(pages: DataFrame) -> DataFrame:
 
 
 def page_lines(words: DataFrame) -> DataFrame:
-    """Lines of words by place; ``y`` and ``first`` (of the word met first) are their order."""
+    """A row for each page, its ``lines`` by place: y, first (of the word met first), text and words. The words are shuffled once, by page."""
     word = F.struct("x", "pos", "y", "w", "h", "text")
     lines = words.repartition(*PAGE).groupBy(*PAGE, "line_key").agg(F.min_by("y", "pos").alias("y"), F.min("pos").alias("first"), F.array_sort(F.collect_list(word)).alias("words"))
-    return lines.withColumn("text", joined(F.col("words")))
+    return lines.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("y", "first", joined(F.col("words")).alias("text"), "words"))).alias("lines"))
 
 
 def joined(words: Column, by: str = " ") -> Column:
     return F.array_join(F.transform(words, lambda w: w["text"]), by)
 
 
-def table_rows(lines: DataFrame) -> DataFrame:
-    """Lines above the table's end that start with a piece of a date and a weekday, numbered from 0, with the page's printed period."""
-    page, order = Window.partitionBy(*PAGE), Window.partitionBy(*PAGE).orderBy("y", "first")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "first", "text")).over(page)), lambda x: x["text"]), "\n")
-    rows = lines.withColumn("period", T.bound(F.regexp_extract(text, PERIOD, 0), period)).withColumn("ended", F.max(F.col("text").rlike(TABLE_END)).over(order)).where("NOT ended AND period IS NOT NULL")
+def table_rows(pages: DataFrame) -> DataFrame:
+    """case_id, page_number, the printed ``start`` and ``end``, and ``rows``: the lines above the table's end that begin with a piece of a date and a weekday. Pages without a period, or with too few rows, go."""
+    text = F.array_join(F.transform("lines", lambda x: x["text"]), "\n")
+    ends = F.filter(F.transform("lines", lambda x, i: F.when(x["text"].rlike(TABLE_END), i)), lambda i: i.isNotNull())
+    above = F.slice("lines", F.lit(1), F.coalesce(F.get(ends, F.lit(0)), F.size("lines")))
 
-    def day_at(k: int) -> Column:
-        dated = F.exists(F.slice("words", 1, k), lambda w: F.contains(w["text"], F.lit("/")))
-        return F.when((F.size("words") > k) & dated, T.read_weekday(F.get("words", F.lit(k))["text"]))
+    def row(x: Column) -> Column:
+        words = x["words"]
 
-    rows = rows.withColumns({"one": day_at(1), "two": day_at(2)}).withColumn("at", F.when(F.col("one").isNotNull(), 1).when(F.col("two").isNotNull(), 2)).where("at IS NOT NULL")
-    found = rows.select(
-        *PAGE, "y", "first", "period", weekday_number(F.coalesce("one", "two")).alias("weekday"),
-        F.slice("words", F.col("at") + 2, F.size("words")).alias("rest"), F.translate(F.upper(joined(F.slice("words", F.lit(1), F.col("at")))), T.CONFUSED, T.DIGITS).alias("fragment"),
-    )
-    return found.withColumn("pos", (F.row_number().over(order) - 1).cast("int")).withColumn("n_rows", F.count("*").over(page)).where(F.col("n_rows") >= LEAST_ROWS)
+        def day_at(k: int) -> Column:
+            dated = F.exists(F.slice(words, 1, k), lambda w: F.contains(w["text"], F.lit("/")))
+            return F.when((F.size(words) > k) & dated, T.read_weekday(F.get(words, F.lit(k))["text"]))
+
+        def dated_row(day: Column) -> Column:
+            at = F.when(day["one"].isNotNull(), 1).otherwise(2)
+            return F.when(F.coalesce(day["one"], day["two"]).isNotNull(), F.struct(
+                x["y"].alias("y"), weekday_number(F.coalesce(day["one"], day["two"])).alias("weekday"), F.slice(words, at + 2, F.size(words)).alias("rest"),
+                F.translate(F.upper(joined(F.slice(words, F.lit(1), at))), T.CONFUSED, T.DIGITS).alias("fragment")))
+
+        return T.bound(F.struct(day_at(1).alias("one"), day_at(2).alias("two")), dated_row)
+
+    found = pages.select(*PAGE, T.bound(F.regexp_extract(text, PERIOD, 0), period).alias("period"), above.alias("above")).where("period IS NOT NULL")
+    rows = F.filter(F.transform("above", row), lambda r: r.isNotNull())
+    return found.select(*PAGE, "period.start", "period.end", rows.alias("rows")).where(F.size("rows") >= LEAST_ROWS)
 
 
-def with_columns(rows: DataFrame) -> DataFrame:
+def with_columns(pages: DataFrame) -> DataFrame:
     """Adds entry_x, exit_x, width, height: medians (rounded half to even) of the rows that start with two times; pages with too few of them go."""
-    page = Window.partitionBy(*PAGE)
-    word = lambda k: F.get("rest", F.lit(k))
-    pair = F.coalesce(T.read_time(word(0)["text"]).isNotNull() & T.read_time(word(1)["text"]).isNotNull() & (word(0)["x"] < word(1)["x"]), F.lit(False))
-    rows = rows.withColumn("pair", pair)
-    listed = lambda of: F.array_sort(F.flatten(F.collect_list(F.when(F.col("pair"), F.array(*of))).over(page)))
-    sorted_ = {"entry_x": listed([word(0)["x"]]), "exit_x": listed([word(1)["x"]]), "width": listed([word(0)["w"], word(1)["w"]]), "height": listed([word(0)["h"], word(1)["h"]])}
-    rows = rows.withColumns({"n_pairs": F.count_if("pair").over(page), **sorted_}).where(F.col("n_pairs") >= LEAST_PAIRS)
-    return rows.withColumns({c: F.bround(middle(F.col(c)), 0).cast("int") for c in sorted_}).drop("pair", "n_pairs")
+    word = lambda r, k: F.get(r["rest"], F.lit(k))
+    time = lambda r, k: T.read_time(word(r, k)["text"]).isNotNull()
+    pairs = F.filter("rows", lambda r: (word(r, 0)["x"] < word(r, 1)["x"]) & time(r, 0) & time(r, 1))
+    pages = pages.withColumn("pairs", F.transform(pairs, lambda r: F.struct(word(r, 0).alias("a"), word(r, 1).alias("b")))).where(F.size("pairs") >= LEAST_PAIRS)
+    listed = lambda *of: F.array_sort(F.concat(*(F.col(f"pairs.{side}.{field}") for side, field in of)))
+    sorted_ = {"entry_x": listed(("a", "x")), "exit_x": listed(("b", "x")), "width": listed(("a", "w"), ("b", "w")), "height": listed(("a", "h"), ("b", "h"))}
+    return pages.withColumns({c: T.bound(v, lambda x: F.bround(middle(x), 0).cast("int")) for c, v in sorted_.items()}).drop("pairs")
 
 
 def middle(values: Column) -> Column:
@@ -83,63 +89,92 @@ def middle(values: Column) -> Column:
     return (at((F.size(values) - 1) / 2) + at(F.size(values) / 2)) / 2
 
 
-def with_days(rows: DataFrame) -> DataFrame:
-    """Adds day, start, end and confirmed.
+def count(values: Column, test) -> Column:
+    return F.size(F.filter(values, test))
+
+
+def months_agree(dates: Column, months: Column) -> Column:
+    """Whether no move of the dates, by ``REACH`` days at most, makes more of them fall in their printed months than none does.
+
+    For each row the moves that agree are an interval: what its printed month's first and last day are away. A histogram of these intervals
+    is highest where one of them begins, so only those moves are counted."""
+    def moves(day: Column, month: Column) -> Column:
+        year = F.year(day) + F.when(month - F.month(day) > 6, -1).when(month - F.month(day) < -6, 1).otherwise(0)
+        first = F.make_date(year, month, F.lit(1))
+        return F.struct(F.greatest(F.datediff(first, day), F.lit(-REACH)).alias("from"), F.least(F.datediff(F.last_day(first), day), F.lit(REACH)).alias("to"))
+
+    near = F.filter(F.zip_with(dates, months, lambda d, m: F.when(m.isNotNull(), moves(d, m))), lambda x: x["from"] <= x["to"])
+
+    def highest(own: Column) -> Column:
+        at = lambda k: count(own, lambda x: (x["from"] <= k) & (k <= x["to"]))
+        begins = F.array_distinct(F.transform(own, lambda x: x["from"]))
+        return at(F.lit(0)) >= F.coalesce(F.array_max(F.transform(begins, at)), F.lit(0))
+
+    return T.bound(near, highest)
+
+
+def with_days(pages: DataFrame) -> DataFrame:
+    """Adds ``days``, one for each row, start, end and confirmed.
 
     A row for each day of the period: places give the dates; else each row takes the next date with its
     weekday. The period's year is mended if most printed years say so. Dates that the rows' months, and
     their weekdays or first day, don't bear out give way to the start that most rows print; if that
     isn't borne out either, the first dates stay, not confirmed."""
-    page, order = Window.partitionBy(*PAGE), Window.partitionBy(*PAGE).orderBy("pos")
-    printed = lambda pattern, k: F.nullif(F.regexp_extract("fragment", pattern, k), F.lit("")).cast("int")
-    whole, cut = r"\d{2}/(\d{2})/\d{2,4}", r"(\d{2})/\d{2,4}"
-    month = F.coalesce(printed(whole, 1), printed(cut, 1))
-    full = F.try_to_date(F.nullif(F.regexp_extract("fragment", r"\d{2}/\d{2}/\d{4}", 0), F.lit("")), "dd/MM/yyyy")
-    before = F.lag("weekday").over(order)
-    rows = rows.withColumns({
-        "month": F.when(month.between(1, 12), month), "year": printed(r"/\d{2}/(\d{4})", 1), "full": full,
-        "step": F.when(before.isNull(), 0).otherwise(1 + F.pmod(F.col("weekday") - before - 1, F.lit(7))), "first_weekday": F.first("weekday").over(order),
-        "start": F.col("period.start"), "end": F.col("period.end"),
+    printed = lambda text, pattern, k: F.nullif(F.regexp_extract(text, pattern, k), F.lit("")).try_cast("int")
+
+    def month(text: Column) -> Column:
+        found = F.coalesce(printed(text, r"\d{2}/(\d{2})/\d{2,4}", 1), printed(text, r"(\d{2})/\d{2,4}", 1))
+        return T.bound(found, lambda m: F.when(m.between(1, 12), m))
+
+    full = lambda text: F.try_to_date(F.nullif(F.regexp_extract(text, r"\d{2}/\d{2}/\d{4}", 0), F.lit("")), "dd/MM/yyyy")
+    of = lambda f: F.transform("rows", lambda r: f(r["fragment"]))
+    pages = pages.withColumns({
+        "n_rows": F.size("rows"), "weekdays": F.transform("rows", lambda r: r["weekday"]), "months": of(month), "years": of(lambda t: printed(t, r"/\d{2}/(\d{4})", 1)), "full": of(full),
     })
-    rows = rows.withColumn("steps", F.sum("step").over(order).cast("int"))
-
-    def days(rows: DataFrame, start: str, end: str, name: str) -> DataFrame:
-        each = F.col("n_rows") == F.datediff(F.col(end), F.col(start)) + 1
-        synced = F.pmod(F.col("first_weekday") - F.weekday(start), F.lit(7)) + F.col("steps")
-        return rows.withColumn(f"{name}_each", each).withColumn(name, F.date_add(start, F.when(each, F.col("pos")).otherwise(synced).cast("int")))
-
-    def borne_out(start: str, name: str) -> Column:
-        agree = lambda by: F.count_if(F.month(F.date_add(name, by)) == F.col("month")).over(page)
-        months = (F.count("month").over(page) >= LEAST_ROWS) & (agree(0) >= F.greatest(*(agree(k) for k in range(-REACH, REACH + 1))))
-        weekdays = F.count_if(F.weekday(name) == F.col("weekday")).over(page) >= WEEKDAY_SHARE * F.col("n_rows")
-        return months & F.when(F.col(f"{name}_each"), weekdays).otherwise(F.min(name).over(page) == F.col(start))
-
-    rows = days(rows, "start", "end", "day")
-    years = {k: F.count_if(F.col("year") == F.year("day") + k).over(page) for k in (-1, 0, 1)}
-    rows = rows.withColumns({"back": years[-1], "same": years[0], "on": years[1], "n_years": F.count("year").over(page)})
-    most = F.greatest("back", "on")
-    moved = (F.col("n_years") >= LEAST_ROWS) & (most > F.col("same")) & (most >= YEAR_SHARE * F.col("n_years"))
-    rows = rows.withColumn("years", F.when(moved, F.when(F.col("back") >= F.col("on"), -1).otherwise(1)).otherwise(0))
-    rows = rows.withColumns({c: F.add_months(c, 12 * F.col("years")) for c in ("start", "end")})
-    rows = days(rows, "start", "end", "day")
-    rows = rows.withColumn("by_period", (F.max("day").over(page) <= F.col("end")) & borne_out("start", "day"))
-
-    vote = F.when(F.weekday("full") == F.col("weekday"), F.date_sub("full", F.col("pos")))
-    rows = rows.withColumn("vote", vote)
-    rows = rows.withColumn("votes", F.when(F.col("vote").isNotNull(), F.count("*").over(Window.partitionBy(*PAGE, "vote"))))
-    rows = rows.withColumn("best", F.max(F.when(F.col("vote").isNotNull(), F.struct(F.col("votes"), (-F.col("pos")).alias("early"), F.col("vote")))).over(page))
-    rows = rows.withColumn("voted", F.when(F.col("best.votes") >= F.greatest(F.lit(LEAST_ROWS), START_SHARE * F.col("n_rows")), F.col("best.vote")))
-    rows = rows.withColumn("voted_end", F.date_add("voted", (F.col("n_rows") - 1).cast("int")))
-    rows = days(rows, "voted", "voted_end", "other")
-    rows = rows.withColumn("by_rows", ~F.col("by_period") & F.coalesce(borne_out("voted", "other"), F.lit(False)))
+    gaps = F.transform("weekdays", lambda d, i: F.when(i == 0, 0).otherwise(1 + F.pmod(d - F.get("weekdays", i - 1) - 1, F.lit(7))))
+    steps = F.aggregate(gaps, F.array().cast("array<int>"), lambda acc, g: F.array_append(acc, F.coalesce(F.element_at(F.concat(F.array(F.lit(0)), acc), -1), F.lit(0)) + g))
+    pages = pages.withColumn("steps", steps)
+    each = lambda start, end: F.col("n_rows") == F.datediff(F.col(end), F.col(start)) + 1
+
+    def days(start: str, end: str) -> Column:
+        synced = F.pmod(F.get("weekdays", F.lit(0)) - F.weekday(start), F.lit(7))
+        return F.transform("steps", lambda s, i: F.date_add(F.col(start), F.when(each(start, end), i).otherwise(synced + s).cast("int")))
+
+    def borne_out(start: str, end: str, dates: str) -> Column:
+        months = (count(F.col("months"), lambda m: m.isNotNull()) >= LEAST_ROWS) & months_agree(F.col(dates), F.col("months"))
+        right = count(F.zip_with(dates, "weekdays", lambda d, w: F.weekday(d) == w), lambda x: x)
+        return months & F.when(each(start, end), right >= WEEKDAY_SHARE * F.col("n_rows")).otherwise(F.array_min(dates) == F.col(start))
+
+    pages = pages.withColumn("days", days("start", "end"))
+    shifts = F.zip_with("years", "days", lambda y, d: y - F.year(d))
+    pages = pages.withColumn("shifts", F.filter(shifts, lambda x: x.isNotNull()))
+    back, same, on = (F.size(F.filter("shifts", lambda x: x == k)) for k in (-1, 0, 1))
+    most = F.greatest(back, on)
+    moved = (F.size("shifts") >= LEAST_ROWS) & (most > same) & (most >= YEAR_SHARE * F.size("shifts"))
+    pages = pages.withColumn("moved", F.when(moved, F.when(back >= on, -12).otherwise(12)).otherwise(0))
+    pages = pages.withColumns({c: F.add_months(c, F.col("moved")) for c in ("start", "end")})
+    pages = pages.withColumn("days", days("start", "end"))
+    pages = pages.withColumn("by_period", F.coalesce((F.array_max("days") <= F.col("end")) & borne_out("start", "end", "days"), F.lit(False)))
+
+    votes = F.filter(F.zip_with(F.transform("full", lambda d, i: F.date_sub(d, i)), F.zip_with("full", "weekdays", lambda d, w: F.weekday(d) == w), lambda v, ok: F.when(ok, v)), lambda v: v.isNotNull())
+    pages = pages.withColumn("votes", votes)  # first rows first
+    ranked = F.transform(F.array_distinct("votes"), lambda v: F.struct(count(F.col("votes"), lambda x: x == v).alias("n"), (-F.array_position("votes", v)).alias("early"), v.alias("vote")))
+    best = T.bound(F.array_max(ranked), lambda b: F.when(b["n"] >= F.greatest(F.lit(LEAST_ROWS), START_SHARE * F.col("n_rows")), b["vote"]))
+    pages = pages.withColumn("voted", best).withColumn("voted_end", F.date_add("voted", F.col("n_rows") - 1))
+    pages = pages.withColumn("other", days("voted", "voted_end"))
+    pages = pages.withColumn("by_rows", ~F.col("by_period") & F.coalesce(borne_out("voted", "voted_end", "other"), F.lit(False)))
     pick = lambda a, b: F.when(F.col("by_rows"), F.col(a)).otherwise(F.col(b))
-    kept = [c for c in ("y", "weekday", "rest", "pos", "n_rows", "entry_x", "exit_x", "width", "height") if c in rows.columns]
-    return rows.select(*PAGE, *kept, pick("other", "day").alias("day"), pick("voted", "start").alias("start"), pick("voted_end", "end").alias("end"), (F.col("by_period") | F.col("by_rows")).alias("confirmed"))
+    return pages.select(
+        *PAGE, "rows", "n_rows", "entry_x", "exit_x", "width", "height", pick("other", "days").alias("days"), pick("voted", "start").alias("start"), pick("voted_end", "end").alias("end"),
+        (F.col("by_period") | F.col("by_rows")).alias("confirmed"))
 
 
 def sheet_rows(words: DataFrame) -> DataFrame:
     """All dated rows of the pages that hold such a table; other pages give none."""
-    return with_days(with_columns(table_rows(page_lines(words))))
+    pages = with_days(with_columns(table_rows(page_lines(words))))
+    kept = ("n_rows", "entry_x", "exit_x", "width", "height", "start", "end", "confirmed")
+    rows = pages.select(*PAGE, *kept, "days", F.posexplode("rows").alias("pos", "r"))
+    return rows.select(*PAGE, "r.y", "r.weekday", "r.rest", "pos", *kept, F.get("days", F.col("pos")).alias("day"))
 
 
 def is_day_off() -> Column:
