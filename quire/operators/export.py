@@ -10,7 +10,8 @@ from ..config import Config
 from ..functions.text import amount_br, cents, label_key, month_br, slug
 from .records import TIMES
 
-#: First lines of the files, their line ends and character sets.
+#: Name of the file of workdays, first lines of the files, their character sets.
+DAY_FILE = "cartao_ponto_jornada.csv"
 DAY_HEADER = ";".join(["Data", *(f"{x}{k}" for k in range(1, 7) for x in ("Entrada", "Saída"))])
 HISTORY_HEADER = "MES_ANO;VALOR;FGTS;FGTS_REC.;CONTRIBUICAO_SOCIAL;CONTRIBUICAO_SOCIAL_REC."
 DAY_CHARSET, HISTORY_CHARSET = "ISO-8859-1", "UTF-8"

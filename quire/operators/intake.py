@@ -68,6 +68,25 @@ def sessions(events: DataFrame, seconds: int) -> DataFrame:
     return numbered.groupBy("session_key", "session_no").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
+def session_lives(events: DataFrame, seconds: int) -> DataFrame:
+    """``events`` (session_key, ts, kind: put, get or delete): a row for each life of a session, with first_ts, last_ts, n (its puts and gets that found it) and deleted.
+
+    A put makes or renews a session, a get renews one that lives, a delete ends one. One that had neither for ``seconds`` has expired, at just that moment too.
+    Events of one moment count in the order delete, put, get. A life begins with the first put after a gap, or after a delete; what comes before it finds nothing."""
+    ts = F.unix_micros(F.col("ts").cast("timestamp"))
+    order = F.when(F.col("kind") == "delete", 0).when(F.col("kind") == "put", 1).otherwise(2)
+    rows = events.select("session_key", "kind", ts.alias("us"), order.alias("order"))
+    w = Window.partitionBy("session_key").orderBy("us", "order")
+    fresh = F.coalesce(F.col("us") - F.lag("us").over(w) >= seconds * 1_000_000, F.lit(True)) | (F.lag("kind").over(w) == "delete")
+    blocks = rows.withColumn("fresh", fresh.cast("int")).withColumn("block", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    own = Window.partitionBy("session_key", "block").orderBy("us", "order").rowsBetween(Window.unboundedPreceding, 0)
+    alive = blocks.withColumn("begun", F.max((F.col("kind") == "put").cast("int")).over(own)).where("begun = 1")
+    used = F.col("kind") != "delete"
+    at = lambda f: F.timestamp_micros(f(F.when(used, F.col("us"))))
+    found = alive.groupBy("session_key", "block").agg(at(F.min).alias("first_ts"), at(F.max).alias("last_ts"), F.count_if(used).alias("n"), F.max(~used).alias("deleted"))
+    return found.drop("block")
+
+
 def concurrency(found: DataFrame, seconds: int, per: str = "day") -> DataFrame:
     """The greatest number of live sessions on each day, by running sums of starts and ends; days are summed apart, with what was live at their start carried over."""
     start = found.select(F.unix_micros(F.col("first_ts").cast("timestamp")).alias("at"), F.lit(1).alias("d"))
@@ -125,6 +144,29 @@ def paced(runs: DataFrame, per_minute: int) -> DataFrame:
     return rows.withColumn("starts_at", F.coalesce(F.sum(F.col("elapsed") + F.col("pause")).over(before), F.lit(0.0)))
 
 
+#: States of a run. A run is accepted first; from each state it may go on to these.
+MOVES = {
+    "accepted": ("processing", "failed", "discarded", "expired"), "processing": ("completed", "failed", "discarded", "expired"), "completed": ("discarded", "expired"), "failed": ("discarded", "expired"),
+    "discarded": (), "expired": (),
+}
+
+
+def lifecycle(events: DataFrame, moves: dict[str, tuple] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Of a log (run_id, event_id, at, status), in which an event may stand twice: the allowed moves, with ``before`` (null at first), and the faults, with ``fault``.
+
+    Pairs of a run's neighbouring states are joined with the table of allowed moves. A fault is a first state that is none, a state that is not known, or a move that is not allowed; the
+    log goes on from the state as it stands in it."""
+    allowed = moves or MOVES
+    pairs = [(None, next(iter(allowed)))] + [(a, b) for a, after in allowed.items() for b in after]
+    table = events.sparkSession.createDataFrame([(a or "", b, True) for a, b in pairs], "from_ string, status string, allowed boolean")  # a row a move
+    once = events.groupBy("run_id", "event_id").agg(F.min_by(F.struct("at", "status"), F.struct("at", "status")).alias("e")).select("run_id", "event_id", "e.at", "e.status")
+    before = F.lag("status").over(Window.partitionBy("run_id").orderBy("at", "event_id"))
+    rows = once.withColumn("before", before).withColumn("from_", F.coalesce("before", F.lit(""))).join(F.broadcast(table), ["from_", "status"], "left").drop("from_")
+    fault = F.when(~F.col("status").isin(*allowed) | F.col("status").isNull(), "unknown").when(F.col("before").isNull(), "start").otherwise("move")
+    names = ("run_id", "event_id", "at", "before", "status")
+    return rows.where("allowed").select(*names), rows.where("allowed IS NULL").select(*names, fault.alias("fault"))
+
+
 def status_spans(events: DataFrame) -> DataFrame:
     """Every change of a run's status with the time it held, the last without an end; repeated statuses are one."""
     order = Window.partitionBy("run_id").orderBy("at", "event_id")

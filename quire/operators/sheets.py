@@ -234,13 +234,18 @@ def passes_gate() -> Column:
 
 
 def span_texts(words: DataFrame, spans: DataFrame, key: list[str]) -> DataFrame:
-    """For each of ``spans`` (key, span, top, bottom) the words whose middle lies in it, joined by place; a word in several counts for the first.
-
-    Spans of a strip are few, so they are held as a list with it and looked through word by word."""
-    lists = spans.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("span", "top", "bottom"))).alias("spans"))
-    middle_ = F.col("y") + F.col("h") / 2
-    held = words.join(lists, key).withColumn("span", F.get(F.filter("spans", lambda s: (s["top"] <= middle_) & (middle_ < s["bottom"])), F.lit(0))["span"])
-    found = held.where("span IS NOT NULL").groupBy(*key, "span").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "pos", "text"))), lambda w: w["text"]), "").alias("text"))
+    """For each of ``spans`` (key, span, top, bottom) the words whose middle lies in it, joined by place; a word (key, pos) in several counts for the first.
+
+    Strips may have any number of spans: a strip is cut into cells as high as its spans are on average, a span goes to the cells that it reaches (three for
+    each on average at most, however heights differ), a word to its own, and they meet by strip and cell."""
+    height = F.greatest(F.col("bottom") - F.col("top"), F.lit(0))
+    cells = spans.groupBy(*key).agg(F.greatest(F.avg(height), F.lit(1.0)).alias("cell"))
+    at = lambda c: F.floor(c / F.col("cell"))
+    held = spans.where("bottom > top").join(cells, key).withColumn("at", F.explode(F.sequence(at(F.col("top")), at(F.col("bottom")))))
+    placed = words.withColumn("middle", F.col("y") + F.col("h") / 2).join(cells, key).withColumn("at", at(F.col("middle")))
+    near = placed.join(held.select(*key, "at", "span", "top", "bottom"), [*key, "at"]).where("top <= middle AND middle < bottom")
+    first = near.groupBy(*key, "pos").agg(F.min("span").alias("span"), F.first("x").alias("x"), F.first("text").alias("text"))
+    found = first.groupBy(*key, "span").agg(F.expr("listagg(text, '') WITHIN GROUP (ORDER BY x, pos)").alias("text"))
     return spans.join(found, [*key, "span"], "left").select(*key, "span", F.coalesce("text", F.lit("")).alias("text"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import TEST_WORDS
 from ..functions import text as T
 from ..operators import answers, cells, evaluate, export, grid, intake, records, review, sheets, triage, visual
+from ..sources import case_files, files
 from ..sources import tables as src
 from . import inputs_sql as S
 from .registry import DEFAULT, QUERIES, SMALL, SPARSE, SQL, long, query
@@ -462,6 +463,32 @@ def words_in_spans(spark, sf):
     return sheets.span_texts(words, spans, ["case_id", "day"]).select("case_id", "day", *long("span"), "text")
 
 
+@query("""WITH e AS (SELECT user_id AS session_key, epoch_us(ts) AS us, CASE WHEN event_id % 11 = 0 THEN 'delete' WHEN event_id % 3 = 0 THEN 'put' ELSE 'get' END AS kind FROM events),
+o AS (SELECT *, CASE kind WHEN 'delete' THEN 0 WHEN 'put' THEN 1 ELSE 2 END AS o FROM e),
+b AS (SELECT *, coalesce(us - lag(us) OVER w >= 86400000000, true) OR lag(kind) OVER w = 'delete' AS fresh FROM o WINDOW w AS (PARTITION BY session_key ORDER BY us, o)),
+n AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY session_key ORDER BY us, o ROWS UNBOUNDED PRECEDING) AS block FROM b),
+p AS (SELECT session_key, block, min(us) AS begun FROM n WHERE kind = 'put' GROUP BY ALL)
+SELECT session_key, make_timestamp(min(us) FILTER (kind <> 'delete')) AS first_ts, make_timestamp(max(us) FILTER (kind <> 'delete')) AS last_ts, count(*) FILTER (kind <> 'delete') AS n, bool_or(kind = 'delete') AS deleted
+FROM n JOIN p USING (session_key, block) WHERE us > begun OR us = begun AND o > 0 GROUP BY session_key, block""")
+def session_lives(spark, sf):
+    """Events are puts, gets and deletes of a session for each user."""
+    k = F.col("event_id")
+    kind = F.when(k % 11 == 0, "delete").when(k % 3 == 0, "put").otherwise("get")
+    return intake.session_lives(src.table(spark, sf, "events").select(F.col("user_id").alias("session_key"), "ts", kind.alias("kind")), 86_400)
+
+
+@query("""WITH w AS (SELECT event_id AS pos, CAST(event_id % 20000 * 10 AS BIGINT) AS y, event_type AS t FROM events),
+s AS (SELECT p_partkey AS span, p_partkey * 10 - 7 AS top, p_partkey * 10 + CASE WHEN p_partkey % 100 = 0 THEN 300 ELSE 8 END AS bottom FROM part),
+m AS (SELECT pos, t, min(span) AS span FROM w JOIN s ON y + 1 >= top AND y + 1 < bottom GROUP BY ALL)
+SELECT span, md5(coalesce(string_agg(t, '' ORDER BY pos), '')) AS text FROM s LEFT JOIN m USING (span) GROUP BY span""")
+def words_in_one_long_strip(spark, sf):
+    """One strip with a span for each part, some thirty times as high as others."""
+    words = src.table(spark, sf, "events").select(F.lit(1).alias("strip"), F.col("event_id").alias("pos"), F.col("event_id").alias("x"), (F.col("event_id") % 20_000 * 10).alias("y"), F.lit(2).alias("h"), F.col("event_type").alias("text"))
+    k = F.col("p_partkey")
+    spans = src.table(spark, sf, "part").select(F.lit(1).alias("strip"), k.alias("span"), (k * 10 - 7).alias("top"), (k * 10 + F.when(k % 100 == 0, 300).otherwise(8)).alias("bottom"))
+    return sheets.span_texts(words, spans, ["strip"]).select("span", F.md5("text").alias("text"))
+
+
 @query(f"""WITH {S.RESOLVED},
 o AS (SELECT *, bool_or(value IS NULL) OVER (PARTITION BY case_id, slot) AS open FROM resolved)
 SELECT cell_id, first_read AS model_read FROM o WHERE open AND NOT (case_id % 4 = 0 AND slot = 1)""")
@@ -575,6 +602,18 @@ def workday_file_bytes(spark, sf):
     return files.select("case_id", F.sha2("content", 256).alias("sha"), F.length("content").cast("bigint").alias("n_bytes"))
 
 
+@query(f"""WITH w AS ({SQL['workday_file_bytes']}), h AS ({SQL['history_file_bytes']})
+SELECT case_id, 'cartao_ponto_jornada.csv' AS file_name, sha, n_bytes FROM w UNION ALL SELECT case_id, file_name, sha, n_bytes FROM h""")
+def exported_files(spark, sf):
+    """The files of all cases on disk, read back."""
+    path = files.shared_folder(spark, "export")
+    days = export.day_files(_kept_cards(spark, sf), DEFAULT).select(F.col("case_id").cast("string").alias("folder"), F.lit(export.DAY_FILE).alias("file_name"), "content")
+    items = export.history_files(export.history_lines(export.histories(_slips(spark, sf).where("kept"), DEFAULT)))
+    case_files.write_files(days.union(items.select(F.col("case_id").cast("string"), "file_name", "content")), path)
+    found = case_files.read_files(spark, path)
+    return found.select(F.col("folder").cast("bigint").alias("case_id"), "file_name", F.sha2("content", 256).alias("sha"), F.length("content").cast("bigint").alias("n_bytes"))
+
+
 @query(f"WITH {S.REC_CARDS}, d AS (SELECT case_id || '/' || day_key AS case_id, kept AND disputed AS open FROM rec) SELECT case_id FROM d GROUP BY case_id HAVING NOT bool_or(open)")
 def export_gate(spark, sf):
     """Each day of a user as a case of its own."""

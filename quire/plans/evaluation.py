@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluate, intake, records
-from ..sources import files, tables as src
+from ..sources import case_files, files, tables as src
+from ..streaming import evaluation as stream_evaluation
 from . import inputs_sql as S
 from .catalog import _files, _FILES, _RATIO, _sessions, _sessions_sql
 from .registry import DEFAULT, SQL, long, query
@@ -87,6 +88,30 @@ def metrics_of_runs(spark, sf):
     return evaluate.totals(files.read_metrics(spark, path, _SCORE).withColumnsRenamed({"day_correct": "correct", "day_fields": "fields"}), ["layout"])
 
 
+_PREDICTED = "case_id % 4 <> 0 OR row_no % 3 <> 0"
+
+
+@query(f"""WITH {S.VALID}, c AS (SELECT DISTINCT case_id FROM valid WHERE date IS NOT NULL),
+v AS (SELECT * FROM valid WHERE date IS NOT NULL),
+f AS (SELECT case_id, date, row_no, row_number() OVER (PARTITION BY case_id, date ORDER BY row_no) AS nth, clock_in, break_start, clock_out FROM v),
+p AS (SELECT DISTINCT ON (case_id, date) * FROM f WHERE {_PREDICTED} ORDER BY case_id, date, row_no),
+s AS (SELECT t.case_id, 4 * count(*) AS day_fields, sum((t.clock_in IS NOT DISTINCT FROM p.clock_in)::INT + (t.break_start IS NOT DISTINCT FROM p.break_start)::INT + 1 + (t.clock_out IS NOT DISTINCT FROM p.clock_out)::INT) AS day_correct
+  FROM f t LEFT JOIN p ON t.case_id = p.case_id AND t.date = p.date GROUP BY 1)
+SELECT case_id, {_BAD} AS problem, CASE WHEN {_BAD} IS NULL THEN day_fields ELSE 0 END AS day_fields, CAST(CASE WHEN {_BAD} IS NULL THEN day_correct ELSE 0 END AS BIGINT) AS day_correct FROM c LEFT JOIN s USING (case_id)""")
+def truth_files_scored(spark, sf):
+    """Truth as a file for each case, in two deliveries; each file is scored once, by the run that finds it new."""
+    documents = _documents(spark, sf).select(F.col("case_id").cast("string").alias("folder"), F.concat(F.col("case_id").cast("string"), F.lit(".json")).alias("file_name"), F.col("document").cast("binary").alias("content"))
+    cards = records.valid_time_cards(src.time_cards(spark, sf)).where("date IS NOT NULL").where(_PREDICTED)
+    cards = cards.withColumn("break_end", F.lit(None).cast("string")).withColumn("case_id", F.col("case_id").cast("string"))
+    slips = spark.createDataFrame([], "case_id string, competence string, amount double, label_key string, row_no bigint")
+    path, out, check = (files.shared_folder(spark, n) for n in ("truth", "scores", "checkpoint"))
+    for delivery in (0, 1):
+        case_files.write_files(documents.where(F.col("folder").cast("bigint") % 2 == delivery), path)
+        stream_evaluation.score_new(stream_evaluation.truth_stream(spark, f"{path}/*"), lambda rows: stream_evaluation.day_and_item_scores(rows, cards, slips), out, check)
+    scores = spark.read.parquet(out)
+    return scores.select(F.col("case_id").cast("bigint").alias("case_id"), "problem", "day_fields", "day_correct")
+
+
 @query("""WITH c AS (SELECT DISTINCT user_id AS case_id, 'l' || (user_id % 3) AS layout, 's' || (user_id % 2) AS scan FROM events)
 SELECT case_id FROM c WHERE layout || '/' || scan IN ('l0/s0', 'l1/s1') AND case_id % 4 <> 1 ORDER BY case_id LIMIT 20""")
 def next_cases(spark, sf):
@@ -167,6 +192,36 @@ def paced_runs(spark, sf):
     return intake.paced(runs, DEFAULT.calls_per_minute).select("queue", *long("nth"), "pause", "starts_at")
 
 
+_LOG = """log AS (SELECT user_id AS run_id, event_id, ts, CASE row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) % 6
+  WHEN 1 THEN 'accepted' WHEN 2 THEN 'processing' WHEN 3 THEN CASE WHEN event_id % 5 = 0 THEN 'paused' ELSE 'completed' END WHEN 4 THEN CASE WHEN event_id % 3 = 0 THEN 'processing' ELSE 'failed' END ELSE 'discarded' END AS status FROM events),
+pairs AS (SELECT run_id, event_id, epoch_us(ts) AS at_us, lag(status) OVER (PARTITION BY run_id ORDER BY ts, event_id) AS before, status FROM log),
+moves AS (SELECT * FROM (VALUES {moves}) m(a, b))""".format(moves=", ".join(f"('{a}', '{b}')" for a, b in [("", "accepted"), *((a, b) for a, after in intake.MOVES.items() for b in after)]))
+
+
+def _log(spark, sf):
+    """Runs of users whose states go wrong now and then; every fourth event stands twice, once with a later time."""
+    k, w = F.col("event_id"), Window.partitionBy("user_id").orderBy("ts", "event_id")
+    n = F.row_number().over(w) % 6
+    status = F.when(n == 1, "accepted").when(n == 2, "processing").when(n == 3, F.when(k % 5 == 0, "paused").otherwise("completed")).when(n == 4, F.when(k % 3 == 0, "processing").otherwise("failed")).otherwise("discarded")
+    rows = src.table(spark, sf, "events").select(F.col("user_id").alias("run_id"), "event_id", F.col("ts").cast("timestamp").alias("at"), status.alias("status"))
+    again = rows.where("event_id % 4 = 0").withColumn("at", F.col("at") + F.expr("INTERVAL 1 SECOND"))
+    return rows.union(again)
+
+
+@query(f"""WITH {_LOG} SELECT run_id, event_id, at_us, before, status, CASE WHEN status = 'paused' THEN 'unknown' WHEN before IS NULL THEN 'start' ELSE 'move' END AS fault
+FROM pairs WHERE NOT EXISTS (SELECT 1 FROM moves WHERE a = coalesce(before, '') AND b = status)""")
+def status_faults(spark, sf):
+    faults = intake.lifecycle(_log(spark, sf))[1]
+    return faults.select("run_id", "event_id", F.unix_micros("at").alias("at_us"), "before", "status", "fault")
+
+
+@query(f"""WITH {_LOG} SELECT before, status, count(*) AS n, count(DISTINCT run_id) AS runs FROM pairs
+WHERE EXISTS (SELECT 1 FROM moves WHERE a = coalesce(before, '') AND b = status) GROUP BY ALL""")
+def status_moves(spark, sf):
+    good = intake.lifecycle(_log(spark, sf))[0]
+    return good.groupBy("before", "status").agg(F.count("*").alias("n"), F.count_distinct("run_id").alias("runs"))
+
+
 @query("""WITH c AS (SELECT user_id AS run_id, event_id, ts, event_type AS status, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events),
 d AS (SELECT * FROM c WHERE b IS NULL OR b <> status)
 SELECT run_id, event_id, status, epoch_us(ts) AS at_us, epoch_us(lead(ts) OVER (PARTITION BY run_id ORDER BY ts, event_id)) AS until_us FROM d""")

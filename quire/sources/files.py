@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _DAY = "struct<date: string, clock_in: string, break_start: string, break_end: string, clock_out: string>"
@@ -16,8 +16,12 @@ TRUTH = f"pages map<string, string>, time_cards array<{_DAY}>, payslips array<{_
 
 def truth_documents(spark: SparkSession, path: str, suffix: str = ".json") -> DataFrame:
     """case_id (the file's name without ``suffix``) and document (its whole text) of the JSON files at ``path``, a folder or a glob."""
-    name = F.regexp_extract(F.input_file_name(), rf"([^/]+?){suffix.replace('.', '[.]')}$", 1)
-    return spark.read.text(path, wholetext=True).select(name.alias("case_id"), F.col("value").alias("document"))
+    return spark.read.text(path, wholetext=True).select(file_case(suffix).alias("case_id"), F.col("value").alias("document"))
+
+
+def file_case(suffix: str = ".json") -> Column:
+    """The name of the file that a row comes from, without ``suffix``."""
+    return F.regexp_extract(F.input_file_name(), rf"([^/]+?){suffix.replace('.', '[.]')}$", 1)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from quire.config import Config
 from quire.functions import text as T
 from quire.operators import cells, evaluate, export, grid, intake, records, results, triage, visual
-from quire.sources import files
+from quire.sources import case_files, files
+from quire.streaming import evaluation as scoring
+from quire.streaming import lifecycle
 from quire.streaming import sessions as stream
 
 TIME_CASES = {"08:00": "08:00", "8:00": "08:00", "8h00": "08:00", " 17.30 ": "17:30", "23:59": "23:59", "24:00": None, "08:60": None, "0800": None, "8": None, "x": None, "": None}
@@ -368,3 +370,134 @@ def test_entries_of_a_page(spark):
         (2, 6, "08:00", ["date", "clock_out"], 0.3, {"clock_out": 11}, "2024-05"), (2, 7, None, ["date", "clock_in", "clock_out"], 0.3, {"clock_in": 12}, "2024-05"),
         (2, 9, None, ["date", "clock_in", "clock_out"], 0.0, {}, "2024-05"), (3, 6, "07:00", [], 0.85, {"clock_in": 13}, "2024-05"),
     ]
+
+
+def test_files_of_cases(spark, tmp_path):
+    path = f"file://{tmp_path}/out"
+    rows = [(str(k % 3), f"{k}.csv", bytes([k, 0, 255])) for k in range(9)] + [("é", "a b.txt", None)]
+    frame = lambda some: spark.createDataFrame(some, "folder string, file_name string, content binary")
+    case_files.write_files(frame(rows).repartition(4), path)
+    read = lambda: sorted((r["folder"], r["file_name"], bytes(r["content"])) for r in case_files.read_files(spark, path).collect())
+    on_disk = lambda: sorted((p.parent.name, p.name, p.read_bytes()) for p in (tmp_path / "out").rglob("*") if p.is_file())
+    expected = sorted((a, b, c or b"") for a, b, c in rows)
+    assert on_disk() == expected and read() == [r for r in expected if r[2]]
+    case_files.write_files(frame([("0", "0.csv", b"new"), ("4", "x", b"")]), path)
+    assert on_disk() == sorted([r for r in expected if r[:2] != ("0", "0.csv")] + [("0", "0.csv", b"new"), ("4", "x", b"")])
+    case_files.write_files(frame([("5", "only", b"1")]), path, overwrite=True)
+    assert on_disk() == [("5", "only", b"1")]
+
+
+@pytest.mark.parametrize("bad", [("1", "../x", b""), ("1", None, b""), ("1", "0.csv", b"again"), (None, "x", b"")])
+def test_a_failed_task_leaves_no_file(spark, tmp_path, bad):
+    rows = [(str(k), "0.csv", b"x") for k in range(5)] + [bad]
+    with pytest.raises(Exception, match="no name for a file"):
+        case_files.write_files(spark.createDataFrame(rows, "folder string, file_name string, content binary").repartition(3), f"{tmp_path}/out")
+    assert [p for p in tmp_path.rglob("*") if p.is_file() or p.name.startswith(".staging")] == []
+
+
+def lives(events, seconds):
+    """An independent loop over a store of sessions: events (key, second, kind)."""
+    out, store = [], {}
+    for key, at, kind in sorted(events, key=lambda e: (e[1], ("delete", "put", "get").index(e[2]))):
+        life = store.get(key)
+        if life and at - life[1] >= seconds:
+            out.append((key, *store.pop(key), False))
+            life = None
+        if kind == "delete":
+            if life:
+                out.append((key, *store.pop(key), True))
+        elif life or kind == "put":
+            store[key] = (life[0] if life else at, at, (life[2] if life else 0) + 1)
+    return sorted(out + [(k, *v, False) for k, v in store.items()])
+
+
+def some_events(seed, n=240):
+    r = random.Random(seed)
+    return [(r.choice("abcd"), 1_000_000 + r.randrange(0, 1500) * 10, r.choice(["put", "get", "get", "delete"] if r.random() < 0.5 else ["put", "get"])) for _ in range(n)]
+
+
+def as_lives(rows):
+    second = lambda t: int(t.timestamp())
+    return sorted((r["session_key"], second(r["first_ts"]), second(r["last_ts"]), r["n"], r["deleted"]) for r in rows)
+
+
+SESSION_EVENTS = "session_key string, ts timestamp, kind string"
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_lives_of_sessions_equal_a_loop(spark, seed):
+    events = some_events(seed)
+    df = spark.createDataFrame([(k, dt.datetime.fromtimestamp(s, dt.timezone.utc), kind) for k, s, kind in events], SESSION_EVENTS)
+    assert as_lives(intake.session_lives(df, 200).collect()) == lives(events, 200)
+
+
+def test_life_stream_equals_the_batch(spark, tmp_path):
+    """Files come one by one, events within them and across them out of order; one comes too late and doesn't count."""
+    stream.use_rocksdb(spark)
+    at = lambda s: dt.datetime.fromtimestamp(s, dt.timezone.utc)
+    events = sorted(some_events(7), key=lambda e: e[1])
+    r = random.Random(4)
+    order = sorted(events, key=lambda e: e[1] + r.uniform(0, 500))  # by half the lateness that is allowed
+    files_of = [order[k : k + 60] for k in range(0, len(order), 60)]
+    late, end = [("a", 1_000_010, "put"), ("new", 1_000_020, "put")], [("end", 1_100_000, "put")]
+    source = tmp_path / "in"
+    source.mkdir()
+    found = stream.life_stream(spark.readStream.schema(SESSION_EVENTS).option("maxFilesPerTrigger", 1).parquet(str(source)), 200, "1000 seconds")
+    for k, part in enumerate([*files_of, late, end]):
+        spark.createDataFrame([(key, at(s), kind) for key, s, kind in part], SESSION_EVENTS).coalesce(1).write.mode("append").parquet(str(source))
+        stream.run_once(found, f"{tmp_path}/out", f"{tmp_path}/check")
+    got = as_lives(spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == lives(events, 200)
+    assert "new" not in {x[0] for x in got}
+
+
+def test_new_truth_files_are_scored_once(spark, tmp_path):
+    source, out, check = (f"{tmp_path}/{n}" for n in ("truth", "out", "check"))
+    (tmp_path / "truth").mkdir()
+    put = lambda name, text: (tmp_path / "truth" / f"{name}.json").write_text(text)
+    seen = []
+
+    def score(rows):
+        seen.append(sorted(r["case_id"] for r in rows.collect()))
+        return rows.select("case_id", F.length("document").alias("n"))
+
+    run = lambda: scoring.score_new(scoring.truth_stream(spark, source), score, out, check)
+    got = lambda: sorted((r["case_id"], r["n"]) for r in spark.read.parquet(out).collect())
+    put("a", "{}"), put("b", "[\n1]")
+    run()
+    assert got() == [("a", 2), ("b", 4)]
+    put("c", "x")
+    run(), run()
+    assert got() == [("a", 2), ("b", 4), ("c", 1)] and seen == [["a", "b"], ["c"]]
+    (tmp_path / "check" / "commits" / "1").unlink()  # as if the driver was lost between the batch's end and its commit
+    crc = tmp_path / "check" / "commits" / ".1.crc"
+    crc.unlink(missing_ok=True)
+    run()
+    assert got() == [("a", 2), ("b", 4), ("c", 1)] and seen[-1] == ["c"] and len(seen) == 3
+
+
+def test_a_log_takes_each_event_once(spark, tmp_path):
+    at = lambda s: dt.datetime.fromtimestamp(1_000_000 + s, dt.timezone.utc)
+    source = tmp_path / "in"
+    source.mkdir()
+    events = spark.readStream.schema(lifecycle.LOG).option("maxFilesPerTrigger", 1).parquet(str(source))
+    parts = [[("r", 1, 0, "accepted"), ("r", 2, 5, "processing"), ("r", 1, 0, "accepted")], [("r", 2, 6, "processing"), ("s", 1, 7, "completed")], [("r", 3, 9, "completed"), ("r", 2, 5, "processing")]]
+    for part in parts:
+        spark.createDataFrame([(run, k, at(s), status) for run, k, s, status in part], lifecycle.LOG).coalesce(1).write.mode("append").parquet(str(source))
+        lifecycle.append(events, f"{tmp_path}/log", f"{tmp_path}/check")
+    log = lifecycle.read_log(spark, f"{tmp_path}/log")
+    assert sorted((r["run_id"], r["event_id"], r["status"]) for r in log.collect()) == [("r", 1, "accepted"), ("r", 2, "processing"), ("r", 3, "completed"), ("s", 1, "completed")]
+    good, faults = intake.lifecycle(log)
+    assert sorted((r["before"] or "", r["status"]) for r in good.collect()) == [("", "accepted"), ("accepted", "processing"), ("processing", "completed")]
+    assert [(r["run_id"], r["fault"]) for r in faults.collect()] == [("s", "start")]
+
+
+def test_moves_of_a_lifecycle(spark):
+    states = ["accepted", "processing", "completed", "failed", "discarded", "expired", "lost", None]
+    pairs = [(a, b) for a in states for b in states]
+    rows = [(k, 2 * k + j, j, s) for k, pair in enumerate(pairs) for j, s in enumerate(pair)] * 2
+    good, faults = intake.lifecycle(spark.createDataFrame(rows, "run_id int, event_id int, at int, status string"))
+    moved = {(r["before"], r["status"]) for r in good.collect() if r["before"]}
+    assert moved == {(a, b) for a, after in intake.MOVES.items() for b in after}
+    assert good.count() + faults.count() == len(rows) / 2
+    assert {(r["status"], r["fault"]) for r in faults.collect() if r["at"] == 0} == {(s, "start") for s in states[1:6]} | {("lost", "unknown"), (None, "unknown")}
