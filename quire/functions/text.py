@@ -67,7 +67,7 @@ def _letters(syllable: Column) -> Column:
 def folded(text: Column) -> Column:
     """Lower case, compatibility decomposition, no combining marks: ligatures, full-width letters, fractions and ordinals become plain letters and digits.
 
-    Most texts have Latin letters only: a cheap class sends them straight to the one-to-one table."""
+    Most texts have ASCII letters only, which stay, or Latin ones, which a cheap class sends straight to the one-to-one table."""
     from_, to, several = _decompositions()
     lower, latin = F.lower(text), [c for c in several if c < "\u0250"]
     table = F.create_map(*(F.lit(x) for pair in several.items() for x in pair))
@@ -75,7 +75,8 @@ def folded(text: Column) -> Column:
     longer = _replaced(lower, _character_class(several), lambda c: F.try_element_at(table, c))
     longer = _replaced(longer, hangul, lambda c: F.when(c.rlike(hangul), _letters(c)))
     other = "[" + _character_class(latin)[1:-1] + r"\x{250}-\x{10FFFF}]"
-    return F.translate(F.when(lower.rlike(other), longer).otherwise(lower), from_, to)
+    plain = F.octet_length(lower) == F.length(lower)
+    return F.when(plain, lower).otherwise(F.translate(F.when(lower.rlike(other), longer).otherwise(lower), from_, to))
 
 
 def fold(word: str) -> str:

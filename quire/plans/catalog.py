@@ -862,4 +862,4 @@ def job_status_latest(spark, sf):
     return rows.select("run_id", "status", F.unix_micros(F.col("at").cast("timestamp")).alias("at_us"))
 
 
-from . import evaluation, pages, readings, results  # noqa: E402, F401  (they register their queries)
+from . import evaluation, flow, pages, readings, results  # noqa: E402, F401  (they register their queries)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import answers, cells, records, results, review, triage
 from ..sources import tables as src
+from ..sources.files import kept
 from . import inputs_sql as S
 from .registry import DEFAULT, long, query
 
@@ -107,7 +108,8 @@ def merged_time_cards(spark, sf):
 
 
 def _result(spark, sf):
-    return results.validated(src.time_cards(spark, sf), src.payslips(spark, sf))
+    """Validated rows, written once: conflicts, flags and counters all read them."""
+    return tuple(kept(rows, "validated") for rows in results.validated(src.time_cards(spark, sf), src.payslips(spark, sf)))
 
 
 def _stated(spark, sf):
@@ -196,9 +198,9 @@ def review_save(spark, sf):
     """The reviewer keeps the last page of each disputed day; what the model stated and what pay items still give stays open."""
     cards, slips = _result(spark, sf)
     conflicts = results.all_conflicts(_stated(spark, sf), cards, slips)
-    kept = cards.where("kept")
-    choices = kept.where("disputed").groupBy("case_id", "day_key").agg(F.max("source_page").alias("keep_page"))
-    days = review.kept_pages(kept, choices, ["day_key"]).withColumn("date_raw", F.col("day_key"))
+    stay = cards.where("kept")
+    choices = stay.where("disputed").groupBy("case_id", "day_key").agg(F.max("source_page").alias("keep_page"))
+    days = review.kept_pages(stay, choices, ["day_key"]).withColumn("date_raw", F.col("day_key"))
     days = days.select("case_id", "row_no", "source_page", "date_raw", *records.TIMES, "confidence", "missing", "ambiguous")
     items = slips.where("kept").select("case_id", "row_no", "source_page", "competence", "item_name", "amount", "base_salary", "confidence", "ambiguous")
     saved = results.saved_review(days, items, conflicts)[2]

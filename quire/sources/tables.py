@@ -15,13 +15,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_out(scan: DataFrame, key: str) -> DataFrame:
+    """``scan``, a table as it is read, dealt out by ``key`` where it comes in fewer parts than there are cores, so that work on its texts isn't one task's. Larger tables stay as they are read."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan
+
+
 #: Documents of a source that make one case, so that cases grow in number, not in size.
 CASE_DOCS, CASE_ITEMS = 1_000, 5
 
 
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """case_id, doc_id, text: pages in the order of doc_id, not yet numbered."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread_out(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id")
     case = F.concat_ws("/", "source", F.floor(F.col("doc_id") / CASE_DOCS).cast("string"))
     return docs.select(case.alias("case_id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
 

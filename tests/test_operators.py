@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.config import Config
 from quire.functions import text as T
-from quire.operators import cells, evaluate, export, grid, intake, records, results, triage, visual
+from quire.operators import cells, evaluate, export, flow, grid, intake, records, results, triage, visual
 from quire.sources import case_files, files
 from quire.streaming import evaluation as scoring
 from quire.streaming import lifecycle
@@ -501,3 +501,19 @@ def test_moves_of_a_lifecycle(spark):
     assert moved == {(a, b) for a, after in intake.MOVES.items() for b in after}
     assert good.count() + faults.count() == len(rows) / 2
     assert {(r["status"], r["fault"]) for r in faults.collect() if r["at"] == 0} == {(s, "start") for s in states[1:6]} | {("lost", "unknown"), (None, "unknown")}
+
+
+def test_a_whole_job(spark):
+    """Counters are observed while the job's tables are written; a case with a conflict exports nothing."""
+    pages = spark.createDataFrame([("a", 1, "holerite 1"), ("a", 2, "cartão de ponto"), ("b", 1, "cartão de ponto"), ("b", 2, "cartão de ponto"), ("c", 1, "nada")], "case_id string, page_number int, text string")
+    toc = spark.createDataFrame([], "case_id string, page_number int, title string")
+    row = lambda n, clock: {"page_number": n, "document_type": "CARTAO_PONTO", "confidence": 1, "time_cards": [{"date": "2024-05-02", "clock_in": clock, "clock_out": "17:00", "confidence": 1}]}
+    said = {"a": [row(1, "08:00"), row(2, "8h00")], "b": [row(1, "08:00"), row(2, "09:00")]}
+    told = spark.createDataFrame([(c, 0, json.dumps({"pages": p})) for c, p in said.items()], "case_id string, call int, answer string")
+    job = flow.run(triage.signals(pages, toc, Config()), lambda asked: told, Config())
+    assert {n: o.get for n, o in job.seen.items()} == {
+        "triage": {"candidates": 4, "overflow": 0}, "classification": {"pages": 4, "relevant": 4}, "time_cards": {"rows": 4, "duplicates": 1, "disputed": 2}, "payslips": {"rows": 0, "duplicates": 0, "disputed": 0},
+    }
+    assert [(r["case_id"], r["line"]) for r in job.lines.collect()] == [("a", "02/05/2024;08:00;17:00" + ";" * 10)]
+    got = {r["case_id"]: r.asDict() for r in flow.case_counts(job).collect()}
+    assert got == {c: {"case_id": c, "sent": 2, "calls": 1, "unclassified": 0, "time_cards": n, "payslips": 0, "conflicts": k, "lines": 1 - k} for c, n, k in (("a", 1, 0), ("b", 2, 1))}
