@@ -797,7 +797,7 @@ def eval_summary_grouping_sets(spark, sf):
 # Uploads and sessions
 
 
-_FILES = """files AS (SELECT page_id, page_id % 25 AS case_id, page_id // 25 AS file_pos, length(html) AS size, CASE page_id % 4 WHEN 0 THEN 'F' || (page_id % 7) || '.PDF'
+_FILES = """files AS (SELECT page_id, page_id // 100 * 2 + (page_id % 100 >= 70)::INT AS case_id, page_id % 100 AS file_pos, length(html) AS size, CASE page_id % 4 WHEN 0 THEN 'F' || (page_id % 7) || '.PDF'
   WHEN 1 THEN 'img' || (page_id % 5) || '.jpeg' ELSE split_part(url, '?', 1) END AS filename, CASE page_id % 3 WHEN 0 THEN 'text/html'
   WHEN 1 THEN 'Application/PDF; v=1' END AS content_type FROM pages)"""
 
@@ -805,7 +805,7 @@ _FILES = """files AS (SELECT page_id, page_id % 25 AS case_id, page_id // 25 AS
 def _files(spark, sf):
     k = F.col("page_id")
     name = F.when(k % 4 == 0, F.concat(F.lit("F"), (k % 7).cast("string"), F.lit(".PDF"))).when(k % 4 == 1, F.concat(F.lit("img"), (k % 5).cast("string"), F.lit(".jpeg"))).otherwise(F.split_part("url", F.lit("?"), F.lit(1)))
-    return src.table(spark, sf, "pages").select("page_id", (k % 25).alias("case_id"), F.floor(k / 25).alias("file_pos"), F.length("html").cast("bigint").alias("size"), name.alias("filename"), F.when(k % 3 == 0, "text/html").when(k % 3 == 1, "Application/PDF; v=1").alias("content_type"))
+    return src.table(spark, sf, "pages").select("page_id", (F.floor(k / 100) * 2 + (k % 100 >= 70).cast("int")).alias("case_id"), (k % 100).alias("file_pos"), F.length("html").cast("bigint").alias("size"), name.alias("filename"), F.when(k % 3 == 0, "text/html").when(k % 3 == 1, "Application/PDF; v=1").alias("content_type"))
 
 
 @query(f"""WITH {_FILES} SELECT page_id, CASE WHEN ends_with(lower(filename), '.pdf') OR lower(trim(split_part(coalesce(content_type, ''), ';', 1))) IN ('application/pdf',

@@ -97,10 +97,12 @@ def strategy_comparison(spark, sf):
     return cells.strategies(expected, rows.union(again), DEFAULT)
 
 
-@query("SELECT conv_id, turn, regexp_matches(text[1 + turn % 5:4 + turn % 5], '[A-Za-zÀ-ú]{3,}') AS has_letters FROM conversations")
+@query("SELECT conv_id, turn, regexp_matches(text, '[A-Za-zÀ-ú]{3,}') AS has_letters, regexp_matches(list_transform(string_split(text, ' '), lambda w: w[1:2])[1 + turn % 5], '[A-Za-zÀ-ú]{3,}') IS TRUE AS cut FROM conversations")
 def letters_flags(spark, sf):
-    part = F.substring("text", F.lit(1) + (F.col("turn") % 5).cast("int"), F.lit(4))
-    return src.table(spark, sf, "conversations").select("conv_id", "turn", cells.has_letters(part).alias("has_letters"))
+    """Whole texts, and words cut to two letters, which are none."""
+    rows = src.table(spark, sf, "conversations")
+    cut = F.substring(F.get(F.split("text", " "), (F.col("turn") % 5).cast("int")), 1, 2)
+    return rows.select("conv_id", "turn", cells.has_letters(F.col("text")).alias("has_letters"), F.coalesce(cells.has_letters(cut), F.lit(False)).alias("cut"))
 
 
 @query("SELECT vec_id, round(len(list_filter(embedding, lambda x: floor(128 + 256 * x::DOUBLE) < 128)) / 64.0::DOUBLE, 6) AS ink FROM embeddings")
