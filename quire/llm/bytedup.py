@@ -11,7 +11,8 @@ last round is an interval of a repeated string. No suffix of the merged text is
 
 An anchor with more than ``LARGE`` different runs is not given to one task: the hashes of its windows
 are counted by Spark instead, pre-aggregated. Matches never cross documents; null and empty texts
-count as empty; identical rows are copies of each other.
+count as empty; identical rows are copies of each other. A null doc_id is kept as it is. Long texts are hashed in chunks of 2**20 bytes that overlap by a
+window, up to 2**30 bytes (more is an error); other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ the segments that it leaves free. Fingerprints with equal counts in all but a fe
 many: those of a cell that stays too large meet, by a Spark aggregation, at the values one bit away (two that
 differ in two bits have such a value in common), which is exact and grows linearly.
 
-Null and empty texts have fingerprint zero and link to each other as any others do; repeated rows stay.
+Null and empty texts have fingerprint zero and link to each other as any others do; repeated rows stay. A null doc_id is never the smallest: a
+component of such rows alone has a null component_id. Long texts are read whole; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

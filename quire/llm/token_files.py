@@ -7,6 +7,7 @@ encoding). Row groups and pages have set sizes and page indexes, so a filter on
 pages, and a query about lengths or offsets reads no ids.
 
 Null texts count as empty; repeated rows each get their own place; null ``doc_id`` come first.
+Long texts are encoded whole, each in one row; an empty table writes no ids and gives no rows.
 """
 
 from __future__ import annotations

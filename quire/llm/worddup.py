@@ -7,7 +7,8 @@ in one run alone go, the others are extended to twice that length, and so on up
 Every level is a Spark aggregation by hash, pre-aggregated, with a semi join back.
 
 Words are ``[^\\x20\\x09-\\x0D]+``, compared by 64-bit hashes. Null and empty texts have no words;
-identical rows are copies of each other.
+identical rows are copies of each other. A null doc_id is kept as it is. Long texts are hashed in chunks of 2**20 words that overlap by a window, up to 2**30 words (more is an
+error); ``without_repeats`` ignores other columns, ``cut_texts`` keeps them; an empty table gives no rows.
 """
 
 from __future__ import annotations
