@@ -97,12 +97,13 @@ def strategy_comparison(spark, sf):
     return cells.strategies(expected, rows.union(again), DEFAULT)
 
 
-@query("SELECT conv_id, turn, regexp_matches(text, '[A-Za-zÀ-ú]{3,}') AS has_letters, regexp_matches(list_transform(string_split(text, ' '), lambda w: w[1:2])[1 + turn % 5], '[A-Za-zÀ-ú]{3,}') IS TRUE AS cut FROM conversations")
+@query(r"""SELECT conv_id, turn, regexp_matches(text, '[A-Za-zÀ-ú]{3,}') AS has_letters,
+array_to_string(list_transform(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), lambda w: CASE WHEN regexp_matches(w, '[A-Za-zÀ-ú]{3,}') THEN '1' ELSE '0' END), '') AS word_flags FROM conversations""")
 def letters_flags(spark, sf):
-    """Whole texts, and words cut to two letters, which are none."""
-    rows = src.table(spark, sf, "conversations")
-    cut = F.substring(F.get(F.split("text", " "), (F.col("turn") % 5).cast("int")), 1, 2)
-    return rows.select("conv_id", "turn", cells.has_letters(F.col("text")).alias("has_letters"), F.coalesce(cells.has_letters(cut), F.lit(False)).alias("cut"))
+    """Whole texts, and every word of theirs (a cell holds one): 1 for each with letters, else 0."""
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    flags = F.array_join(F.transform(words, lambda w: F.when(cells.has_letters(w), "1").otherwise("0")), "")
+    return src.table(spark, sf, "conversations").select("conv_id", "turn", cells.has_letters(F.col("text")).alias("has_letters"), flags.alias("word_flags"))
 
 
 @query("SELECT vec_id, round(len(list_filter(embedding, lambda x: floor(128 + 256 * x::DOUBLE) < 128)) / 64.0::DOUBLE, 6) AS ink FROM embeddings")

@@ -43,3 +43,21 @@ def test_entry(spark):
 def test_greedy_query_takes_both_sides_from_one_table(spark):
     rows = contract.queries()["eval_payslips_greedy"](spark, SF).collect()
     assert rows and len({(r["case_id"], r["competence"], r["taken"]) for r in rows}) == len(rows)
+
+
+def test_letters_flags_are_of_every_word(spark, tmp_path):
+    """Null, empty, blank and long texts; words of one to three letters, the last ones included."""
+    cases = {None: None, "": "", " \n ": "", "ab é1 abc": "001", "07:00 abc\tx\n\nçãoé 12a": "01010", "ab " * 20_000 + "abc": "0" * 20_000 + "1"}
+    rows = [(k, k % 5, text) for k, text in enumerate(cases)]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = contract.queries()["letters_flags"](spark, str(tmp_path))
+    assert {r["conv_id"]: r["word_flags"] for r in got.collect()} == dict(enumerate(cases.values()))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    expected = con.sql(contract.oracle_sql()["letters_flags"])
+    assert plain(got.collect(), got.columns) == plain(expected.fetchall(), expected.columns)
+
+
+def test_letters_flags_differ_within_texts(spark):
+    flags = [r["word_flags"] for r in contract.queries()["letters_flags"](spark, SF).collect()]
+    assert any("0" in x for x in flags) and any("1" in x for x in flags)
