@@ -45,10 +45,8 @@ def shingle_hashes(ws: list[bytes], size: int = SHINGLE) -> np.ndarray:
     return np.fromiter((hashed(joined[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, n)
 
 
-def fingerprint(ws: list[bytes], size: int = SHINGLE) -> int:
-    if not ws:
-        return 0
-    h = shingle_hashes(ws, size)
+def majority(h: np.ndarray) -> int:
+    """The 64 bits that over half the hashes have set."""
     n = len(h)
     counts = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 14):
@@ -56,6 +54,10 @@ def fingerprint(ws: list[bytes], size: int = SHINGLE) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(ws: list[bytes], size: int = SHINGLE) -> int:
+    return majority(shingle_hashes(ws, size))
+
+
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id and fp (the fingerprint's 64 bits as a signed number) of every whole text."""
 

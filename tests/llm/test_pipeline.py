@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quire.llm import langid, quality, queries, similar
+from quire.llm import langid, quality, queries, similar, simhash
 from quire.llm.common import written
 
 from .fixtures import documents, nothing
@@ -164,3 +164,42 @@ def test_stages_of_odd_tables_by_value(spark, sf):
     data = [tuple(split(t)) for _, t in rows]
     want = [(d, " ".join(w for w, g in zip(ws, gone) if not g) if any(gone) else t) for (d, t), ws, gone in zip(rows, data, repeats(data, 35))]
     assert sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.substring_dedup(spark, docs, sf).collect()), key=str) == sorted(want, key=str)
+
+
+def near_copies(r, n=40):
+    """Texts of 1,500 words and copies of them with a word or two changed: many fingerprints differ in 2 bits at most."""
+    word = lambda r: "w%d" % r.randrange(50_000)
+    return [t for _ in range(n // 4) for t in copies(r, word, 1500, [1, 1, 2])] + ["", None, "one two", "One Two"]
+
+
+def test_near_dedup_links_by_simhash(spark, monkeypatch):
+    """Without candidates from MinHash, the stage has the groups of operator 10's rule: fingerprints that differ in 2 bits at most."""
+    some = near_copies(random.Random(3))
+    sets = [similar.shingle_set(t or "", similar.SHINGLE) for t in some]
+    fps = [simhash.majority(s) for s in sets]
+    first = list(range(len(some)))
+    for _ in some:  # the least number that can be reached
+        for i in range(len(some)):
+            for j in range(len(some)):
+                if len(sets[i]) and len(sets[j]) and (fps[i] ^ fps[j]).bit_count() <= 2:
+                    first[i] = min(first[i], first[j])
+    empty = [k for k, s in enumerate(sets) if not len(s)]
+    want = sorted({k for k, f in enumerate(first) if f == k} - set(empty[1:]))
+    assert len(some) - len(want) > 10
+    monkeypatch.setattr(similar, "first_pairs", lambda met, *_: met.select("pivot", "node").where("false"))
+    got = similar.keep_one(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")).collect()
+    assert sorted(x["doc_id"] for x in got) == want
+
+
+def test_near_dedup_past_simhash_takes_whole_groups(spark, monkeypatch):
+    """What SimHash links, what MinHash adds, and few pairs where SimHash has linked all nodes of a pivot."""
+    asked = []
+    pairs = similar.first_pairs
+    monkeypatch.setattr(similar, "first_pairs", lambda met, roots: asked.append((met, roots)) or pairs(met, roots))
+    some = near_copies(random.Random(5))
+    groups = jaccard_groups(some)
+    got = similar.keep_one(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")).collect()
+    assert sorted(x["doc_id"] for x in got) == sorted({min(k for k, h in enumerate(groups) if h == g) for g in groups})
+    met, roots = asked[0]
+    every = pairs(met, roots.where("false")).count()
+    assert 0 < pairs(met, roots).count() < every
