@@ -29,9 +29,9 @@ def synced_dates(rows: DataFrame) -> DataFrame:
 
 
 def start_vote(rows: DataFrame, least: int = 5, share: float = 0.8) -> DataFrame:
-    """``rows`` (case_id, pos, read_date): the start most rows agree on (date less position), if enough do; ties to the first seen."""
+    """``rows`` (case_id, pos, read_date): the start most rows agree on (date less position), if enough do; ties to the first seen, then to the later start."""
     votes = rows.groupBy("case_id", F.date_sub("read_date", F.col("pos").cast("int")).alias("start")).agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    best = votes.groupBy("case_id").agg(F.sum("n").alias("n_rows"), F.max_by(F.struct("start", "n"), F.struct(F.col("n"), -F.col("first"))).alias("best"))
+    best = votes.groupBy("case_id").agg(F.sum("n").alias("n_rows"), F.max_by(F.struct("start", "n"), F.struct(F.col("n"), -F.col("first"), "start")).alias("best"))
     return best.where(F.col("best.n") >= F.greatest(F.lit(least), share * F.col("n_rows"))).select("case_id", "best.start", F.col("best.n").alias("votes"), "n_rows")
 
 

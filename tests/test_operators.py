@@ -325,6 +325,14 @@ def test_notes(spark):
     }
 
 
+def test_starts_with_equal_votes_seen_at_once(spark):
+    """Of starts with as many votes and the same first row the latest wins, in whatever order rows come; one without a date never."""
+    days = [dt.date(2024, 1, 1) + dt.timedelta(k) for k in range(6)]
+    rows = [(c, 2, d) for c in range(40) for d in random.Random(c).sample([*days, None], 7)] + [(40, 1, days[0]), (40, 2, days[5])]
+    votes = grid.start_vote(spark.createDataFrame(rows, "case_id int, pos int, read_date date"), 1, 0.0)
+    assert sorted(map(tuple, votes.collect())) == [(c, days[3], 1, 7) for c in range(40)] + [(40, days[0] - dt.timedelta(1), 1, 2)]
+
+
 def test_admissions_turn_away_past_the_cap(spark):
     r = random.Random(6)
     asked = [(s, f"{s}-{k}", start := r.randrange(3_000), start + r.randrange(1, 200)) for s in range(3) for k in range(120)]
