@@ -236,17 +236,16 @@ def passes_gate() -> Column:
 def span_texts(words: DataFrame, spans: DataFrame, key: list[str]) -> DataFrame:
     """For each of ``spans`` (key, span, top, bottom) the words whose middle lies in it, joined by place; a word (key, pos) in several counts for the first.
 
-    Strips may have any number of spans: a strip is cut into cells as high as its spans are on average, a span goes to the cells that it reaches (three for
-    each on average at most, however heights differ), a word to its own, and they meet by strip and cell."""
-    height = F.greatest(F.col("bottom") - F.col("top"), F.lit(0))
-    cells = spans.groupBy(*key).agg(F.greatest(F.avg(height), F.lit(1.0)).alias("cell"))
-    at = lambda c: F.floor(c / F.col("cell"))
-    held = spans.where("bottom > top").join(cells, key).withColumn("at", F.explode(F.sequence(at(F.col("top")), at(F.col("bottom")))))
-    placed = words.withColumn("middle", F.col("y") + F.col("h") / 2).join(cells, key).withColumn("at", at(F.col("middle")))
-    near = placed.join(held.select(*key, "at", "span", "top", "bottom"), [*key, "at"]).where("top <= middle AND middle < bottom")
+    Strips may have any number of spans, of any height: a span lies in at most three cells of the power of two from its height on, a word in one cell of each power that
+    there is a span of, and they meet by strip, power and cell. Spans are many more than the rows they come from, so no join sends them whole to the tasks."""
+    at = lambda c: F.floor(c / F.pow(F.lit(2.0), F.col("level")))
+    high = spans.where("bottom > top").withColumn("level", F.ceil(F.log2(F.col("bottom") - F.col("top"))))
+    held = high.select(*key, "level", "span", "top", "bottom", F.explode(F.sequence(at(F.col("top")), at(F.col("bottom")))).alias("at"))
+    placed = words.withColumn("middle", F.col("y") + F.col("h") / 2).crossJoin(F.broadcast(high.select("level").distinct())).withColumn("at", at(F.col("middle")))
+    near = placed.join(held.hint("merge"), [*key, "level", "at"]).where("top <= middle AND middle < bottom")
     first = near.groupBy(*key, "pos").agg(F.min("span").alias("span"), F.first("x").alias("x"), F.first("text").alias("text"))
     found = first.groupBy(*key, "span").agg(F.expr("listagg(text, '') WITHIN GROUP (ORDER BY x, pos)").alias("text"))
-    return spans.join(found, [*key, "span"], "left").select(*key, "span", F.coalesce("text", F.lit("")).alias("text"))
+    return spans.join(found.hint("merge"), [*key, "span"], "left").select(*key, "span", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def sheet_pages(rows: DataFrame) -> DataFrame:

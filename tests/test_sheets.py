@@ -156,3 +156,31 @@ def test_tsv(spark):
     got = sheets.tsv_words(rows).select("page_number", "pos", "line_key", "x", "y", "w", "h", "text").orderBy("pos")
     assert [tuple(r) for r in got.collect()] == [(1, 1, "2-1-8", 3, 44, 31, 12, "16:05"), (1, 5, "2-1-9", 90, 44, 31, 12, "DOM")]
     assert got.where(F.col("page_number") > 1).isEmpty()
+
+
+def test_spans_of_any_height(spark):
+    """Spans from a hundredth to some thousands high, overlapping, empty, upside down, without a place or strip, against a loop."""
+    r = random.Random(5)
+    spans = [(c, k, t := r.choice([r.uniform(-50, 900), float(r.randrange(-32, 900))]), t + r.choice([0.01, 0.5, 1.0, 3.0, 8.0, 64.0, 4_000.0, 0.0, -2.0])) for c in ("a", "b") for k in range(60)]
+    words = [(c, k, r.randrange(40), r.choice([r.uniform(-60, 950), float(r.randrange(-64, 900))]), r.choice([0.0, 2.0, 7.0]), f"{c}{k} ") for c in ("a", "b", "c") for k in range(80)]
+    spans += [("a", 60, None, 5.0), ("a", 61, 5.0, None), (None, 0, 0.0, 900.0)]
+    words += [("a", 80, 1, None, 2.0, "x"), (None, 0, 1, 10.0, 2.0, "x")]
+    got = sheets.span_texts(spark.createDataFrame(words, "strip string, pos int, x int, y double, h double, text string"), spark.createDataFrame(spans, "strip string, span int, top double, bottom double"), ["strip"])
+    held = {}
+    for c, pos, x, y, h, text in words:
+        at = [k for s, k, top, bottom in spans if s == c and None not in (c, y, top, bottom) and top <= y + h / 2 < bottom]
+        if at:
+            held.setdefault((c, min(at)), []).append((x, pos, text))
+    want = {(s, k): "".join(t for *_, t in sorted(held.get((s, k), []))) for s, k, *_ in spans}
+    rows = got.collect()
+    assert {(r["strip"], r["span"]): r["text"] for r in rows} == want and len(rows) == len(spans) and sum(map(bool, want.values())) > 10
+
+
+def test_spans_are_not_sent_whole_to_tasks(spark):
+    """Spans are many times the rows that they are made of, which Spark doesn't foresee: the only broadcast is of the powers of two between their heights."""
+    words = spark.range(1_000).selectExpr("id DIV 10 AS strip", "id AS pos", "1 AS x", "id AS y", "2 AS h", "'w' AS text")
+    spans = words.select("strip").distinct().selectExpr("strip", "explode(sequence(0, 2000)) AS span").selectExpr("*", "10 * span AS top", "10 * span + 15 AS bottom")
+    found = sheets.span_texts(words, spans, ["strip"])
+    assert found.where("text <> ''").count() > 0
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") == 2
