@@ -88,6 +88,8 @@ def metrics_of_runs(spark, sf):
     return evaluate.totals(files.read_metrics(spark, path, _SCORE).withColumnsRenamed({"day_correct": "correct", "day_fields": "fields"}), ["layout"])
 
 
+#: Cases whose truth files lie in one folder, which one stream reads.
+FOLDER_CASES = 10_000
 _PREDICTED = "case_id % 4 <> 0 OR row_no % 3 <> 0"
 
 
@@ -99,15 +101,17 @@ s AS (SELECT t.case_id, 4 * count(*) AS day_fields, sum((t.clock_in IS NOT DISTI
   FROM f t LEFT JOIN p ON t.case_id = p.case_id AND t.date = p.date GROUP BY 1)
 SELECT case_id, {_BAD} AS problem, CASE WHEN {_BAD} IS NULL THEN day_fields ELSE 0 END AS day_fields, CAST(CASE WHEN {_BAD} IS NULL THEN day_correct ELSE 0 END AS BIGINT) AS day_correct FROM c LEFT JOIN s USING (case_id)""")
 def truth_files_scored(spark, sf):
-    """Truth as a file for each case, in two deliveries; each file is scored once, by the run that finds it new."""
-    documents = _documents(spark, sf).select(F.col("case_id").cast("string").alias("folder"), F.concat(F.col("case_id").cast("string"), F.lit(".json")).alias("file_name"), F.col("document").cast("binary").alias("content"))
+    """Truth as a file for each case, in two deliveries and in folders of some ``FOLDER_CASES`` cases; each file is scored once, by the run that finds it new."""
+    documents = files.kept(_documents(spark, sf), "documents")
+    folder = F.pmod(F.xxhash64("case_id"), F.lit(1 + documents.count() // FOLDER_CASES)).cast("string").alias("folder")
+    truth = documents.select("case_id", folder, F.concat(F.col("case_id").cast("string"), F.lit(".json")).alias("file_name"), F.col("document").cast("binary").alias("content"))
     cards = records.valid_time_cards(src.time_cards(spark, sf)).where("date IS NOT NULL").where(_PREDICTED)
-    cards = cards.withColumn("break_end", F.lit(None).cast("string")).withColumn("case_id", F.col("case_id").cast("string"))
+    cards = files.kept(cards.select(folder, F.col("case_id").cast("string").alias("case_id"), "row_no", "date", "clock_in", "break_start", F.lit(None).cast("string").alias("break_end"), "clock_out", "ambiguous"), "cards", "folder")
     slips = spark.createDataFrame([], "case_id string, competence string, amount double, label_key string, row_no bigint")
     path, out, check = (files.shared_folder(spark, n) for n in ("truth", "scores", "checkpoint"))
     for delivery in (0, 1):
-        case_files.write_files(documents.where(F.col("folder").cast("bigint") % 2 == delivery), path)
-        stream_evaluation.score_new(stream_evaluation.truth_stream(spark, f"{path}/*"), lambda rows: stream_evaluation.day_and_item_scores(rows, cards, slips), out, check)
+        case_files.write_files(truth.where(F.pmod("case_id", F.lit(2)) == delivery).drop("case_id"), path)
+        stream_evaluation.score_folders(spark, path, lambda rows, name: stream_evaluation.day_and_item_scores(rows, cards.where(F.col("folder") == name), slips), out, check)
     scores = spark.read.parquet(out)
     return scores.select(F.col("case_id").cast("bigint").alias("case_id"), "problem", "day_fields", "day_correct")
 

@@ -106,6 +106,13 @@ def write_files(rows: DataFrame, path: str, overwrite: bool = False) -> None:
     own.write.format(FORMAT).mode("overwrite" if overwrite else "append").option("path", path).save()
 
 
+def folders(path: str) -> list[str]:
+    """Names of the folders that were committed below ``path``."""
+    store, root = _place(path)
+    found = store.get_file_info(fs.FileSelector(root, allow_not_found=True))
+    return sorted(f.base_name for f in found if f.type == fs.FileType.Directory and not f.base_name.startswith(".staging-"))
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """folder, file_name, content of the files below ``path``; Spark leaves empty ones out."""
     parts = "regexp_extract(path, '([^/]+)/([^/]+)$', {})"

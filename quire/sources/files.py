@@ -34,10 +34,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in a new shared folder, which cuts its lineage; the folder's owner deletes it."""
+def kept(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """``df`` as a Parquet table in a new shared folder, which cuts its lineage; the folder's owner deletes it. With ``by``, a part for each value of that column."""
     path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    if by is None:
+        df.write.parquet(path)
+    else:
+        df.repartition(by).write.partitionBy(by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

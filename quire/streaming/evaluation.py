@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluate
+from ..sources.case_files import folders
 from ..sources.files import file_case
 
 
@@ -38,3 +39,11 @@ def score_new(documents: DataFrame, score: Callable[[DataFrame], DataFrame], pat
         score(rows).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     documents.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def score_folders(spark: SparkSession, path: str, score: Callable[[DataFrame, str], DataFrame], out: str, checkpoint: str) -> None:
+    """``score_new`` for the truth files of each folder below ``path``, a stream after the other; ``score`` gets the folder's name, too.
+
+    A stream's driver lists all its files and keeps their names, so what it holds is one folder's, however many folders there are."""
+    for name in folders(path):
+        score_new(truth_stream(spark, f"{path}/{name}"), lambda rows, name=name: score(rows, name), f"{out}/folder={name}", f"{checkpoint}/{name}")

@@ -484,6 +484,26 @@ def test_new_truth_files_are_scored_once(spark, tmp_path):
     assert got() == [("a", 2), ("b", 4), ("c", 1)] and seen[-1] == ["c"] and len(seen) == 3
 
 
+def test_truth_files_are_scored_by_folders(spark, tmp_path):
+    """A stream for each folder, also one that comes later; files of earlier runs are not scored again."""
+    out, check, seen = f"{tmp_path}/out", f"{tmp_path}/check", []
+
+    def score(rows, name):
+        seen.append((name, sorted(r["case_id"] for r in rows.collect())))
+        return rows.select("case_id", F.length("document").alias("n"))
+
+    def run(*some):
+        case_files.write_files(spark.createDataFrame([(f, f"{c}.json", t.encode()) for f, c, t in some], "folder string, file_name string, content binary"), f"{tmp_path}/truth")
+        scoring.score_folders(spark, f"{tmp_path}/truth", score, out, check)
+
+    run(("0", "a", "{}"), ("1", "b", "[1]"), ("1", "c", "x"))
+    assert seen == [("0", ["a"]), ("1", ["b", "c"])]
+    run(("1", "d", "{}"), ("2", "e", "12345"))
+    assert seen[2:] == [("1", ["d"]), ("2", ["e"])]
+    got = spark.read.parquet(out).collect()
+    assert sorted((r["folder"], r["case_id"], r["n"]) for r in got) == [(0, "a", 2), (1, "b", 3), (1, "c", 1), (1, "d", 2), (2, "e", 5)]
+
+
 def test_a_log_takes_each_event_once(spark, tmp_path):
     at = lambda s: dt.datetime.fromtimestamp(1_000_000 + s, dt.timezone.utc)
     source = tmp_path / "in"

@@ -1,12 +1,13 @@
 """Every query with SQL gives the rows that DuckDB gives on the same tables."""
 
+import glob
 import os
 
 import duckdb
 import pytest
 
 import __spark_entry__ as contract
-from quire.plans import catalog
+from quire.plans import catalog, evaluation
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -61,3 +62,15 @@ def test_letters_flags_are_of_every_word(spark, tmp_path):
 def test_letters_flags_differ_within_texts(spark):
     flags = [r["word_flags"] for r in contract.queries()["letters_flags"](spark, SF).collect()]
     assert any("0" in x for x in flags) and any("1" in x for x in flags)
+
+
+def test_a_stream_lists_the_truth_files_of_one_folder(spark, con, monkeypatch):
+    """A driver keeps the names of all files that a stream finds, so no stream may find all."""
+    stream, paths = evaluation.stream_evaluation.truth_stream, []
+    monkeypatch.setattr(evaluation, "FOLDER_CASES", 4, raising=False)
+    monkeypatch.setattr(evaluation.stream_evaluation, "truth_stream", lambda spark, path, *a: paths.append(path) or stream(spark, path, *a))
+    df = contract.queries()["truth_files_scored"](spark, SF)
+    expected = con.sql(contract.oracle_sql()["truth_files_scored"])
+    assert plain(df.collect(), df.columns) == plain(expected.fetchall(), expected.columns)
+    found = [len(glob.glob(f"{p.removeprefix('file:')}/*.json")) for p in set(paths)]
+    assert sum(found) == df.count() and 1 < len(found) and max(found) <= df.count() / 2
