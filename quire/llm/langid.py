@@ -24,7 +24,7 @@ ORDERS, BUCKETS = 3, 1 << 15
 PER_LANGUAGE = 4_000
 #: Languages that are scored at a time. More take more passes over the texts; all are learned.
 LANGUAGES = 256
-#: Which texts are too unlike their language: deviations and at most what difference, the least deviation of an n-gram's log likelihood, and n-grams of a text from which the deviation is that of the training documents.
+#: Which texts are too unlike their language: deviations and at most what difference, the least deviation of an n-gram's log likelihood, and n-grams of a text whose mean varies twice as much as that of a very long one.
 FAR, FARTHEST, SPREAD, GRAMS = 20.0, 4.0, 0.1, 1_000
 #: Characters that are scored at a time.
 BLOCK = 1 << 19
@@ -94,15 +94,17 @@ def bucket_rows(at: list[tuple], codes: np.ndarray) -> list[np.ndarray]:
     return found
 
 
-def sample_of(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """lang, text of the bounded training sample."""
+def sample_of(docs: DataFrame, per_language: int | None = PER_LANGUAGE) -> DataFrame:
+    """lang, text of the bounded training sample; of all training documents, if there is no bound."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    if per_language is None:
+        return rows.select("lang", "text")
     sizes = rows.groupBy("lang").agg(F.count("*").alias("docs"))
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
     return rows.select("doc_id", "lang", "text").join(F.broadcast(sizes), "lang").where(chance < F.lit(float(per_language)) / F.col("docs")).select("lang", "text")
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame, per_language: int | None = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Languages and their log probabilities (a row per bucket; row 0 is zero) from rows of (doc_id, text, lang). Languages have equal prior probabilities, however many documents they have.
 
     The driver gets the languages and ``ORDERS * BUCKETS`` sums for each of a block of them at a time, however many documents there are."""
@@ -198,11 +200,18 @@ def posterior() -> Column:
     return F.when(F.col("mass") > 0, 1 / F.col("mass")).otherwise(0.0)
 
 
-def usual(docs: DataFrame, model: tuple[list[str], np.ndarray], per_language: int = PER_LANGUAGE) -> DataFrame:
-    """lang, mean, sd of the log likelihood of an n-gram in the training documents of each language (of ``GRAMS`` n-grams or more), under that language's own model or the one that fits better."""
-    known = sample_of(docs, per_language).select(F.struct("lang").alias("row"), "text")
-    own = judged(known, model).where(F.col("n") >= GRAMS).withColumn("value", F.col("top") / F.nullif(F.col("n"), F.lit(0)))
-    return own.where("best = row.lang").groupBy("best").agg(F.avg("value").alias("mean"), F.coalesce(F.stddev_pop("value"), F.lit(0.0)).alias("sd")).withColumnRenamed("best", "lang")
+def usual(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
+    """lang, mean, sd of the log likelihood of an n-gram in all training documents of each language that the model takes for that language or, if there is none, in all that have a letter.
+
+    The mean of n n-grams varies by ``sd`` times the root of 1 + ``GRAMS`` / n, so short documents weigh less; sd is that of very long ones."""
+    known = sample_of(docs, None).select(F.struct("lang").alias("row"), "text")
+    n = F.nullif(F.col("n"), F.lit(0)).cast("double")
+    value = F.col("top") / n
+    weight = n / (n + GRAMS)
+    sums = judged(known, model).where("n > 0").groupBy("row.lang", (F.col("best") == F.col("row.lang")).alias("fits")).agg(
+        F.sum(weight).alias("w"), F.sum(weight * value).alias("wv"), F.sum(weight * value * value).alias("wvv"), F.count("*").alias("docs"))
+    best = sums.groupBy("lang").agg(F.max_by(F.struct("w", "wv", "wvv", "docs"), "fits").alias("s"))
+    return best.select("lang", (F.col("s.wv") / F.col("s.w")).alias("mean"), F.sqrt(F.greatest(F.col("s.wvv") - F.col("s.wv") * F.col("s.wv") / F.col("s.w"), F.lit(0.0)) / F.col("s.docs")).alias("sd"))
 
 
 def keep_known(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float = 0.5, far: float = FAR) -> DataFrame:
@@ -210,12 +219,12 @@ def keep_known(docs: DataFrame, model: tuple[list[str], np.ndarray], least: floa
 
     The posterior alone tells nothing of noise and of languages that were not learned: over all n-grams of a text it is next to 1 for some language always. So
     the mean log likelihood of an n-gram may lie at most ``far`` deviations (``SPREAD`` at least) below the training documents' mean, and ``FARTHEST`` in any case; a
-    deviation grows as texts get shorter than ``GRAMS`` n-grams."""
+    deviation grows as texts get shorter (see ``usual``). Every language has such a limit; nothing is like one that was learned from texts without a letter."""
     found = judged(docs.select(F.struct(*docs.columns).alias("row"), "text"), model)
     limits = written(usual(docs, model), "languages")  # one row a language
     grams = F.nullif(F.col("n"), F.lit(0))
     deviation = F.greatest("sd", F.lit(SPREAD)) * F.sqrt(1 + F.lit(float(GRAMS)) / grams)
-    near = F.col("mean").isNull() | (F.col("top") / grams >= F.col("mean") - F.least(far * deviation, F.lit(FARTHEST)))
+    near = F.col("top") / grams >= F.col("mean") - F.least(far * deviation, F.lit(FARTHEST))
     joined_ = found.join(limits.withColumnRenamed("lang", "best"), "best", "left")
     return joined_.where((F.col("best") != UNKNOWN) & (posterior() >= least) & near).select("row.*")
 

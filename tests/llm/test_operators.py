@@ -15,8 +15,10 @@ import tiktoken
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from quire.llm import bytebpe, bytedup, langid, packing, pagetext, quality, queries, simhash, token_files, topk, worddup
 from quire.llm.wordbpe import encoder
 
@@ -175,6 +177,48 @@ def test_texts_like_no_language_are_rejected(spark, sf):
     assert {x["doc_id"] for x in given.collect()} | {10_007} == kept
 
 
+def sentences(seed, words, n):
+    r = random.Random(seed)
+    return [" ".join(r.choice(words) for _ in range(r.randint(6, 14))) for _ in range(n)]
+
+
+def test_languages_of_short_documents_have_a_limit(spark):
+    """No training document is long: what is like none of them goes all the same, and they stay; a language of numbers takes nothing in."""
+    en, de = "the a weather house was good and we went there yesterday with friends".split(), "das ein wetter haus war gut und wir gingen gestern dorthin mit freunden".split()
+    rows = [(t, lang) for lang, words in (("en", en), ("de", de)) for t in sentences(lang, words, 60)] + [("12 345", "no"), ("6 7", "no")] * 8
+    odd = ["qxz vwk jpq zzx " * k for k in (3, 20)] + ["これは日本語の文章です。今日は天気がいい。" * k for k in (1, 8)]
+    docs = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)] + [(1_000 + k, t, None) for k, t in enumerate(odd)], "doc_id long, text string, lang string")
+    for model in (langid.train(docs), langid.train(docs, None)):
+        assert {x["lang"] for x in langid.usual(docs, model).collect()} == {"en", "de"}
+        assert {x["doc_id"] for x in langid.keep_known(docs, model).collect()} == set(range(120))
+
+
+def test_limits_equal_a_loop_over_all_training_documents(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    langs, log = model = langid.train(docs, None)
+    kept = {}
+    for r in docs.collect():
+        if r["lang"] is not None and r["text"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2:
+            (at,), (n,) = langid.scored([r["text"]], log)
+            if langs[at.argmax()] == r["lang"]:
+                kept.setdefault(r["lang"], []).append((n / (n + langid.GRAMS), at.max() / n))
+    for r in langid.usual(docs, model).collect():
+        w, v = np.array(kept.pop(r["lang"])).T
+        mean = (w * v).sum() / w.sum()
+        assert np.allclose((r["mean"], r["sd"]), (mean, np.sqrt((w * (v - mean) ** 2).mean())), atol=1e-6)
+    assert not kept
+
+
+def test_the_language_stage_learns_from_all_training_documents(spark, monkeypatch):
+    """More documents of a language than operator 1's bound: models and limits read them all."""
+    words = "the a weather house was good and we went there yesterday with friends".split()
+    docs = spark.createDataFrame(list(enumerate(sentences(7, words, 8_000))), "doc_id long, text string").withColumn("lang", F.lit("en"))
+    whole, sample, read = docs.where(~langid.held_out(F.col("doc_id"))).count(), langid.sample_of, []
+    monkeypatch.setattr(langid, "sample_of", lambda *a: read.append(sample(*a)) or read[-1])
+    assert corpus_pipeline.language_id(spark, docs, None).count() == 8_000
+    assert whole > langid.PER_LANGUAGE and [r.count() for r in read] == [whole] * 2
+
+
 def test_word_encoder_is_the_library(given_texts, word_tokenizer):
     own = encoder(open(queries.WORD_TOKENIZER, "rb").read())
     for t in [t for _, t in given_texts[:60]] + [r[1] or "" for r in rows()]:
