@@ -44,6 +44,6 @@ def score_new(documents: DataFrame, score: Callable[[DataFrame], DataFrame], pat
 def score_folders(spark: SparkSession, path: str, score: Callable[[DataFrame, str], DataFrame], out: str, checkpoint: str) -> None:
     """``score_new`` for the truth files of each folder below ``path``, a stream after the other; ``score`` gets the folder's name, too.
 
-    A stream's driver lists all its files and keeps their names, so what it holds is one folder's, however many folders there are."""
+    A stream's driver lists all its files and keeps their names, so a stream holds one folder's; Spark's own records of files and tasks outlast it, up to Spark's limits."""
     for name in folders(path):
         score_new(truth_stream(spark, f"{path}/{name}"), lambda rows, name=name: score(rows, name), f"{out}/folder={name}", f"{checkpoint}/{name}")
